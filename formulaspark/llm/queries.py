@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op3_pack
 from .quality import op4_quality
+from .records import op7_token_records
 
 QUERIES = {
+    "op3_pack": op3_pack,
     "op4_quality": op4_quality,
+    "op7_token_records": op7_token_records,
 }
 
 #: None of the ten can be stated in DuckDB SQL; tests hold them against brute force.
