@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op10_jaccard
 from .packing import op3_pack
 from .quality import op4_quality
 from .records import op7_token_records
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
     "op7_token_records": op7_token_records,
+    "op10_jaccard": op10_jaccard,
 }
 
 #: None of the ten can be stated in DuckDB SQL; tests hold them against brute force.
