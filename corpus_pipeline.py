@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in stages.
+
+Documents without a doc_id cannot be told apart and go in the first stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formulaspark.llm.common import read_table, stored
+from formulaspark.llm.decontaminate import find_leaks
+from formulaspark.llm.jaccard import JaccardConfig, similar_groups
+from formulaspark.llm.packing import pack
 from formulaspark.llm.quality import score_quality
+from formulaspark.llm.records import public_tokenizer
+from formulaspark.llm.secrets import redact
 
 #: Columns that every stage but the last hands on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,7 +27,37 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
 
 
-STAGES = [("quality", keep_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)
+    stays, that with the smallest doc_id; of rows with that doc_id, one."""
+    groups = similar_groups(docs, JaccardConfig(width=5, num=80, den=100))
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; the others stay as they are."""
+    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts become a mark, and n_chars follows."""
+    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    return pack(docs, public_tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_copies", drop_near_copies),
+    ("leaks", drop_leaks),
+    ("secrets", hide_secrets),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot state the stages; the tests hold them against brute force.
 ORACLE_SQL = None

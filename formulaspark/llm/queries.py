@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .jaccard import op10_jaccard
 from .packing import op3_pack
 from .quality import op4_quality
 from .records import op7_token_records
+from .secrets import op2_secrets
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
     "op7_token_records": op7_token_records,
