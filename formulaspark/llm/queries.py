@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .jaccard import op10_jaccard
+from .neighbours import op8_neighbours
 from .packing import op3_pack
 from .quality import op4_quality
 from .records import op7_token_records
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
     "op7_token_records": op7_token_records,
+    "op8_neighbours": op8_neighbours,
     "op10_jaccard": op10_jaccard,
 }
 
