@@ -9,12 +9,14 @@ from .packing import op3_pack
 from .quality import op4_quality
 from .records import op7_token_records
 from .secrets import op2_secrets
+from .warc import op6_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
     "op7_token_records": op7_token_records,
     "op8_neighbours": op8_neighbours,
     "op10_jaccard": op10_jaccard,
