@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .jaccard import op10_jaccard
+from .licenses import op5_licenses
 from .neighbours import op8_neighbours
 from .packing import op3_pack
 from .quality import op4_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_pack": op3_pack,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
     "op7_token_records": op7_token_records,
     "op8_neighbours": op8_neighbours,
