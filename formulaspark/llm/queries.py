@@ -10,6 +10,7 @@ from .packing import op3_pack
 from .quality import op4_quality
 from .records import op7_token_records
 from .secrets import op2_secrets
+from .suffixes import op9_repeats
 from .warc import op6_warc
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_token_records": op7_token_records,
     "op8_neighbours": op8_neighbours,
+    "op9_repeats": op9_repeats,
     "op10_jaccard": op10_jaccard,
 }
 
