@@ -7,7 +7,8 @@ and not inside a longer word, whose log-likelihood under a model of random strin
 exceeds that under a model of ordinary identifiers by ``evidence`` nats in all and
 ``per_char`` a character.  Both are first-order Markov models over ASCII, trained on the
 whole corpus: the samples labelled random are the secret values of base spans, those
-labelled ordinary are all other runs of ``shortest_sample`` or more token characters.
+labelled ordinary are other runs of ``shortest_sample`` or more token characters, but for
+those that have digits and could be spans themselves.
 Tasks send on their transition counts, at most (alphabet squared) rows; random strings
 start from a prior of ``prior`` uniform transitions between letters and digits, so that
 a corpus without secrets still has a model.
@@ -36,7 +37,7 @@ class SecretConfig:
     shortest: int = 20
     shortest_sample: int = 8
     evidence: float = 14.0
-    per_char: float = 0.7
+    per_char: float = 0.5
     prior: float = 2.0
     smooth: float = 0.1
 
@@ -54,6 +55,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 #: A run fails only as a whole, so asking for the least length finds the same ones.
 _HEX = re.compile(r"[0-9a-f]{16,}")
+_DIGIT = re.compile(rb"[0-9]")
 _TOKEN = string.ascii_letters + string.digits + "+/_=-"
 _HEX_ONLY = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _TOKEN_ONLY = bytes(i if chr(i) in _TOKEN else 32 for i in range(256))
@@ -105,7 +107,7 @@ def transition_counts(docs: DataFrame, cfg: SecretConfig) -> dict[int, np.ndarra
                     values = (_ASSIGN.match(text, s)[2] if k == 0 else text[s:e] for s, k, e in spans)
                     held[1].extend(v.encode() for v in values)
                     raw = covered(text, spans, " ").encode("utf-8", "surrogatepass")
-                held[0].extend(free_runs(raw, cfg.shortest_sample))
+                held[0].extend(w for w in free_runs(raw, cfg.shortest_sample) if len(w) < cfg.shortest or not _DIGIT.search(w))
                 n += len(text)
                 if n > 1_000_000:
                     flush()

@@ -1,0 +1,25 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+from formulaspark.llm.common import stored
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, DATA), f"test-{name}")
+        assert sorted(docs.columns) == sorted(corpus_pipeline.COLUMNS)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert set(after) <= set(before)
+        if name != "secrets":
+            assert all(after[i] == before[i] for i in after)
+            assert name == "leaks" or len(after) < len(before)
+        before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(before)
