@@ -151,11 +151,16 @@ def _tree(literal: bool):
             rows.append((key[0], len(rows), parent, role, ord_, kind, value))
             return len(rows) - 1
 
-        related = links[links.kind == "rel"].sort_values(["i", "j"])
         scripts: dict[int, list[tuple[int, str]]] = {}
-        for i, j, rel in zip(related.i, related.j, related.rel, strict=True):
-            if rel in ("superscript", "subscript"):
-                scripts.setdefault(i, []).append((j, rel))
+        members_of: dict[tuple[int, str], dict[str, list[int]]] = {}
+        for kind, i, j, rel, group in sorted(zip(links.kind, links.i, links.j, links.rel, links.type, strict=True), key=lambda r: (r[1], r[2])):
+            if kind == "rel":
+                if rel in ("superscript", "subscript"):
+                    scripts.setdefault(int(i), []).append((int(j), rel))
+                continue
+            own = members_of.setdefault((int(i), group), {})
+            if rel:
+                own.setdefault(rel, []).append(int(j))
 
         def draw(idx: int, done: set[int], parent: int, role: str | None, ord_: int) -> None:
             mine = [(j, rel) for j, rel in scripts.get(idx, ()) if j not in done]
@@ -174,16 +179,14 @@ def _tree(literal: bool):
                         draw(j, done, part, None, n)
 
         processed: set[int] = set()
-        groups = links[links.kind == "group"]
         lines, parts = set(), set()
         rank = {"fraction": 0, "sqrt": 1, "sum": 2, "integral": 2}
-        found = sorted({(rank[t], a, t) for a, t in zip(groups.i, groups.type, strict=True)})
+        found = sorted((rank[t], a, t) for a, t in members_of)
         roles = {"fraction": ("numerator", "denominator"), "sqrt": ("inner",), "sum": ("lower", "upper", "operand"), "integral": ("lower", "upper", "operand")}
         trees: dict[int, list] = {}
         root = node(None, None, 0, "expression")
         for _, anchor, kind in found:
-            own = groups[(groups.i == anchor) & (groups.type == kind)]
-            members = {r: sorted(own[own.rel == r].j.astype(int), key=lambda j: (left[j], j)) for r in roles[kind]}
+            members = {r: sorted(members_of[anchor, kind].get(r, ()), key=lambda j: (left[j], j)) for r in roles[kind]}
             everyone = {j for m in members.values() for j in m}
             done = processed
             if kind == "fraction":
