@@ -280,9 +280,11 @@ def single_symbols(binary: DataFrame, side: int = 64) -> DataFrame:
 
 def segment(binary: DataFrame, height: int) -> DataFrame:
     """``image_id, sym_idx, x, y, w, h, is_fraction_line, is_sqrt``: components, flagged, merged, split."""
-    labelled = connected_components(binary)
-    comps = flag_roots(flag_fraction_lines(component_stats(labelled), height), binary)
-    merged = merge_components(comps, merge_edges(comps, height))
+    # each step reads the one before several times; persisted rows are few and can be made anew
+    labelled = connected_components(binary).persist()
+    stats = component_stats(labelled).persist()
+    comps = flag_roots(flag_fraction_lines(stats, height), binary).persist()
+    merged = merge_components(comps, merge_edges(comps, height)).persist()
     pieces = split_components(merged, binary, labelled)
     order = Window.partitionBy("image_id").orderBy("comp_id", "piece")
     flags = merged.select("image_id", "comp_id", "is_fraction_line", "is_sqrt")

@@ -7,7 +7,7 @@ results, and null labels give empty text.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +133,8 @@ def script_anchors(symbols: DataFrame) -> DataFrame:
 
 
 NODES = "formula_id long, node_id int, parent_id int, role string, ord int, node_type string, value string"
+_NODE_NAMES = [c.split()[0] for c in NODES.split(", ")]
+_NODE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
 
 def _tree(literal: bool):
@@ -142,25 +144,24 @@ def _tree(literal: bool):
     one step that is not a join.
     """
 
-    def build(key, symbols: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def build(formula: int, symbols: list[dict], links: list[dict]) -> list[tuple]:
         rows: list[tuple] = []
-        symbols = symbols.sort_values("sym_idx")
-        label, left = dict(zip(symbols.sym_idx, symbols.label, strict=True)), dict(zip(symbols.sym_idx, symbols.x, strict=True))
+        label, left = {s["sym_idx"]: s["label"] for s in symbols}, {s["sym_idx"]: s["x"] for s in symbols}
 
         def node(parent, role, ord_, kind, value=None) -> int:
-            rows.append((key[0], len(rows), parent, role, ord_, kind, value))
+            rows.append((formula, len(rows), parent, role, ord_, kind, value))
             return len(rows) - 1
 
         scripts: dict[int, list[tuple[int, str]]] = {}
         members_of: dict[tuple[int, str], dict[str, list[int]]] = {}
-        for kind, i, j, rel, group in sorted(zip(links.kind, links.i, links.j, links.rel, links.type, strict=True), key=lambda r: (r[1], r[2])):
-            if kind == "rel":
-                if rel in ("superscript", "subscript"):
-                    scripts.setdefault(int(i), []).append((int(j), rel))
+        for link in sorted(links, key=lambda k: (k["i"], -1 if k["j"] is None else k["j"])):
+            if link["type"] is None:
+                if link["rel"] in ("superscript", "subscript"):
+                    scripts.setdefault(link["i"], []).append((link["j"], link["rel"]))
                 continue
-            own = members_of.setdefault((int(i), group), {})
-            if rel:
-                own.setdefault(rel, []).append(int(j))
+            own = members_of.setdefault((link["i"], link["type"]), {})
+            if link["rel"]:
+                own.setdefault(link["rel"], []).append(link["j"])
 
         def draw(idx: int, done: set[int], parent: int, role: str | None, ord_: int) -> None:
             mine = [(j, rel) for j, rel in scripts.get(idx, ()) if j not in done]
@@ -204,7 +205,7 @@ def _tree(literal: bool):
             processed.update(everyone)
         hidden = {j for i, own in scripts.items() for j, _ in own if not {i, j} & (lines | parts)}
         kept, place = [], 0
-        for idx in symbols.sort_values("rank").sym_idx:
+        for idx in (s["sym_idx"] for s in sorted(symbols, key=lambda s: s["rank"])):
             if idx in processed or idx in hidden:
                 continue
             if idx in trees:
@@ -216,9 +217,16 @@ def _tree(literal: bool):
         # group nodes that found a place take it; those claimed by another group go, with all below
         used = {span[0]: at for span, at in kept}
         drop = {n for span in trees.values() if span[0] not in used for n in range(*span)}
-        return pd.DataFrame([(*r[:4], used.get(r[1], r[4]), *r[5:]) for r in rows if r[1] not in drop], columns=[c.split()[0] for c in NODES.split(", ")])
+        return [(*r[:4], used.get(r[1], r[4]), *r[5:]) for r in rows if r[1] not in drop]
 
-    return build
+    def trees_of(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("formula_id", "symbols", "links"))
+            rows = [row for formula, symbols, links in zip(*columns, strict=True) for row in build(formula, symbols, links or [])]
+            values = zip(*rows, strict=True) if rows else ([] for _ in _NODE_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _NODE_TYPES, strict=True)], _NODE_NAMES)
+
+    return trees_of
 
 
 def build_syntax_tree(symbols: DataFrame, literal: bool = False) -> DataFrame:
@@ -226,12 +234,11 @@ def build_syntax_tree(symbols: DataFrame, literal: bool = False) -> DataFrame:
 
     ``literal`` drops groups whose anchor is the first symbol, as a falsy index once did.
     """
-    relations = spatial_relations(symbols).select("formula_id", F.lit("rel").alias("kind"), "i", "j", "rel", F.lit(None).cast("string").alias("type"))
-    groups = structure_groups(symbols).select("formula_id", F.lit("group").alias("kind"), F.col("anchor_idx").alias("i"), F.col("member_idx").alias("j"), F.col("role").alias("rel"), "type")
-    ordered = symbols.join(reading_order(symbols), ["formula_id", "sym_idx"]).select("formula_id", "sym_idx", "x", "label", "rank")
-    links = relations.union(groups)
-    links = links.toDF(*links.columns)  # columns of their own: both sides come from ``symbols``
-    return ordered.groupBy("formula_id").cogroup(links.groupBy("formula_id")).applyInPandas(_tree(literal), NODES)
+    relations = spatial_relations(symbols).select("formula_id", "i", "j", "rel", F.lit(None).cast("string").alias("type"))
+    groups = structure_groups(symbols).select("formula_id", F.col("anchor_idx").alias("i"), F.col("member_idx").alias("j"), F.col("role").alias("rel"), "type")
+    links = relations.union(groups).groupBy("formula_id").agg(F.collect_list(F.struct("i", "j", "rel", "type")).alias("links"))
+    ordered = symbols.join(reading_order(symbols), ["formula_id", "sym_idx"]).groupBy("formula_id").agg(F.collect_list(F.struct("sym_idx", "x", "label", "rank")).alias("symbols"))
+    return ordered.join(links, "formula_id", "left").select("formula_id", "symbols", "links").mapInArrow(_tree(literal), NODES)
 
 
 def render_latex(nodes: DataFrame) -> DataFrame:
