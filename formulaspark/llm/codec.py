@@ -1,10 +1,10 @@
 """Texts to token ids with the ``tokenizers`` library, each distinct chunk once.
 
-A text is cut before every single blank that stands between two printable ASCII
-or Latin characters.  No pre-token of the tokenizers used here crosses such a
-place, so the ids of a text are those of its chunks in order.  Chunks that were
+A text is cut before every single blank or line end that stands between two
+printable ASCII or Latin characters.  No pre-token of the tokenizers used here
+crosses such a place, so the ids of a text are those of its chunks in order.  Chunks that were
 met before come from a cache of bounded size.  A new chunk that is one Latin
-word, perhaps with a stop after it, goes to the tokenizer's model directly, with
+word, perhaps with signs after it, goes to the tokenizer's model directly, with
 the letters that its own byte-level step gives; any other new chunk goes through
 the whole tokenizer.
 """
@@ -14,22 +14,24 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 _SIDE = "!-~À-ɏ"
-#: A blank that is not safe to cut at, and one that is.
-_UNSAFE = re.compile(rf" (?:(?<![{_SIDE}] )|(?![{_SIDE}]))")
+#: A blank or line end that is not safe to cut at, and a blank that is.
+_UNSAFE = re.compile(rf"[ \n](?:(?<![{_SIDE}][ \n])|(?![{_SIDE}]))")
 _SAFE = re.compile(rf"(?<=[{_SIDE}]) (?=[{_SIDE}])")
 #: Letters of words that need no more than the model.
 _LETTERS = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]) if c.isalpha())
-_WORD = re.compile(f"[{_LETTERS}]{{1,48}}")
+#: Such a word with signs after it; the tokenizers take a run of signs for itself.
+_WORD = re.compile(rf"(\n?)([{_LETTERS}]{{1,48}})([!-&(-/:-@\[-`{{-~]{{0,8}})")
 
 
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,11 +39,13 @@ class ChunkEncoder:
         self.plain.encode_special_tokens = True  # such strings in a text are ordinary text
         self.limit, self.longest = limit, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.model = self.plain.model
         self.four = [np.array([i], "<u4").tobytes() for i in range(self.plain.get_vocab_size(with_added_tokens=True))]
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.stops = {c: self._alone(c) for c in ".,;:!?"}
+        self.line = self._alone("\n")
         # how a letter looks to the model, and what stands for the blank before a word
         self.letters = {ord(c): "".join(p for p, _ in self.plain.pre_tokenizer.pre_tokenize_str(c)) for c in _LETTERS}
         normal = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
@@ -54,41 +58,51 @@ class ChunkEncoder:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """The first as it stands, the others without the blank before them."""
-        return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+        """The first as it stands; others without the blank before them, or from a line end on."""
+        return _SAFE.split(text) if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
 
-    def _alone(self, chunk: str) -> bytes:
-        return np.array(self.plain.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunk: str) -> bytes:
-        stop = chunk[-1] if chunk[-1] in ".,;:!?" else ""
-        word = chunk[:-1] if stop else chunk
-        if self.lead is None or not _WORD.fullmatch(word):
-            return self._alone(" " + chunk)
-        ids = self.known.get(word)
-        if ids is None:
-            seen = (word.lower() if self.lower else word).translate(self.letters)
-            ids = b"".join([self.four[t.id] for t in self.model.tokenize(self.lead + seen)])
-        return ids + self.stops[stop] if stop else ids
+        m = _WORD.fullmatch(chunk) if self.lead is not None else None
+        if not m:
+            return self._alone(chunk if chunk[0] == "\n" else " " + chunk)
+        line, word, signs = m.groups()
+        seen = (word.lower() if self.lower else word).translate(self.letters)
+        ids = b"".join([self.four[t.id] for t in self.model.tokenize(seen if line else self.lead + seen)])
+        if line:
+            ids = self.line + ids
+        if signs:
+            if signs not in self.signs:
+                self.signs[signs] = self._alone(signs)
+            ids += self.signs[signs]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
         seen = set()
         for parts in split:
             seen.update(parts[1:])
-        if len(self.known) + len(seen) > self.limit:
-            self.known = {c: v for c, v in self.known.items() if c in seen}
-        long = [c for c in seen if len(c) > self.longest]
+        if len(self.known) > self.limit:  # what is not met again before the next time goes
+            self.known, self.older = {}, self.known
         for c in seen.difference(self.known):
-            self.known[c] = self._learn(c)
+            self.known[c] = self.older.pop(c, None) or self._learn(c)
         get = self.known.__getitem__
         heads = [e.ids for e in self.plain.encode_batch([p[0] for p in split], add_special_tokens=False)]
         out = [np.array(h, "<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, split, strict=True)]
-        for c in long:
-            del self.known[c]
+        for c in seen:
+            if len(c) > self.longest:
+                del self.known[c]
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker, so that its cache lives on."""
+    return ChunkEncoder(path)
+
+
 def text_runs(texts: list[str], chars: int = 500_000):
     """Slices of ``texts`` with about ``chars`` characters each: start and texts."""
     start, held = 0, 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codec import ChunkEncoder, text_runs
+from .codec import encoder, text_runs
 from .common import batched, read_table, stored, texts_of
 from .records import public_tokenizer
 
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
     """One row per piece: the first takes what does not fill ``capacity``; ids as uint32 bytes, or null."""
 
     def cut(batches):
-        coder, end = ChunkEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             for at, texts in text_runs(batch.column("text").to_pylist()):

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codec import ChunkEncoder, text_runs
+from .codec import encoder, text_runs
 from .common import batched, read_table, rows_of, shared_dir, stored, texts_of
 
 
@@ -94,7 +94,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, splitters: list[int]
     """``bucket, doc_id, ids`` with ids as stored bytes; buckets are ranges between ``splitters``."""
 
     def encode(batches):
-        coder = ChunkEncoder(tokenizer)
+        coder = encoder(tokenizer)
         kind = "<u2" if len(coder.four) <= 65_536 else "<u4"
         end, edges = np.array([end_id], "<u4").tobytes(), np.array(splitters, np.int64)
         for batch in batches:
