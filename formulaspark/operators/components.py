@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formulaspark.functions.geometry import Box
+from formulaspark.sources.scratch import kept
 
 
 def runs(binary: DataFrame) -> DataFrame:
@@ -204,7 +205,8 @@ def split_points(comps: DataFrame, binary: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("w") - 1),
         lambda i: F.aggregate(F.slice("s", F.greatest(i - F.col("half"), F.lit(0)) + 1, F.col("half") + 1 + F.least(i, F.col("half"))), F.lit(0.0), lambda acc, v: acc + v) / F.col("kernel"),
     )
-    columns = columns.withColumn("s", smooth).withColumn("low", F.array_max("s") * 0.2)
+    # written, so that the fold below reads the smoothed column instead of repeating its expression
+    columns = kept(columns.withColumn("s", smooth), "split-columns").withColumn("low", F.array_max("s") * 0.2)
     state = F.struct(F.lit(-1).alias("start"), F.array().cast("array<int>").alias("cuts"))
 
     def step(acc, i):
@@ -226,7 +228,7 @@ def split_components(comps: DataFrame, binary: DataFrame, labelled: DataFrame |
     A piece under 0.3 median widths is joined to the next; pieces without ink of their own
     go; a component stays whole unless two pieces or more remain.
     """
-    points = split_points(comps, binary)
+    points = kept(split_points(comps, binary), "split-points")
     state = F.struct(F.lit(0).alias("prev"), F.array().cast("array<struct<a:int,b:int>>").alias("parts"))
 
     def step(acc, cut):
@@ -280,11 +282,11 @@ def single_symbols(binary: DataFrame, side: int = 64) -> DataFrame:
 
 def segment(binary: DataFrame, height: int) -> DataFrame:
     """``image_id, sym_idx, x, y, w, h, is_fraction_line, is_sqrt``: components, flagged, merged, split."""
-    # each step reads the one before several times; persisted rows are few and can be made anew
-    labelled = connected_components(binary).persist()
-    stats = component_stats(labelled).persist()
-    comps = flag_roots(flag_fraction_lines(stats, height), binary).persist()
-    merged = merge_components(comps, merge_edges(comps, height)).persist()
+    # each step reads the one before several times, so these small tables are written
+    labelled = kept(connected_components(binary), "runs")
+    stats = kept(component_stats(labelled), "components")
+    comps = kept(flag_roots(flag_fraction_lines(stats, height), binary), "flagged")
+    merged = kept(merge_components(comps, merge_edges(comps, height)), "merged")
     pieces = split_components(merged, binary, labelled)
     order = Window.partitionBy("image_id").orderBy("comp_id", "piece")
     flags = merged.select("image_id", "comp_id", "is_fraction_line", "is_sqrt")
