@@ -24,9 +24,6 @@ FROM (SELECT l_orderkey AS formula_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS sym_idx,
   l_partkey AS p, l_suppkey AS s, l_partkey % 8 AS k FROM {lineitem}) b"""
 
-_BOXES = """
-SELECT formula_id AS image_id, sym_idx, x, y, w, h FROM {symbols} WHERE formula_id < 20 AND sym_idx < 3"""
-
 #: The formulas that the LaTeX table repeats; @ is a letter, # a digit.
 TEMPLATES = [
     r"@^2 - # = 0",
@@ -55,7 +52,8 @@ TEMPLATES = [
     r"\frac{@}{0} + \mathscr{L} \times \sqrt{#}",
 ]
 
-WIDE, HIGH = 180, 112
+#: Sides of the pictures, and how often a number of a vector is repeated each way.
+SIDE, TIMES = 32, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,22 +83,14 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_id, y, x, v``: boxes of the first symbols, every other one hollow, as ink on paper."""
-    boxes = spark.sql(_BOXES, symbols=symbols(spark, sf_dir))
-    drawn = boxes.groupBy("image_id").agg(F.collect_list(F.struct("sym_idx", "x", "y", "w", "h")).alias("boxes"))
-    grid = drawn.select("image_id", "boxes", F.explode(F.sequence(F.lit(0), F.lit(HIGH - 1))).alias("y")).select(
-        "image_id", "boxes", "y", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))).alias("x")
-    )
-
-    def hit(b):
-        x, y = F.col("x") - b["x"], F.col("y") - b["y"]
-        inside = (x >= 0) & (x < b["w"]) & (y >= 0) & (y < b["h"])
-        wall = (x < 3) | (y < 3) | (x >= b["w"] - 3) | (y >= b["h"] - 3)
-        return inside & ((b["sym_idx"] % 2 == 1) | wall)
-
-    ink = F.exists("boxes", hit)
-    v = F.when(ink, 20 + (7 * F.col("x") + 13 * F.col("y")) % 30).otherwise(225 + (3 * F.col("x") + 5 * F.col("y")) % 20)
-    return grid.select("image_id", "y", "x", v.cast("int").alias("v"))
+    """``image_id, y, x, v``: each vector's signs as an 8 by 8 picture, four pixels a number each
+    way, as ink on paper."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "e"))
+    step = F.sequence(F.lit(0), F.lit(TIMES - 1))
+    e = e.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
+    e = e.select("image_id", "e", (F.expr("pos div 8") * TIMES + F.col("dy")).cast("int").alias("y"), (F.col("pos") % 8 * TIMES + F.col("dx")).cast("int").alias("x"))
+    v = F.when(F.col("e") > 0, 20 + (7 * F.col("x") + 13 * F.col("y")) % 30).otherwise(225 + (3 * F.col("x") + 5 * F.col("y")) % 20)
+    return e.select("image_id", "y", "x", v.cast("int").alias("v"))
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +138,10 @@ CTES = {
         " FROM part, (VALUES (0), (1), (2)) t(power)",
         (),
     ),
-    "boxes": (_BOXES.format(symbols="symbols"), ("symbols",)),
     "pixels": (
-        f"SELECT i.image_id, CAST(gy.y AS INT) AS y, CAST(gx.x AS INT) AS x, CAST(CASE WHEN EXISTS (SELECT 1 FROM boxes b WHERE b.image_id = i.image_id AND gx.x >= b.x AND gx.x < b.x + b.w AND gy.y >= b.y"
-        " AND gy.y < b.y + b.h AND (b.sym_idx % 2 = 1 OR gx.x < b.x + 3 OR gx.x >= b.x + b.w - 3 OR gy.y < b.y + 3 OR gy.y >= b.y + b.h - 3))"
-        f" THEN 20 + (7*gx.x + 13*gy.y) % 30 ELSE 225 + (3*gx.x + 5*gy.y) % 20 END AS INT) AS v FROM (SELECT DISTINCT image_id FROM boxes) i, range({HIGH}) gy(y), range({WIDE}) gx(x)",
-        ("boxes",),
+        f"SELECT image_id, y, x, CAST(CASE WHEN ink THEN 20 + (7*x + 13*y) % 30 ELSE 225 + (3*x + 5*y) % 20 END AS INT) AS v FROM (SELECT vec_id AS image_id, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x,"
+        f" embedding[8 * (yy // {TIMES}) + xx // {TIMES} + 1] > 0 AS ink FROM embeddings, range({SIDE}) a(yy), range({SIDE}) b(xx))",
+        (),
     ),
     "glyphs": (
         "SELECT vec_id, label, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, CAST(floor(128 + 240 * CAST(embedding[p + 1] AS DOUBLE)) AS INT) AS v, embedding[p + 1] > 0 AS ink"

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-W, H = T.WIDE, T.HIGH
+W = H = T.SIDE
 
 
 def ink(spark, d):
@@ -57,12 +57,13 @@ def histogram(spark, d):
 
 
 _REFLECT = lambda c, k, n: f"CASE WHEN {c} + ({k}) < 0 THEN -({c} + ({k})) WHEN {c} + ({k}) > {n} - 1 THEN 2 * ({n} - 1) - ({c} + ({k})) ELSE {c} + ({k}) END"
-_KERNEL5 = {-2: 1, -1: 4, 0: 6, 1: 4, 2: 1}
+#: 1-2-1, as the pictures are small, times four so that both axes together sum to 256.
+_KERNEL = {-1: 4, 0: 8, 1: 4}
 
 
 def _blur_sql() -> str:
-    terms = " UNION ALL ".join(f"SELECT image_id, y, x AS sx, {_REFLECT('x', k, W)} AS x, {w} AS wt FROM pixels" for k, w in _KERNEL5.items())
-    downs = " UNION ALL ".join(f"SELECT image_id, x, y AS sy, {_REFLECT('y', k, H)} AS y, {w} AS wt FROM pixels" for k, w in _KERNEL5.items())
+    terms = " UNION ALL ".join(f"SELECT image_id, y, x AS sx, {_REFLECT('x', k, W)} AS x, {w} AS wt FROM pixels" for k, w in _KERNEL.items())
+    downs = " UNION ALL ".join(f"SELECT image_id, x, y AS sy, {_REFLECT('y', k, H)} AS y, {w} AS wt FROM pixels" for k, w in _KERNEL.items())
     return f"""g1 AS (SELECT q.image_id, q.y, q.sx AS x, sum(q.wt * p.v) AS b FROM ({terms}) q JOIN pixels p ON p.image_id = q.image_id AND p.y = q.y AND p.x = q.x GROUP BY ALL),
     g2 AS (SELECT q.image_id, q.sy AS y, q.x, CAST(floor(sum(q.wt * g.b) / 256 + 0.5) AS INT) AS v FROM ({downs}) q JOIN g1 g ON g.image_id = q.image_id AND g.y = q.y AND g.x = q.x GROUP BY ALL)"""
 
@@ -108,7 +109,7 @@ def sauvola_binary(spark, d):
     return P.sauvola_binarize(T.pixels(spark, d))
 
 
-@query("chosen_binary", f"WITH {_SAUVOLA} SELECT * FROM bin", "pixels")
+@query("chosen_binary", f"WITH {_OTSU}, raw AS (SELECT image_id, y, x, CASE WHEN v > t THEN 255 ELSE 0 END AS v FROM g2 JOIN t USING (image_id)), {_turned('raw')} SELECT * FROM bin", "pixels")
 def chosen_binary(spark, d):
     return P.binarize(T.pixels(spark, d))
 
@@ -126,7 +127,7 @@ def polarity(spark, d):
     return P.polarity(ink(spark, d).withColumn("v", 255 - F.col("v")))
 
 
-@query("cleared_border", f"WITH {_INK} SELECT image_id, y, x, CASE WHEN y < 11 OR y >= {H} - 11 OR x < 18 OR x >= {W} - 18 THEN 0 ELSE v END AS v FROM ink", "pixels")
+@query("cleared_border", f"WITH {_INK} SELECT image_id, y, x, CASE WHEN y < 3 OR y >= {H} - 3 OR x < 3 OR x >= {W} - 3 THEN 0 ELSE v END AS v FROM ink", "pixels")
 def cleared_border(spark, d):
     return P.clear_border(ink(spark, d), 0.1)
 
@@ -143,7 +144,7 @@ def opened_ink(spark, d):
 
 @query(
     "projection_skew",
-    f"""WITH {_INK}, k AS (SELECT image_id, y, x, k, (k * 0.5::DOUBLE - 15) AS a FROM ink, range(60) r(k) WHERE v > 0), r AS (SELECT image_id, k, CAST(floor((y - 56) * cos(radians(a)) - (x - 90) * sin(radians(a)) + 56 + 0.5) AS INT) AS row FROM k),
+    f"""WITH {_INK}, k AS (SELECT image_id, y, x, k, (k * 0.5::DOUBLE - 15) AS a FROM ink, range(60) r(k) WHERE v > 0), r AS (SELECT image_id, k, CAST(floor((y - 16) * cos(radians(a)) - (x - 16) * sin(radians(a)) + 16 + 0.5) AS INT) AS row FROM k),
     n AS (SELECT image_id, k, row, count(*) AS n FROM r WHERE row >= 0 AND row < {H} GROUP BY ALL), s AS (SELECT image_id, k, sum(n * n) AS q, sum(n) AS s FROM n GROUP BY ALL)
     SELECT image_id, CASE WHEN abs(k * 0.5::DOUBLE - 15) < 0.5 THEN 0.0::DOUBLE ELSE k * 0.5::DOUBLE - 15 END AS angle FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(q / {H} - (s / {H}) * (s / {H}), 6) DESC, k) = 1""",
     "pixels",
@@ -155,17 +156,17 @@ def projection_skew(spark, d):
 @query(
     "hough_skew",
     f"""WITH {_INK}, e AS (SELECT *, least(coalesce(lag(v) OVER r, 0), coalesce(lead(v) OVER r, 0), coalesce(lag(v) OVER c, 0), coalesce(lead(v) OVER c, 0)) AS low FROM ink WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
-    l AS (SELECT image_id, th, CAST(floor(x * cos(radians(th)) + y * sin(radians(th)) + 0.5) AS INT) AS rho, count(*) AS n FROM e, range(180) t(th) WHERE v > 0 AND low = 0 GROUP BY ALL HAVING count(*) >= 40),
+    l AS (SELECT image_id, th, CAST(floor(x * cos(radians(th)) + y * sin(radians(th)) + 0.5) AS INT) AS rho, count(*) AS n FROM e, range(180) t(th) WHERE v > 0 AND low = 0 GROUP BY ALL HAVING count(*) >= 16),
     m AS (SELECT image_id, median(th - 90) AS a FROM l WHERE abs(th - 90) < 15 GROUP BY image_id) SELECT DISTINCT p.image_id, CASE WHEN abs(coalesce(a, 0)) < 0.5 THEN 0.0::DOUBLE ELSE CAST(coalesce(a, 0) AS DOUBLE) END AS angle FROM ink p LEFT JOIN m USING (image_id)""",
     "pixels",
 )
 def hough_skew(spark, d):
-    return P.hough_skew(ink(spark, d), threshold=40)
+    return P.hough_skew(ink(spark, d), threshold=16)
 
 
-@query("resized", "WITH g AS (SELECT i.image_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx FROM (SELECT DISTINCT image_id FROM pixels) i, range(28) a(ty), range(45) b(tx)) SELECT g.image_id, ty AS y, tx AS x, p.v FROM g JOIN pixels p ON p.image_id = g.image_id AND p.y = ty * 112 // 28 AND p.x = tx * 180 // 45", "pixels")
+@query("resized", "WITH g AS (SELECT i.image_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx FROM (SELECT DISTINCT image_id FROM pixels) i, range(20) a(ty), range(20) b(tx)) SELECT g.image_id, ty AS y, tx AS x, p.v FROM g JOIN pixels p ON p.image_id = g.image_id AND p.y = ty * 32 // 20 AND p.x = tx * 32 // 20", "pixels")
 def resized(spark, d):
-    return P.resize_nearest(T.pixels(spark, d), 60, 45)
+    return P.resize_nearest(T.pixels(spark, d), 20, 24)
 
 
 @query("padded", "WITH g AS (SELECT DISTINCT vec_id, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x FROM glyphs, range(12) a(yy), range(12) b(xx)) SELECT g.vec_id AS image_id, g.y, g.x, coalesce(v, 255) AS v FROM g LEFT JOIN glyphs p ON p.vec_id = g.vec_id AND p.y = g.y - 2 AND p.x = g.x - 2", "glyphs")
@@ -201,11 +202,11 @@ def component_stats(spark, d):
 
 @query(
     "specks_removed",
-    f"WITH RECURSIVE {_CC}, {_STATS}, sm AS (SELECT l.* FROM lab l JOIN st USING (image_id, comp_id) WHERE area < 900) SELECT i.image_id, i.y, i.x, CASE WHEN EXISTS (SELECT 1 FROM sm s WHERE s.image_id = i.image_id AND s.y = i.y AND i.x BETWEEN s.x0 AND s.x1) THEN 0 ELSE i.v END AS v FROM ink i",
+    f"WITH RECURSIVE {_CC}, {_STATS}, sm AS (SELECT l.* FROM lab l JOIN st USING (image_id, comp_id) WHERE area < 40) SELECT i.image_id, i.y, i.x, CASE WHEN EXISTS (SELECT 1 FROM sm s WHERE s.image_id = i.image_id AND s.y = i.y AND i.x BETWEEN s.x0 AND s.x1) THEN 0 ELSE i.v END AS v FROM ink i",
     "pixels",
 )
 def specks_removed(spark, d):
-    return C.remove_small_components(ink(spark, d), 900)
+    return C.remove_small_components(ink(spark, d), 40)
 
 
 @query(
@@ -221,10 +222,10 @@ def root_flags(spark, d):
     return C.flag_roots(C.component_stats(C.connected_components(i)), i).select("image_id", "comp_id", "is_sqrt")
 
 
-@query("cropped_symbols", "WITH ink AS (SELECT image_id, y, x, CASE WHEN v < 128 THEN 255 ELSE 0 END AS v FROM pixels) SELECT b.image_id, b.sym_idx AS comp_id, p.y - b.y AS y, p.x - b.x AS x, p.v FROM boxes b JOIN ink p ON p.image_id = b.image_id AND p.x >= b.x AND p.x < b.x + b.w AND p.y >= b.y AND p.y < b.y + b.h", "boxes", "pixels")
+@query("cropped_symbols", f"WITH RECURSIVE {_CC}, {_STATS} SELECT b.image_id, b.comp_id, p.y - b.y AS y, p.x - b.x AS x, p.v FROM st b JOIN ink p ON p.image_id = b.image_id AND p.x >= b.x AND p.x < b.x + b.w AND p.y >= b.y AND p.y < b.y + b.h", "pixels")
 def cropped_symbols(spark, d):
-    boxes = T.symbols(spark, d).where("formula_id < 20 and sym_idx < 3").select(F.col("formula_id").alias("image_id"), F.col("sym_idx").alias("comp_id"), "x", "y", "w", "h")
-    return C.crop_symbols(boxes, ink(spark, d))
+    i = ink(spark, d)
+    return C.crop_symbols(C.component_stats(C.connected_components(i)).select("image_id", "comp_id", "x", "y", "w", "h"), i)
 
 
 @query("single_symbols", "SELECT vec_id AS image_id, 0 AS x, 0 AS y, 8 AS w, 8 AS h FROM (SELECT DISTINCT vec_id FROM glyphs)", "glyphs")

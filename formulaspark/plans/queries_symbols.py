@@ -11,6 +11,9 @@ from formulaspark.operators import recognition as M
 from formulaspark.operators import structure as R
 from formulaspark.plans import fixtures as T
 
+#: Height of the pages that symbols stand on.
+CANVAS = 112
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -277,7 +280,7 @@ def above_and_below(spark, d):
     "symbols",
 )
 def fraction_line_flags(spark, d):
-    return C.flag_fraction_lines(_comps(spark, d), T.HIGH).select("image_id", "comp_id", "is_fraction_line")
+    return C.flag_fraction_lines(_comps(spark, d), CANVAS).select("image_id", "comp_id", "is_fraction_line")
 
 
 _MERGE = f"""{_COMPS}, m AS (SELECT a.image_id, a.comp_id AS a, b.comp_id AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, a.area AS aa, b.x AS bx, b.y AS "by", b.w AS bw, b.h AS bh, b.area AS ba, a.mean AS mean,
@@ -291,7 +294,7 @@ _MERGE = f"""{_COMPS}, m AS (SELECT a.image_id, a.comp_id AS a, b.comp_id AS b,
 
 @query("merge_edges", f"WITH {_MERGE} SELECT image_id, a, b FROM e", "symbols")
 def merge_edges(spark, d):
-    return C.merge_edges(_comps(spark, d), T.HIGH)
+    return C.merge_edges(_comps(spark, d), CANVAS)
 
 
 @query(
@@ -304,7 +307,7 @@ def merge_edges(spark, d):
 )
 def merged_components(spark, d):
     c = _comps(spark, d)
-    return C.merge_components(c, C.merge_edges(c, T.HIGH)).select("image_id", "comp_id", "x", "y", "w", "h", "area")
+    return C.merge_components(c, C.merge_edges(c, CANVAS)).select("image_id", "comp_id", "x", "y", "w", "h", "area")
 
 
 # labels and vectors
@@ -364,13 +367,13 @@ def top_candidates(spark, d):
 
 @query(
     "nearest_labels",
-    """WITH v AS (SELECT vec_id AS id, label, [CAST(q AS DOUBLE) for q in embedding] AS f FROM embeddings), p AS (SELECT a.id AS query, b.id, b.label, round(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.f, b.f)]), 9) AS dd FROM v a JOIN v b ON a.id % 10 = 0 AND b.id % 10 <> 0),
+    """WITH v AS (SELECT vec_id AS id, label, [CAST(q AS DOUBLE) for q in embedding] AS f FROM embeddings), p AS (SELECT a.id AS query, b.id, b.label, round(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.f, b.f)]), 9) AS dd FROM v a CROSS JOIN v b),
     k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dd, id) <= 5), n AS (SELECT query, label, count(*) AS n FROM k GROUP BY ALL)
     SELECT query AS id, label AS pred, n / 5 AS prob FROM n QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1""",
 )
 def nearest_labels(spark, d):
     v = _vectors(spark, d)
-    return M.nearest_labels(v.where("id % 10 = 0"), v.where("id % 10 <> 0"))
+    return M.nearest_labels(v, v)
 
 
 @query(
