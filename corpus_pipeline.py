@@ -20,25 +20,35 @@ from formulaspark.llm.secrets import redact
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Up to so many ids (eight bytes each) go to every task; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """``docs`` but for those whose doc_id is in ``ids``."""
+    ids = stored(ids.select("doc_id").distinct(), label)
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the others stay as they are."""
+    docs = docs.where("doc_id is not null")
     scored = score_quality(docs, read_table(spark, sf_dir, "labels"))
-    keep = scored.where(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    return without(docs, scored.where("predicted = 0"), "pipeline-rejected")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)
     stays, that with the smallest doc_id; of rows with that doc_id, one."""
     groups = similar_groups(docs, JaccardConfig(width=5, num=80, den=100))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = without(docs, groups.where("doc_id <> component_id"), "pipeline-copies")
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay as they are."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    return without(docs, find_leaks(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-leaks")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
