@@ -13,8 +13,9 @@ reading lists, by the corpus' own sizes and list lengths.
 
 Lists are never expanded to all pairs.  In rounds, each list's members are compared
 with a few pivots (one, then 32 times as many each round, at last all of them), and
-only while they lie in different components; so a list of copies takes about as many
-comparisons as members, and a list of unlike sets is read in full.  A pair must pass
+only while they lie in different components and outside the list's largest one; so a
+list of copies takes about as many comparisons as members, and a list of unlike sets is
+read in full.  A pair must pass
 two exact bounds (sizes, and a 64-bin count sketch) before its sets are fetched and
 compared in full.  Shingles and classes are 64-bit hashes.
 
@@ -280,13 +281,22 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Dat
     classes = named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n", "sketch")).alias("s"))
     classes = stored(classes.join(involved, "sid", "left_semi").select("sid", "doc", "s.n", "s.sketch"), "jaccard-classes")
     links, labels, sets, pivots = None, None, None, 1
+    open_lists = lists
     while True:
-        active = lists.withColumn("label", F.col("sid"))
-        if labels is not None:
-            active = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        heads = active.groupBy("key").agg(F.count("*").alias("members"), F.min("sid").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
-        heads = heads.where("low <> high").select("key", "members", "first")
-        open_lists = stored(active.join(heads, "key"), "jaccard-open")
+        active = open_lists.select("sid", "n", "key")
+        if labels is None:
+            active = active.withColumns({"label": F.col("sid"), "size": F.lit(1)})
+        else:
+            sizes_of = labels.groupBy("label").agg(F.count("*").alias("size"))
+            known = labels.join(sizes_of, "label").select(F.col("node").alias("sid"), "label", "size")
+            active = active.join(known, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "size": F.coalesce("size", F.lit(1))})
+        heads = active.groupBy("key").agg(
+            F.count("*").alias("members"), F.min("sid").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("main")
+        )
+        # a list is done when its members are connected, or when the last round compared all of them
+        tested = {1: 1, 32: 2}.get(pivots, pivots // 32)
+        heads = heads.where((F.col("low") != F.col("high")) & (F.col("members") > tested)).select("key", "members", "first", F.col("main.label").alias("main"))
+        open_lists = stored(active.drop("size").join(heads, "key"), "jaccard-open")
         longest = open_lists.agg(F.max("members").alias("m")).first()["m"]
         if longest is None:
             break
@@ -294,7 +304,9 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Dat
         head = open_lists.where((F.col("sid") == F.col("first")) | chosen)
         head = head.select("key", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
         fits = (F.least("n", "np") * cfg.den >= F.greatest("n", "np") * cfg.num) & (F.col("label") != F.col("lp"))
-        pairs = open_lists.join(head, "key").where(fits).select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
+        # of two members in different components one at least is outside the list's largest
+        outside = open_lists if pivots == 1 else open_lists.where("label <> main")
+        pairs = outside.join(head, "key").where(fits).select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
         left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         near = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_close(cfg), "a long, b long"), "jaccard-near")

@@ -105,3 +105,17 @@ def test_neighbours(spark):
 def test_tree_of_copies():
     tree = VantageTree(np.ones((500, 4)) / 2, 16, 1)
     assert isinstance(tree.root, np.ndarray)
+
+
+@pytest.mark.parametrize("task_edges", [1_000, 7])
+def test_components(spark, task_edges):
+    from formulaspark.llm.graph import components
+
+    rng = np.random.default_rng(5)
+    ids = rng.integers(-(1 << 60), 1 << 60, 60).tolist()
+    edges = [(ids[i], ids[i + 1]) for i in range(20)] + [(ids[30], ids[j]) for j in range(31, 40)] + [(ids[50], ids[50]), (ids[51], ids[52])]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()}
+    for group in (ids[:21], ids[30:40], ids[51:53]):
+        assert len({got[i] for i in group}) == 1
+    assert len(set(got.values())) == 3 and ids[50] not in got
+    assert components(spark.createDataFrame([], "a long, b long"), task_edges).count() == 0
