@@ -10,8 +10,11 @@ inside it.  Equal strings have their anchor at the same offset, so it is enough
 together suffixes that start at anchors, about one in 35 bytes, each of which stands for
 the run of strings (its *context*) that chose it; contexts part all strings of a text.
 
+0. A first pass counts the different contexts of each gram.  A gram with many (one inside a
+   short line that many documents share) is *hot*.
 1. Tasks cut texts into contexts.  Of equal contexts a task sends on the first; all
-   strings of the others are repeated.
+   strings of the others are repeated.  Contexts of hot grams go on as single strings,
+   each a context of its own whose gram is the string's digest, so they spread over tasks.
 2. Contexts meet by their anchor gram.  Of equal ones again all but the first go; where
    a gram has different contexts, one of each goes on, with its bytes.
 3. These suffixes are range-partitioned by their leading bytes and gram with splitters
@@ -22,7 +25,8 @@ the run of strings (its *context*) that chose it; contexts part all strings of a
    of different grams differ, so no equal strings lie across a boundary.
 4. Documents are joined with what is repeated in them.
 
-Grams and contexts are compared by 64-bit hashes, strings of step 3 byte by byte.
+Grams and contexts are compared by 64-bit hashes, strings of hot grams by 128-bit digests
+(blake2b), strings of step 3 byte by byte.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; rows
 that share a doc_id, or have none, count as documents in the order of doc_id (nulls first)
@@ -134,7 +138,75 @@ def _rows_out(kept, runs):
     yield from _batches([doc * np.int64(0x9E3779B9), zero, doc, low, zero.astype(np.int32), n, np.ones(len(doc), bool)], names)
 
 
-def _cut(length: int, chars: int = 1_000_000, flush: int = 1_000_000):
+def _pieces(batches, length: int, chars: int):
+    """Texts as lists of pieces (document, place of the piece in it, bytes) of about ``chars`` in all."""
+    parts, size = [], 0
+    for doc, text in rows_of(batches, "doc", "text"):
+        raw = text.encode("utf-8", "surrogatepass")
+        # a long text goes in pieces that overlap by one byte less than a string
+        for at in range(0, max(1, len(raw) - length + 1), chars):
+            piece = raw[at : at + chars + length - 1]
+            parts.append((doc, at, piece))
+            size += len(piece)
+            if size >= chars:
+                yield parts
+                parts, size = [], 0
+    if parts:
+        yield parts
+
+
+def _joined(parts):
+    """Bytes of pieces in one array, and where each ends."""
+    return np.frombuffer(b"".join(p[2] for p in parts), np.uint8), np.cumsum([len(p[2]) for p in parts])
+
+
+def _count(length: int, size: int, hot_rows: int, chars: int = 1_000_000, flush: int = 1_000_000):
+    """``gram, n``: different contexts by gram.  A part of the corpus leaves out grams with less than
+    half of its share of ``hot_rows``; so of a gram with ``hot_rows`` half at least is counted."""
+
+    def count(batches):
+        held: list[tuple] = []
+        seen = kept = 0
+
+        def flushed():
+            gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            grams, n = np.unique(gram[np.unique(whole, return_index=True)[1]], return_counts=True)
+            many = n >= hot_rows * seen / size / 2
+            yield from _batches([grams[many].view(np.int64), n[many]], ["gram", "n"])
+
+        for parts in _pieces(batches, length, chars):
+            data, ends = _joined(parts)
+            held.append(contexts(data, ends, length)[4:])
+            seen += len(data)
+            kept += len(held[-1][0])
+            if kept >= flush:
+                yield from flushed()
+                seen = kept = 0
+        if held:
+            yield from flushed()
+
+    return count
+
+
+def hot_grams(docs: DataFrame, length: int, size: int, hot_rows: int) -> np.ndarray:
+    """Grams, sorted, with ``hot_rows`` different contexts or more, and perhaps some with fewer."""
+    least = max(hot_rows, size // GRAM >> 18)  # at most about 2**19 grams are hot
+    if size < least:
+        return np.empty(0, np.int64)
+    counts = docs.select("doc", "text").mapInArrow(_count(length, size, least), "gram long, n long")
+    found = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2).select("gram")
+    return np.sort(np.array([r["gram"] for r in found.collect()], np.int64))
+
+
+def _digests(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digests of the strings at ``at``."""
+    raw = data.tobytes()
+    halves = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in at.tolist()), np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
+def _cut(length: int, hot: np.ndarray, chars: int = 1_000_000, flush: int = 1_000_000):
     def cut(batches):
         held: list[tuple] = []
         count = 0
@@ -148,30 +220,26 @@ def _cut(length: int, chars: int = 1_000_000, flush: int = 1_000_000):
                 yield from _rows_out(*_first_of_equal(*columns))
 
         def add(parts: list[tuple[int, int, bytes]]):
-            """Contexts of pieces: document, place of the piece in it, bytes."""
             nonlocal count
-            data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-            ends = np.cumsum([len(p[2]) for p in parts])
+            data, ends = _joined(parts)
             owner, low, anchor, n, gram, whole = contexts(data, ends, length)
+            gram, whole, off = gram.view(np.int64), whole.view(np.int64), anchor - low
+            many = np.isin(gram, hot)
+            if many.any():
+                each = n[many]
+                at = np.repeat(low[many], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                digest, rest = _digests(data, at, length)
+                owner = np.concatenate([owner[~many], np.repeat(owner[many], each)])
+                low, gram, whole = (np.concatenate(x) for x in ((low[~many], at), (gram[~many], digest), (whole[~many], rest)))
+                off, n = np.concatenate([off[~many], np.zeros(len(at), np.int64)]), np.concatenate([n[~many], np.ones(len(at), np.int64)])
             shift = np.array([p[1] for p in parts]) - np.concatenate([[0], ends[:-1]])
-            held.append((gram.view(np.int64), whole.view(np.int64), np.array([p[0] for p in parts])[owner], low + shift[owner], anchor - low, n))
+            held.append((gram, whole, np.array([p[0] for p in parts])[owner], low + shift[owner], off, n))
             count += len(owner)
 
-        parts, size = [], 0
-        for doc, text in rows_of(batches, "doc", "text"):
-            raw = text.encode("utf-8", "surrogatepass")
-            # a long text goes in pieces that overlap by one byte less than a string
-            for at in range(0, max(1, len(raw) - length + 1), chars):
-                piece = raw[at : at + chars + length - 1]
-                parts.append((doc, at, piece))
-                size += len(piece)
-                if size >= chars:
-                    add(parts)
-                    parts, size = [], 0
-                    if count >= flush:
-                        yield from flushed()
-        if parts:
+        for parts in _pieces(batches, length, chars):
             add(parts)
+            if count >= flush:
+                yield from flushed()
         yield from flushed()
 
     return cut
@@ -226,19 +294,20 @@ def equal_strings(groups: np.ndarray, places: np.ndarray, data: np.ndarray, leng
 
 
 def _compare(length: int, strings: int = 300_000):
+    def parts(batches):
+        """Rows, sorted by gram, in runs of whole grams."""
+        rows, count = [], 0
+        for row in rows_of(batches, "gram", "doc", "low", "n", "bytes"):
+            if count >= strings and row[0] != rows[-1][0]:
+                yield rows
+                rows, count = [], 0
+            rows.append(row)
+            count += row[3]
+        if rows:
+            yield rows
+
     def compare(batches):
-        rows = []
-        for batch in batches:
-            rows += zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "low", "n", "bytes")), strict=True)
-        rows.sort(key=lambda r: r[0])
-        at = 0
-        while at < len(rows):
-            past, count = at, 0
-            while past < len(rows) and (count < strings or rows[past][0] == rows[past - 1][0]):
-                count += rows[past][3]
-                past += 1
-            part = rows[at:past]
-            at = past
+        for part in parts(batches):
             n = np.array([r[3] for r in part])
             sizes = np.array([len(r[4]) for r in part])
             row = np.repeat(np.arange(len(part)), n)
@@ -284,19 +353,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(ordered.withColumn("doc", F.monotonically_increasing_id()), "suffix-numbered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, task_bytes: int = 24_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, task_bytes: int = 24_000_000, hot_rows: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row."""
     if not 2 * GRAM <= length <= 255:
         raise ValueError("length is from 64 to 255")
     docs = numbered(docs)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = max(8, -(-size // task_bytes))
-    rows = docs.select("doc", "text").mapInArrow(_cut(length), _ROWS_KIND).repartition(tasks, "gram").mapInArrow(_meet, _ROWS_KIND)
+    hot = hot_grams(docs, length, size, hot_rows)
+    rows = docs.select("doc", "text").mapInArrow(_cut(length, hot), _ROWS_KIND).repartition(tasks, "gram").mapInArrow(_meet, _ROWS_KIND)
     rows = stored(rows, "suffix-contexts")
     wanted = rows.where("not done").groupBy("doc").agg(F.collect_list(F.struct("gram", "low", "off", "n")).alias("wanted"))
     own = docs.select("doc", "text").join(wanted, "doc")
     suffixes = stored(own.mapInArrow(lambda b: batched(_extract(length)(b), _SUFFIX), _SUFFIX_KIND), "suffix-bytes")
-    compared = suffixes.repartitionByRange(tasks, "lead", "gram").mapInArrow(_compare(length), _RUN_KIND)
+    compared = suffixes.repartitionByRange(tasks, "lead", "gram").sortWithinPartitions("gram").mapInArrow(_compare(length), _RUN_KIND)
     runs = rows.where("done").select("doc", "low", "n").union(compared)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("runs"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

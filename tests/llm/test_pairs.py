@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from formulaspark.llm.common import stored
 from formulaspark.llm.jaccard import JaccardConfig, similar_groups, sketch, sketch_gap, shingles
 from formulaspark.llm.neighbours import TreeConfig, VantageTree, nearest
 from formulaspark.llm.suffixes import remove_repeats
@@ -77,6 +78,21 @@ def test_repeats_of_rows_without_own_id(make_docs):
     assert remove_repeats(make_docs([])).count() == 0
 
 
+def test_repeats_of_a_line_that_many_documents_share(spark, make_docs, monkeypatch):
+    from formulaspark.llm import suffixes
+
+    rng = np.random.default_rng(6)
+    line = "".join(rng.choice(list("abcdefgh"), 120))
+    around = ["".join(x) for x in rng.choice(list("ijklmnop"), (20_000, 60))]
+    docs = [(i, around[2 * i] + line + around[2 * i + 1]) for i in range(10_000)] + [(20_000, around[0] + line + around[3])]
+    kept = {}
+    monkeypatch.setattr(suffixes, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(make_docs(docs)).collect()}
+    assert got == repeats_by_hand(docs, 100)
+    most = max((r["count"] for r in kept["suffix-bytes"].groupBy("gram").count().collect()), default=0)
+    assert most < 5_000  # 10,000 contexts of one gram do not meet in one task
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 1, (600, 16))
