@@ -101,6 +101,37 @@ def test_plans_reach_the_bound():
     assert P.plan_bins({}, 10) == []
 
 
+def test_undominated_fillings():
+    assert list(P.fillings({500: 1, 400: 1, 200: 1, 100: 1}, 600)) == [(0, (500, 100)), (0, (400, 200))]
+    assert list(P.fillings({600: 1, 400: 1, 200: 1}, 600)) == [(0, (600,))]
+
+
+def least_by_hand(sizes, capacity):
+    """Each piece in turn into each different bin, by sets of rooms."""
+    states = {()}
+    for s in sorted(sizes, reverse=True):
+        states = {tuple(sorted((*b[:i], b[i] - s, *b[i + 1 :]))) for b in states for i in range(len(b)) if b[i] >= s} | {tuple(sorted((*b, capacity - s))) for b in states}
+    return min(map(len, states))
+
+
+def test_plans_are_least():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        capacity = int(rng.integers(20, 60))
+        pieces = rng.integers(capacity // 6, capacity * 2 // 3, 9).tolist()
+        histogram = {s: pieces.count(s) for s in pieces}
+        plan = P.plan_bins(histogram, capacity)
+        assert sum(t for t, _ in plan) == least_by_hand(pieces, capacity)
+        used = [m for t, members in plan for m in members * t]
+        assert sorted(used) == sorted(pieces) and all(sum(m) <= capacity for _, m in plan)
+
+
+def test_plans_backtrack():
+    # the first descents take four bins where three do
+    for capacity, pieces in ((51, [24, 22, 21, 18, 18, 13, 13, 9, 8, 6]), (22, [10, 10, 9, 9, 7, 7, 5, 5, 2, 2])):
+        assert sum(t for t, _ in P.plan_bins({s: pieces.count(s) for s in pieces}, capacity)) == least_by_hand(pieces, capacity)
+
+
 def test_archives(spark):
     rows = [(i, f"https://www.example.com/p{i % 4}?b=2&a=1", None if i % 5 == 0 else f"<p>page {i % 7}\r\n\r\nWARC/1.0</p>é") for i in range(30)]
     pages = spark.createDataFrame([*rows, (99, None, "")], "page_id long, url string, html string")
