@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in stages.
 
-Documents without a doc_id cannot be told apart and go in the first stage.
+Rows are told apart by a row_id that the first stage gives them, so that documents without
+a doc_id, or with one that others have too, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -17,43 +18,65 @@ from formulaspark.llm.records import public_tokenizer
 from formulaspark.llm.secrets import redact
 
 #: Columns that every stage but the last hands on.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS = ("row_id", "doc_id", "text", "lang", "source", "n_chars")
 
 
 #: Up to so many ids (eight bytes each) go to every task; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row_id: the doc_id where each row has its own, else the stored place in the
+    order of doc_id (nulls last) and the other columns."""
+    if "row_id" in docs.columns:
+        return docs
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id").cast("long")).select(*COLUMNS)
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *COLUMNS[2:])
+    return stored(ordered.withColumn("row_id", F.monotonically_increasing_id()).select(*COLUMNS), "pipeline-rows")
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """Rows as documents of their own, for operators that know a document by its doc_id."""
+    return docs.select(F.col("row_id").alias("doc_id"), "text")
+
+
 def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` but for those whose doc_id is in ``ids``."""
-    ids = stored(ids.select("doc_id").distinct(), label)
-    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` but for those whose row_id is in ``ids``."""
+    ids = stored(ids.select("row_id").distinct(), label)
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row_id", "left_anti").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the others stay as they are."""
-    docs = docs.where("doc_id is not null")
+    docs = numbered(docs)
     scored = score_quality(docs, read_table(spark, sf_dir, "labels"))
     return without(docs, scored.where("predicted = 0"), "pipeline-rejected")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)
-    stays, that with the smallest doc_id; of rows with that doc_id, one."""
-    groups = similar_groups(docs, JaccardConfig(width=5, num=80, den=100))
-    kept = without(docs, groups.where("doc_id <> component_id"), "pipeline-copies")
+    stays, that with the smallest row_id (so the smallest doc_id); of rows with equal doc_id
+    and text, even a text without words, that with the smallest row_id."""
+    docs = numbered(docs)
+    groups = similar_groups(by_row(docs), JaccardConfig(width=5, num=80, den=100))
+    kept = without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row_id")), "pipeline-copies")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if repeated.isEmpty():
+        return kept
+    return kept.join(docs.groupBy("doc_id", "text").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay as they are."""
-    return without(docs, find_leaks(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-leaks")
+    docs = numbered(docs)
+    leaks = find_leaks(by_row(docs), read_table(spark, sf_dir, "benchmark"))
+    return without(docs, leaks.select(F.col("doc_id").alias("row_id")), "pipeline-leaks")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts become a mark, and n_chars follows."""
-    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return redact(numbered(docs).select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

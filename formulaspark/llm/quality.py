@@ -146,8 +146,13 @@ def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
+def _ids_of(docs: DataFrame) -> list[str]:
+    return [n for n in ("row_id", "doc_id") if n in docs.columns]
+
+
 def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig) -> DataFrame:
-    """``doc_id`` and ``pooled``, little-endian float32 values of the document."""
+    """``doc_id`` (and ``row_id``, if there is one) and ``pooled``, little-endian float32 values of the document."""
+    names = _ids_of(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def pool(batches):
@@ -177,9 +182,10 @@ def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig) -> DataFrame:
                 lengths = [np.linalg.norm(means[:, k : k + dims], axis=1, keepdims=True) for k in (0, 3 * dims)]
                 means = np.hstack([means, *lengths])
                 out += [r.tobytes() for r in means.astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "pooled"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.binary())], [*names, "pooled"])
 
-    return texts_of(docs).mapInArrow(pool, "doc_id long, pooled binary")
+    texts = docs.select(*[F.col(n).cast("long").alias(n) for n in names], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(pool, "".join(f"{n} long, " for n in names) + "pooled binary")
 
 
 @dataclass
@@ -248,7 +254,8 @@ def remainder() -> F.Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``, and its ``row_id`` first if it has one."""
+    names = _ids_of(docs)
     vectors = context_vectors(docs, cfg)
     features = stored(pooled(docs, vectors, cfg), "quality-pooled")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -265,10 +272,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = Quali
         for batch in batches:
             raw = b"".join(batch.column("pooled").to_pylist())
             found = net.scores(np.frombuffer(raw, np.float32).reshape(-1, width).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, pa.float64())], [*names, "score"])
 
-    scored = features.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", (F.coalesce(remainder(), F.lit(1)) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    scored = features.mapInArrow(score, "".join(f"{n} long, " for n in names) + "score double")
+    return scored.select(*names, (F.coalesce(remainder(), F.lit(1)) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

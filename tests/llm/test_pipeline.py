@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -23,3 +24,45 @@ def test_stages_take_effect(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(before)
+
+
+def rows_of(docs):
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+
+
+def test_rows_are_judged_by_themselves(spark, make_docs, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    item, base = text(12) + ". " + text(6) + ".", text(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, text(30)), (None, text(30)), (None, "junk " + text(9)), (None, ""), (None, "")]
+    rows += [(1, "junk " + text(9)), (1, text(40)), (1, text(40)), (2, base), (2, base), (2, text(50)), (3, base + " more"), (None, base)]
+    rows += [(4, text(80) + " " + item), (4, text(80)), (None, text(80) + " " + item), (5, ""), (5, ""), (6, None), (7, "")]
+    scored = []
+
+    def judge(docs, labels):
+        scored.append(docs)
+        every = corpus_pipeline_score(docs, labels)
+        return every.drop("predicted").join(docs.selectExpr("row_id", "case when text like 'junk%' then 0 else 1 end as predicted"), "row_id")
+
+    corpus_pipeline_score = corpus_pipeline.score_quality
+    monkeypatch.setattr(corpus_pipeline, "score_quality", judge)
+    docs = stored(corpus_pipeline.keep_quality(spark, make_docs(rows), str(tmp_path)), "test-rows")
+    want = [(i, t) for i, t in rows if not (t or "").startswith("junk")]
+    assert rows_of(docs) == sorted(want, key=repr) and len({r.row_id for r in docs.collect()}) == len(want)
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    order, kept = sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), []
+    for i, t in order:  # no chains of near copies in this table
+        s = shingles(t)
+        copy = any(5 * len(s & shingles(u)) >= 4 * len(s | shingles(u)) for _, u in kept) if s else (i, t) in kept
+        if not copy:
+            kept.append((i, t))
+    docs = stored(corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)), "test-rows")
+    assert rows_of(docs) == sorted(kept, key=repr)
+    docs = stored(corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)), "test-rows")
+    assert rows_of(docs) == sorted(((i, t) for i, t in kept if item not in (t or "")), key=repr)
