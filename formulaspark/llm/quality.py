@@ -50,12 +50,13 @@ _SHAPE = {**{c: "a" for c in range(97, 123)}, **{c: "A" for c in range(65, 91)},
 def _shape(word: str) -> str:
     if word.isalpha():
         return "s:a" if word.islower() else "s:A" if word.isupper() else "s:Aa"
-    flat = "".join(c if ord(c) < 128 else "A" if c.isupper() else "a" for c in word[:256].translate(_SHAPE))
-    out = "s:"
+    flat = "".join(c if ord(c) < 128 else "A" if c.isupper() else "a" for c in word.translate(_SHAPE))
+    # runs of letters and digits become one, runs of other signs two; as a list, for a word may be very long
+    out = ["s", ":"]
     for c in flat:
-        if out[-1] != c or out[-2:] != c + c and c not in "aA0":
-            out += c
-    return out
+        if out[-1] != c or out[-2] != c and c not in "aA0":
+            out.append(c)
+    return "".join(out)
 
 
 def _word_cache(cfg: QualityConfig) -> WordCache:

@@ -103,3 +103,8 @@ def test_quality(spark, make_docs):
     none = Q.score_quality(make_docs(docs), labels.where("false")).collect()
     assert {r.score for r in none} == {0.5}
     assert Q.score_quality(make_docs([]), labels).count() == 0
+
+
+def test_shape_is_of_the_whole_word():
+    assert Q._shape("a1" * 200 + "+Z") == "s:" + "a0" * 200 + "+A"
+    assert Q._shape("x" * 300 + "==Q") == "s:a==A" and Q._shape("::a") == "s::a"
