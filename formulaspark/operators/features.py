@@ -85,12 +85,29 @@ def grid_density(pixels: DataFrame, side: int) -> DataFrame:
     return pixels.groupBy("image_id", cell.alias("cell")).agg((F.count_if(F.col("v") > 0) / F.count("*")).alias("density"))
 
 
-def projections(pixels: DataFrame) -> DataFrame:
-    """``image_id, axis, mean, std`` of the counts of rows and columns over their maximum."""
+def _profiles(pixels: DataFrame) -> DataFrame:
+    """``image_id, axis, k, s``: counts of rows and columns over their maximum."""
     both = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("y").alias("k")), F.struct(F.lit("column").alias("axis"), F.col("x").alias("k"))))
     p = pixels.select("image_id", "v", both.alias("p")).groupBy("image_id", "p.axis", "p.k").agg(F.count_if(F.col("v") > 0).alias("n"))
     share = F.col("n") / F.greatest(F.max("n").over(Window.partitionBy("image_id", "axis")), F.lit(1))
-    return p.withColumn("s", share).groupBy("image_id", "axis").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"))
+    return p.withColumn("s", share)
+
+
+def projection_samples(pixels: DataFrame, samples: int = 8) -> DataFrame:
+    """``image_id, axis, samples``: values of the profile at evenly spread places, between two positions by linear interpolation."""
+    p = _profiles(pixels).groupBy("image_id", "axis").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("all"))
+    value = lambda at: F.get(F.col("all.s"), at.cast("int"))
+
+    def sample(i: Column) -> Column:
+        at = i * (F.size("all") - 1) / (samples - 1)
+        return value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * (at - F.floor(at))
+
+    return p.select("image_id", "axis", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), sample).alias("samples"))
+
+
+def projections(pixels: DataFrame) -> DataFrame:
+    """``image_id, axis, mean, std`` of the counts of rows and columns over their maximum."""
+    return _profiles(pixels).groupBy("image_id", "axis").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"))
 
 
 def feature_vectors(pixels: DataFrame, side: int) -> DataFrame:
@@ -105,8 +122,10 @@ def feature_vectors(pixels: DataFrame, side: int) -> DataFrame:
     hu = hu_moments(pixels).select("image_id", F.array(*[f"hu{i}" for i in range(1, 8)]).alias("u"))
     d = pivot(grid_density(pixels, side), "cell", "density", "d")
     p = projections(pixels).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("axis", "mean", "std"))), lambda s: F.array(s["mean"], s["std"]))).alias("p"))
+    rows, columns = (F.max(F.when(F.col("axis") == a, F.col("samples"))) for a in ("row", "column"))
+    s = projection_samples(pixels).groupBy("image_id").agg(F.concat(rows, columns).alias("s"))
     out = g
-    for part in (c, hu, h, d, p):
+    for part in (c, hu, h, d, s, p):
         out = out.join(part, "image_id", "left")
     zeros = F.array_repeat(F.lit(0.0), 7)
-    return out.select("image_id", F.concat("g", "c", F.coalesce("u", zeros), cells, "d", "p").cast("array<float>").alias("features"))
+    return out.select("image_id", F.concat("g", "c", F.coalesce("u", zeros), cells, "d", "s", "p").cast("array<float>").alias("features"))

@@ -85,3 +85,16 @@ def test_training_images(spark, tmp_path):
     assert sorted(r.label for r in images.collect()) == ["mathbb{N}", "x"]
     assert tuple(S.load_summary(images).first()) == (2, 2)
     assert (picture(P.to_pixels(images.where("label = 'x'")), images.where("label = 'x'").first()["image_id"]) == a).all()
+
+
+def test_vectors_hold_samples_of_profiles(spark):
+    from formulaspark.operators import features as V
+
+    v = np.random.default_rng(4).integers(0, 2, (12, 12)) * 200
+    table = spark.createDataFrame([(1, y, x, int(v[y, x])) for y in range(12) for x in range(12)], "image_id long, y int, x int, v int")
+    got = V.feature_vectors(table, 12).first()["features"]
+    want = []
+    for axis in (1, 0):
+        profile = (v > 0).sum(axis) / (v > 0).sum(axis).max()
+        want += np.interp(np.linspace(0, 11, 8), np.arange(12), profile).tolist()
+    assert len(got) == 85 and np.allclose(got[-20:-4], want, atol=1e-6)
