@@ -418,9 +418,9 @@ def resolved_labels(spark, d):
 
 @query("random_forest")
 def random_forest(spark, d):
-    """Held-out labels by a forest of 20 trees."""
+    """Held-out labels by a forest of the operator's size."""
     v = M.stratified_split(_vectors(spark, d)).withColumn("label", F.col("label").cast("string"))
-    model = M.fit_classifier(v.where("not is_test"), "random_forest", trees=20, depth=8)
+    model = M.fit_classifier(v.where("not is_test"), "random_forest")
     return M.predict(model, v.where("is_test")).select("id", F.col("label").alias("y"), "pred", F.round("prob", 6).alias("prob"))
 
 

@@ -81,3 +81,19 @@ def test_report_counts(spark):
     rows = M.classification_report(spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1)], "y int, pred int")).orderBy("label").collect()
     assert [(r.label, r.support) for r in rows] == [(0, 2), (1, 1), (2, 1)]
     assert rows[1].precision == round(1 / 3, 6) and rows[2].f1 == 0
+
+
+def test_registered_forest_has_the_operator_s_size(monkeypatch):
+    from formulaspark.plans import queries_symbols as Q
+
+    class Frame:
+        withColumn = where = select = lambda self, *_: self
+
+    given = {}
+    monkeypatch.setattr(Q, "_vectors", lambda *_: Frame())
+    monkeypatch.setattr(Q.M, "stratified_split", lambda v: v)
+    monkeypatch.setattr(Q.M, "fit_classifier", lambda train, kind, **sizes: given.update(sizes))
+    monkeypatch.setattr(Q.M, "predict", lambda *_: Frame())
+    monkeypatch.setattr(Q, "F", __import__("unittest.mock").mock.MagicMock())
+    Q.random_forest(None, None)
+    assert given == {}
