@@ -103,13 +103,15 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def text_runs(texts: list[str], chars: int = 500_000):
-    """Slices of ``texts`` with about ``chars`` characters each: start and texts."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+def text_runs(column, chars: int = 500_000):
+    """Runs of a column of texts with about ``chars`` characters each: start and texts."""
+    start, held, size = 0, [], 0
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).to_pylist():
+            held.append(text)
+            size += len(text)
+            if size >= chars:
+                yield start, held
+                start, held, size = start + len(held), [], 0
+    if held:
+        yield start, held

@@ -203,7 +203,7 @@ def _scan(shared, cfg: LeakConfig):
         searched: dict[tuple[int, ...], list[tuple[int, float]]] = {}
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for start, texts in text_runs(batch.column("text").to_pylist()):
+            for start, texts in text_runs(batch.column("text")):
                 words = [words_of(t) for t in texts]
                 lengths = [len(w) for w in words]
                 terms = np.fromiter((known[w] for own in words for w in own), np.int64, sum(lengths))

@@ -11,13 +11,14 @@ last, similar sets share a shingle among the first ``n - ceil(num n / den) + 1``
 The boundary is the size at which listing subsets starts to cost more rows than
 reading lists, by the corpus' own sizes and list lengths.
 
-Lists are never expanded to all pairs.  In rounds, each list's members are compared
-with a few pivots (one, then 32 times as many each round, at last all of them), and
-only while they lie in different components and outside the list's largest one; so a
-list of copies takes about as many comparisons as members, and a list of unlike sets is
-read in full.  A pair must pass
-two exact bounds (sizes, and a 64-bin count sketch) before its sets are fetched and
-compared in full.  Shingles and classes are 64-bit hashes.
+Lists are never expanded to all pairs.  A pair leaves a list only if its sizes and the
+places of the shingle in both sets allow the similarity, and if links found so far do not
+connect it.  In the first round each member meets one pivot of its list: the set whose lists
+are the longest in all, as the common original of many copies is, so that one comparison a
+member links most of them.  Later rounds take 32 times as many pivots, at last all members,
+and only compare members outside the part of a list that is connected already.  Each pair is
+then compared in full.  Shingles and classes are 64-bit hashes.  The order of rounds, and
+whether a small table of checked size is broadcast, change no result.
 
 Defined results: a null text is empty; documents without shingles are alone; repeated
 rows share a class; a null doc_id has a null component and takes part in no link;
@@ -37,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import text_runs
-from .common import WordCache, hash64, read_table, stored, texts_of
+from .common import read_table, stored, texts_of
 from .graph import components
+from .hashing import mixed, word_sets
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class JaccardConfig:
     width: int = 3
     num: int = 90
     den: int = 100
-    counters: int = 1 << 17
+    counters: int = 1 << 20
     most_light: int = 24
     broadcast_rows: int = 500_000
 
@@ -69,50 +71,17 @@ class JaccardConfig:
         return sum(comb(n, self.shared(s, m)) for s, m in self.classes(n))
 
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _B
-    return (h ^ (h >> np.uint64(29))) * _A
-
-
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``width`` words; of all of them, if there are fewer."""
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    h = np.full(len(words) - width + 1, width, np.uint64)
-    for j in range(width):
-        h = mixed(h * _B + words[j : len(words) - width + 1 + j])
-    return np.unique(h)
-
-
-def word_sets(texts: list[str], cache: WordCache, width: int):
-    """The shingle set of each text; A-Z count as a-z, words end at ASCII white space."""
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        yield shingles(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), width)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def set_id(h: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(mixed(h + _A))) ^ int(h.sum(dtype=np.uint64)) * 3 & (1 << 64) - 1
+    return int(np.bitwise_xor.reduce(mixed(h + _SALT))) ^ int(h.sum(dtype=np.uint64)) * 3 & (1 << 64) - 1
 
 
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def sketch(h: np.ndarray) -> bytes:
-    return np.bincount((h >> np.uint64(7) & np.uint64(63)).astype(np.int64), minlength=64).astype(np.uint8).tobytes()
-
-
-def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the size of the symmetric difference; counts are modulo 256."""
-    d = a - b
-    return np.minimum(d, 0 - d).astype(np.int64).sum(1)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows, for wide rows."""
@@ -134,7 +103,6 @@ def _statistics(docs: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, dict[i
     mask = np.uint64(cfg.counters - 1)
 
     def count(batches):
-        cache = WordCache(lambda w: hash64(w))
         total, sizes, held, n_held = np.zeros(cfg.counters, np.int64), np.zeros(cfg.most_light + 1, np.int64), [], 0
 
         def flush():
@@ -144,8 +112,8 @@ def _statistics(docs: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, dict[i
             held.clear()
 
         for batch in batches:
-            for _, texts in text_runs(batch.column("text").to_pylist()):
-                for h in word_sets(texts, cache, cfg.width):
+            for _, texts in text_runs(batch.column("text")):
+                for h in word_sets(texts, cfg.width):
                     if len(h) <= cfg.most_light:
                         sizes[len(h)] += 1
                     held.append(h)
@@ -183,7 +151,8 @@ def light_boundary(cfg: JaccardConfig, sizes: dict[int, int], counters: np.ndarr
     return best
 
 
-def _keys(h: np.ndarray, cfg: JaccardConfig, counters: np.ndarray, boundary: int) -> np.ndarray:
+def _subsets(h: np.ndarray, cfg: JaccardConfig, boundary: int) -> np.ndarray:
+    """Hashes of the subsets of a light set, each with the size of the smaller set that it is for."""
     n, out = len(h), []
     if 0 < n <= boundary:
         whole = h.sum(dtype=np.uint64)
@@ -193,41 +162,65 @@ def _keys(h: np.ndarray, cfg: JaccardConfig, counters: np.ndarray, boundary: int
             gone = n - cfg.shared(s, m)
             dropped = np.array([sum(int(x) for x in c) & (1 << 64) - 1 for c in combinations(h, gone)], np.uint64)
             out.append(mixed(whole - dropped + np.uint64(s * 1009 + m)))
-    if n >= max(1, cfg.least(boundary + 1)):
-        often = counters[(h & np.uint64(cfg.counters - 1)).astype(np.int64)]
-        out.append(h[np.lexsort((h, often))[: cfg.prefix(n)]])
     return np.unique(np.concatenate(out)) if out else h[:0]
 
 
+def _prefix(h: np.ndarray, cfg: JaccardConfig, counters: np.ndarray, boundary: int) -> np.ndarray:
+    """The shingles of a set that can meet a heavy one, in the global order."""
+    n = len(h)
+    if n < max(1, cfg.least(boundary + 1)):
+        return h[:0]
+    often = counters[(h & np.uint64(cfg.counters - 1)).astype(np.int64)]
+    return h[np.argsort(often, kind="stable")[: cfg.prefix(n)]]
+
+
 def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, boundary: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int64))
+    """``doc_id, n, sid, light, keys``; of rows with one set a task gives the first its keys, of which
+    the first ``light`` are subsets and the others the prefix in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int32))
 
     def describe(batches):
-        cache = WordCache(lambda w: hash64(w))
+        seen: set[int] = set()
         for batch in batches:
-            for start, texts in text_runs(batch.column("text").to_pylist()):
-                n, ids, sketches, keys = [], [], [], []
-                for h in word_sets(texts, cache, cfg.width):
+            for start, texts in text_runs(batch.column("text")):
+                n, ids, light, keys = [], [], [], []
+                for h in word_sets(texts, cfg.width):
+                    sid = signed(set_id(h)) if len(h) else 0
+                    few = _subsets(h, cfg, boundary) if sid not in seen else h[:0]
+                    own = np.concatenate([few, _prefix(h, cfg, shared.value, boundary)]) if sid not in seen else few
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(sid)
                     n.append(len(h))
-                    ids.append(signed(set_id(h)) if len(h) else 0)
-                    sketches.append(sketch(h))
-                    keys.append(_keys(h, cfg, shared.value, boundary).view(np.int64))
+                    ids.append(sid)
+                    light.append(len(few))
+                    keys.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "sid", "sketch", "keys"],
+                    [batch.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(light, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "sid", "light", "keys"],
                 )
 
-    return stored(texts_of(docs).mapInArrow(describe, "doc_id long, n long, sid long, sketch binary, keys array<long>"), "jaccard-sets")
+    return stored(texts_of(docs).mapInArrow(describe, "doc_id long, n int, sid long, light int, keys array<long>"), "jaccard-sets")
+
+
+def _lists(named: DataFrame) -> DataFrame:
+    """``key, sid, n, pos, members, pop`` of lists with two sets at least; ``pos`` is a shingle's place
+    in its set's prefix (below 0 for subsets), ``pop`` the sum of the lengths of a set's lists."""
+    keys = named.select("sid", "n", "light", F.posexplode("keys").alias("at", "key")).select("key", "sid", "n", (F.col("at") - F.col("light")).alias("pos"))
+    met = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
+    lists = stored(keys.join(met, "key").distinct(), "jaccard-met")
+    members = lists.groupBy("key").agg(F.count("*").alias("members"))
+    pop = lists.join(members, "key").groupBy("sid").agg(F.sum("members").alias("pop"))
+    return stored(lists.join(members, "key").join(pop, "sid"), "jaccard-lists")
 
 
 def _sets(docs: DataFrame, need: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """``sid, body`` for the classes of ``need`` (``sid, doc``): the sorted hashes as bytes."""
 
     def rebuild(batches):
-        cache = WordCache(lambda w: hash64(w))
         for batch in batches:
-            for start, texts in text_runs(batch.column("text").to_pylist()):
-                sets = list(word_sets(texts, cache, cfg.width))
+            for start, texts in text_runs(batch.column("text")):
+                sets = list(word_sets(texts, cfg.width))
                 ids = [signed(set_id(h)) if len(h) else 0 for h in sets]
                 wanted = batch.column("sid").slice(start, len(texts)).to_pylist()
                 kept = [(i, h.tobytes()) for i, w, h in zip(ids, wanted, sets, strict=True) if i == w]
@@ -240,20 +233,6 @@ def _sets(docs: DataFrame, need: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return texts_of(docs).join(few, "doc_id").select("sid", "text").mapInArrow(rebuild, "sid long, body binary").dropDuplicates(["sid"])
 
 
-def _close(cfg: JaccardConfig):
-    """Keeps pairs whose sketches allow the similarity."""
-
-    def keep(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("sa", "sb"))
-            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            # similar sets differ in at most (den - num) / (den + num) of their summed sizes
-            ok = sketch_gap(a, b) * (cfg.den + cfg.num) <= (cfg.den - cfg.num) * sizes
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return keep
-
-
 def _similar(cfg: JaccardConfig):
     def keep(batches):
         for batch in batches:
@@ -267,49 +246,44 @@ def _similar(cfg: JaccardConfig):
     return keep
 
 
-def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: the smallest doc_id that links reach."""
+def _candidates(open_lists: DataFrame, pivots: int, cfg: JaccardConfig) -> DataFrame:
+    """Pairs ``a, b`` of members and pivots of one list that may be similar: one pivot, the set with the
+    longest lists, or about ``pivots`` chosen by hash, or all members if there are no more."""
+    head = ["key", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("label").alias("lp")]
+    if pivots == 1:
+        first = open_lists.groupBy("key").agg(F.max(F.struct("pop", "sid", "n", "pos", "label")).alias("hub"))
+        chosen, outside = first.select("key", "hub.*").select(*head), open_lists
+    else:
+        share = F.pmod(F.xxhash64("sid", F.lit(pivots)), F.lit(1 << 20)) * F.col("members")
+        # of two members in different components one at least is outside the list's main one
+        chosen, outside = open_lists.where(share < F.lit(pivots << 20)).select(*head), open_lists.where("label <> main")
+    both = F.col("n") + F.col("np")
+    fits = (F.least("n", "np") * cfg.den >= F.greatest("n", "np") * cfg.num) & (F.col("label") != F.col("lp"))
+    # of two prefixes' first common shingle: no more than what follows in both can be common too
+    rest = F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp"))
+    fits &= (F.col("pos") < 0) | (rest * (cfg.num + cfg.den) >= both * cfg.num)
+    return outside.join(chosen, "key").where(fits).select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, lists: DataFrame, classes: DataFrame, cfg: JaccardConfig) -> DataFrame | None:
+    """``node, label`` of the sets that links connect, None without any."""
     spark = docs.sparkSession
-    counters, sizes = _statistics(docs, cfg)
-    boundary = light_boundary(cfg, sizes, counters)
-    described = _described(docs, cfg, counters, boundary)
-    named = described.where("n > 0 and doc_id is not null")
-    keys = named.select("sid", "n", F.explode("keys").alias("key"))
-    met = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
-    lists = stored(keys.join(met, "key").distinct(), "jaccard-lists")
-    involved = lists.select("sid").distinct()
-    classes = named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.min(F.struct("n", "sketch")).alias("s"))
-    classes = stored(classes.join(involved, "sid", "left_semi").select("sid", "doc", "s.n", "s.sketch"), "jaccard-classes")
-    links, labels, sets, pivots = None, None, None, 1
-    open_lists = lists
-    while True:
-        active = open_lists.select("sid", "n", "key")
-        if labels is None:
-            active = active.withColumns({"label": F.col("sid"), "size": F.lit(1)})
-        else:
-            sizes_of = labels.groupBy("label").agg(F.count("*").alias("size"))
-            known = labels.join(sizes_of, "label").select(F.col("node").alias("sid"), "label", "size")
-            active = active.join(known, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "size": F.coalesce("size", F.lit(1))})
-        heads = active.groupBy("key").agg(
-            F.count("*").alias("members"), F.min("sid").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("main")
-        )
+    links, labels, sets, pivots, rows = None, None, None, 1, lists.count()
+    while rows:
+        named = lists.withColumn("label", F.col("sid"))
+        if labels is not None:
+            named = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         # a list is done when its members are connected, or when the last round compared all of them
-        tested = {1: 1, 32: 2}.get(pivots, pivots // 32)
-        heads = heads.where((F.col("low") != F.col("high")) & (F.col("members") > tested)).select("key", "members", "first", F.col("main.label").alias("main"))
-        open_lists = stored(active.drop("size").join(heads, "key"), "jaccard-open")
-        longest = open_lists.agg(F.max("members").alias("m")).first()["m"]
-        if longest is None:
+        tested = 2 if pivots == 32 else pivots // 32
+        each = named.where(F.col("members") > tested).groupBy("key", "label").agg(F.count("*").alias("own"))
+        heads = each.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("own", "label")).alias("top")).where("labels > 1")
+        open_lists = stored(named.join(heads.select("key", F.col("top.label").alias("main")), "key"), "jaccard-open")
+        sums = open_lists.agg(F.max("members").alias("longest"), F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))).alias("pairs")).first()
+        if sums["longest"] is None:
             break
-        chosen = F.pmod(F.xxhash64("sid", F.lit(pivots)), F.lit(1 << 20)) * F.col("members") < F.lit((pivots << 20) if pivots > 1 else 0)
-        head = open_lists.where((F.col("sid") == F.col("first")) | chosen)
-        head = head.select("key", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"))
-        fits = (F.least("n", "np") * cfg.den >= F.greatest("n", "np") * cfg.num) & (F.col("label") != F.col("lp"))
-        # of two members in different components one at least is outside the list's largest
-        outside = open_lists if pivots == 1 else open_lists.where("label <> main")
-        pairs = outside.join(head, "key").where(fits).select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
-        left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_close(cfg), "a long, b long"), "jaccard-near")
+        if pivots > 1 and sums["pairs"] <= 8 * rows:
+            pivots = max(pivots, sums["longest"])
+        near = stored(_candidates(open_lists, pivots, cfg), "jaccard-near")
         need = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         if sets is not None:
             need = need.join(sets.select("sid"), "sid", "left_anti")
@@ -325,18 +299,32 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Dat
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 labels = components(links)
-        if pivots >= longest:
+        if pivots >= sums["longest"]:
             break
         pivots *= 32
-    ids = described.select("doc_id", "n", "sid")
+    return labels
+
+
+def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: the smallest doc_id that links reach."""
+    counters, sizes = _statistics(docs, cfg)
+    boundary = light_boundary(cfg, sizes, counters)
+    described = _described(docs, cfg, counters, boundary)
+    named = described.where("n > 0 and doc_id is not null")
+    lists = _lists(named)
+    classes = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("docs")), "jaccard-classes")
+    labels = _links(docs, lists, classes, cfg)
+    least = classes.where("docs > 1").select("sid", F.col("doc").alias("least"))
     if labels is not None:
-        ids = ids.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    else:
-        ids = ids.withColumn("label", F.col("sid"))
-    least = ids.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return ids.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    )
+        linked = stored(labels.withColumnRenamed("node", "sid").join(classes, "sid"), "jaccard-linked")
+        first = linked.groupBy("label").agg(F.min("doc").alias("least"))
+        if first.count() <= cfg.broadcast_rows:  # two longs a row
+            first = F.broadcast(first)
+        alone = least.join(linked.select("sid"), "sid", "left_anti")
+        least = linked.join(first, "label").select("sid", "least").union(alone)
+    ids = described.select("doc_id", "n", "sid").join(least, "sid", "left")
+    known = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
+    return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), known.alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

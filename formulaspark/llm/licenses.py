@@ -151,7 +151,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
         scanner = Scanner(templates, coverage)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for start, texts in text_runs(batch.column("text").to_pylist()):
+            for start, texts in text_runs(batch.column("text")):
                 words = [words_of(t) for t in texts]
                 lengths = [len(w) for w in words]
                 ids = np.fromiter((scanner.known[w] for own in words for w in own), np.int64, sum(lengths))

@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            for at, texts in text_runs(batch.column("text").to_pylist()):
+            for at, texts in text_runs(batch.column("text")):
                 for row, doc_id, raw in zip(rows[at:], ids[at:], coder.encode(texts), strict=False):
                     raw += end
                     n = len(raw) // 4

@@ -99,7 +99,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, splitters: list[int]
         end, edges = np.array([end_id], "<u4").tobytes(), np.array(splitters, np.int64)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for start, texts in text_runs(batch.column("text").to_pylist()):
+            for start, texts in text_runs(batch.column("text")):
                 own = ids[start : start + len(texts)]
                 raw = [np.frombuffer(e + end, "<u4").astype(kind).tobytes() for e in coder.encode(texts)]
                 bucket = [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in own]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from formulaspark.llm.common import stored
-from formulaspark.llm.jaccard import JaccardConfig, similar_groups, sketch, sketch_gap, shingles
+from formulaspark.llm.hashing import word_hashes, word_sets
+from formulaspark.llm.jaccard import JaccardConfig, similar_groups
 from formulaspark.llm.neighbours import TreeConfig, VantageTree, nearest
 from formulaspark.llm.suffixes import remove_repeats
 
@@ -41,13 +42,53 @@ def test_groups_of_empty_table(make_docs):
     assert similar_groups(make_docs([])).count() == 0
 
 
-def test_sketch_is_a_lower_bound():
-    rng = np.random.default_rng(1)
-    for n in (5, 300, 40_000):
-        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
-        gap = sketch_gap(np.frombuffer(sketch(a), np.uint8)[None], np.frombuffer(sketch(b), np.uint8)[None])[0]
-        assert gap <= len(np.setxor1d(a, b))
-    assert len(shingles(np.arange(2).astype(np.uint64), 3)) == 1
+@pytest.mark.parametrize("texts", [["a B c", "", "  \n", "A b C", "x", "x" * 300 + " y", "x" * 301 + " y", "éà ÉÀ éà", "1234567 12345678 123456789 1234567"]])
+def test_word_hashes(texts):
+    h, counts = word_hashes(texts)
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert counts.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(dict(zip(words, h.tolist()))) == len(set(h.tolist())) and len(h) == len(words)
+    for width in (1, 3):
+        for t, own in zip(texts, word_sets(texts, width)):
+            w = t.encode().lower().split()
+            assert len(own) == (len({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}) if w else 0)
+
+
+def star(n: int, changes: int) -> list[tuple[int, str]]:
+    """An original of 200 words, with the largest id, and copies with ``changes`` words of their own."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.choice(np.arange(5, 195), changes, replace=False):
+            own[at] = f"c{i}.{at}"
+        out.append((i, " ".join(own)))
+    return [*out, (n, " ".join(base))]
+
+
+@pytest.mark.parametrize("changes, linked", [(3, True), (12, False)])
+def test_a_large_group_of_near_copies_takes_few_comparisons(spark, make_docs, monkeypatch, changes, linked):
+    """Copies that are like the original alone are found through it, one comparison each; without
+    links between them, no pair is left out."""
+    from formulaspark.llm import jaccard
+
+    rows, kept = star(120, changes), []
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: kept.append((label, out := stored(df, label))) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(make_docs(rows)).collect()}
+    assert got == groups_by_hand(rows, 3, 90, 100)
+    assert len({c for _, c in got.values()}) == (1 if linked else 121)
+    near = sum(df.count() for label, df in kept if label == "jaccard-near")
+    assert near <= 250 if linked else near <= 121 * 120 / 2
+
+
+def test_groups_with_null_and_repeated_ids_and_clashing_columns(spark):
+    text = "one two three four five"
+    rows = [(None, text, 1, 2), (7, text, 3, 4), (7, "other words of this text", 5, 6), (9, text + " ", 7, 8), (8, None, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid long, keys long")
+    got = sorted(map(str, similar_groups(docs).collect()))
+    want = [(None, 3, None), (7, 3, 7), (7, 3, 7), (9, 3, 7), (8, 0, 8)]
+    assert got == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
 
 
 def repeats_by_hand(rows, length):
