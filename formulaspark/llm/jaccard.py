@@ -13,7 +13,7 @@ reading lists, by the corpus' own sizes and list lengths.
 
 Lists are never expanded to all pairs.  A pair leaves a list only if its sizes and the
 places of the shingle in both sets allow the similarity, and if links found so far do not
-connect it.  In the first round each member meets one pivot of its list: the set whose lists
+connect it; then a sketch of 64 counts excludes most pairs that are unlike.  In the first round each member meets one pivot of its list: the set whose lists
 are the longest in all, as the common original of many copies is, so that one comparison a
 member links most of them.  Later rounds take 32 times as many pivots, at last all members,
 and only compare members outside the part of a list that is connected already.  Each pair is
@@ -82,6 +82,16 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def sketch(h: np.ndarray) -> bytes:
+    return np.bincount((h >> np.uint64(7) & np.uint64(63)).astype(np.int64), minlength=64).astype(np.uint8).tobytes()
+
+
+def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the size of the symmetric difference; counts are modulo 256."""
+    d = a - b
+    return np.minimum(d, 0 - d).astype(np.int64).sum(1)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows, for wide rows."""
@@ -175,7 +185,7 @@ def _prefix(h: np.ndarray, cfg: JaccardConfig, counters: np.ndarray, boundary: i
 
 
 def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, boundary: int) -> DataFrame:
-    """``doc_id, n, sid, light, keys``; of rows with one set a task gives the first its keys, of which
+    """``doc_id, n, sid, light, keys, sketch``; of rows with one set a task gives the first its keys, of which
     the first ``light`` are subsets and the others the prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int32))
 
@@ -183,7 +193,7 @@ def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, bounda
         seen: set[int] = set()
         for batch in batches:
             for start, texts in text_runs(batch.column("text")):
-                n, ids, light, keys = [], [], [], []
+                n, ids, light, keys, sketches = [], [], [], [], []
                 for h in word_sets(texts, cfg.width):
                     sid = signed(set_id(h)) if len(h) else 0
                     few = _subsets(h, cfg, boundary) if sid not in seen else h[:0]
@@ -195,12 +205,13 @@ def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, bounda
                     ids.append(sid)
                     light.append(len(few))
                     keys.append(own.view(np.int64))
+                    sketches.append(sketch(h))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(light, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "sid", "light", "keys"],
+                    [batch.column("doc_id").slice(start, len(texts)), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(light, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n", "sid", "light", "keys", "sketch"],
                 )
 
-    return stored(texts_of(docs).mapInArrow(describe, "doc_id long, n int, sid long, light int, keys array<long>"), "jaccard-sets")
+    return stored(texts_of(docs).mapInArrow(describe, "doc_id long, n int, sid long, light int, keys array<long>, sketch binary"), "jaccard-sets")
 
 
 def _lists(named: DataFrame) -> DataFrame:
@@ -233,6 +244,20 @@ def _sets(docs: DataFrame, need: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return texts_of(docs).join(few, "doc_id").select("sid", "text").mapInArrow(rebuild, "sid long, body binary").dropDuplicates(["sid"])
 
 
+def _close(cfg: JaccardConfig):
+    """Keeps pairs whose sketches allow the similarity."""
+
+    def keep(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("sa", "sb"))
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            # similar sets differ in at most (den - num) / (den + num) of their summed sizes
+            ok = sketch_gap(a, b) * (cfg.den + cfg.num) <= (cfg.den - cfg.num) * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return keep
+
+
 def _similar(cfg: JaccardConfig):
     def keep(batches):
         for batch in batches:
@@ -283,16 +308,18 @@ def _links(docs: DataFrame, lists: DataFrame, classes: DataFrame, cfg: JaccardCo
             break
         if pivots > 1 and sums["pairs"] <= 8 * rows:
             pivots = max(pivots, sums["longest"])
-        near = stored(_candidates(open_lists, pivots, cfg), "jaccard-near")
-        need = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        if sets is not None:
-            need = need.join(sets.select("sid"), "sid", "left_anti")
-        need = stored(classes.join(need, "sid", "left_semi").select("sid", "doc"), "jaccard-need")
-        if not need.isEmpty():
-            with arrow_rows(spark, 500):
-                more = stored(_sets(docs, need, cfg), "jaccard-bodies")
-            sets = more if sets is None else sets.union(more)
-        if sets is not None:
+        left, right = (classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        pairs = _candidates(open_lists, pivots, cfg).join(left, "a").join(right, "b")
+        near = stored(pairs.mapInArrow(_close(cfg), "a long, b long"), "jaccard-near")
+        if not near.isEmpty():
+            need = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+            if sets is not None:
+                need = need.join(sets.select("sid"), "sid", "left_anti")
+            need = stored(classes.join(need, "sid", "left_semi").select("sid", "doc"), "jaccard-need")
+            if not need.isEmpty():
+                with arrow_rows(spark, 500):
+                    more = stored(_sets(docs, need, cfg), "jaccard-bodies")
+                sets = more if sets is None else sets.union(more)
             bodies = near.join(sets.select(F.col("sid").alias("a"), F.col("body").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("body").alias("xb")), "b")
             with arrow_rows(spark, 64):
                 found = stored(bodies.mapInArrow(_similar(cfg), "a long, b long"), "jaccard-links")
@@ -312,11 +339,11 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Dat
     described = _described(docs, cfg, counters, boundary)
     named = described.where("n > 0 and doc_id is not null")
     lists = _lists(named)
-    classes = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("docs")), "jaccard-classes")
+    classes = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("docs"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
     labels = _links(docs, lists, classes, cfg)
     least = classes.where("docs > 1").select("sid", F.col("doc").alias("least"))
     if labels is not None:
-        linked = stored(labels.withColumnRenamed("node", "sid").join(classes, "sid"), "jaccard-linked")
+        linked = stored(labels.withColumnRenamed("node", "sid").join(classes.select("sid", "doc"), "sid"), "jaccard-linked")
         first = linked.groupBy("label").agg(F.min("doc").alias("least"))
         if first.count() <= cfg.broadcast_rows:  # two longs a row
             first = F.broadcast(first)

@@ -7,7 +7,7 @@ import pytest
 
 from formulaspark.llm.common import stored
 from formulaspark.llm.hashing import word_hashes, word_sets
-from formulaspark.llm.jaccard import JaccardConfig, similar_groups
+from formulaspark.llm.jaccard import JaccardConfig, similar_groups, sketch, sketch_gap
 from formulaspark.llm.neighbours import TreeConfig, VantageTree, nearest
 from formulaspark.llm.suffixes import remove_repeats
 
@@ -91,6 +91,14 @@ def test_groups_with_null_and_repeated_ids_and_clashing_columns(spark):
     assert got == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c})" for a, b, c in want)
 
 
+def test_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    for n in (5, 300, 40_000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        gap = sketch_gap(np.frombuffer(sketch(a), np.uint8)[None], np.frombuffer(sketch(b), np.uint8)[None])[0]
+        assert gap <= len(np.setxor1d(a, b))
+
+
 def repeats_by_hand(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
