@@ -6,7 +6,7 @@ crosses such a place, so the ids of a text are those of its chunks in order.  Ch
 met before come from a cache of bounded size.  A new chunk that is one Latin
 word, perhaps with signs after it, goes to the tokenizer's model directly, with
 the letters that its own byte-level step gives; any other new chunk goes through
-the whole tokenizer.
+the whole tokenizer, as do whole texts if the tokenizer is of another kind than these.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # such strings in a text are ordinary text
         self.limit, self.longest = limit, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -80,6 +79,8 @@ class ChunkEncoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.lead is None:  # a tokenizer of another kind: nothing is known of where it may be cut
+            return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch(texts, add_special_tokens=False)]
         split = [self.chunks(t) for t in texts]
         seen = set()
         for parts in split:

@@ -17,6 +17,9 @@ The index is broadcast in shards of at most ``shard_chars`` characters of benchm
 text; a larger benchmark takes several passes over the documents.  Document
 frequencies count all shards, so results do not depend on their number.
 
+Items under ``short`` words are too short to be told from ordinary language within other
+text: they are no entries, and leak where a document consists of their words alone.
+
 Defined results: null and empty texts have no passages, items without words no
 entries; equal items each give a row; repeated documents give a row each; empty
 tables give no rows.  Only ``doc_id`` and ``text``, ``item_id`` and ``text`` are read.
@@ -44,6 +47,7 @@ class LeakConfig:
     threshold: float = 0.6
     overlap: float = 0.5
     gram: int = 3
+    short: int = 8
     k1: float = 1.2
     b: float = 0.75
     block: int = 4
@@ -74,20 +78,20 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 def overlap(part: list[str], seen: list[str], n: int) -> float:
-    """Share of the n-grams of ``part`` that ``seen`` has too; 1 if there are none."""
+    """Share of the n-grams of ``part`` that ``seen`` has too; items that are searched have some in both parts."""
     own = grams(part, n)
     n = min(n, len(part))
-    return len(own & {tuple(seen[i : i + n]) for i in range(len(seen) - n + 1)}) / len(own) if own else 1.0
+    return len(own & {tuple(seen[i : i + n]) for i in range(len(seen) - n + 1)}) / len(own) if own else 0.0
 
 
 class Index:
     """Postings by term, in entry order, in blocks with their greatest impact."""
 
-    def __init__(self, entries: list[tuple[int, int, list[str]]], texts: dict[int, str], df: dict[str, int], n: int, mean: float, cfg: LeakConfig):
+    def __init__(self, entries: list[tuple[int, int, list[str]]], texts: dict[int, str], items: dict[int, int], df: dict[str, int], n: int, mean: float, cfg: LeakConfig):
         # entries with the same common words stand together, which keeps block bounds low
         common = [w for w, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:16]]
         entries = sorted(entries, key=lambda e: ([w in e[2] for w in common], e[1]))
-        self.entries, self.texts, self.cfg = entries, texts, cfg
+        self.entries, self.texts, self.items, self.cfg = entries, texts, items, cfg
         self.term: dict[str, int] = {}
         self.lists: list[list[tuple[int, float]]] = []
         for at, (_, _, words) in enumerate(entries):
@@ -108,6 +112,10 @@ class Index:
         for t, postings in enumerate(self.lists):
             for at, x in postings:
                 self.bounds[t, at // wide] = max(self.bounds[t, at // wide], x)
+        self.whole: dict[tuple[str, ...], list[int]] = {}
+        for key, text in texts.items():
+            if 0 < len(words := words_of(text)) < cfg.short:
+                self.whole.setdefault(tuple(words), []).append(key)
         self.blocks = [[(p[i : i + cfg.block][-1][0], max(x for _, x in p[i : i + cfg.block])) for i in range(0, len(p), cfg.block)] for p in self.lists]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -228,6 +236,10 @@ def _scan(shared, cfg: LeakConfig):
                         q, s = overlap(question, around, cfg.gram), overlap(answer, around, cfg.gram)
                         if q >= cfg.overlap and s >= cfg.overlap and ((d, key) not in best or score > best[d, key][4]):
                             best[d, key] = (ids[start + d], item, a, b - a, score, q, s)
+                for d, own in enumerate(words):
+                    if 0 < len(own) < cfg.short:
+                        for key in index.whole.get(tuple(own), ()):
+                            best[d, key] = (ids[start + d], index.items[key], 0, len(own), 1.0, 1.0, 1.0)
                 yield from best.values()
 
     return scan
@@ -240,7 +252,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
     def cut(batches):
         for item, key, text in rows_of(batches, "item_id", "key", "text"):
             words = words_of(text)
-            for at in range(0, len(words), cfg.entry_words):
+            for at in range(0, len(words) if len(words) >= cfg.short else 0, cfg.entry_words):
                 yield item, key, words[at : at + cfg.entry_words]
 
     kept = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -256,8 +268,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
         own = entries.where(mine).collect()  # at most about shard_chars characters
         used = entries.where(mine).select(F.explode("words").alias("word")).distinct()
         df = {r["word"]: r["df"] for r in frequency.join(used, "word", "left_semi").collect()}
-        texts = {r["key"]: r["text"] for r in kept.where(mine).collect()}
-        index = Index([(r["item_id"], r["key"], r["words"]) for r in own], texts, df, total["n"], total["mean"] or 1.0, cfg)
+        held = kept.where(mine).collect()
+        texts, names = {r["key"]: r["text"] for r in held}, {r["key"]: r["item_id"] for r in held}
+        index = Index([(r["item_id"], r["key"], r["words"]) for r in own], texts, names, df, total["n"], total["mean"] or 1.0, cfg)
         scan = _scan(spark.sparkContext.broadcast(index), cfg)
         leaks = texts_of(docs).mapInArrow(lambda b, scan=scan: batched(scan(b), _LEAKS), _KIND)
         found = leaks if found is None else found.union(leaks)

@@ -5,13 +5,15 @@ access keys of 18 or more and hexadecimal runs of 16 or more.  The method adds s
 of kind ``markov``: runs of ``shortest`` or more token characters, apart from base spans
 and not inside a longer word, whose log-likelihood under a model of random strings
 exceeds that under a model of ordinary identifiers by ``evidence`` nats in all and
-``per_char`` a character.  Both are first-order Markov models over ASCII, trained on the
-whole corpus: the samples labelled random are the secret values of base spans, those
-labelled ordinary are other runs of ``shortest_sample`` or more token characters, but for
-those that have digits and could be spans themselves.
+``per_char`` a character.  Both are first-order Markov models over ASCII, trained on labelled
+samples from the whole corpus (``samples``).  Labelled random are the secret values of base
+spans and, for each document, a string drawn from one of four alphabets.  Labelled ordinary
+are other runs of ``shortest_sample`` or more token characters and, for each document, an
+identifier with digits that is composed of such runs as programs name things: snake, camel
+or kebab case, or a path.  Runs that have digits and could be spans themselves carry no label.
 Tasks send on their transition counts, at most (alphabet squared) rows; random strings
 start from a prior of ``prior`` uniform transitions between letters and digits, so that
-a corpus without secrets still has a model.
+a corpus without documents still has a model.
 
 Places are code points, ends are exclusive.  Defined results: null and empty texts
 have no spans; repeated rows give a row each; an empty table gives no rows.  Only
@@ -20,8 +22,10 @@ have no spans; repeated rows give a row each; an empty table gives no rows.  Onl
 
 from __future__ import annotations
 
+import random
 import re
 import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,6 +88,35 @@ def _codes(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"\0" + b"\0".join(strings) + b"\0", np.uint8).astype(np.int64)
 
 
+#: What random strings consist of: base 62, 64 for URLs, 32 and upper-case hexadecimal.
+ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_uppercase + "234567", "0123456789ABCDEF")
+
+
+def random_string(seed: int) -> str:
+    draw = random.Random(seed)
+    return "".join(draw.choices(ALPHABETS[seed & 3], k=draw.randint(20, 64)))
+
+
+def composed(runs: list[bytes], seed: int) -> str:
+    """An identifier of three of the runs, with a count, a date or a version."""
+    a, b, c = (runs[(seed >> k) % len(runs)].decode().strip("+/_=-").lower() for k in (0, 7, 13))
+    n = seed >> 5 & 0xFFFF
+    forms = (f"{a}_{b}_{n}", f"{a}{b.title()}{c.title()}{n % 100}", f"{a}-{b}-{1970 + n % 80}-{n % 12 + 1:02}-{n % 28 + 1:02}", f"/{a}/{b}/v{n % 10}/{c}{n % 1000}")
+    return forms[seed >> 3 & 3]
+
+
+def samples(text: str, raw: bytes, cfg: SecretConfig) -> tuple[list[bytes], list[bytes]]:
+    """The ordinary and the random samples of a text."""
+    seed, spans, drawn = zlib.crc32(raw), base_spans(text, raw), []
+    if spans:
+        drawn = [(_ASSIGN.match(text, s)[2] if k == 0 else text[s:e]).encode() for s, k, e in spans]
+        raw = covered(text, spans, " ").encode("utf-8", "surrogatepass")
+    runs = free_runs(raw, cfg.shortest_sample)
+    plain = [w for w in runs if not _DIGIT.search(w)]
+    usual = [w for w in runs if len(w) < cfg.shortest or not _DIGIT.search(w)]
+    return [*usual, composed(plain, seed).encode()] if plain else usual, [*drawn, random_string(seed).encode()]
+
+
 def transition_counts(docs: DataFrame, cfg: SecretConfig) -> dict[int, np.ndarray]:
     """Transitions of ordinary (0) and random (1) strings over the whole corpus."""
 
@@ -101,13 +134,10 @@ def transition_counts(docs: DataFrame, cfg: SecretConfig) -> dict[int, np.ndarra
                         strings.clear()
 
             for text in batch.column("text").to_pylist():
-                raw = text.encode("utf-8", "surrogatepass")
-                spans = base_spans(text, raw)
-                if spans:
-                    values = (_ASSIGN.match(text, s)[2] if k == 0 else text[s:e] for s, k, e in spans)
-                    held[1].extend(v.encode() for v in values)
-                    raw = covered(text, spans, " ").encode("utf-8", "surrogatepass")
-                held[0].extend(w for w in free_runs(raw, cfg.shortest_sample) if len(w) < cfg.shortest or not _DIGIT.search(w))
+                if text:
+                    ordinary, drawn = samples(text, text.encode("utf-8", "surrogatepass"), cfg)
+                    held[0].extend(ordinary)
+                    held[1].extend(drawn)
                 n += len(text)
                 if n > 1_000_000:
                     flush()

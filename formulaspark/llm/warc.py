@@ -13,7 +13,7 @@ share of all runs with a loser tree.  ``bucket`` and ``place`` give the global o
 which a URL's captures follow each other by time.  The full key takes part in the range,
 so that one URL with very many captures spreads over tasks.
 
-Defined results: null html is an empty payload; a null url has an empty key; a null
+Defined results: times outside the years 1 to 9999 count as the nearer end; null html is an empty payload; a null url has an empty key; a null
 page_id sorts first and refers to the smallest known one of its payload, if there is
 one, else it is a response; rows that repeat the smallest page_id are all responses;
 empty tables give no rows.  Only ``page_id``, ``url``, ``html`` and, if named, the time
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import batched, read_table, rows_of, shared_dir, stored
 from .records import file_system
 
-#: The time of page 0 where pages bring none; page n counts as n seconds later.
-EPOCH = 1_704_067_200
+#: The time of page 0 where pages bring none; page n counts as n seconds later, modulo a century.
+EPOCH, CENTURY = 1_704_067_200, 3_155_760_000
+#: The first and last second of the years 1 to 9999; other times count as the nearer of them.
+FIRST, LAST = -62_135_596_800, 253_402_300_799
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -63,7 +65,7 @@ def url_key(url: str) -> str:
 
 
 def stamp(seconds: int) -> str:
-    return datetime.fromtimestamp(seconds, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return datetime.fromtimestamp(seconds, timezone.utc).isoformat(timespec="seconds").replace("+00:00", "Z")
 
 
 def record(page_id, url: str, time: int, payload: bytes, digest: str, refers_to) -> bytes:
@@ -119,11 +121,11 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
 
 def write_archives(pages: DataFrame, path: str, time: str | None = None, least: int = 0, file_bytes: int = 64_000_000) -> DataFrame:
     """Writes the archives; the manifest has their ``path`` and ``n_records``."""
-    when = F.unix_timestamp(time) if time else F.coalesce(F.col("page_id").cast("long"), F.lit(0)) + EPOCH
+    when = F.unix_timestamp(time) if time else F.pmod(F.col("page_id").cast("long"), F.lit(CENTURY)) + EPOCH
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
-        F.coalesce(when, F.lit(EPOCH)).alias("time"),
+        F.least(F.greatest(F.coalesce(when, F.lit(EPOCH)), F.lit(FIRST)), F.lit(LAST)).alias("time"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
     # only digests that occur again need the join's right side

@@ -14,14 +14,13 @@ from formulaspark.llm import warc as W
 from formulaspark.llm.codec import ChunkEncoder
 from formulaspark.llm.common import shared_dir
 
-ODD = ["", " ", "  a", "a  b", "a \n b", "x<|endoftext|>y z <|endoftext|>", "it's don't 'll   x​ b", "日本 語 a b", "á b é", "ẞ İ A ſ K ", "a.\nB c", "a\n\nb", "Foo$$$ x!!\ny_ _z a_b", "x\r\ny z", "word " * 300]
+ODD = ["", " ", "  a", "a  b", "a \n b", "x<|endoftext|>y z <|endoftext|>", "it's don't 'll   x​ b", "日本 語 a b", "á b é", "ẞ İ A ſ K ", "a.\nB c", "a\n\nb", "Foo$$$ x!!\ny_ _z a_b", "x\r\ny z", "word " * 300, "a <|startoftext|>b <|endoftext|> c<|ENDOFTEXT|> <|endoftext", "word<|endoftext|>\nx <|endoftext|><|endoftext|>", "a" * 5000 + " b"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_give_the_library_s_ids(name, prose):
     path = R.public_tokenizer(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [*ODD, *(t or "" for _, t in prose)]
     want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     coder = ChunkEncoder(path, limit=20)
@@ -150,6 +149,16 @@ def test_archives(spark):
     assert W.merged_index(W.capture_runs(W.write_archives(pages.where("false"), shared_dir(spark, "test-warc")))).count() == 0
 
 
+def test_archives_of_any_page_id(spark):
+    ids = [10**12, -(10**12), (1 << 63) - 1, -(1 << 63), 0, None, None, 7, 7]
+    pages = spark.createDataFrame([(i, "http://a.b/", "same", 1, "x") for i in ids], "page_id long, url string, html string, time long, digest string")
+    index = W.merged_index(W.capture_runs(W.write_archives(pages, shared_dir(spark, "test-warc")))).collect()
+    assert sorted(map(str, ids)) == sorted(str(r.page_id) for r in index)
+    assert sorted({r.refers_to for r in index if r.record_type == "revisit"}) == [-(1 << 63)]
+    assert [r.page_id for r in index if r.record_type == "response"] == [-(1 << 63)]
+    assert W.stamp(W.FIRST) == "0001-01-01T00:00:00Z" and W.stamp(W.LAST) == "9999-12-31T23:59:59Z"
+
+
 def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in (0, 1, 2, 5, 8):

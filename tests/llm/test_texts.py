@@ -1,6 +1,8 @@
 """Decontamination, secrets, licenses and quality on small texts."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,12 +30,21 @@ def test_leaks(spark, make_docs):
     assert D.find_leaks(make_docs([]), bench).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta"
+    items = [(1, "the"), (2, "The end"), (3, words), (4, "the"), (5, "!!")]
+    docs = [(10, "the cat and the dog", 1, "x"), (11, "THE!", 1, "x"), (12, "the end", 1, "x"), (13, "so " + words + " so", 1, "x"), (None, "the", 1, "x"), (14, "!!", 1, "x"), (11, "the", 1, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id long, words string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (0, 4), (11, 1), (11, 1), (11, 4), (11, 4), (12, 2), (13, 3)]
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(60)]
     entries = [(i, i, rng.choices(vocabulary, k=rng.randint(3, 20))) for i in range(100)]
     df = {w: sum(w in e[2] for e in entries) for w in vocabulary}
-    index = D.Index(entries, {}, df, 100, 11.0, D.LeakConfig(threshold=0.35))
+    index = D.Index(entries, {}, {}, df, 100, 11.0, D.LeakConfig(threshold=0.35))
     for _ in range(200):
         terms = sorted({index.term[w] for w in rng.choices(vocabulary, k=25) if w in index.term})
         want = {}
@@ -68,6 +79,44 @@ def test_markov_spans(spark, make_docs):
     assert S.find_secrets(make_docs([])).count() == 0
 
 
+def test_markov_models_on_samples_that_they_did_not_see(spark, make_docs):
+    """Recall of drawn strings without a keyword, and false alarms on identifiers with digits, of words held out."""
+    rng = random.Random(9)
+    part = ["con", "fig", "ura", "tion", "ser", "vice", "man", "age", "ment", "da", "ta", "base", "re", "quest", "hand", "ler", "user", "ac", "count", "set", "tings", "in", "ter", "face"]
+    word = lambda: "".join(rng.choices(part, k=rng.randint(3, 4)))
+    docs = [(i, " ".join(word() for _ in range(80))) for i in range(300)]
+    ratios = S.log_ratios(S.transition_counts(make_docs(docs), S.SecretConfig()), S.SecretConfig())
+    found = lambda x: any(k == 3 for _, k, _ in S.all_spans(f"see {x} there", ratios, S.SecretConfig())[1])
+    secrets = [S.random_string(10**10 + i) for i in range(400)]
+    names = [n for i in range(400) if len(n := S.composed([word().encode() for _ in range(40)], rng.getrandbits(32))) >= 20]
+    assert sum(map(found, secrets)) / len(secrets) > 0.95
+    assert len(names) > 300 and sum(map(found, names)) / len(names) < 0.01
+
+
+def base_by_hand(text):
+    kinds = ((r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("AKIA[A-Z0-9]+", 18), ("[0-9a-f]+", 16))
+    out = []
+    for name, (pattern, least) in zip(S.KINDS, kinds):
+        for m in re.finditer(pattern, text, re.IGNORECASE if name == "assign" else 0):
+            if len(m[2] if name == "assign" else m[0]) >= least and (name != "assign" or m[2].isascii()):
+                out.append((m.start(), S.KINDS.index(name), m.end()))
+    return sorted(out)
+
+
+def test_query_of_secrets_against_brute_force(spark, make_docs, prose, tmp_path):
+    rng = random.Random(12)
+    bits = ["token", "=", ":", '"', " ", "AKIA", "ABCDEFGH01234567", "deadbeef", "0123456789", "Secret", "API_key", "apikey", "x", "é", "passwd", "Zz9+/_.=-", "\n"]
+    rows = [*prose, *((5000 + i, "".join(rng.choices(bits, k=40))) for i in range(300)), (None, TEXT), (7000, TEXT), (7000, TEXT)]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in S.op2_secrets(spark, str(tmp_path)).collect()]
+    want = []
+    for i, t in rows:
+        spans = base_by_hand(t or "")
+        kinds = [k for _, k, _ in spans]
+        want.append((i, *(kinds.count(k) for k in range(3)), hashlib.sha256(S.joined(spans).encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_licenses(spark, make_docs):
     docs = [(i, f"some text here\n{t}\nmore text") for i, t in enumerate(L.TEMPLATES.values())]
     docs += [(50, "Released under the MIT License. words Released under the MIT License."), (51, None), (52, ""), (53, "the license of the work is under a version")]
