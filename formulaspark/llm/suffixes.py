@@ -10,23 +10,22 @@ inside it.  Equal strings have their anchor at the same offset, so it is enough
 together suffixes that start at anchors, about one in 35 bytes, each of which stands for
 the run of strings (its *context*) that chose it; contexts part all strings of a text.
 
-0. A first pass counts the different contexts of each gram.  A gram with many (one inside a
-   short line that many documents share) is *hot*.
-1. Tasks cut texts into contexts.  Of equal contexts a task sends on the first; all
-   strings of the others are repeated.  Contexts of hot grams go on as single strings,
-   each a context of its own whose gram is the string's digest, so they spread over tasks.
-2. Contexts meet by their anchor gram.  Of equal ones again all but the first go; where
-   a gram has different contexts, one of each goes on, with its bytes.
-3. These suffixes are range-partitioned by their leading bytes and gram with splitters
-   that Spark samples; equal leading grams stay together.  Each bucket sorts the strings
-   of its suffixes by multikey quicksort, eight bytes at a time, where only ties go on to
-   the next eight, and neighbours that stay tied to the end are equal.  A bucket's last
-   gram is below the next one's first, because the gram is part of the range key; strings
-   of different grams differ, so no equal strings lie across a boundary.
+0. A first pass samples suffixes for splitters, pairs of a suffix's leading eight bytes and
+   the hash of its leading 32 (the *gram*), and counts the different contexts of each gram.  A
+   gram with many (one inside a short line that many documents share) is *hot*.
+1. Tasks cut texts into contexts.  Contexts of hot grams go on as single strings, each a context
+   of its own with the hash of the whole string for its gram, so that they spread over buckets.
+   Each task sorts its contexts by multikey quicksort, eight bytes at a time, where only ties go
+   on to the next eight; what stays tied to the end is equal.  Of equal contexts the first goes
+   on; all strings of the others are repeated.
+2. The splitters deal suffixes to buckets; those whose gram occurs once go no further.
+3. The others go to their buckets with their bytes.  A bucket again sorts contexts, and then the
+   strings of grams that have different ones, by multikey quicksort, in runs of whole grams.  As
+   the gram is part of the splitters, a bucket's last suffix and the next one's first differ in
+   their leading 32 bytes: no equal strings lie across a boundary.
 4. Documents are joined with what is repeated in them.
 
-Grams and contexts are compared by 64-bit hashes, strings of hot grams by 128-bit digests
-(blake2b), strings of step 3 byte by byte.
+Grams only say what may be equal; equality is of all bytes.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; rows
 that share a doc_id, or have none, count as documents in the order of doc_id (nulls first)
@@ -39,6 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +69,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, ends: np.ndarray, length: int):
-    """``owner, low, anchor, n, gram, context`` of the texts that end at ``ends`` in ``data``.
+    """``owner, low, anchor, n, gram`` of the texts that end at ``ends`` in ``data``.
 
     A context is the strings from ``low`` on, ``n`` in number; its bytes end at
     ``low + n - 1 + length``.  Places are in ``data``.
     """
     if len(data) < length:
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     h = gram_hashes(data)
     low_bits = np.uint64((1 << _PLACE) - 1)
     least = sliding_min((h & ~low_bits) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
@@ -85,16 +85,11 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int):
     start = np.arange(valid.sum()) - np.repeat(np.cumsum(valid) - valid, valid) + np.repeat(begins, valid)
     anchor = (least[start] & low_bits).astype(np.int64)
     if not len(start):
-        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     n = np.diff(np.append(first, len(start)))
     low, anchor, owner = start[first], anchor[first], owner[first]
-    size = n - 1 + length
-    whole = (n * 256 + anchor - low).astype(np.uint64) * _ODD[0]
-    for j in range(-(-2 * length // GRAM)):
-        at = np.minimum(GRAM * j, size - GRAM)
-        whole = (whole ^ (whole >> np.uint64(31))) * _ODD[1] + h[low + at]
-    return owner, low, anchor, n, h[anchor], whole ^ (whole >> np.uint64(32))
+    return owner, low, anchor, n, h[anchor]
 
 
 def merged_runs(doc: np.ndarray, low: np.ndarray, n: np.ndarray):
@@ -111,8 +106,8 @@ def merged_runs(doc: np.ndarray, low: np.ndarray, n: np.ndarray):
     return doc[first], low[first], (reach - lift)[last] - low[first]
 
 
-_ROWS = [("gram", "int64"), ("context", "int64"), ("doc", "int64"), ("low", "int64"), ("off", "int32"), ("n", "int64"), ("done", "bool")]
-_ROWS_KIND = "gram long, context long, doc long, low long, off int, n long, done boolean"
+_ROWS = ["bucket", "gram", "doc", "low", "off", "n", "done"]
+_ROWS_KIND = "bucket int, gram long, doc long, low long, off int, n long, done boolean"
 _RUN_KIND = "doc long, low long, n long"
 
 
@@ -121,21 +116,57 @@ def _batches(columns: list[np.ndarray], names, size: int = 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + size]) for c in columns], names)
 
 
-def _first_of_equal(gram, context, doc, low, off, n):
-    """Sorted rows: those first of their context, and the merged runs of all others."""
-    order = np.lexsort((low, doc, context, gram))
-    gram, context, doc, low, off, n = (c[order] for c in (gram, context, doc, low, off, n))
-    first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]) if len(gram) else np.empty(0, bool)
-    return [c[first] for c in (gram, context, doc, low, off, n)], merged_runs(doc[~first], low[~first], n[~first])
+def _rows_out(bucket, gram, doc, low, off, n):
+    yield from _batches([bucket.astype(np.int32), gram, doc, low, off.astype(np.int32), n, np.zeros(len(gram), bool)], _ROWS)
 
 
-def _rows_out(kept, runs):
-    """Both kinds of rows in one table; finished runs are dealt by document."""
-    names = [name for name, _ in _ROWS]
-    yield from _batches([*kept[:4], kept[4].astype(np.int32), kept[5], np.zeros(len(kept[0]), bool)], names)
-    doc, low, n = runs
+def _runs_out(doc, low, n, tasks: int):
+    """Finished runs in the same table, dealt by document."""
     zero = np.zeros(len(doc), np.int64)
-    yield from _batches([doc * np.int64(0x9E3779B9), zero, doc, low, zero.astype(np.int32), n, np.ones(len(doc), bool)], names)
+    yield from _batches([(doc % tasks).astype(np.int32), zero, doc, low, zero.astype(np.int32), n, np.ones(len(doc), bool)], _ROWS)
+
+
+def leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers in the order of the bytes."""
+    eights = np.ndarray(len(data) - 7, ">u8", data.tobytes(), strides=(1,))
+    return (eights[at].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def bucket_of(splitters: np.ndarray, lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How many of the sorted pairs of ``splitters`` are at most each (lead, gram)."""
+    first, past = (np.searchsorted(splitters[:, 0], lead, side) for side in ("left", "right"))
+    out = past.copy()
+    for i in np.unique(first[first < past]).tolist():
+        rows = np.flatnonzero((first == i) & (past > i))
+        own = splitters[i : past[rows[0]], 1]
+        out[rows] = i + np.searchsorted(own, gram[rows], "right")
+    return out
+
+
+def equal_strings(groups: np.ndarray, places: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+    """Classes of equal strings of ``sizes`` at ``places`` of ``data``, within each group: multikey
+    quicksort by eight-byte characters, where only ties are sorted further.  Gives the
+    indices of strings in classes of two or more, and their classes."""
+    eights = np.ndarray(max(0, len(data) - 7), ">u8", data.tobytes(), strides=(1,))
+    active, char = np.arange(len(places)), sizes.astype(np.uint64)
+    cls, at = groups, -8
+    while len(active):
+        order = np.lexsort((char, cls))
+        active, cls, char = active[order], cls[order], char[order]
+        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (char[1:] != char[:-1])])
+        cls = np.cumsum(new)
+        tied = np.bincount(cls)[cls] > 1
+        active, cls, at = active[tied], cls[tied], at + 8
+        if not len(active) or at >= sizes[active].max():
+            break
+        char = eights[places[active] + np.minimum(at, sizes[active] - 8)].astype(np.uint64)
+    return active, cls
+
+
+def later_of_equal(found: np.ndarray, cls: np.ndarray, doc: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The indices ``found`` without the first, by ``doc`` and ``low``, of each class."""
+    order = np.lexsort((low[found], doc[found], cls))
+    return found[order[np.flatnonzero(cls[order][1:] == cls[order][:-1]) + 1]]
 
 
 def _pieces(batches, length: int, chars: int):
@@ -160,26 +191,35 @@ def _joined(parts):
     return np.frombuffer(b"".join(p[2] for p in parts), np.uint8), np.cumsum([len(p[2]) for p in parts])
 
 
-def _count(length: int, size: int, hot_rows: int, chars: int = 1_000_000, flush: int = 1_000_000):
-    """``gram, n``: different contexts by gram.  A part of the corpus leaves out grams with less than
-    half of its share of ``hot_rows``; so of a gram with ``hot_rows`` half at least is counted."""
+def _count(length: int, size: int, hot_rows: int, keep: int, chars: int = 1_000_000, flush: int = 1_000_000):
+    """``gram, lead, n``: different contexts by gram, and with ``n`` 0 a sample of suffixes.
+
+    A part of the corpus leaves out grams with less than half of its share of ``hot_rows``; so
+    of a gram with ``hot_rows`` half at least is counted.  Contexts count as different if their
+    first or last eight bytes are.
+    """
 
     def count(batches):
         held: list[tuple] = []
         seen = kept = 0
 
         def flushed():
-            gram, whole = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, mark, lead = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
+            whole = (gram ^ (mark.view(np.uint64) * _ODD[1])) * _ODD[3]
             grams, n = np.unique(gram[np.unique(whole, return_index=True)[1]], return_counts=True)
             many = n >= hot_rows * seen / size / 2
-            yield from _batches([grams[many].view(np.int64), n[many]], ["gram", "n"])
+            yield from _batches([grams[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many]], ["gram", "lead", "n"])
+            some = np.argsort(gram * _ODD[2])[: max(1, keep * seen // size)]
+            yield from _batches([gram[some].view(np.int64), lead[some], np.zeros(len(some), np.int64)], ["gram", "lead", "n"])
 
         for parts in _pieces(batches, length, chars):
             data, ends = _joined(parts)
-            held.append(contexts(data, ends, length)[4:])
+            _, low, anchor, n, gram = contexts(data, ends, length)
+            if len(gram):
+                held.append((gram, leads(data, low) * np.int64(31) + leads(data, low + n + length - 9) + n * 977, leads(data, anchor)))
             seen += len(data)
-            kept += len(held[-1][0])
+            kept += len(gram)
             if kept >= flush:
                 yield from flushed()
                 seen = kept = 0
@@ -189,52 +229,57 @@ def _count(length: int, size: int, hot_rows: int, chars: int = 1_000_000, flush:
     return count
 
 
-def hot_grams(docs: DataFrame, length: int, size: int, hot_rows: int) -> np.ndarray:
-    """Grams, sorted, with ``hot_rows`` different contexts or more, and perhaps some with fewer."""
+def sampled(docs: DataFrame, length: int, size: int, hot_rows: int, tasks: int, each: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Hot grams, sorted: those with ``hot_rows`` different contexts or more, and perhaps some with
+    fewer; and ``tasks - 1`` splitters from a sample of about ``each`` suffixes a bucket."""
     least = max(hot_rows, size // GRAM >> 18)  # at most about 2**19 grams are hot
-    if size < least:
-        return np.empty(0, np.int64)
-    counts = docs.select("doc", "text").mapInArrow(_count(length, size, least), "gram long, n long")
-    found = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2).select("gram")
-    return np.sort(np.array([r["gram"] for r in found.collect()], np.int64))
-
+    counts = stored(docs.select("doc", "text").mapInArrow(_count(length, max(size, 1), least, each * tasks), "gram long, lead long, n long"), "suffix-sample")
+    found = counts.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2).select("gram")
+    hot = np.sort(np.array([r["gram"] for r in found.collect()], np.int64))
+    some = counts.where("n = 0").orderBy(F.xxhash64("gram", "lead")).limit(each * tasks).select("lead", "gram").collect()
+    pairs = np.array(sorted((r["lead"], r["gram"]) for r in some), np.int64).reshape(-1, 2)
+    return hot, pairs[[len(pairs) * i // tasks for i in range(1, tasks)]] if len(pairs) else pairs
 
-def _digests(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both halves of the digests of the strings at ``at``."""
-    raw = data.tobytes()
-    halves = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in at.tolist()), np.int64).reshape(-1, 2)
-    return halves[:, 0], halves[:, 1]
 
-
-def _cut(length: int, hot: np.ndarray, chars: int = 1_000_000, flush: int = 1_000_000):
+def _cut(length: int, hot: np.ndarray, splitters: np.ndarray, tasks: int, chars: int = 1_000_000, flush: int = 1_000_000):
     def cut(batches):
         held: list[tuple] = []
-        count = 0
+        raw: list[np.ndarray] = []
+        count = base = 0
 
         def flushed():
-            nonlocal count
+            nonlocal count, base
             if held:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                lead, gram, doc, low, off, n, place = (np.concatenate(c) for c in zip(*held, strict=True))
+                found, cls = equal_strings(np.unique(gram, return_inverse=True)[1] * 256 + off, place, n - 1 + length, np.concatenate(raw))
                 held.clear()
-                count = 0
-                yield from _rows_out(*_first_of_equal(*columns))
+                raw.clear()
+                count = base = 0
+                again = np.zeros(len(gram), bool)
+                again[later_of_equal(found, cls, doc, low)] = True
+                own = ~again
+                yield from _rows_out(bucket_of(splitters, lead[own], gram[own]), gram[own], doc[own], low[own], off[own], n[own])
+                yield from _runs_out(*merged_runs(doc[again], low[again], n[again]), tasks)
 
         def add(parts: list[tuple[int, int, bytes]]):
-            nonlocal count
+            nonlocal count, base
             data, ends = _joined(parts)
-            owner, low, anchor, n, gram, whole = contexts(data, ends, length)
-            gram, whole, off = gram.view(np.int64), whole.view(np.int64), anchor - low
+            owner, low, anchor, n, gram = contexts(data, ends, length)
+            gram, off = gram.view(np.int64), anchor - low
             many = np.isin(gram, hot)
             if many.any():
                 each = n[many]
                 at = np.repeat(low[many], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                digest, rest = _digests(data, at, length)
+                bytes_ = data.tobytes()
+                whole = np.array([xxhash.xxh3_64_intdigest(bytes_[i : i + length]) for i in at.tolist()], np.uint64).view(np.int64)
                 owner = np.concatenate([owner[~many], np.repeat(owner[many], each)])
-                low, gram, whole = (np.concatenate(x) for x in ((low[~many], at), (gram[~many], digest), (whole[~many], rest)))
+                low, gram = np.concatenate([low[~many], at]), np.concatenate([gram[~many], whole])
                 off, n = np.concatenate([off[~many], np.zeros(len(at), np.int64)]), np.concatenate([n[~many], np.ones(len(at), np.int64)])
-            shift = np.array([p[1] for p in parts]) - np.concatenate([[0], ends[:-1]])
-            held.append((gram, whole, np.array([p[0] for p in parts])[owner], low + shift[owner], off, n))
-            count += len(owner)
+            if len(low):
+                shift = np.array([p[1] for p in parts]) - np.concatenate([[0], ends[:-1]])
+                held.append((leads(data, low + off), gram, np.array([p[0] for p in parts])[owner], low + shift[owner], off, n, low + base))
+                raw.append(data)
+                count, base = count + len(owner), base + len(data)
 
         for parts in _pieces(batches, length, chars):
             add(parts)
@@ -245,23 +290,25 @@ def _cut(length: int, hot: np.ndarray, chars: int = 1_000_000, flush: int = 1_00
     return cut
 
 
-def _meet(batches):
-    """Contexts with equal grams: copies end here, different ones go on to be compared."""
-    held = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(7)) for b in batches]
-    if not held:
-        return
-    gram, context, doc, low, off, n, done = (np.concatenate(c) for c in zip(*held, strict=True))
-    held.clear()
-    open_rows = ~done
-    kept, runs = _first_of_equal(*(c[open_rows] for c in (gram, context, doc, low, off, n)))
-    same = kept[0][1:] == kept[0][:-1]
-    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(kept[0]) else np.empty(0, bool)
-    runs = merged_runs(*(np.concatenate(x) for x in zip(runs, (doc[done], low[done], n[done]), strict=True)))
-    yield from _rows_out([c[several] for c in kept], runs)
+def _several(batches):
+    """Rows, sorted by gram, whose gram the row before or after has too, and finished runs."""
+    held, known = None, False  # the last row waits for the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        gram, done = batch.column("gram").to_numpy(), batch.column("done").to_numpy(zero_copy_only=False)
+        same = (gram[1:] == gram[:-1]) & ~done[1:] & ~done[:-1]
+        keep = np.concatenate([[known], same]) | np.concatenate([same, [False]]) | done
+        yield batch.slice(0, len(gram) - 1).filter(pa.array(keep[:-1]))
+        held, known = batch.slice(len(gram) - 1), bool(keep[-1])
+    if held is not None and known:
+        yield held
 
 
-_SUFFIX = pa.schema([("lead", pa.binary()), ("gram", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
-_SUFFIX_KIND = "lead binary, gram long, doc long, low long, n long, bytes binary"
+_SUFFIX = pa.schema([("bucket", pa.int32()), ("gram", pa.int64()), ("doc", pa.int64()), ("low", pa.int64()), ("off", pa.int32()), ("n", pa.int64()), ("bytes", pa.binary())])
+_SUFFIX_KIND = "bucket int, gram long, doc long, low long, off int, n long, bytes binary"
 
 
 def _extract(length: int):
@@ -269,56 +316,60 @@ def _extract(length: int):
         for doc, text, wanted in rows_of(batches, "doc", "text", "wanted"):
             raw = text.encode("utf-8", "surrogatepass")
             for w in wanted:
-                own = raw[w["low"] : w["low"] + w["n"] - 1 + length]
-                yield own[w["off"] : w["off"] + 8], w["gram"], doc, w["low"], w["n"], own
+                yield w["bucket"], w["gram"], doc, w["low"], w["off"], w["n"], raw[w["low"] : w["low"] + w["n"] - 1 + length]
 
     return extract
 
 
-def equal_strings(groups: np.ndarray, places: np.ndarray, data: np.ndarray, length: int):
-    """Classes of equal strings among those at ``places`` of ``data``, within each group:
-    multikey quicksort by eight-byte characters, where only ties are sorted further.
-    Gives the indices of strings in classes of two or more, and their classes."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    active, cls = np.arange(len(places)), groups
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        char = np.ascontiguousarray(words[places[active] + at]).view(">u8")[:, 0].astype(np.uint64)
-        order = np.lexsort((char, cls))
-        active, cls, char = active[order], cls[order], char[order]
-        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (char[1:] != char[:-1])]) if len(cls) else np.empty(0, bool)
-        cls = np.cumsum(new)
-        tied = np.bincount(cls)[cls] > 1
-        active, cls = active[tied], cls[tied]
-    return active, cls
-
-
-def _compare(length: int, strings: int = 300_000):
-    def parts(batches):
-        """Rows, sorted by gram, in runs of whole grams."""
-        rows, count = [], 0
-        for row in rows_of(batches, "gram", "doc", "low", "n", "bytes"):
-            if count >= strings and row[0] != rows[-1][0]:
-                yield rows
-                rows, count = [], 0
-            rows.append(row)
-            count += row[3]
-        if rows:
-            yield rows
+def _compare(length: int, strings: int = 300_000, most_rows: int = 50_000):
+    """Repeated strings of a bucket's rows, sorted by gram and document, as runs."""
+
+    def distinct(rows: list[tuple]):
+        """Rows that are first of their context, and the runs of all others."""
+        gram, doc, low, off, n = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        sizes = n - 1 + length
+        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        found, cls = equal_strings(np.unique(gram, return_inverse=True)[1] * 256 + off, np.cumsum(sizes) - sizes, sizes, data)
+        again = later_of_equal(found, cls, doc, low)
+        own = np.ones(len(rows), bool)
+        own[again] = False
+        return [rows[i] for i in np.flatnonzero(own)], (doc[again], low[again], n[again])
+
+    def repeated(rows: list[tuple]):
+        gram, doc, low, _, n = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        groups = np.unique(gram, return_inverse=True)[1]
+        several = np.flatnonzero(np.bincount(groups)[groups] > 1)
+        rows, groups, doc, low, n = [rows[i] for i in several], groups[several], doc[several], low[several], n[several]
+        sizes = n - 1 + length
+        row = np.repeat(np.arange(len(rows)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        found, cls = equal_strings(groups[row], (np.cumsum(sizes) - sizes)[row] + step, np.full(len(row), length), data)
+        doc, low = doc[row], low[row] + step
+        again = later_of_equal(found, cls, doc, low)
+        return doc[again], low[again], np.ones(len(again), np.int64)
 
     def compare(batches):
-        for part in parts(batches):
-            n = np.array([r[3] for r in part])
-            sizes = np.array([len(r[4]) for r in part])
-            row = np.repeat(np.arange(len(part)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            groups = np.unique([r[0] for r in part], return_inverse=True)[1]
-            data = np.frombuffer(b"".join(r[4] for r in part), np.uint8)
-            found, cls = equal_strings(groups[row], (np.cumsum(sizes) - sizes)[row] + step, data, length)
-            doc, low = np.array([r[1] for r in part])[row[found]], np.array([r[2] for r in part])[row[found]] + step[found]
-            order = np.lexsort((low, doc, cls))
-            later = order[np.flatnonzero(cls[order][1:] == cls[order][:-1]) + 1]
-            yield from _batches(list(merged_runs(doc[later], low[later], np.ones(len(later), np.int64))), ["doc", "low", "n"])
+        held, count, limit = [], 0, most_rows
+
+        def flushed(whole: bool):
+            nonlocal held, count, limit
+            held, runs = distinct(held)
+            yield from _batches(list(merged_runs(*runs)), ["doc", "low", "n"])
+            if whole:
+                yield from _batches(list(merged_runs(*repeated(held))), ["doc", "low", "n"])
+                held = []
+            count, limit = sum(r[4] for r in held), max(most_rows, 2 * len(held))
+
+        for row in rows_of(batches, "gram", "doc", "low", "off", "n", "bytes"):
+            if count >= strings and row[0] != held[-1][0]:
+                yield from flushed(whole=True)
+            elif len(held) >= limit:  # one gram with many copies: only the first of each context stays
+                yield from flushed(whole=False)
+            held.append(row)
+            count += row[4]
+        if held:
+            yield from flushed(whole=True)
 
     return compare
 
@@ -353,20 +404,19 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(ordered.withColumn("doc", F.monotonically_increasing_id()), "suffix-numbered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, task_bytes: int = 24_000_000, hot_rows: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, task_bytes: int = 24_000_000, hot_rows: int = 4096, most_buckets: int = 65_536) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row."""
     if not 2 * GRAM <= length <= 255:
         raise ValueError("length is from 64 to 255")
     docs = numbered(docs)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    tasks = max(8, -(-size // task_bytes))
-    hot = hot_grams(docs, length, size, hot_rows)
-    rows = docs.select("doc", "text").mapInArrow(_cut(length, hot), _ROWS_KIND).repartition(tasks, "gram").mapInArrow(_meet, _ROWS_KIND)
-    rows = stored(rows, "suffix-contexts")
-    wanted = rows.where("not done").groupBy("doc").agg(F.collect_list(F.struct("gram", "low", "off", "n")).alias("wanted"))
-    own = docs.select("doc", "text").join(wanted, "doc")
-    suffixes = stored(own.mapInArrow(lambda b: batched(_extract(length)(b), _SUFFIX), _SUFFIX_KIND), "suffix-bytes")
-    compared = suffixes.repartitionByRange(tasks, "lead", "gram").sortWithinPartitions("gram").mapInArrow(_compare(length), _RUN_KIND)
+    tasks = min(max(8, -(-size // task_bytes)), most_buckets)
+    hot, splitters = sampled(docs, length, size, hot_rows, tasks)
+    cut = docs.select("doc", "text").mapInArrow(_cut(length, hot, splitters, tasks), _ROWS_KIND)
+    rows = stored(cut.repartitionById(tasks, "bucket").sortWithinPartitions("done", "gram").mapInArrow(_several, _ROWS_KIND), "suffix-contexts")
+    wanted = rows.where("not done").groupBy("doc").agg(F.collect_list(F.struct("bucket", "gram", "low", "off", "n")).alias("wanted"))
+    suffixes = docs.select("doc", "text").join(wanted, "doc").mapInArrow(lambda b: batched(_extract(length)(b), _SUFFIX), _SUFFIX_KIND)
+    compared = suffixes.repartitionById(tasks, "bucket").sortWithinPartitions("gram", "doc", "low").mapInArrow(_compare(length), _RUN_KIND)
     runs = rows.where("done").select("doc", "low", "n").union(compared)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("runs"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
