@@ -6,6 +6,9 @@ which driver and executors share; losing an executor then costs one task.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -72,10 +75,34 @@ def batched(rows, schema: pa.Schema, size: int = 4096):
         yield batch()
 
 
+def release() -> None:
+    """Gives a Python worker's free memory back to the system, with the encoders that other stages left there."""
+    codec = sys.modules.get(f"{__package__}.codec")
+    if codec:
+        codec.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def lean(work):
+    """``work`` over batches, in a worker without the leavings of earlier stages; workers live on between stages."""
+
+    def run(batches):
+        release()
+        yield from work(batches)
+        release()
+
+    return run
+
+
 class WordCache(dict):
     """word -> value of ``make(word)``; forgets everything at ``limit`` entries."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import text_runs
-from .common import WordCache, batched, read_table, rows_of, stored, texts_of
+from .common import WordCache, batched, lean, read_table, rows_of, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -272,7 +272,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
         texts, names = {r["key"]: r["text"] for r in held}, {r["key"]: r["item_id"] for r in held}
         index = Index([(r["item_id"], r["key"], r["words"]) for r in own], texts, names, df, total["n"], total["mean"] or 1.0, cfg)
         scan = _scan(spark.sparkContext.broadcast(index), cfg)
-        leaks = texts_of(docs).mapInArrow(lambda b, scan=scan: batched(scan(b), _LEAKS), _KIND)
+        leaks = texts_of(docs).mapInArrow(lean(lambda b, scan=scan: batched(scan(b), _LEAKS)), _KIND)
         found = leaks if found is None else found.union(leaks)
     return found
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import text_runs
-from .common import read_table, stored, texts_of
+from .common import lean, read_table, stored, texts_of
 from .graph import components
 from .hashing import mixed, word_sets
 
@@ -137,7 +137,7 @@ def _statistics(docs: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, dict[i
         small = np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - small])), pa.array(np.concatenate([total[at], sizes[small]]))], ["slot", "n"])
 
-    sums = texts_of(docs).select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = texts_of(docs).select("text").mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counters = np.zeros(cfg.counters, np.int64)
     common = sums[sums.slot >= 0]
     counters[common.slot.to_numpy()] = common.n.to_numpy()
@@ -211,7 +211,7 @@ def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, bounda
                     ["doc_id", "n", "sid", "light", "keys", "sketch"],
                 )
 
-    return stored(texts_of(docs).mapInArrow(describe, "doc_id long, n int, sid long, light int, keys array<long>, sketch binary"), "jaccard-sets")
+    return stored(texts_of(docs).mapInArrow(lean(describe), "doc_id long, n int, sid long, light int, keys array<long>, sketch binary"), "jaccard-sets")
 
 
 def _lists(named: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _sets(docs: DataFrame, need: DataFrame, cfg: JaccardConfig) -> DataFrame:
     few = need.select(F.col("sid"), F.col("doc").alias("doc_id"))
     if few.count() <= cfg.broadcast_rows:  # two longs a row
         few = F.broadcast(few)
-    return texts_of(docs).join(few, "doc_id").select("sid", "text").mapInArrow(rebuild, "sid long, body binary").dropDuplicates(["sid"])
+    return texts_of(docs).join(few, "doc_id").select("sid", "text").mapInArrow(lean(rebuild), "sid long, body binary").dropDuplicates(["sid"])
 
 
 def _close(cfg: JaccardConfig):

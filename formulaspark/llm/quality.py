@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, hash64, read_table, stored, texts_of
+from .codec import text_runs
+from .common import WordCache, hash64, lean, read_table, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -85,19 +86,6 @@ def _ids(texts: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarray, np
     return both >> 32, both & 0xFFFFFFFF, np.array(counts, np.int64)
 
 
-def _chunks(batch: pa.RecordBatch, chars: int = 1_000_000):
-    """Runs of rows of a batch that hold about ``chars`` characters."""
-    start, held = 0, 0
-    texts = batch.column("text").to_pylist()
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
     """The corpus' context vectors, ``buckets`` x ``dims``; rows have unit length.
 
@@ -109,7 +97,7 @@ def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
         place, sign = index_vectors(cfg)
         cache, total = _word_cache(cfg), np.zeros(cfg.buckets * cfg.dims)
         for batch in batches:
-            for _, texts in _chunks(batch):
+            for _, texts in text_runs(batch.column("text"), 1_000_000):
                 words, shapes, counts = _ids(texts, cache)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 for step in range(1, cfg.window + 1):
@@ -140,7 +128,7 @@ def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
             )
 
     blocks = cfg.buckets // cfg.block
-    parts = texts_of(docs).select("text").mapInArrow(local, "block long, vectors binary").repartition(blocks, "block").mapInArrow(add, "block long, vectors binary")
+    parts = texts_of(docs).select("text").mapInArrow(lean(local), "block long, vectors binary").repartition(blocks, "block").mapInArrow(add, "block long, vectors binary")
     table = np.zeros((cfg.buckets, cfg.dims), np.float32)
     for block, raw in parts.toLocalIterator():
         table[block * cfg.block : (block + 1) * cfg.block] = np.frombuffer(bytes(raw), np.float32).reshape(-1, cfg.dims)
@@ -160,7 +148,7 @@ def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig) -> DataFrame:
         vectors, cache, dims = shared.value, _word_cache(cfg), cfg.dims
         for batch in batches:
             out = []
-            for _, texts in _chunks(batch, 250_000):
+            for _, texts in text_runs(batch.column("text"), 250_000):
                 words, shapes, counts = _ids(texts, cache)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 sums = np.zeros((len(counts), 4 * dims))
@@ -186,7 +174,7 @@ def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.binary())], [*names, "pooled"])
 
     texts = docs.select(*[F.col(n).cast("long").alias(n) for n in names], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(pool, "".join(f"{n} long, " for n in names) + "pooled binary")
+    return texts.mapInArrow(lean(pool), "".join(f"{n} long, " for n in names) + "pooled binary")
 
 
 @dataclass

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, read_table, rows_of, texts_of
+from .common import batched, lean, read_table, rows_of, texts_of
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def transition_counts(docs: DataFrame, cfg: SecretConfig) -> dict[int, np.ndarra
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(totals[k][at])], ["k", "at", "n"])
 
-    sums = texts_of(docs).select("text").mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
+    sums = texts_of(docs).select("text").mapInArrow(lean(count), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
     out = {k: np.zeros(128 * 128) for k in (0, 1)}
     for r in sums:
         out[r["k"]][r["at"]] = r["n"]
@@ -206,7 +206,7 @@ def find_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str
             yield doc_id, joined(base), joined(spans), kinds.count(0), kinds.count(1), kinds.count(2), None if mark is None else covered(text, spans, mark)
 
     kind = "doc_id long, base string, spans string, n_assign long, n_access long, n_hex long, clean string"
-    return texts_of(docs).mapInArrow(lambda b: batched(find(b), _FOUND, 1024), kind)
+    return texts_of(docs).mapInArrow(lean(lambda b: batched(find(b), _FOUND, 1024)), kind)
 
 
 def covered(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -233,7 +233,7 @@ def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str = "[se
                 out.append(text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
