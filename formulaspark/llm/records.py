@@ -11,13 +11,14 @@ null doc_id and flag 2 says that ids take two bytes (vocabularies of at most
 65,536 entries) instead of four.  ``part-<bucket>.idx`` holds one uint64 per frame,
 its place in the record file, so that readers can fetch records in any order.
 
-Buckets are ranges of doc_id: each task sorts the documents of its buckets and
-writes their files under a temporary name that is renamed at the end, so that a
-task which runs again after a loss replaces what it left.  Numbers of ids before
-a bucket come from the manifest, one row per file.
+Buckets are ranges of doc_id and a hash of the text, with splitters that Spark samples, so
+that rows without a doc_id, or with one that many share, spread too.  Each task sorts the
+documents of its bucket, encodes them and writes their file under a temporary name that is
+renamed at the end, so that a task which runs again after a loss replaces what it left.
+Numbers of ids before a bucket come from the manifest, one row per file.
 
 Defined results: a null or empty text is the end id alone; a null doc_id sorts
-first; rows that share a doc_id keep one record each, ordered by their ids; an
+first; rows that share a doc_id keep one record each, ordered by a hash of the text; an
 empty table writes no file and gives no rows.
 """
 
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,69 +92,41 @@ class Record:
         return Record(None if flags & 1 else doc_id, np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=9).astype("<u4"))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, splitters: list[int]) -> DataFrame:
-    """``bucket, doc_id, ids`` with ids as stored bytes; buckets are ranges between ``splitters``."""
-
-    def encode(batches):
-        coder = encoder(tokenizer)
-        kind = "<u2" if len(coder.four) <= 65_536 else "<u4"
-        end, edges = np.array([end_id], "<u4").tobytes(), np.array(splitters, np.int64)
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for start, texts in text_runs(batch.column("text")):
-                own = ids[start : start + len(texts)]
-                raw = [np.frombuffer(e + end, "<u4").astype(kind).tobytes() for e in coder.encode(texts)]
-                bucket = [0 if i is None else int(np.searchsorted(edges, i, "right")) for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(own, pa.int64()), pa.array(raw, pa.binary())], ["bucket", "doc_id", "ids"])
-
-    return texts_of(docs).mapInArrow(encode, "bucket long, doc_id long, ids binary")
-
-
 _MANIFEST = pa.schema([("bucket", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bucket_chars: int = 32_000_000) -> DataFrame:
     """Writes the files below ``path``; the manifest: ``bucket, path, n_docs, n_ids, base``."""
-    spark = docs.sparkSession
-    size = texts_of(docs).agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-size // bucket_chars))
-    cuts = [i / buckets for i in range(1, buckets)]
-    splitters = sorted({int(x) for x in texts_of(docs).select("doc_id").approxQuantile("doc_id", cuts, 0.1 / buckets)}) if cuts else []
-    from tokenizers import Tokenizer
-
-    short = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 65_536
+    texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    buckets = max(1, -(-(texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // bucket_chars))
 
     def write(batches):
-        store, root = file_system(path)
-        store.create_dir(root, recursive=True)
-        held = None
-
-        def close():
-            data, index, bucket, temp, name, n_docs, n_ids, _ = held
+        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        short = len(coder.four) <= 65_536
+        bucket, store, data, n_docs, n_ids, place = TaskContext.get().partitionId(), None, None, 0, 0, 0
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for start, run in text_runs(batch.column("text")):
+                for doc_id, raw in zip(doc_ids[start:], coder.encode(run), strict=False):
+                    if data is None:
+                        store, root = file_system(path)
+                        store.create_dir(root, recursive=True)
+                        name, temp = f"{root}/part-{bucket:08d}", f"{root}/.{bucket:08d}-{uuid.uuid4().hex}"
+                        data, index = store.open_output_stream(f"{temp}.rec"), store.open_output_stream(f"{temp}.idx")
+                    ids = np.frombuffer(raw + end, "<u4")
+                    framed = frame(Record(doc_id, ids).payload(short))
+                    index.write(struct.pack("<Q", place))
+                    data.write(framed)
+                    n_docs, n_ids, place = n_docs + 1, n_ids + len(ids), place + len(framed)
+        if data is not None:
             data.close()
             index.close()
             for kind in ("rec", "idx"):
                 store.move(f"{temp}.{kind}", f"{name}.{kind}")
-            return bucket, f"{path}/part-{bucket:08d}", n_docs, n_ids
-
-        for bucket, doc_id, ids in rows_of(batches, "bucket", "doc_id", "ids"):
-            if held is None or held[2] != bucket:
-                if held:
-                    yield close()
-                name = f"{root}/part-{bucket:08d}"
-                temp = f"{root}/.{bucket:08d}-{uuid.uuid4().hex}"
-                held = [store.open_output_stream(f"{temp}.rec"), store.open_output_stream(f"{temp}.idx"), bucket, temp, name, 0, 0, 0]
-            payload = struct.pack("<Bq", (doc_id is None) + 2 * short, doc_id or 0) + ids
-            framed = frame(payload)
-            held[1].write(struct.pack("<Q", held[7]))
-            held[0].write(framed)
-            held[5] += 1
-            held[6] += len(ids) // (2 if short else 4)
-            held[7] += len(framed)
-        if held:
-            yield close()
-
-    rows = tokenized(docs, tokenizer, end_id, splitters).repartition(max(1, len(splitters) + 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+            yield bucket, f"{path}/part-{bucket:08d}", n_docs, n_ids
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = texts.repartitionByRange(buckets, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = stored(rows.mapInArrow(lambda b: batched(write(b), _MANIFEST), "bucket long, path string, n_docs long, n_ids long"), "records-manifest")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

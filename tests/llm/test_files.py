@@ -45,6 +45,19 @@ def test_records(spark, make_docs, prose):
     assert R.read_records(empty).count() == 0
 
 
+def test_records_of_rows_without_an_id_of_their_own(spark):
+    path = R.public_tokenizer("word_bpe_49k.json")
+    rows = [(None, f"text {i}", i, "a") for i in range(50)] + [(7, f"more {i % 9}", i, "b") for i in range(60)] + [(1, None, 0, "c"), (9, "word " * 40_000, 0, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, ids string")
+    manifest = R.write_records(docs, shared_dir(spark, "test-records"), path, bucket_chars=100)
+    got = R.read_records(manifest).orderBy("start").collect()
+    coder = Tokenizer.from_file(path)
+    assert [r.doc_id for r in got] == [None] * 50 + [1] + [7] * 60 + [9]
+    assert len(manifest.where("n_docs > 0").collect()) > 8  # rows that share an id, or have none, spread
+    want = sorted(((i, [*coder.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _, _ in rows), key=str)
+    assert sorted(((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got), key=str) == want
+
+
 def test_damage_is_seen(tmp_path):
     import io
 
