@@ -1,14 +1,20 @@
 """Operator 8: nearest neighbours by vantage-point trees, one per shard.
 
 Vectors are scaled to unit length, where Euclidean distance orders pairs as cosine does
-and obeys the triangle inequality.  Rows are dealt to shards of about ``shard_rows`` by a
-hash of the id; queries come in blocks of ``block_rows`` and visit every shard, so a task
-holds one shard's tree and one block of queries whatever the table's size.  A node parts
-its vectors at the median distance ``mu`` from a vantage point.  Queries first go straight
-down to the leaf that they fall into, which gives a first radius; then the tree is walked
-with whole sets of queries at once, and a query enters a side only if it may hold vectors
-within the radius: ``|d - mu| * factor <= radius``.  Factor 1 is exact search; larger
-factors prune more and may miss neighbours.  Recall of the default factor is measured
+and obeys the triangle inequality.  Rows go to the nearest of a few *centres* (rows themselves,
+one for about ``shard_rows`` rows, ``most_centres`` at most), and the rows of a centre are dealt
+to shards of about ``shard_rows`` by a hash of the row.  A task holds one shard at a time: it
+builds the shard's tree once and streams the queries that are routed there past it.  Routing
+has two passes.  In the first a query visits one shard of its own centre, which gives it a
+radius; in the second it visits every other shard whose ball (centre, greatest distance of a
+row) may hold vectors within the radius: ``(distance to the centre - ball) * factor <= radius``.
+So a row is shuffled twice and a query once for each shard that it cannot exclude.
+
+A node of a tree parts its vectors at the median distance ``mu`` from a vantage point.  Queries
+first go straight down to the leaf that they fall into, which gives a first radius; then the
+tree is walked with whole sets of queries at once, and a query enters a side only if it may
+hold vectors within the radius: ``|d - mu| * factor <= radius``.  Factor 1 is exact search;
+larger factors prune more and may miss neighbours.  Recall of the default factor is measured
 against brute force in the tests.
 
 Scores are cosines of the original vectors in double precision.  Vectors that are null,
@@ -22,11 +28,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stored
 
 
 @dataclass(frozen=True)
@@ -35,7 +41,7 @@ class TreeConfig:
     factor: float = 2.0
     leaf: int = 128
     shard_rows: int = 16_384
-    block_rows: int = 2_048
+    most_centres: int = 1_024
     seed: int = 3
 
 
@@ -63,14 +69,15 @@ class VantageTree:
             mu = float(d[d < mu].max())
         return vantage, mu, self._grow(inner), self._grow(outer)
 
-    def search(self, queries: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """Rows that hold each query's ``k`` nearest (ties at the radius all stay); ``skip``: ids left out."""
+    def search(self, queries: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int, factor: float, within: np.ndarray) -> list[np.ndarray]:
+        """Rows that hold each query's ``k`` nearest (ties at the radius all stay) at distances up to
+        ``within``; ``skip``: ids left out."""
         self.q, self.skip, self.ids, self.k, self.factor = queries, skip, ids, k, factor
         self.best = np.full((len(queries), k), np.inf)
         self.found: list[list[np.ndarray]] = [[] for _ in queries]
         everyone = np.arange(len(queries))
         self._descend(self.root, everyone)
-        self.radius = self.best[:, -1].copy()
+        self.radius = np.minimum(self.best[:, -1], within)
         self.best[:] = np.inf  # the walk meets those leaves again
         self._walk(self.root, everyone)
         return [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in self.found]
@@ -84,7 +91,7 @@ class VantageTree:
             self.best[who] = near
             if keep:
                 self.radius[who] = np.minimum(self.radius[who], near[:, -1])
-                hit = d <= self.radius[who][:, None] + 1e-7
+                hit = (d <= self.radius[who][:, None] + 1e-7) & (d < np.inf)
                 for i in np.flatnonzero(hit.any(1)):
                     self.found[who[i]].append(part[hit[i]])
 
@@ -125,27 +132,110 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _OUT = "query_id long, vec_id long, score double"
+_SHARDS = "shard int, asks boolean, vec_id long, vector array<double>, radius double"
+
+
+def unit_rows(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow batch, and the same with unit length."""
+    column = batch.column("vector")
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return v, v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class Centres:
+    """Unit vectors, the radius of each one's ball, and the first of its shards and their number."""
+
+    unit: np.ndarray
+    ball: np.ndarray
+    first: np.ndarray
+    shards: np.ndarray
+
+    def spread(self, centre: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The shard of each row of a centre, by its id and first component."""
+        h = (ids.astype(np.uint64) ^ np.ascontiguousarray(v[:, 0]).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return (self.first[centre] + (h >> np.uint64(33)).astype(np.int64) % self.shards[centre]).astype(np.int32)
+
+
+def _placed(centres: Centres):
+    """Rows with their shard."""
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v, unit = unit_rows(batch)
+                shard = centres.spread(distances(unit, centres.unit).argmin(1), batch.column("vec_id").to_numpy(), v)
+                yield _out(shard, False, batch, np.zeros(len(shard)))
+
+    return place
+
+
+def _out(shard: np.ndarray, asks: bool, batch, radius: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(shard, pa.int32()), pa.array(np.full(len(shard), asks)), batch.column("vec_id"), batch.column("vector"), pa.array(radius, pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "asks", "vec_id", "vector", "radius"])
+
 
+def _routed(centres: Centres, factor: float, own: bool):
+    """Queries with a shard each that they visit: one of their own centre, or all others that they cannot exclude."""
 
-def _search(cfg: TreeConfig):
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def route(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                v, unit = unit_rows(part)
+                ids, d = part.column("vec_id").to_numpy(), distances(unit, centres.unit)
+                nearest_one = d.argmin(1)
+                mine = centres.spread(nearest_one, ids, v)
+                if own:
+                    yield _out(mine, True, part, np.full(len(ids), np.inf))
+                    continue
+                radius = part.column("radius").to_numpy()
+                query, centre = np.nonzero((d - centres.ball) * factor <= radius[:, None] + 1e-7)
+                each = centres.shards[centre]
+                query, shard = np.repeat(query, each), np.repeat(centres.first[centre] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                other = shard != mine[query]
+                query, shard = query[other], shard[other]
+                for k in range(0, len(query), 4096):
+                    take = query[k : k + 4096]
+                    yield _out(shard[k : k + 4096], True, part.take(pa.array(take)), radius[take])
+
+    return route
+
+
+def _visit(cfg: TreeConfig):
+    """Rows and then queries of one shard after another: each query's nearest there."""
+
+    def found(tree, ids, vectors, batch):
+        queries, unit = unit_rows(batch)
+        asked = batch.column("vec_id").to_numpy()
         out = []
-        for width in sorted({len(v) for v in asked["vector"]}):
-            own = rows[[len(v) == width for v in rows["vector"]]]
-            mine = asked[[len(v) == width for v in asked["vector"]]]
-            if not len(own):
-                continue
-            ids, query_ids = own["vec_id"].to_numpy(), mine["vec_id"].to_numpy()
-            vectors, queries = np.stack(own["vector"].to_list()).astype(np.float64), np.stack(mine["vector"].to_list()).astype(np.float64)
-            unit, unit_q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (vectors, queries))
-            tree = VantageTree(unit, cfg.leaf, cfg.seed)
-            for q, found in enumerate(tree.search(unit_q, query_ids, ids, cfg.k, cfg.factor)):
-                scores = cosine(queries[q][None], vectors[found])
-                best = np.lexsort((ids[found], -scores))[: cfg.k]
-                out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[found][best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    return search
+        for q, rows in enumerate(tree.search(unit, asked, ids, cfg.k, cfg.factor, batch.column("radius").to_numpy())):
+            scores = cosine(queries[q][None], vectors[rows])
+            best = np.lexsort((ids[rows], -scores))[: cfg.k]
+            out.append((np.full(len(best), asked[q]), ids[rows][best], scores[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    def visit(batches):
+        held, shard, tree, ids, vectors = [], None, None, None, None
+        for batch in batches:
+            key = batch.column("shard").to_numpy().astype(np.int64) * 2 + batch.column("asks").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if key[a] // 2 != shard:
+                    held, shard, tree = [], key[a] // 2, None
+                if not key[a] % 2:
+                    held.append(part)
+                    continue
+                if tree is None and held:
+                    ids = np.concatenate([h.column("vec_id").to_numpy() for h in held])
+                    vectors, unit = (np.concatenate(x) for x in zip(*map(unit_rows, held), strict=True))
+                    tree, held = VantageTree(unit, cfg.leaf, cfg.seed), []
+                if tree is not None:
+                    for at in range(0, len(part), 1024):
+                        yield found(tree, ids, vectors, part.slice(at, 1024))
+
+    return visit
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -155,16 +245,55 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
 
 
+def _of_width(rows: DataFrame, every: int, cfg: TreeConfig) -> DataFrame:
+    """``query_id, vec_id, score`` candidates among the vectors of one length."""
+    n = rows.count()
+    chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(cfg.seed)), "vec_id").limit(min(max(1, n // cfg.shard_rows), cfg.most_centres)).select("vector").collect()
+    unit = np.array([r["vector"] for r in chosen], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+
+    def measure(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = distances(unit_rows(batch)[1], unit)
+                at = d.argmin(1)
+                ball = np.zeros(len(unit))
+                np.maximum.at(ball, at, d[np.arange(len(at)), at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(unit))), pa.array(ball), pa.array(np.bincount(at, minlength=len(unit)))], ["centre", "ball", "n"])
+
+    balls = {r["centre"]: r for r in rows.mapInArrow(measure, "centre long, ball double, n long").groupBy("centre").agg(F.max("ball").alias("ball"), F.sum("n").alias("n")).collect()}
+    shards = np.array([max(1, -(-balls[c]["n"] // cfg.shard_rows)) for c in range(len(unit))])
+    centres = Centres(unit, np.array([balls[c]["ball"] for c in range(len(unit))]), np.cumsum(shards) - shards, shards)
+    tasks = int(shards.sum())
+    placed = rows.mapInArrow(_placed(centres), _SHARDS)
+
+    def search(asked: DataFrame) -> DataFrame:
+        both = placed.union(asked).repartitionById(tasks, "shard").sortWithinPartitions("shard", "asks")
+        return both.mapInArrow(_visit(cfg), _OUT)
+
+    asked = rows.where(F.col("vec_id") % every == 0)
+    first = search(asked.mapInArrow(_routed(centres, cfg.factor, own=True), _SHARDS))
+    if tasks == 1:
+        return first
+    first = stored(first, "neighbours-first")
+    # the k-th score of the first pass bounds the distance of what can still be nearer
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    worst = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == cfg.k).groupBy("query_id").agg(F.min("score").alias("score"))
+    radius = F.coalesce(F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) + 1e-9, F.lit(float("inf")))
+    again = asked.join(worst, asked["vec_id"] == worst["query_id"], "left").select("vec_id", "vector", radius.alias("radius"))
+    return first.union(search(again.mapInArrow(_routed(centres, cfg.factor, own=False), _SHARDS)))
+
+
 def nearest(vectors: DataFrame, every: int = 50, cfg: TreeConfig = TreeConfig()) -> DataFrame:
     """``query_id, rank, vec_id, score``: each row with ``vec_id % every = 0`` against all rows."""
     rows = usable(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    shards = max(1, -(-rows.count() // cfg.shard_rows))
-    blocks = max(1, -(-asked.count() // cfg.block_rows))
-    shard, block = (lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int"))(shards), F.pmod(F.xxhash64("vec_id", F.lit(-1)), F.lit(blocks)).cast("int")
-    left = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(cfg), _OUT)
+    widths = [r["width"] for r in rows.select(F.size("vector").alias("width")).distinct().collect()]  # most tables have one
+    found = None
+    for width in sorted(widths):
+        own = _of_width(rows.where(F.size("vector") == width), every, cfg)
+        found = own if found is None else found.union(own)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], _OUT)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -191,6 +191,14 @@ def test_neighbours(spark):
         assert hits >= least * 60
 
 
+def test_neighbours_of_odd_tables(spark):
+    kind = "vec_id long, embedding array<float>, score double, shard string"
+    assert nearest(spark.createDataFrame([], kind)).count() == 0
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 2.0]), (None, [1.0, 0.0]), (100, [1.0, 2.0, 3.0]), (101, [3.0, 2.0, 1.0]), (150, [5.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest(spark.createDataFrame([(*r, 0.0, "x") for r in rows], kind), cfg=TreeConfig(k=2, shard_rows=2)).collect()]
+    assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (50, 1, 0, 0.0), (50, 2, 0, 0.0), (100, 1, 101, round(10 / 14, 9))]
+
+
 def test_tree_of_copies():
     tree = VantageTree(np.ones((500, 4)) / 2, 16, 1)
     assert isinstance(tree.root, np.ndarray)
