@@ -6,11 +6,13 @@ gaps between anchors are aligned in the same way; a gap without such words match
 words from its two ends inwards.  Coverage is the share of the template's words that are
 aligned; a window of at least ``coverage`` is a match.
 
-Windows are the places where at least that share of a template's length are words of the
-template, counted as often as the template has them at most; an alignment cannot match
-more words than that, so no match is lost.  Along a stretch of such places the one with
-the most words is aligned, and places after its end are looked at again, so that repeated
-notices are found one by one.
+A match is a run of words of a text, at most ``1 + stretch`` times as long as the template,
+in which at least ``coverage`` of the template's words are aligned, and among them the words
+that tell the license from others (``NAMES``).  Only places where at least that share of the
+template's length are words of the template, counted as often as the template has them at
+most, are aligned; an alignment cannot match more words than that, so no match is lost.
+Along a stretch of such places the one with the most words is aligned, and places after its
+end are looked at again, so that repeated notices are found one by one.
 
 Defined results: null and empty texts have no matches; several templates may match one
 place; repeated rows give a row each per match; an empty table gives no rows.  Only
@@ -44,6 +46,32 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Whole license texts, but for their copyright lines.
+TEMPLATES |= {
+    "BSD-3-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+}
+
+#: Words of a template without which it is another license's.
+NAMES = {
+    "Apache-2.0": "apache 2",
+    "Apache-2.0-header": "apache 2",
+    "CC-BY-4.0": "creative commons attribution 4",
+    "CC-BY-NC-4.0": "by nc 4",
+    "GPL-3.0": "gnu general public 3",
+    "GPL-3.0-header": "gnu general public 3",
+    "MIT": "mit",
+    "MPL-2.0": "mozilla public 2",
+}
+
 _WORD = re.compile(r"\w+")
 
 
@@ -94,11 +122,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, str], coverage: float, stretch: float):
+        self.names, self.stretch = sorted(templates), stretch
         self.words = [words_of(templates[n]) for n in self.names]
         self.least = [max(1, int(np.ceil(coverage * len(w) - 1e-9))) for w in self.words]
         self.times = [Counter(w) for w in self.words]
+        self.own = [set(NAMES.get(n, "").split()) for n in self.names]
         vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
         self.none = len(vocabulary)
         self.of = np.zeros((len(self.names), self.none + 1), bool)
@@ -107,13 +136,13 @@ class Scanner:
         self.known = WordCache(lambda w: vocabulary.get(w, self.none))
 
     def windows(self, ids: np.ndarray, t: int) -> np.ndarray:
-        """Template words in each window of a quarter more than the template's length."""
+        """Template words in each window as long as a match can be."""
         sums = np.concatenate([[0], np.cumsum(self.of[t, ids])])
         first = np.arange(len(ids))
         return sums[np.minimum(first + self.reach(t), len(ids))] - sums[first]
 
     def reach(self, t: int) -> int:
-        return len(self.words[t]) + len(self.words[t]) // 4
+        return len(self.words[t]) + int(self.stretch * len(self.words[t]))
 
     def matches(self, words: list[str], ids: np.ndarray):
         """(template, first word, past-last word, coverage) of the matches in a text."""
@@ -129,13 +158,13 @@ class Scanner:
                 # the window may start before the notice: of its template words within reach, the start
                 # with the most words aligned counts, and of several that with the shortest span
                 best, shift, rank = [], 0, (0, 0)
-                for k in range(len(own) // 4 + 1):
+                for k in range(self.reach(t) - len(own) + 1):
                     if start + k < len(ids) and self.of[t, ids[start + k]]:
                         other = align(own, words[start + k : start + k + self.reach(t)])
                         places = [j for _, j in other] or [0]
                         if (len(other), min(places) - max(places)) > rank:
                             best, shift, rank = other, k, (len(other), min(places) - max(places))
-                if len(best) >= self.least[t]:
+                if len(best) >= self.least[t] and self.own[t] <= {own[i] for i, _ in best}:
                     places = [j for _, j in best]
                     yield t, start + shift + min(places), start + shift + max(places) + 1, len(best) / len(own)
                     at = start + shift + max(places) + 1
@@ -144,11 +173,11 @@ class Scanner:
 _MATCH = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("coverage", pa.float64())])
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = 0.8, stretch: float = 0.5) -> DataFrame:
     """``doc_id, license, start, end, n_words, coverage`` per match; places are code points."""
 
     def scan(batches):
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, stretch)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for start, texts in text_runs(batch.column("text")):

@@ -127,6 +127,59 @@ def test_licenses(spark, make_docs):
     assert sum(r.doc_id == 50 for r in rows) == 2 and not any(r.doc_id > 50 for r in rows)
 
 
+def test_licenses_that_differ_in_the_name_or_are_stretched(spark, make_docs):
+    mit = L.words_of(L.TEMPLATES["MIT-text"])
+    stretched = " ".join(w + (" foreign" if i % 3 == 0 else "") for i, w in enumerate(mit))  # a third of foreign words
+    docs = [(1, "Released under the BSD License."), (2, "Licensed under CC BY 4.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, stretched), (5, "x " * 5000 + L.TEMPLATES["MPL-2.0"])]
+    got = {(r.doc_id, r.license) for r in L.find_licenses(make_docs([*docs, *docs[3:4]])).collect()}
+    assert {d for d, _ in got} == {4, 5} and (4, "MIT-text") in got and (5, "MPL-2.0") in got
+    assert L.find_licenses(make_docs([])).count() == 0
+
+
+def coverage_by_hand(text, template):
+    """Patience alignment by its definition, of the best window: plain loops."""
+
+    def lis(x):
+        best = [[]]
+        for i in range(len(x)):
+            best.append(max((b for b in best if not b or x[b[-1]] < x[i]), key=len) + [i])
+        return max(best, key=len)
+
+    def align(a, b):
+        unique = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+        if not unique:
+            n = 0
+            while a and b and a[0] == b[0]:
+                a, b, n = a[1:], b[1:], n + 1
+            while a and b and a[-1] == b[-1]:
+                a, b, n = a[:-1], b[:-1], n + 1
+            return n
+        chain = [unique[k] for k in lis([j for _, j in unique])]
+        edges = [(-1, -1), *chain, (len(a), len(b))]
+        return len(chain) + sum(align(a[i + 1 : k], b[j + 1 : m]) for (i, j), (k, m) in zip(edges, edges[1:]))
+
+    words, own = L.words_of(text), L.words_of(template)
+    reach = len(own) + int(0.5 * len(own))
+    return max((align(own, words[i : i + reach]) for i in range(max(1, len(words)))), default=0) / len(own)
+
+
+def test_coverage_against_brute_force(make_docs):
+    rng = random.Random(8)
+    template = "alpha beta the gamma of delta the epsilon of zeta eta the theta"
+    docs = []
+    for i in range(60):
+        own = template.split()
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = [rng.choice(["the", "of", "other", "alpha"])]
+        docs.append((i, " ".join([*rng.choices(["some", "words", "other"], k=5), *own, "end"])))
+    best = {}
+    for r in L.find_licenses(make_docs(docs), {"t": template}).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, 0), r.coverage)
+    want = {i: c for i, t in docs if (c := coverage_by_hand(t, template)) >= 0.8}
+    assert {i: c for i, c in best.items() if i not in want} == {} and {i for i in want if i not in best} == set()
+
+
 def test_alignment_against_brute_force():
     rng = random.Random(2)
     for _ in range(200):
