@@ -25,7 +25,7 @@ LABEL_EXCEPTIONS = {
     "Rho": "P",
     "Tau": "T",
     "Chi": "X",
-    "+": "+",
+    "plus": "+",
     "minus": "-",
     "divide": r"\div",
     "eq": "=",

@@ -6,7 +6,7 @@ fewer than pixels.  Only union-find runs in Python, on one image's edges at a ti
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,39 +21,43 @@ def runs(binary: DataFrame) -> DataFrame:
     return ink.groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def grouped_roots(key: str, node_cols: list[str]):
-    """Union-find over one key's edges ``a, b`` (places of nodes in their order)."""
+def union_roots(edges: DataFrame) -> DataFrame:
+    """``image_id, n, root``: for the nodes of edges ``a, b`` of an image the least node that they connect to."""
 
-    def roots(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("n")
-        parent = {n: n for n in nodes.n}
+    def find_all(batches):
+        for batch in batches:
+            at, nodes, roots = [], [], []
+            for i, pairs in enumerate(batch.column("pairs").to_pylist()):
+                parent: dict[int, int] = {}
 
-        def find(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
+                def find(n: int, parent=parent) -> int:
+                    while parent.setdefault(n, n) != n:
+                        parent[n] = parent[parent[n]]
+                        n = parent[n]
+                    return n
 
-        for a, b in zip(edges.a, edges.b, strict=True):
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        nodes["root"] = [find(n) for n in nodes.n]
-        return nodes[[key, *node_cols, "root"]]
+                for p in pairs:
+                    a, b = find(p["a"]), find(p["b"])
+                    parent[max(a, b)] = min(a, b)
+                at += [i] * len(parent)
+                nodes += parent
+                roots += [find(n) for n in list(parent)]
+            ids = batch.column("image_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["image_id", "n", "root"])
 
-    return roots
+    kind = f"image_id {edges.schema['image_id'].dataType.simpleString()}, n long, root long"
+    return edges.groupBy("image_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).mapInArrow(find_all, kind)
 
 
 def connected_components(binary: DataFrame, conn: int = 8) -> DataFrame:
     """``image_id, comp_id, y, x0, x1``: runs with their component, numbered by first pixel in raster order."""
     order = Window.partitionBy("image_id").orderBy("y", "x0")
-    r = runs(binary).withColumn("n", F.row_number().over(order))
+    r = kept(runs(binary).withColumn("n", F.row_number().over(order).cast("long")), "numbered-runs")
     reach = 1 if conn == 8 else 0
     up = r.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("n").alias("a"))
     edges = r.join(up, ["image_id", "y"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)).select("image_id", "a", F.col("n").alias("b"))
-    roots = grouped_roots("image_id", ["y", "x0", "x1"])
-    edges = edges.toDF(*edges.columns)  # columns of their own: both sides come from the runs
-    found = r.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(roots, "image_id long, y int, x0 int, x1 int, root long")
-    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy("root")) - 1
+    found = r.join(union_roots(edges), ["image_id", "n"], "left")  # runs without edges stand for themselves
+    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy(F.coalesce("root", "n"))) - 1
     return found.select("image_id", number.alias("comp_id"), "y", "x0", "x1")
 
 
@@ -92,9 +96,10 @@ def above_and_below(comps: DataFrame) -> DataFrame:
     return comps.select("image_id", "comp_id").join(found, ["image_id", "comp_id"], "left").select("image_id", "comp_id", F.coalesce("above", no).alias("above"), F.coalesce("below", no).alias("below"))
 
 
-def flag_fraction_lines(comps: DataFrame, height: int) -> DataFrame:
-    """``comps`` with ``is_fraction_line``; ``height`` is the images'."""
-    box, most = Box.of(), min(8.0, height * 0.08)
+def flag_fraction_lines(comps: DataFrame, height: int | str) -> DataFrame:
+    """``comps`` with ``is_fraction_line``; ``height`` is the images', or the column that has it."""
+    height = F.col(height) if isinstance(height, str) else F.lit(height)
+    box, most = Box.of(), F.least(F.lit(8.0), height * 0.08)
     c = comps.join(above_and_below(comps), ["image_id", "comp_id"])
     mean = F.avg("h").over(Window.partitionBy("image_id"))
     sure = (box.aspect_ratio > 5.0) & (box.h <= most) & (box.h / height < 0.1)
@@ -154,31 +159,25 @@ def broken_strokes(a: Box, b: Box) -> Column:
     return (a.horizontal_overlap(b) > 0.5) & (F.least(a.area, b.area) / F.greatest(a.area, b.area, F.lit(1)) > 0.3) & (gap / F.greatest(F.least(a.h, b.h), F.lit(1)) < 0.3)
 
 
-def merge_edges(comps: DataFrame, height: int) -> DataFrame:
+def merge_edges(comps: DataFrame, height: int | str) -> DataFrame:
     """``image_id, a, b``: pairs of components that are parts of one symbol."""
     mean = F.avg("h").over(Window.partitionBy("image_id"))
     # boxes that look like fraction lines merge with nothing
     c = comps.withColumn("mean", mean).where(~((Box.of().aspect_ratio > 4.0) & (F.col("h") <= 8)))
-    left = c.select("image_id", "mean", F.col("comp_id").alias("a"), *[F.col(k).alias("a" + k) for k in "xywh"])
+    tall = F.col(height) if isinstance(height, str) else F.lit(height)
+    left = c.select("image_id", "mean", (tall <= 64).alias("small"), F.col("comp_id").alias("a"), *[F.col(k).alias("a" + k) for k in "xywh"])
     right = c.select("image_id", F.col("comp_id").alias("b"), *[F.col(k).alias("b" + k) for k in "xywh"])
     a, b, m = Box.of("a"), Box.of("b"), F.col("mean")
     rule = dot_above(b, a, m) | dot_above(a, b, m) | two_bars(a, b) | colon_dots(a, b, m) | percent_parts(a, b, m)
-    if height <= 64:
-        rule = rule | broken_strokes(a, b)
+    rule = rule | (F.col("small") & broken_strokes(a, b))
     return left.join(right, "image_id").where((F.col("a") < F.col("b")) & rule).select("image_id", "a", "b")
 
 
 def merge_components(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """Boxes of the connected groups; flags come from the lowest member, which also gives the id."""
-    nodes = comps.select("image_id", F.col("comp_id").alias("n"))
-
-    def roots(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes["comp_id"] = nodes.n
-        return grouped_roots("image_id", ["comp_id"])(nodes, edges)
-
-    edges = edges.toDF(*edges.columns)
-    found = nodes.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInPandas(roots, "image_id long, comp_id int, root int")
-    c = comps.join(found, ["image_id", "comp_id"])
+    found = union_roots(edges).select("image_id", F.col("n").cast("int").alias("comp_id"), F.col("root").cast("int").alias("root"))
+    # most components have no edge and are groups of their own
+    c = comps.join(found, ["image_id", "comp_id"], "left").withColumn("root", F.coalesce("root", "comp_id"))
     flags = [F.min_by(f, "comp_id").alias(f) for f in ("is_fraction_line", "is_sqrt") if f in comps.columns]
     g = c.groupBy("image_id", "root").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.sum("area").alias("area"), *flags
@@ -280,13 +279,14 @@ def single_symbols(binary: DataFrame, side: int = 64) -> DataFrame:
     return s.where(F.greatest("w", "h") <= side).select("image_id", F.lit(0).alias("x"), F.lit(0).alias("y"), "w", "h")
 
 
-def segment(binary: DataFrame, height: int) -> DataFrame:
+def segment(binary: DataFrame) -> DataFrame:
     """``image_id, sym_idx, x, y, w, h, is_fraction_line, is_sqrt``: components, flagged, merged, split."""
     # each step reads the one before several times, so these small tables are written
     labelled = kept(connected_components(binary), "runs")
-    stats = kept(component_stats(labelled), "components")
-    comps = kept(flag_roots(flag_fraction_lines(stats, height), binary), "flagged")
-    merged = kept(merge_components(comps, merge_edges(comps, height)), "merged")
+    tall = binary.groupBy("image_id").agg((F.max("y") + 1).alias("image_h"))
+    stats = kept(component_stats(labelled).join(tall, "image_id"), "components")
+    comps = kept(flag_roots(flag_fraction_lines(stats, "image_h"), binary), "flagged")
+    merged = kept(merge_components(comps, merge_edges(comps, "image_h")), "merged")
     pieces = split_components(merged, binary, labelled)
     order = Window.partitionBy("image_id").orderBy("comp_id", "piece")
     flags = merged.select("image_id", "comp_id", "is_fraction_line", "is_sqrt")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formulaspark.operators.shapes import shapes
+
 
 def normalize(pixels: DataFrame) -> DataFrame:
     """White background: pictures with a mean below 127 are inverted."""
@@ -111,21 +113,21 @@ def projections(pixels: DataFrame) -> DataFrame:
 
 
 def feature_vectors(pixels: DataFrame, side: int) -> DataFrame:
-    """``image_id, features``: the parts above in one array, in a fixed order."""
+    """``image_id, features``, 95 values: geometric (6), structural (5), Hu moments (7), gradients (36),
+    grid (16), projections (20) and contour (5)."""
     pivot = lambda d, key, value, n: d.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]).alias(n))
     cells: Column = F.array([F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(36)])
     h = hog(pixels, side // 4).withColumn("k", F.col("cell") * 9 + F.col("bin"))
     h = h.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
     h = h.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("h"))
-    g = geometric(pixels, side).select("image_id", F.array("fill", "center_x", "center_y", "aspect").alias("g"))
-    c = changes(pixels, side).select("image_id", F.array("row_changes", "column_changes").alias("c"))
     hu = hu_moments(pixels).select("image_id", F.array(*[f"hu{i}" for i in range(1, 8)]).alias("u"))
     d = pivot(grid_density(pixels, side), "cell", "density", "d")
     p = projections(pixels).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("axis", "mean", "std"))), lambda s: F.array(s["mean"], s["std"]))).alias("p"))
     rows, columns = (F.max(F.when(F.col("axis") == a, F.col("samples"))) for a in ("row", "column"))
     s = projection_samples(pixels).groupBy("image_id").agg(F.concat(rows, columns).alias("s"))
-    out = g
-    for part in (c, hu, h, d, s, p):
+    out = geometric(pixels, side)
+    for part in (shapes(pixels), changes(pixels, side), hu, h, d, s, p):
         out = out.join(part, "image_id", "left")
-    zeros = F.array_repeat(F.lit(0.0), 7)
-    return out.select("image_id", F.concat("g", "c", F.coalesce("u", zeros), cells, "d", "s", "p").cast("array<float>").alias("features"))
+    plain = F.array("fill", "center_x", "center_y", "euler", "aspect", "angle", "end_points", "crossings", "loops", "row_changes", "column_changes")
+    zeros, contour = F.array_repeat(F.lit(0.0), 7), F.array("area", "perimeter", "circularity", "convexity", "rectangularity")
+    return out.select("image_id", F.concat(plain, F.coalesce("u", zeros), cells, "d", "s", "p", contour).cast("array<float>").alias("features"))

@@ -16,10 +16,11 @@ ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
 
 def to_pixels(images: DataFrame) -> DataFrame:
     """``image_id, y, x, v`` of gray ``images`` (``width``, ``data`` one byte a pixel)."""
-    pos = F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("pos")
-    cut = images.where(F.length("data") > 0).select("image_id", "width", "data", pos)
-    value = F.conv(F.hex(F.substring("data", F.col("pos") + 1, F.lit(1))), 16, 10).cast("int")
-    return cut.select("image_id", F.expr("pos div width").cast("int").alias("y"), (F.col("pos") % F.col("width")).cast("int").alias("x"), value.alias("v"))
+    # an array of rows, each of which then becomes pixels: no pixel carries more than its row's bytes
+    lines = F.transform(F.sequence(F.lit(0), F.length("data") - 1, F.col("width")), lambda at: F.hex(F.substring("data", at + 1, F.col("width"))))
+    cut = images.where((F.length("data") > 0) & (F.col("width") > 0)).select("image_id", F.posexplode(lines).alias("y", "line"))
+    pixels = cut.select("image_id", "y", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("line") - 1, F.lit(2)), lambda at: F.conv(F.substring("line", at, F.lit(2)), 16, 10).cast("int"))).alias("x", "v"))
+    return pixels.select("image_id", "y", "x", "v")
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
@@ -73,11 +74,12 @@ def otsu_thresholds(pixels: DataFrame) -> DataFrame:
 
 def _inverted_where_light(binary: DataFrame) -> DataFrame:
     """Ink becomes 255: images whose border is mostly 255 are turned round (corners count twice)."""
-    size = sizes(binary)
-    b = binary.join(size, "image_id")
-    weight = (F.col("y") == 0).cast("int") + (F.col("y") == F.col("h") - 1).cast("int") + (F.col("x") == 0).cast("int") + (F.col("x") == F.col("w") - 1).cast("int")
-    light = b.withColumn("k", weight).where("k > 0").groupBy("image_id").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k") > 127).alias("light"))
-    return binary.join(light, "image_id").select("image_id", "y", "x", F.when(F.col("light"), 255 - F.col("v")).otherwise(F.col("v")).cast("int").alias("v"))
+    whole = Window.partitionBy("image_id")
+    b = binary.withColumns({"h": F.max("y").over(whole), "w": F.max("x").over(whole)})
+    weight = (F.col("y") == 0).cast("int") + (F.col("y") == F.col("h")).cast("int") + (F.col("x") == 0).cast("int") + (F.col("x") == F.col("w")).cast("int")
+    b = b.withColumn("k", weight)
+    light = F.sum(F.col("v") * F.col("k")).over(whole) / F.sum("k").over(whole) > 127
+    return b.select("image_id", "y", "x", F.when(light, 255 - F.col("v")).otherwise(F.col("v")).cast("int").alias("v"))
 
 
 def polarity(binary: DataFrame) -> DataFrame:
@@ -183,6 +185,30 @@ def resize_nearest(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return grid.join(pixels, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
 
+def resize_linear(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Aspect-preserving resize to fit ``height`` by ``width``; each target pixel mixes its four nearest sources."""
+    s = sizes(pixels)
+    scale = F.least(F.lit(height) / F.col("h"), F.lit(width) / F.col("w"))
+    s = s.withColumns({"nh": F.greatest((F.col("h") * scale).cast("int"), F.lit(1)), "nw": F.greatest((F.col("w") * scale).cast("int"), F.lit(1))})
+    grid = s.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
+    sy, sx = (F.col("ty") + 0.5) * F.col("h") / F.col("nh") - 0.5, (F.col("tx") + 0.5) * F.col("w") / F.col("nw") - 0.5
+    inside = lambda at, n: F.greatest(F.lit(0), F.least(at.cast("int"), F.col(n) - 1))
+    fy, fx = sy - F.floor(sy), sx - F.floor(sx)
+    corners = [
+        F.struct(inside(F.floor(sy) + dy, "h").alias("y"), inside(F.floor(sx) + dx, "w").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("share")) for dy in (0, 1) for dx in (0, 1)
+    ]
+    near = grid.select("image_id", "ty", "tx", F.inline(F.array(*corners)))
+    mixed = near.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "ty", "tx").agg(F.floor(F.round(F.sum(F.col("share") * F.col("v")), 6) + 0.5).cast("int").alias("v"))
+    return mixed.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+
+
+def resize(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Nearest pixels for images of at most two levels, one of them 0 or 255; linear for others."""
+    levels = pixels.groupBy("image_id").agg(F.count_distinct("v").alias("n"), F.bool_or(F.col("v").isin(0, 255)).alias("ends"))
+    plain = levels.where("n <= 2 and ends").select("image_id")
+    return resize_nearest(pixels.join(plain, "image_id", "left_semi"), height, width).unionByName(resize_linear(pixels.join(plain, "image_id", "left_anti"), height, width))
+
+
 def pad_to(pixels: DataFrame, height: int, width: int, value: int = 255) -> DataFrame:
     """Centred on a canvas of ``height`` by ``width``."""
     s = sizes(pixels)
@@ -261,11 +287,13 @@ def rotated(a: np.ndarray, angle: float) -> np.ndarray:
     return np.floor(out + 0.5).astype(np.uint8)
 
 
-_PIXELS = "image_id long, y int, x int, v int"
+def _kind(table: DataFrame) -> str:
+    """A pixel table with the ids of ``table``."""
+    return f"image_id {table.schema['image_id'].dataType.simpleString()}, y int, x int, v int"
 
 
 def skeletonize(binary: DataFrame) -> DataFrame:
-    return binary.groupBy("image_id").applyInPandas(lambda key, image: _frame(key[0], thinned(_array(image) > 0) * 255), _PIXELS)
+    return binary.groupBy("image_id").applyInPandas(lambda key, image: _frame(key[0], thinned(_array(image) > 0) * 255), _kind(binary))
 
 
 def rotate(pixels: DataFrame, angles: DataFrame) -> DataFrame:
@@ -274,11 +302,11 @@ def rotate(pixels: DataFrame, angles: DataFrame) -> DataFrame:
     def turn(key, image: pd.DataFrame, angle: pd.DataFrame) -> pd.DataFrame:
         by = float(angle.angle.iloc[0]) if len(angle) and angle.angle.notna().iloc[0] else 0.0
         if not len(image):
-            return pd.DataFrame({"image_id": [], "y": [], "x": [], "v": []}).astype("int64")
+            return pd.DataFrame({"image_id": pd.Series(dtype=angle.image_id.dtype), "y": [], "x": [], "v": []}).astype({"y": "int32", "x": "int32", "v": "int32"})
         return _frame(key[0], rotated(_array(image), by) if by else _array(image))
 
     angles = angles.toDF(*angles.columns)  # columns of their own: angles come from pixels
-    return pixels.groupBy("image_id").cogroup(angles.groupBy("image_id")).applyInPandas(turn, _PIXELS)
+    return pixels.groupBy("image_id").cogroup(angles.groupBy("image_id")).applyInPandas(turn, _kind(pixels))
 
 
 def border_distance(ink: np.ndarray) -> np.ndarray:
@@ -303,7 +331,7 @@ def normalize_stroke_width(binary: DataFrame, target: int = 3) -> DataFrame:
             ink = near.all(0) if width > target else near.any(0)
         return _frame(key[0], ink * 255)
 
-    return binary.groupBy("image_id").applyInPandas(change, _PIXELS)
+    return binary.groupBy("image_id").applyInPandas(change, _kind(binary))
 
 
 def enhance_contrast(pixels: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
@@ -326,7 +354,7 @@ def enhance_contrast(pixels: DataFrame, clip: float = 2.0, tiles: int = 8) -> Da
         mixed = (1 - fy) * ((1 - fx) * pick(y0, x0) + fx * pick(y0, x0 + 1)) + fy * ((1 - fx) * pick(y0 + 1, x0) + fx * pick(y0 + 1, x0 + 1))
         return _frame(key[0], np.clip(np.floor(mixed + 0.5), 0, 255))
 
-    return pixels.groupBy("image_id").applyInPandas(change, _PIXELS)
+    return pixels.groupBy("image_id").applyInPandas(change, _kind(pixels))
 
 
 def preprocess(pixels: DataFrame) -> DataFrame:

@@ -82,5 +82,5 @@ def to_latex(terms: DataFrame, letter: str = "x") -> DataFrame:
     term = F.concat(F.when(F.col("coef") < 0, " - ").otherwise(" + "), body)
     rows = F.array_sort(F.collect_list(F.struct(-F.col("power").alias("p"), term.alias("t"))))
     joined = terms.where("coef <> 0").groupBy("formula_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias("s"))
-    first = F.when(F.col("s").startswith(" - "), F.concat(F.lit("-"), F.substring("s", 4, 1000))).otherwise(F.substring("s", 4, 1000))
+    first = F.when(F.col("s").startswith(" - "), F.concat(F.lit("-"), F.expr("substring(s, 4)"))).otherwise(F.expr("substring(s, 4)"))
     return joined.select("formula_id", first.alias("latex"))

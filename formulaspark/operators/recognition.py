@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from formulaspark.sources.scratch import kept
 
 #: Labels that are easily taken for each other.
 CONFUSABLE = [("0", "O"), ("0", "o"), ("1", "l"), ("1", "I"), ("1", "|"), ("2", "Z"), ("2", "z"), ("5", "S"), ("5", "s"), ("6", "b"), ("6", "G"), ("8", "B"), ("x", "times"), ("minus", "line")]
@@ -37,7 +42,8 @@ def standardize(vectors: DataFrame, scale: DataFrame) -> DataFrame:
 
 def stratified_split(rows: DataFrame, share: float = 0.2, key: str = "id") -> DataFrame:
     """``rows`` with ``is_test``: of each label the first ``round(share * n)`` by a hash of the id."""
-    h = F.pmod(F.col(key) * 2654435761, F.lit(4294967296))
+    number = F.col(key) if isinstance(rows.schema[key].dataType, IntegralType) else F.xxhash64(key)
+    h = F.pmod(F.pmod(number, F.lit(1 << 31)) * 2654435761, F.lit(4294967296))
     per = Window.partitionBy("label")
     n = F.count("*").over(per)
     return rows.withColumn("is_test", F.row_number().over(per.orderBy(h, key)) <= F.floor(n * share + 0.5))
@@ -55,6 +61,14 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     return r.select("label", F.round(p, 6).alias("precision"), F.round(c, 6).alias("recall"), F.round(f1, 6).alias("f1"), "support")
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """``label, precision, recall, f1, support``: plain (``macro avg``) and by support (``weighted avg``) over a report's classes."""
+    names, n = ("precision", "recall", "f1"), F.sum("support")
+    both = report.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.try_divide(F.sum(F.col(c) * F.col("support")), n).alias(f"w_{c}") for c in names], n.alias("support"))
+    rows = F.array(*[F.struct(F.lit(f"{name} avg").alias("label"), *[F.round(F.coalesce(f"{name[0]}_{c}", F.lit(0.0)), 6).alias(c) for c in names], F.coalesce("support", F.lit(0)).alias("support")) for name in ("macro", "weighted")])
+    return both.select(F.inline(rows))
+
+
 def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.round(F.avg((F.col("y") == F.col("pred")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
 
@@ -68,28 +82,40 @@ def top_candidates(probabilities: DataFrame, k: int = 3, key: str = "vec_id") ->
 def nearest_labels(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """k-NN by Euclidean distance: ``id, pred, prob``; majority of the ``k`` nearest, ties to the smaller label.
 
-    Training rows are dealt to blocks; every query meets every block once, each task
-    multiplies two matrices and sends on its best ``k``.
+    Training rows are dealt once to parts of about ``block`` rows; a task holds one part as a matrix
+    and streams the queries, of which each part gets a copy, past it.
     """
-    t = train.select("id", "label", "features")
-    q = queries.select(F.col("id").alias("query"), F.col("features"))
-    n = max(1, -(-t.count() // block))
-    nq = max(1, -(-q.count() // block))
-    t = t.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = q.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(nq))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def near(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query": "int64", "id": "int64", "label": "int64", "d": "float64"}
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({c: [] for c in columns}).astype(columns)
-        a, b = np.stack(asked.features.to_list()).astype(float), np.stack(rows.features.to_list()).astype(float)
-        d = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None]
-        d = np.round(d, 9)
-        own = np.lexsort((np.broadcast_to(rows.id.to_numpy(), d.shape), d), axis=1)[:, :k]
-        flat = own.ravel()
-        return pd.DataFrame({"query": np.repeat(asked["query"].to_numpy(), own.shape[1]), "id": rows.id.to_numpy()[flat], "label": rows.label.to_numpy()[flat], "d": np.take_along_axis(d, own, 1).ravel()})
-
-    found = t.groupBy("part", "slice").cogroup(q.groupBy("part", "slice")).applyInPandas(near, "query long, id long, label long, d double")
+    n = max(1, -(-train.count() // block))
+    values = F.col("features").cast("array<double>").alias("features")
+    t = train.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "label", values)
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(True).alias("asks"), "id", F.lit(None).cast(train.schema["label"].dataType).alias("label"), values)
+
+    def near(frames):
+        part, held, matrix = None, [], None
+        for frame in frames:
+            for (p, asks), own in frame.groupby(["part", "asks"], sort=True):
+                if p != part:
+                    part, held, matrix = p, [], None
+                if not asks:
+                    held.append(own)
+                    continue
+                if matrix is None and held:
+                    rows = pd.concat(held)
+                    held, matrix = [], np.stack(rows.features.to_list()).astype(float)
+                    order = np.unique(rows.id.to_numpy(), return_inverse=True)[1]
+                if matrix is None:
+                    continue
+                for at in range(0, len(own), 512):
+                    asked = own.iloc[at : at + 512]
+                    a = np.stack(asked.features.to_list()).astype(float)
+                    d = np.round((a * a).sum(1)[:, None] - 2 * a @ matrix.T + (matrix * matrix).sum(1)[None], 9)
+                    best = np.lexsort((np.broadcast_to(order, d.shape), d), axis=1)[:, :k]
+                    flat = best.ravel()
+                    yield pd.DataFrame({"query": np.repeat(asked.id.to_numpy(), best.shape[1]), "id": rows.id.to_numpy()[flat], "label": rows.label.to_numpy()[flat], "d": np.take_along_axis(d, best, 1).ravel()})
+
+    type_of = lambda table, name: table.schema[name].dataType.simpleString()
+    both = t.union(q).repartitionById(n, "part").sortWithinPartitions("part", "asks")
+    found = both.mapInPandas(near, f"query {type_of(queries, 'id')}, id {type_of(train, 'id')}, label {type_of(train, 'label')}, d double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = best.groupBy("query", "label").agg(F.count("*").alias("n"))
     first = Window.partitionBy("query").orderBy(F.col("n").desc(), "label")
@@ -171,7 +197,7 @@ def fourier_features(vectors: DataFrame, gamma: float, n: int = 256, seed: int =
 CLASSIFIERS = ("random_forest", "svm", "knn")
 
 
-def fit_classifier(train: DataFrame, kind: str = "svm", trees: int = 100, depth: int = 12) -> PipelineModel:
+def fit_classifier(train: DataFrame, kind: str = "svm", trees: int = 100, depth: int = 12, penalty: float = 1e-3) -> PipelineModel:
     """A pipeline from ``label`` (string) and ``features`` (vector) to ``probability``.
 
     ``svm`` expects Fourier features and fits multinomial logistic regression on them,
@@ -183,7 +209,7 @@ def fit_classifier(train: DataFrame, kind: str = "svm", trees: int = 100, depth:
     if kind == "random_forest":
         fit = RandomForestClassifier(labelCol="idx", featuresCol="vector", numTrees=trees, maxDepth=depth, seed=42)
     else:
-        fit = LogisticRegression(labelCol="idx", featuresCol="vector", maxIter=50, regParam=1e-3)
+        fit = LogisticRegression(labelCol="idx", featuresCol="vector", maxIter=50, regParam=penalty)
     return Pipeline(stages=[index, fit]).fit(train.withColumn("vector", array_to_vector(F.col("features").cast("array<double>"))))
 
 
@@ -196,6 +222,71 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumns({"prob": best, "pred": F.get(names, F.array_position(p, best).cast("int") - 1)}).drop("vector", "rawPrediction", "probability", "prediction")
 
 
+def mean_variance(vectors: DataFrame) -> float:
+    """The variance of all entries of ``features`` arrays together."""
+    return vectors.select(F.explode("features").alias("v")).agg(F.var_pop(F.col("v").cast("double")).alias("v")).first()["v"] or 1.0
+
+
+@dataclass(frozen=True)
+class Recognizer:
+    """A scaler, and a fitted pipeline or, for ``knn``, the rows that were learned."""
+
+    kind: str
+    scale: DataFrame
+    gamma: float = 0.0
+    model: PipelineModel | None = None
+    learned: DataFrame | None = None
+
+    def predict(self, vectors: DataFrame) -> DataFrame:
+        """``id, pred, prob`` of ``vectors`` (``id, features``)."""
+        rows = standardize(vectors.select("id", "features"), self.scale)
+        if self.kind == "knn":
+            return nearest_labels(rows, self.learned).select("id", "pred", "prob")
+        if self.kind == "svm":
+            rows = fourier_features(rows, self.gamma)
+        return predict(self.model, rows.withColumn("label", F.lit(""))).select("id", "pred", "prob")
+
+    def save(self, path: str) -> None:
+        spark = self.scale.sparkSession
+        spark.createDataFrame([(self.kind, self.gamma)], "kind string, gamma double").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        self.scale.write.mode("overwrite").parquet(f"{path}/scale")
+        if self.model:
+            self.model.write().overwrite().save(f"{path}/model")
+        if self.learned:
+            self.learned.write.mode("overwrite").parquet(f"{path}/learned")
+
+
+def create_recognizer(spark: SparkSession, path: str) -> Recognizer:
+    """A recognizer that ``save`` wrote."""
+    kind, gamma = spark.read.parquet(f"{path}/about").first()
+    model = None if kind == "knn" else PipelineModel.load(f"{path}/model")
+    return Recognizer(kind, spark.read.parquet(f"{path}/scale"), gamma, model, spark.read.parquet(f"{path}/learned") if kind == "knn" else None)
+
+
+def train(vectors: DataFrame, kind: str = "svm", share: float = 0.2, c: float = 10.0) -> tuple[Recognizer, DataFrame]:
+    """A recognizer from ``id, label, features``, and the pairs ``y, pred`` of its held-out rows.
+
+    The scaler is fitted on all rows before the split.  ``svm`` takes the kernel width ``scale``
+    (one over features times their variance) and the penalty ``1 / (c n)``.
+    """
+    if kind not in CLASSIFIERS:
+        raise ValueError(f"no classifier of kind {kind!r}")
+    scale = kept(scaler(vectors), "scale")
+    rows = kept(stratified_split(standardize(vectors.select("id", "label", "features"), scale), share), "scaled")
+    seen, held = rows.where("not is_test"), rows.where("is_test")
+    if kind == "knn":
+        made = Recognizer(kind, scale, learned=seen.select("id", "label", "features"))
+        found = nearest_labels(held.select("id", "features"), made.learned)
+    else:
+        gamma, n = 0.0, max(seen.count(), 1)
+        if kind == "svm":
+            gamma = 1.0 / (scale.count() * mean_variance(seen))
+            seen, held = fourier_features(seen, gamma), fourier_features(held, gamma)
+        made = Recognizer(kind, scale, gamma, fit_classifier(seen, kind, penalty=1.0 / (c * n)))
+        found = predict(made.model, held)
+    return made, held.select("id", F.col("label").alias("y")).join(found.select("id", "pred"), "id").select("y", "pred")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

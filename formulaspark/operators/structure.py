@@ -7,6 +7,7 @@ results, and null labels give empty text.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,26 +75,30 @@ def spatial_relations(symbols: DataFrame) -> DataFrame:
     return pairs.select("formula_id", "i", "j", relation(Box.of("a"), Box.of("b"), F.col("ais_fraction_line")).alias("rel")).where("rel is not null")
 
 
-def structure_groups(symbols: DataFrame) -> DataFrame:
-    """``formula_id, type, anchor_idx, role, member_idx``; a root without members has a null member."""
-    a, b = Box.of("a"), Box.of("b")
-    pairs = symbol_pairs(symbols).withColumn("rel", relation(a, b, F.col("ais_fraction_line")))
+def _group_roles(a: Box, b: Box, rel: Column) -> Column:
+    """For a pair of symbols, an array of (type, role of the second in a group of the first)."""
     reach = F.greatest(b.h * 2, F.lit(50))
     covered = a.coverage(b) > 0.2
     fraction = (
-        F.when(F.col("rel").isin("numerator", "denominator"), F.col("rel"))
+        F.when(rel.isin("numerator", "denominator"), rel)
         .when(covered & (b.center_y < a.center_y) & (a.y - b.y2 < reach), "numerator")
         .when(covered & (b.center_y > a.center_y) & (b.y - a.y2 < reach), "denominator")
     )
     inner = F.when((b.center_x > a.x + a.w * 0.3) & (b.center_x < a.x2) & (b.center_y > a.y) & (b.center_y < a.y2), "inner")
-    limit = F.when(F.col("rel") == "above", "upper").when(F.col("rel") == "below", "lower").when(F.col("rel") == "right", "operand")
+    limit = F.when(rel == "above", "upper").when(rel == "below", "lower").when(rel == "right", "operand")
     big = F.col("ais_sum") | F.col("ais_integral")
-    kinds = F.array(
+    return F.array(
         F.struct(F.lit("fraction").alias("type"), F.when(F.col("ais_fraction_line"), fraction).alias("role")),
         F.struct(F.lit("sqrt").alias("type"), F.when(F.col("ais_sqrt"), inner).alias("role")),
         F.struct(F.when(F.col("ais_sum"), "sum").otherwise("integral").alias("type"), F.when(big, limit).alias("role")),
     )
-    members = pairs.select("formula_id", F.col("i").alias("anchor_idx"), F.explode(kinds).alias("g"), F.col("j").alias("member_idx"))
+
+
+def structure_groups(symbols: DataFrame) -> DataFrame:
+    """``formula_id, type, anchor_idx, role, member_idx``; a root without members has a null member."""
+    a, b = Box.of("a"), Box.of("b")
+    pairs = symbol_pairs(symbols).withColumn("rel", relation(a, b, F.col("ais_fraction_line")))
+    members = pairs.select("formula_id", F.col("i").alias("anchor_idx"), F.explode(_group_roles(a, b, F.col("rel"))).alias("g"), F.col("j").alias("member_idx"))
     members = members.select("formula_id", "g.type", "anchor_idx", "g.role", "member_idx").where("role is not null")
     # roots and large operators are groups even without members
     alone = symbols.select(
@@ -132,9 +137,8 @@ def script_anchors(symbols: DataFrame) -> DataFrame:
     return ranked.select("formula_id", F.col("i").alias("base_idx"), F.col("j").alias("script_idx"), "rel")
 
 
-NODES = "formula_id long, node_id int, parent_id int, role string, ord int, node_type string, value string"
-_NODE_NAMES = [c.split()[0] for c in NODES.split(", ")]
-_NODE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+NODE = "node_id int, parent_id int, role string, ord int, node_type string, value string"
+_NODE_TYPES = {"node_id": pa.int32(), "parent_id": pa.int32(), "role": pa.string(), "ord": pa.int32(), "node_type": pa.string(), "value": pa.string()}
 
 
 def _tree(literal: bool):
@@ -144,16 +148,19 @@ def _tree(literal: bool):
     one step that is not a join.
     """
 
-    def build(formula: int, symbols: list[dict], links: list[dict]) -> list[tuple]:
+    def build(symbols: list[dict], links: list[dict]) -> list[tuple]:
         rows: list[tuple] = []
         label, left = {s["sym_idx"]: s["label"] for s in symbols}, {s["sym_idx"]: s["x"] for s in symbols}
 
         def node(parent, role, ord_, kind, value=None) -> int:
-            rows.append((formula, len(rows), parent, role, ord_, kind, value))
+            rows.append((len(rows), parent, role, ord_, kind, value))
             return len(rows) - 1
 
         scripts: dict[int, list[tuple[int, str]]] = {}
         members_of: dict[tuple[int, str], dict[str, list[int]]] = {}
+        for s in symbols:  # roots and large operators are groups even without members
+            for kind in (["sqrt"] if s["is_sqrt"] else []) + (["sum"] if s["is_sum"] else ["integral"] if s["is_integral"] else []):
+                members_of[s["sym_idx"], kind] = {}
         for link in sorted(links, key=lambda k: (k["i"], -1 if k["j"] is None else k["j"])):
             if link["type"] is None:
                 if link["rel"] in ("superscript", "subscript"):
@@ -217,38 +224,54 @@ def _tree(literal: bool):
         # group nodes that found a place take it; those claimed by another group go, with all below
         used = {span[0]: at for span, at in kept}
         drop = {n for span in trees.values() if span[0] not in used for n in range(*span)}
-        return [(*r[:4], used.get(r[1], r[4]), *r[5:]) for r in rows if r[1] not in drop]
+        return [(*r[:3], used.get(r[0], r[3]), *r[4:]) for r in rows if r[0] not in drop]
 
     def trees_of(batches):
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("formula_id", "symbols", "links"))
-            rows = [row for formula, symbols, links in zip(*columns, strict=True) for row in build(formula, symbols, links or [])]
-            values = zip(*rows, strict=True) if rows else ([] for _ in _NODE_TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _NODE_TYPES, strict=True)], _NODE_NAMES)
+            columns = (batch.column(c).to_pylist() for c in ("symbols", "links"))
+            trees = [build(symbols, links or []) for symbols, links in zip(*columns, strict=True)]
+            offsets = np.cumsum([0, *map(len, trees)])
+            values = list(zip(*(row for tree in trees for row in tree), strict=True)) or [()] * len(_NODE_TYPES)
+            nodes = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(values, _NODE_TYPES.values(), strict=True)], names=list(_NODE_TYPES))
+            yield pa.RecordBatch.from_arrays([batch.column("formula_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)], ["formula_id", "nodes"])
 
     return trees_of
 
 
+def _trees(symbols: DataFrame, literal: bool) -> DataFrame:
+    """``formula_id, nodes``: each formula's tree as one array.  One pass over pairs serves relations and groups."""
+    a, b = Box.of("a"), Box.of("b")
+    rel = F.col("rel")
+    pairs = symbol_pairs(symbols).withColumn("rel", relation(a, b, F.col("ais_fraction_line")))
+    script = F.struct(F.lit(None).cast("string").alias("type"), F.when(rel.isin("superscript", "subscript"), rel).alias("role"))
+    roles = F.filter(F.concat(F.array(script), _group_roles(a, b, rel)), lambda g: g["role"].isNotNull())
+    links = pairs.select("formula_id", "i", "j", F.explode(roles).alias("g"))
+    links = links.groupBy("formula_id").agg(F.collect_list(F.struct("i", "j", F.col("g.role").alias("rel"), F.col("g.type").alias("type"))).alias("links"))
+    ordered = symbols.join(reading_order(symbols), ["formula_id", "sym_idx"]).groupBy("formula_id")
+    ordered = ordered.agg(F.collect_list(F.struct("sym_idx", "x", "label", "rank", "is_sqrt", "is_sum", "is_integral")).alias("symbols"))
+    kind = f"formula_id {symbols.schema['formula_id'].dataType.simpleString()}, nodes array<struct<{NODE.replace(' ', ':').replace(',:', ', ')}>>"
+    return ordered.join(links, "formula_id", "left").select("formula_id", "symbols", "links").mapInArrow(_tree(literal), kind)
+
+
 def build_syntax_tree(symbols: DataFrame, literal: bool = False) -> DataFrame:
     """``nodes`` of each formula: adjacency rows with parent, role and order among siblings.
 
     ``literal`` drops groups whose anchor is the first symbol, as a falsy index once did.
     """
-    relations = spatial_relations(symbols).select("formula_id", "i", "j", "rel", F.lit(None).cast("string").alias("type"))
-    groups = structure_groups(symbols).select("formula_id", F.col("anchor_idx").alias("i"), F.col("member_idx").alias("j"), F.col("role").alias("rel"), "type")
-    links = relations.union(groups).groupBy("formula_id").agg(F.collect_list(F.struct("i", "j", "rel", "type")).alias("links"))
-    ordered = symbols.join(reading_order(symbols), ["formula_id", "sym_idx"]).groupBy("formula_id").agg(F.collect_list(F.struct("sym_idx", "x", "label", "rank")).alias("symbols"))
-    return ordered.join(links, "formula_id", "left").select("formula_id", "symbols", "links").mapInArrow(_tree(literal), NODES)
+    return _trees(symbols, literal).select("formula_id", F.inline("nodes"))
 
 
 def render_latex(nodes: DataFrame) -> DataFrame:
-    """``formula_id, latex`` of trees whose children have larger ids than their parents.
+    """``formula_id, latex`` of trees whose children have larger ids than their parents."""
+    n = F.struct("node_id", "parent_id", "role", "ord", "node_type", "value")
+    return _rendered(nodes.groupBy("formula_id").agg(F.collect_list(n).alias("nodes")))
 
-    One fold per formula, from the last node up: rendered children wait in an array until
-    their parent takes them.
-    """
-    n = F.struct(-F.col("node_id").alias("at"), "node_id", "parent_id", "ord", "node_type", symbol_latex(F.col("value")).alias("latex"))
-    grouped = nodes.groupBy("formula_id").agg(F.array_sort(F.collect_list(n)).alias("nodes"))
+
+def _rendered(trees: DataFrame) -> DataFrame:
+    """One fold per formula, from the last node up: rendered children wait in an array until
+    their parent takes them."""
+    n = lambda t: F.struct(-t["node_id"], t["node_id"].alias("node_id"), t["parent_id"].alias("parent_id"), t["ord"].alias("ord"), t["node_type"].alias("node_type"), symbol_latex(t["value"]).alias("latex"))
+    grouped = trees.select("formula_id", F.array_sort(F.transform("nodes", n)).alias("nodes"))
     empty = F.array().cast("array<struct<ord:int,parent:int,latex:string>>")
 
     def step(acc, node):
@@ -291,4 +314,4 @@ def tree_text(nodes: DataFrame) -> DataFrame:
 
 def analyze_structure(symbols: DataFrame) -> DataFrame:
     """``formula_id, latex`` from symbols: relations, groups, order, tree, text."""
-    return render_latex(build_syntax_tree(symbols))
+    return _rendered(_trees(symbols, literal=False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formulaspark.functions.latex import semantics
 from formulaspark.operators import components, features, pixels, recognition, structure
+from formulaspark.sources.scratch import kept
 
 
 def process_semantic(formulas: DataFrame, mode: str = "contract") -> DataFrame:
@@ -14,24 +15,54 @@ def process_semantic(formulas: DataFrame, mode: str = "contract") -> DataFrame:
     return formulas.withColumns(semantics(F.col("latex"), mode))
 
 
-def recognize(images: DataFrame, model, height: int, width: int, side: int = 32) -> DataFrame:
-    """``image_id, success, latex, num_symbols, formula_type, warnings`` of every image of a table
-    of pixels; images without ink stay, with a warning."""
-    binary = pixels.preprocess(images)
-    found = components.segment(binary, height)
-    crops = components.crop_symbols(found.withColumnRenamed("sym_idx", "comp_id"), binary)
-    key = F.col("image_id") * 10_000 + F.col("comp_id")
-    small = pixels.resize_nearest(crops.select(key.alias("image_id"), "y", "x", (255 - F.col("v")).alias("v")), side, side)
-    vectors = features.feature_vectors(features.normalize(pixels.pad_to(small, side, side)), side)
-    guessed = recognition.predict(model, vectors.withColumn("label", F.lit(""))) if model is not None else None
+def symbol_pictures(images: DataFrame, side: int = 32) -> DataFrame:
+    """Pixel tables of single symbols, brought to ``side`` by ``side`` with a white background."""
+    return features.normalize(pixels.pad_to(pixels.resize(images, side, side), side, side))
+
+
+def train_recognizer(images: DataFrame, kind: str = "svm", side: int = 32) -> tuple[recognition.Recognizer, DataFrame, DataFrame]:
+    """From labelled images (``image_id, label, width, data``): a recognizer, the report of its held-out
+    rows with averages, and their accuracy."""
+    vectors = features.feature_vectors(symbol_pictures(pixels.to_pixels(images), side), side)
+    labelled = kept(vectors.join(images.select("image_id", "label"), "image_id").withColumnRenamed("image_id", "id"), "training-vectors")
+    made, pairs = recognition.train(labelled, kind)
+    pairs = kept(pairs, "held-out")
+    report = recognition.classification_report(pairs)
+    return made, report.unionByName(recognition.report_averages(report)), recognition.accuracy(pairs)
+
+
+def recognize(images: DataFrame, model: recognition.Recognizer | None = None, side: int = 32) -> DataFrame:
+    """``image_id, success, latex, num_symbols, formula_type, errors, warnings`` of every image.
+
+    ``images`` has ``image_id`` of any type, ``height, width`` and ``data``, a byte a pixel; each has
+    its own size.  An image whose data do not fit its size, or that has none, is a row with an
+    error; one without ink a row with a warning.  Images of at most 64 by 64 are one symbol.
+    """
+    fits = F.coalesce((F.col("height") > 0) & (F.col("width") > 0) & (F.length("data") == F.col("height") * F.col("width")), F.lit(False))
+    known = kept(images.select("image_id", "height", "width", "data", fits.alias("fits")), "images")
+    binary = kept(pixels.preprocess(pixels.to_pixels(known.where("fits"))), "binary")
+    inked = binary.where("v > 0").select("image_id").distinct()
+    alone = components.single_symbols(binary).join(inked, "image_id", "left_semi").select("image_id", F.lit(0).alias("sym_idx"), "x", "y", "w", "h", F.lit(False).alias("is_fraction_line"), F.lit(False).alias("is_sqrt"))
+    several = components.segment(binary.join(alone.select("image_id"), "image_id", "left_anti"))
+    found = kept(several.unionByName(alone), "symbols")
     symbols = found.withColumnRenamed("image_id", "formula_id").withColumns({"is_sum": F.lit(False), "is_integral": F.lit(False)})
-    if guessed is not None:
-        guessed = guessed.select(F.floor(F.col("image_id") / 10_000).alias("formula_id"), (F.col("image_id") % 10_000).cast("int").alias("sym_idx"), "pred", "prob")
-    labels = recognition.recognize_symbols(symbols, guessed)
+    guessed = None
+    if model is not None:
+        key = F.struct("image_id", "sym_idx")
+        crops = components.crop_symbols(found.withColumnRenamed("sym_idx", "comp_id"), binary).withColumnRenamed("comp_id", "sym_idx")
+        pictures = symbol_pictures(crops.select(F.to_json(key).alias("image_id"), "y", "x", (255 - F.col("v")).alias("v")), side)
+        vectors = features.feature_vectors(pictures, side).withColumnRenamed("image_id", "id")
+        names = found.select(F.to_json(key).alias("id"), F.col("image_id").alias("formula_id"), "sym_idx")
+        guessed = model.predict(vectors).join(names, "id").select("formula_id", "sym_idx", "pred", "prob")
+    labels = kept(recognition.recognize_symbols(symbols, guessed), "labels")
     read = structure.analyze_structure(symbols.join(labels, ["formula_id", "sym_idx"]))
-    counted = labels.groupBy("formula_id").agg(F.count("*").alias("num_symbols"))
-    out = images.select(F.col("image_id").alias("formula_id")).distinct().join(read, "formula_id", "left").join(counted, "formula_id", "left")
+    counted = labels.groupBy("formula_id").agg(F.count("*").cast("int").alias("num_symbols"))
+    out = known.select(F.col("image_id").alias("formula_id"), "fits").join(read, "formula_id", "left").join(counted, "formula_id", "left")
     out = process_semantic(out)
     n = F.coalesce("num_symbols", F.lit(0))
-    warnings = F.when(n == 0, F.concat("warnings", F.array(F.lit("no symbols")))).otherwise(F.col("warnings"))
-    return out.select(F.col("formula_id").alias("image_id"), (n > 0).alias("success"), "latex", n.alias("num_symbols"), "formula_type", warnings.alias("warnings"))
+    broken = F.array(F.lit("the image cannot be read"))
+    errors = F.when(~F.col("fits"), broken).when(n == 0, F.array().cast("array<string>")).otherwise(F.col("errors"))
+    warnings = F.when(F.col("fits") & (n == 0), F.array(F.lit("no symbols"))).when(n == 0, F.array().cast("array<string>"))
+    warnings = warnings.when(F.lit(model is None), F.concat("warnings", F.array(F.lit("no model")))).otherwise(F.col("warnings"))
+    kind = F.when(n > 0, F.col("formula_type"))
+    return out.select(F.col("formula_id").alias("image_id"), (n > 0).alias("success"), "latex", n.alias("num_symbols"), kind.alias("formula_type"), errors.alias("errors"), warnings.alias("warnings"))

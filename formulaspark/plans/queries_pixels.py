@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from formulaspark.operators import components as C
 from formulaspark.operators import features as V
 from formulaspark.operators import pixels as P
+from formulaspark.operators.shapes import shapes
 from formulaspark.plans import fixtures as T
+from formulaspark.plans.pipelines import recognize, train_recognizer
 from formulaspark.sources import images as S
 
 QUERIES: dict = {}
@@ -241,7 +243,7 @@ def split_points(spark, d):
 
 @query("segmented")
 def segmented(spark, d):
-    return C.segment(ink(spark, d), H)
+    return C.segment(ink(spark, d))
 
 
 @query("skeletons")
@@ -341,6 +343,32 @@ def projection_features(spark, d):
     return V.projections(marks(spark, d)).select("image_id", "axis", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+@query("resized_linear", f"""WITH g AS (SELECT p.image_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, (ty + 0.5::DOUBLE) * {T.SIDE} / 20 - 0.5 AS sy, (tx + 0.5::DOUBLE) * {T.SIDE} / 20 - 0.5 AS sx FROM (SELECT DISTINCT image_id FROM pixels) p, range(20) a(ty), range(20) b(tx)),
+    c AS (SELECT image_id, ty, tx, greatest(0, least(CAST(floor(sy) AS INT) + dy, {T.SIDE} - 1)) AS y, greatest(0, least(CAST(floor(sx) AS INT) + dx, {T.SIDE} - 1)) AS x, (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS share FROM g, (VALUES (0), (1)) q(dy), (VALUES (0), (1)) r(dx))
+    SELECT image_id, ty AS y, tx AS x, CAST(floor(round(sum(share * v), 6) + 0.5) AS INT) AS v FROM c JOIN pixels USING (image_id, y, x) GROUP BY image_id, ty, tx""", "pixels")
+def resized_linear(spark, d):
+    return P.resize(T.pixels(spark, d), 20, 20)
+
+
+@query("shape_features")
+def shape_features(spark, d):
+    """Euler number, rectangle angle, skeleton points, loops and contour values."""
+    return shapes(marks(spark, d))
+
+
+@query("recognized_images")
+def recognized_images(spark, d):
+    """Every picture through the whole pipeline, from its bytes on; no model, so symbols keep numbers."""
+    return recognize(P.to_images(T.pixels(spark, d)))
+
+
+@query("trained_labels")
+def trained_labels(spark, d):
+    """The report of a k-NN recognizer on held-out pictures."""
+    labels = T.glyphs(spark, d).select(F.col("vec_id").alias("image_id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("label")).distinct()
+    return train_recognizer(P.to_images(T.pixels(spark, d)).join(labels, "image_id"), "knn")[1]
+
+
 @query("feature_vectors")
 def feature_vectors(spark, d):
     return V.feature_vectors(marks(spark, d), 8)

@@ -335,7 +335,7 @@ def standardized(spark, d):
 
 @query(
     "stratified_split",
-    """SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) AS is_test FROM embeddings""",
+    """SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY ((vec_id % 2147483648) * 2654435761) % 4294967296, vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) AS is_test FROM embeddings""",
 )
 def stratified_split(spark, d):
     return M.stratified_split(_vectors(spark, d)).select(F.col("id").alias("vec_id"), "label", "is_test")
@@ -351,6 +351,18 @@ def classification_report(spark, d):
     return M.classification_report(T.report(spark, d))
 
 
+@query(
+    "report_averages",
+    """WITH l AS (SELECT DISTINCT y AS label FROM report UNION SELECT DISTINCT pred FROM report), r AS (SELECT label, (SELECT count(*) FROM report WHERE y = label AND pred = label) AS hit, (SELECT count(*) FROM report WHERE pred = label) AS g, (SELECT count(*) FROM report WHERE y = label) AS n FROM l),
+    p AS (SELECT n, round(coalesce(hit / nullif(g, 0), 0), 6) AS p, round(coalesce(hit / nullif(n, 0), 0), 6) AS c, round(coalesce(2 * (hit / nullif(g, 0)) * (hit / nullif(n, 0)) / nullif(hit / nullif(g, 0) + hit / nullif(n, 0), 0), 0), 6) AS f FROM r)
+    SELECT 'macro avg' AS label, round(avg(p), 6) AS precision, round(avg(c), 6) AS recall, round(avg(f), 6) AS f1, CAST(sum(n) AS BIGINT) AS support FROM p
+    UNION ALL SELECT 'weighted avg', round(sum(p * n) / sum(n), 6), round(sum(c * n) / sum(n), 6), round(sum(f * n) / sum(n), 6), CAST(sum(n) AS BIGINT) FROM p""",
+    "report",
+)
+def report_averages(spark, d):
+    return M.report_averages(M.classification_report(T.report(spark, d)))
+
+
 @query("accuracy", "SELECT round(avg(CAST(y = pred AS INT)), 6) AS accuracy, count(*) AS n FROM report", "report")
 def accuracy(spark, d):
     return M.accuracy(T.report(spark, d))

@@ -36,8 +36,8 @@ def load_summary(images: DataFrame) -> DataFrame:
 
 
 def read_latex(spark: SparkSession, path: str) -> DataFrame:
-    """``formula_id, latex`` from lines of text."""
-    return spark.read.text(path).select(F.xxhash64("value").alias("formula_id"), F.col("value").alias("latex"))
+    """``formula_id, latex`` from lines of text; equal lines are formulas of their own."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("formula_id"), F.col("value").alias("latex"))
 
 
 def write_results(results: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from formulaspark.operators import components as C
 from formulaspark.operators import pixels as P
@@ -47,7 +48,7 @@ def test_components_and_order(spark):
     assert stats == {0: (5, 300), 1: (30, 300), 2: (55, 300)}
     turned = C.component_stats(C.connected_components(table(spark, {1: three_boxes().T})))
     assert turned.count() == 3
-    assert [r.x for r in C.segment(t, 40).orderBy("sym_idx").collect()] == [5, 30, 55]
+    assert [r.x for r in C.segment(t).orderBy("sym_idx").collect()] == [5, 30, 55]
 
 
 def test_specks_go(spark):
@@ -74,6 +75,92 @@ def _png(a):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def test_shapes_of_known_pictures(spark):
+    from formulaspark.operators import shapes as G
+
+    box = np.zeros((32, 32), int)
+    box[4:25, 8:25] = 255
+    ring = box.copy()
+    ring[10:19, 12:21] = 0
+    dotted = ring.copy()
+    dotted[14, 16] = 255
+    cross = np.zeros((32, 32), int)
+    cross[15, 4:28] = cross[4:28, 15] = 255
+    diamond = np.abs(np.arange(32)[:, None] - 16) + np.abs(np.arange(32)[None] - 16) <= 10
+    t = table(spark, {1: box, 2: ring, 3: dotted, 4: cross, 5: diamond * 255, 6: np.zeros((32, 32), int), 7: box * (np.arange(1024).reshape(32, 32) == 268)})
+    got = {r.image_id: r for r in G.shapes(t).collect()}
+    assert (got[1].euler, got[1].loops, got[1].angle) == (0.1, 0, 1.0)
+    area, perimeter = 20 * 16, 2 * (20 + 16)
+    assert np.allclose((got[1].area, got[1].perimeter, got[1].convexity), (area / 1024, perimeter / 64, 1.0))
+    assert np.allclose((got[1].circularity, got[1].rectangularity), (4 * np.pi * area / perimeter**2, area / (21 * 17)))
+    assert (got[2].euler, round(got[2].loops * 3)) == (0.0, 1) and (round(got[3].euler * 10), round(got[3].loops * 3)) == (-1, 2)
+    assert round(got[4].end_points * 10) == 4 and round(got[4].crossings * 5) >= 1
+    assert np.isclose(got[5].angle, 0.5) and np.isclose(got[5].perimeter, 40 * np.sqrt(2) / 64) and np.isclose(got[5].area, 200 / 1024)
+    assert (got[6].area, got[6].euler) == (0.0, 0.1) and (got[7].area, got[7].perimeter, got[7].angle) == (0.0, 0.0, 0.0)
+
+
+def test_regions_against_flood_fill():
+    from formulaspark.operators.shapes import regions
+
+    rng = np.random.default_rng(2)
+    for corners in (True, False):
+        for _ in range(20):
+            mask = rng.random((12, 15)) < 0.5
+            want, n = np.zeros(mask.shape, int), 0
+            for y, x in np.argwhere(mask):
+                if not want[y, x]:
+                    n, todo = n + 1, [(y, x)]
+                    while todo:
+                        a, b = todo.pop()
+                        if 0 <= a < 12 and 0 <= b < 15 and mask[a, b] and not want[a, b]:
+                            want[a, b] = n
+                            todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not i or not j]
+            assert (regions(mask, corners) == want).all()
+
+
+def drawn(label, rng):
+    a = np.full((40, 40), 255)
+    h, v = int(rng.integers(-3, 4)), int(rng.integers(-3, 4))
+    y, x = np.indices(a.shape)
+    y, x = y - 20 - v, x - 20 - h
+    ink = {"o": abs(np.hypot(y, x) - 11) < 2.5, "l": (abs(x) < 2.5) & (abs(y) < 14), "plus": ((abs(x) < 2.5) & (abs(y) < 12)) | ((abs(y) < 2.5) & (abs(x) < 12))}[label]
+    a[ink] = 0
+    return a
+
+
+@pytest.mark.parametrize("kind", ["knn", "random_forest", "svm"])
+def test_training_and_recognition_from_files(spark, tmp_path, kind):
+    from formulaspark.operators import recognition as M
+    from formulaspark.plans import pipelines as W
+
+    rng = np.random.default_rng(5)
+    for label in ("o", "l", "plus"):
+        (tmp_path / "train" / label).mkdir(parents=True)
+        for i in range(12):
+            a = drawn(label, rng)
+            rows, columns = (np.flatnonzero((a == 0).any(k)) for k in (1, 0))
+            a = a[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1] if i % 2 else a  # as symbols are cut, and as they come
+            (tmp_path / "train" / label / f"{i}.png").write_bytes(_png(a))
+    made, report, accuracy = W.train_recognizer(S.read_training_images(spark, str(tmp_path / "train")), kind)
+    assert {r.label for r in report.collect()} == {"o", "l", "plus", "macro avg", "weighted avg"} and accuracy.first()["accuracy"] > 0.6
+    made.save(str(tmp_path / "model"))
+    model = M.create_recognizer(spark, str(tmp_path / "model"))
+    if kind == "knn":  # the pipeline itself is the same for all kinds
+        (tmp_path / "new").mkdir()
+        (tmp_path / "new" / "one.png").write_bytes(_png(drawn("o", rng)))
+        (tmp_path / "new" / "line.png").write_bytes(_png(np.hstack([np.full((90, 6), 255), np.vstack([np.full((25, 120), 255), np.hstack([drawn("l", rng), drawn("plus", rng), drawn("o", rng)]), np.full((25, 120), 255)])])))
+        (tmp_path / "new" / "empty.png").write_bytes(_png(np.full((90, 100), 255)))
+        images = S.read_images(spark, str(tmp_path / "new"))
+        bad = spark.createDataFrame([("bad", 3, 3, bytearray(b"xx")), ("none", None, None, None)], "image_id string, height int, width int, data binary")
+        got = {r.image_id.split("/")[-1]: r for r in W.recognize(images.select("image_id", "height", "width", "data").union(bad), model).collect()}
+        assert (got["one.png"].success, got["one.png"].num_symbols, got["one.png"].latex) == (True, 1, "o")
+        assert (got["line.png"].success, got["line.png"].num_symbols, got["line.png"].latex) == (True, 3, "l + o")
+        assert (got["empty.png"].success, got["empty.png"].warnings, got["empty.png"].errors) == (False, ["no symbols"], [])
+        assert got["bad"].errors == got["none"].errors == ["the image cannot be read"] and not got["bad"].success
+    with pytest.raises(ValueError):
+        M.train(made.scale, "unknown")
+
+
 def test_training_images(spark, tmp_path):
     a = np.arange(48).reshape(6, 8)
     for label in ("x", "mathbb{N}"):
@@ -97,4 +184,4 @@ def test_vectors_hold_samples_of_profiles(spark):
     for axis in (1, 0):
         profile = (v > 0).sum(axis) / (v > 0).sum(axis).max()
         want += np.interp(np.linspace(0, 11, 8), np.arange(12), profile).tolist()
-    assert len(got) == 85 and np.allclose(got[-20:-4], want, atol=1e-6)
+    assert len(got) == 95 and np.allclose(got[-25:-9], want, atol=1e-6)
