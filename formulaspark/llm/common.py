@@ -11,6 +11,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -30,11 +31,28 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows, or fewer where the session says so, and 4 MB."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {name: spark.conf.get(name) for name in ours}
+    if 0 < int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) < rows:
+        ours.pop("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, value in ours.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    with arrow_rows(spark, 1000):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,6 @@ an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import text_runs
-from .common import lean, read_table, stored, texts_of
+from .common import arrow_rows, lean, read_table, stored, texts_of
 from .graph import components
 from .hashing import mixed, word_sets
 
@@ -92,18 +91,6 @@ def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(d, 0 - d).astype(np.int64).sum(1)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows, for wide rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _statistics(docs: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, dict[int, int]]:
     """Counters of shingles that are common, by hash, and how many sets have each small size.
 
@@ -137,7 +124,8 @@ def _statistics(docs: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, dict[i
         small = np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - small])), pa.array(np.concatenate([total[at], sizes[small]]))], ["slot", "n"])
 
-    sums = texts_of(docs).select("text").mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    with arrow_rows(docs.sparkSession, 1000):
+        sums = texts_of(docs).select("text").mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counters = np.zeros(cfg.counters, np.int64)
     common = sums[sums.slot >= 0]
     counters[common.slot.to_numpy()] = common.n.to_numpy()

@@ -34,6 +34,9 @@ from .records import public_tokenizer
 _PIECES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
+_PLAN = pa.schema([("length", pa.int64()), ("first", pa.int64()), ("past", pa.int64()), ("each", pa.int32()), ("sequence", pa.int64()), ("at", pa.int64())])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """One row per piece: the first takes what does not fill ``capacity``; ids as uint32 bytes, or null."""
 
@@ -291,7 +294,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             taken[size] += times * each
             offset += size * each
         sequence += times
-    plan = spark.createDataFrame(ranges, "length long, first long, past long, each int, sequence long, at long")
+    columns = zip(*ranges, strict=True) if ranges else [[]] * len(_PLAN)
+    plan = spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, _PLAN, strict=True)], schema=_PLAN))
     salts = max(8, sum(histogram.values()) // group)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
     sums = salted.groupBy("length", "salt").count()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import text_runs
-from .common import WordCache, hash64, lean, read_table, stored, texts_of
+from .common import WordCache, arrow_rows, hash64, lean, read_table, stored, texts_of
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,9 @@ def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
     blocks = cfg.buckets // cfg.block
     parts = texts_of(docs).select("text").mapInArrow(lean(local), "block long, vectors binary").repartition(blocks, "block").mapInArrow(add, "block long, vectors binary")
     table = np.zeros((cfg.buckets, cfg.dims), np.float32)
-    for block, raw in parts.toLocalIterator():
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = parts.collect()  # at most one row a block: a table of fixed size
+    for block, raw in rows:
         table[block * cfg.block : (block + 1) * cfg.block] = np.frombuffer(bytes(raw), np.float32).reshape(-1, cfg.dims)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 

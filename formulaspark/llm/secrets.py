@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, lean, read_table, rows_of, texts_of
+from .common import arrow_rows, batched, lean, read_table, rows_of, texts_of
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,8 @@ def transition_counts(docs: DataFrame, cfg: SecretConfig) -> dict[int, np.ndarra
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(totals[k][at])], ["k", "at", "n"])
 
-    sums = texts_of(docs).select("text").mapInArrow(lean(count), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
+    with arrow_rows(docs.sparkSession, 1000):
+        sums = texts_of(docs).select("text").mapInArrow(lean(count), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect()
     out = {k: np.zeros(128 * 128) for k in (0, 1)}
     for r in sums:
         out[r["k"]][r["at"]] = r["n"]
