@@ -312,9 +312,22 @@ def hu_moments(spark, d):
     return V.hu_moments(marks(spark, d)).select("image_id", F.round("hu1", 4).alias("hu1"))
 
 
-@query("hu_moments_all")
+_MOMENTS = ", ".join(f"CAST(sum(v * x ** {p} * y ** {q}) AS DOUBLE) AS m{p}{q}" for p in range(4) for q in range(4 - p))
+
+
+@query(
+    "hu_moments_all",
+    f"""WITH {_GLYPH}, g AS (SELECT image_id, {_MOMENTS} FROM mk GROUP BY image_id), c AS (SELECT *, m10 / m00 AS cx, m01 / m00 AS cy FROM g WHERE m00 > 0),
+    n AS (SELECT image_id, (m20 - cx*m10) / power(m00, 2) AS n20, (m02 - cy*m01) / power(m00, 2) AS n02, (m11 - cx*m01) / power(m00, 2) AS n11, (m30 - 3*cx*m20 + 2*cx*cx*m10) / power(m00, 2.5::DOUBLE) AS n30, (m03 - 3*cy*m02 + 2*cy*cy*m01) / power(m00, 2.5::DOUBLE) AS n03,
+      (m21 - 2*cx*m11 - cy*m20 + 2*cx*cx*m01) / power(m00, 2.5::DOUBLE) AS n21, (m12 - 2*cy*m11 - cx*m02 + 2*cy*cy*m10) / power(m00, 2.5::DOUBLE) AS n12 FROM c),
+    t AS (SELECT image_id, n20 + n02 AS s, n20 - n02 AS e, n11 AS f, n30 + n12 AS a, n21 + n03 AS b, n30 - 3*n12 AS c, 3*n21 - n03 AS d FROM n),
+    h AS (SELECT image_id, unnest([s, e*e + 4*f*f, c*c + d*d, a*a + b*b, c*a*(a*a - 3*b*b) + d*b*(3*a*a - b*b), e*(a*a - b*b) + 4*f*a*b, d*a*(a*a - 3*b*b) - c*b*(3*a*a - b*b)]) AS h, unnest(range(1, 8)) AS k FROM t)
+    SELECT image_id, CAST(k AS INT) AS k, round(-sign(h) * log10(abs(h) + 1e-10), 3) AS value FROM h""",
+    "glyphs",
+)
 def hu_moments_all(spark, d):
-    return V.hu_moments(marks(spark, d))
+    hu = F.array(*[f"hu{k}" for k in range(1, 8)])
+    return V.hu_moments(marks(spark, d)).select("image_id", F.posexplode(hu).alias("k", "value")).select("image_id", (F.col("k") + 1).alias("k"), F.round("value", 3).alias("value"))
 
 
 @query(

@@ -75,6 +75,51 @@ def _png(a):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def test_sauvola_of_a_large_picture(spark):
+    """Windows by hand, with mirrored borders; pictures over 64 pixels take this way."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (70, 90))
+    p = np.pad(a, 12, mode="reflect").astype(float)
+    windows = np.lib.stride_tricks.sliding_window_view(p, (25, 25))
+    mean, std = windows.mean((2, 3)), windows.std((2, 3))
+    want = np.where(a > mean * (1 + 0.2 * (std / 128 - 1)), 255, 0)
+    border = np.concatenate([want[0], want[-1], want[:, 0], want[:, -1]]).mean()
+    assert (picture(P.binarize(table(spark, {1: a}))) == (255 - want if border > 127 else want)).all()
+
+
+def test_wide_components_are_split_at_valleys(spark):
+    a = np.zeros((40, 300), int)
+    for x in (5, 35, 65):
+        a[10:30, x : x + 15] = 255
+    a[10:30, 120:140] = a[10:30, 160:180] = 255
+    a[19:21, 140:160] = 255  # a thin bridge
+    boxes = C.component_stats(C.connected_components(table(spark, {1: a})))
+    got = [tuple(r) for r in C.split_points(boxes, table(spark, {1: a})).select("x", "w", "cuts").collect()]
+    assert len(got) == 1 and got[0][:2] == (120, 60) and len(got[0][2]) == 1 and 20 <= got[0][2][0] <= 40
+    pieces = sorted((r.x, r.w) for r in C.segment(table(spark, {1: a})).collect())
+    assert [x for x, _ in pieces[:3]] == [5, 35, 65] and len(pieces) == 5 and pieces[3][0] == 120 and sum(w for _, w in pieces[3:]) == 60
+
+
+def test_strokes_and_contrast(spark):
+    a = np.zeros((30, 40), int)
+    a[6:24, 5:35] = 255  # a stroke of eighteen
+    thin = picture(P.normalize_stroke_width(table(spark, {1: a})))
+    assert set(np.unique(thin)) == {0, 255} and 0 < thin.sum() < a.sum() and (thin[a == 0] == 0).all()
+    flat = np.full((64, 64), 100)
+    flat[:, 32:] = 110
+    wide = picture(P.enhance_contrast(table(spark, {1: flat})))
+    assert wide.shape == flat.shape and wide[32, 60] - wide[32, 3] > 10
+
+
+def test_many_specks(spark):
+    rng = np.random.default_rng(3)
+    a = np.zeros((200, 200), int)
+    a[rng.integers(0, 100, 3000) * 2, rng.integers(0, 100, 3000) * 2] = 255
+    labelled = C.connected_components(table(spark, {1: a}))
+    assert labelled.select("comp_id").distinct().count() == (a > 0).sum()
+    assert picture(C.remove_small_components(table(spark, {1: a}))).sum() == 0
+
+
 def test_shapes_of_known_pictures(spark):
     from formulaspark.operators import shapes as G
 
