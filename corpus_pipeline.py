@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages.
 
-Rows are told apart by a row_id that the first stage gives them, so that documents without
-a doc_id, or with one that others have too, are judged each by itself.
+Rows are told apart by a row_id that the first stage adds to the columns of documents, so that
+documents without a doc_id, or with one that others have too, are judged each by itself.
+Up to ``BROADCAST_IDS`` ids are broadcast and more are shuffled; the result is the same.
 """
 
 from __future__ import annotations
@@ -17,23 +18,20 @@ from formulaspark.llm.quality import score_quality
 from formulaspark.llm.records import public_tokenizer
 from formulaspark.llm.secrets import redact
 
-#: Columns that every stage but the last hands on.
-COLUMNS = ("row_id", "doc_id", "text", "lang", "source", "n_chars")
-
-
 #: Up to so many ids (eight bytes each) go to every task; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row_id: the doc_id where each row has its own, else the stored place in the
-    order of doc_id (nulls last) and the other columns."""
+    """``docs`` with a row_id after its own columns: the doc_id where each row has its own, else the
+    stored place in the order of doc_id (nulls last) and the other columns."""
     if "row_id" in docs.columns:
         return docs
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id").cast("long")).select(*COLUMNS)
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *COLUMNS[2:])
-    return stored(ordered.withColumn("row_id", F.monotonically_increasing_id()).select(*COLUMNS), "pipeline-rows")
+        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
+    plain = [c for c, kind in docs.dtypes if c != "doc_id" and "map" not in kind]
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *plain)
+    return stored(ordered.withColumn("row_id", F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def by_row(docs: DataFrame) -> DataFrame:
@@ -44,7 +42,7 @@ def by_row(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     """``docs`` but for those whose row_id is in ``ids``."""
     ids = stored(ids.select("row_id").distinct(), label)
-    return docs.select(*COLUMNS).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row_id", "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row_id", "left_anti").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    return kept.join(docs.groupBy("doc_id", "text").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi").select(*COLUMNS)
+    return kept.join(docs.groupBy("doc_id", "text").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +73,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts become a mark, and n_chars follows."""
-    return redact(numbered(docs).select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """All documents stay; secrets in their texts become a mark, and n_chars, if there is one, follows."""
+    clean = redact(numbered(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
