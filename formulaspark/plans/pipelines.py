@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulaspark.functions.latex import semantics
-from formulaspark.operators import components, features, pixels, recognition, structure
+from formulaspark.operators import components, features, pixels, polynomials, recognition, structure
 from formulaspark.sources.scratch import kept
 
 
@@ -15,6 +15,22 @@ def process_semantic(formulas: DataFrame, mode: str = "contract") -> DataFrame:
     return formulas.withColumns(semantics(F.col("latex"), mode))
 
 
+def solved_records(formulas: DataFrame, mode: str = "contract") -> DataFrame:
+    """Semantic records with ``root1, root2`` and ``solution``: equations without errors that are
+    polynomials of degree 1 or 2 are solved over the reals; others have null there, and equations a
+    warning.  One exchange on ``formula_id`` serves terms, roots and the join."""
+    records = process_semantic(formulas, mode)
+    roots = polynomials.solve(polynomials.to_terms(formulas)).select("formula_id", "degree", *[(F.round(c, 6) + 0.0).alias(c) for c in ("root1", "root2")])
+    open_ = (F.col("formula_type") == "equation") & (F.size("errors") == 0)
+    r = records.join(roots, "formula_id", "left")
+    r = r.withColumns({c: F.when(open_, F.col(c)) for c in ("root1", "root2")})
+    listed = F.array_join(F.transform(F.filter(F.array("root1", "root2"), lambda x: x.isNotNull()), lambda x: x.cast("string")), ", ")
+    solution = F.when(F.col("root1").isNotNull(), F.create_map(F.lit("degree"), F.col("degree").cast("string"), F.lit("solutions"), listed))
+    unsolved = F.when(open_ & F.col("root1").isNull(), F.array(F.lit("no real solution was found"))).otherwise(F.array().cast("array<string>"))
+    told = F.when(F.col("root1").isNotNull(), F.concat("interpretation", F.lit(" Solutions: "), listed, F.lit("."))).otherwise(F.col("interpretation"))
+    return r.withColumns({"solution": solution, "warnings": F.concat("warnings", unsolved), "interpretation": told}).drop("degree")
+
+
 def symbol_pictures(images: DataFrame, side: int = 32) -> DataFrame:
     """Pixel tables of single symbols, brought to ``side`` by ``side`` with a white background."""
     return features.normalize(pixels.pad_to(pixels.resize(images, side, side), side, side))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from formulaspark.functions import latex as L
 from formulaspark.operators import polynomials as Y
 from formulaspark.plans import fixtures as T
-from formulaspark.plans.pipelines import process_semantic
+from formulaspark.plans.pipelines import process_semantic, solved_records as solved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,6 +159,20 @@ def parsed_simplified(spark, d):
     return Y.simplify(Y.to_terms(T.latex(spark, d)))
 
 
+@query(
+    "solved_records",
+    f"""WITH {_TERMS}, c AS (SELECT formula_id, power, sum(CASE WHEN side = 1 THEN -coef ELSE coef END) AS coef FROM parsed GROUP BY ALL HAVING sum(CASE WHEN side = 1 THEN -coef ELSE coef END) <> 0),
+    q AS (SELECT formula_id, max(power) AS degree, coalesce(sum(coef) FILTER (power = 0), 0) AS c, coalesce(sum(coef) FILTER (power = 1), 0) AS b, coalesce(sum(coef) FILTER (power = 2), 0) AS a FROM c GROUP BY formula_id),
+    e AS (SELECT *, b * b - 4 * a * c AS dd, sqrt(greatest(b * b - 4 * a * c, 0)) AS s FROM q),
+    r AS (SELECT formula_id, round(CASE WHEN degree = 1 THEN -c / b WHEN degree = 2 AND dd >= 0 THEN least((-b - s) / (2 * a), (-b + s) / (2 * a)) END, 6) + 0.0 AS root1, round(CASE WHEN degree = 2 AND dd > 0 THEN greatest((-b - s) / (2 * a), (-b + s) / (2 * a)) END, 6) + 0.0 AS root2 FROM e),
+    k AS (SELECT formula_id, CASE WHEN trim(latex) = '' THEN 'unknown' ELSE {_classify(chr(92))} END AS formula_type, {_BRACKETS} = '' AND {_OPERATORS} = '' AS sound FROM latex)
+    SELECT formula_id, formula_type, CASE WHEN formula_type = 'equation' AND sound THEN root1 END AS root1, CASE WHEN formula_type = 'equation' AND sound THEN root2 END AS root2 FROM k LEFT JOIN r USING (formula_id)""",
+    "latex",
+)
+def solved_records(spark, d):
+    return solved(T.latex(spark, d)).select("formula_id", "formula_type", "root1", "root2")
+
+
 @query("simplified_terms", "SELECT formula_id, power, sum(coef) AS coef FROM terms GROUP BY ALL HAVING sum(coef) <> 0", "terms")
 def simplified_terms(spark, d):
     return Y.simplify(T.terms(spark, d))

@@ -63,3 +63,22 @@ def test_polynomials(spark):
     back = Y.derivative(Y.integral(Y.simplify(terms.where("formula_id = 2")))).collect()
     assert [(r.power, r.coef) for r in back] == [(3, 1.0)]
     assert Y.to_latex(Y.simplify(terms)).where("formula_id = 1").first()["latex"] == "x^{2} - 4"
+
+
+def test_solved_records(spark):
+    from formulaspark.plans.pipelines import solved_records
+
+    rows = [(1, "x^2 - 4 = 0"), (2, "2y = 3"), (3, "x^2 + 1 = 0"), (4, "(x = 1"), (5, "x^2 - 4"), (6, None), (7, "x y = 1")]
+    got = {r.formula_id: r for r in solved_records(spark.createDataFrame(rows, "formula_id long, latex string")).collect()}
+    assert got[1].solution == {"degree": "2", "solutions": "-2.0, 2.0"} and got[1].interpretation.endswith("Solutions: -2.0, 2.0.")
+    assert (got[2].root1, got[2].root2) == (1.5, None)
+    assert "no real solution was found" in got[3].warnings and got[3].solution is None
+    assert all(got[i].root1 is None for i in (4, 5, 6, 7))
+
+
+def test_latex_of_many_terms(spark):
+    from formulaspark.operators import polynomials as Y
+
+    rows = [(1, p, 1.0 if p % 2 else -2.5) for p in range(400)]
+    got = Y.to_latex(spark.createDataFrame(rows, "formula_id long, power int, coef double")).first()["latex"]
+    assert len(got) > 3000 and got.startswith("x^{399} - 2.5x^{398}") and got.endswith(" - 2.5")
