@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="formulaspark-"))
+            folder = tempfile.mkdtemp(prefix="formulaspark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append(f"file://{folder}")
         base = _own[0]
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
