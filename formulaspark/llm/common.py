@@ -6,8 +6,10 @@ which driver and executors share; losing an executor then costs one task.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import sys
 import tempfile
 import uuid
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="formulaspark-")
+        if not _own_dir:
+            _own_dir = tempfile.mkdtemp(prefix="formulaspark-")
+            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         base = f"file://{_own_dir}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
