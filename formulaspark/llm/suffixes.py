@@ -206,11 +206,12 @@ def _count(length: int, size: int, hot_rows: int, keep: int, chars: int = 1_000_
         def flushed():
             gram, mark, lead = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            whole = (gram ^ (mark.view(np.uint64) * _ODD[1])) * _ODD[3]
-            grams, n = np.unique(gram[np.unique(whole, return_index=True)[1]], return_counts=True)
+            # different contexts in the order of a hash
+            own = np.unique((gram ^ (mark.view(np.uint64) * _ODD[1])) * _ODD[3], return_index=True)[1]
+            grams, n = np.unique(gram[own], return_counts=True)
             many = n >= hot_rows * seen / size / 2
             yield from _batches([grams[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many]], ["gram", "lead", "n"])
-            some = np.argsort(gram * _ODD[2])[: max(1, keep * seen // size)]
+            some = own[: max(1, keep * seen // size)]
             yield from _batches([gram[some].view(np.int64), lead[some], np.zeros(len(some), np.int64)], ["gram", "lead", "n"])
 
         for parts in _pieces(batches, length, chars):
@@ -408,19 +409,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, t
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every row."""
     if not 2 * GRAM <= length <= 255:
         raise ValueError("length is from 64 to 255")
-    docs = numbered(docs)
+    docs = numbered(docs).where("doc is not null").select("doc", "doc_id", "text")  # no doc is null
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = min(max(8, -(-size // task_bytes)), most_buckets)
     hot, splitters = sampled(docs, length, size, hot_rows, tasks)
     cut = docs.select("doc", "text").mapInArrow(_cut(length, hot, splitters, tasks), _ROWS_KIND)
     rows = stored(cut.repartitionById(tasks, "bucket").sortWithinPartitions("done", "gram").mapInArrow(_several, _ROWS_KIND), "suffix-contexts")
     wanted = rows.where("not done").groupBy("doc").agg(F.collect_list(F.struct("bucket", "gram", "low", "off", "n")).alias("wanted"))
-    suffixes = docs.select("doc", "text").join(wanted, "doc").mapInArrow(lambda b: batched(_extract(length)(b), _SUFFIX), _SUFFIX_KIND)
+    # the same columns as in the last join, so that one exchange of the texts serves both
+    suffixes = docs.join(wanted, "doc").mapInArrow(lambda b: batched(_extract(length)(b), _SUFFIX), _SUFFIX_KIND)
     compared = suffixes.repartitionById(tasks, "bucket").sortWithinPartitions("gram", "doc", "low").mapInArrow(_compare(length), _RUN_KIND)
     runs = rows.where("done").select("doc", "low", "n").union(compared)
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("low", "n")).alias("runs"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return docs.join(runs, "doc", "left").select("doc_id", "text", "runs").mapInArrow(lambda b: batched(_remove(length, with_text)(b), _KEPT, 512), kind)
+    return docs.join(runs, "doc", "left").mapInArrow(lambda b: batched(_remove(length, with_text)(b), _KEPT, 512), kind)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
