@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formulaspark.functions.geometry import Box
+from formulaspark.operators.pixels import opening
 from formulaspark.sources.scratch import kept
 
 
@@ -76,8 +77,14 @@ def component_stats(labelled: DataFrame) -> DataFrame:
     return g
 
 
-def remove_small_components(binary: DataFrame, min_area: int = 10) -> DataFrame:
-    """Ink of components under ``min_area`` pixels becomes paper."""
+def remove_small_components(binary: DataFrame, min_area: int = 10, mixed: bool = False) -> DataFrame:
+    """Ink of components under ``min_area`` pixels becomes paper.  ``mixed`` tables may hold pictures
+    with other levels than 0 and 255; those are opened first."""
+    if mixed:
+        levels = Window.partitionBy("image_id")
+        dirty = F.max(F.when(F.col("v").isin(0, 255), 0).otherwise(1)).over(levels) == 1
+        opened = opening(binary).withColumnRenamed("v", "opened")
+        binary = binary.withColumn("dirty", dirty).join(opened, ["image_id", "y", "x"]).select("image_id", "y", "x", F.when(F.col("dirty"), F.col("opened")).otherwise(F.col("v")).alias("v"))
     labelled = connected_components(binary)
     small = component_stats(labelled).where(F.col("area") < min_area).select("image_id", "comp_id")
     gone = labelled.join(small, ["image_id", "comp_id"], "left_semi").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.lit(True).alias("gone"))

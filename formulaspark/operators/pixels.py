@@ -161,15 +161,23 @@ def projection_skew(binary: DataFrame, step: float = 0.5) -> DataFrame:
 def hough_skew(binary: DataFrame, threshold: int = 100, most: float = 15.0) -> DataFrame:
     """``image_id, angle``: median angle of near-horizontal lines with ``threshold`` votes or more.
 
-    Edge pixels are ink with a neighbour above, below, left or right that is not ink.
+    Edge pixels are ink with a neighbour above, below, left or right that is not ink.  A line has
+    more votes than those beside it at the next smaller distance and angle, and as many at least as
+    those at the next larger ones.
     """
     across, down = Window.partitionBy(*ROW).orderBy("x"), Window.partitionBy(*COLUMN).orderBy("y")
     sides = [F.coalesce(f("v").over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (across, down)]
     edges = binary.withColumn("low", F.least(*sides)).where("v > 0 and low = 0")
-    votes = edges.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
+    # only angles that count, and their neighbours, vote
+    near = range(max(0, int(90 - most) - 1), min(179, int(90 + most) + 1) + 1)
+    votes = edges.withColumn("theta", F.explode(F.sequence(F.lit(near[0]), F.lit(near[-1]))))
     rad = F.radians(F.col("theta").cast("double"))
     rho = F.floor(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad) + 0.5).cast("int")
-    lines = votes.groupBy("image_id", "theta", rho.alias("rho")).agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
+    counts = votes.groupBy("image_id", "theta", rho.alias("rho")).agg(F.count("*").alias("n"))
+    of = lambda key, along, step: F.coalesce(F.max("n").over(Window.partitionBy("image_id", key).orderBy(along).rangeBetween(step, step)), F.lit(0))
+    n = F.col("n")
+    peak = (n > of("theta", "rho", -1)) & (n >= of("theta", "rho", 1)) & (n > of("rho", "theta", -1)) & (n >= of("rho", "theta", 1))
+    lines = counts.withColumn("peak", peak).where(F.col("peak") & (F.col("n") >= threshold))
     angle = F.col("theta") - 90.0
     found = lines.where(F.abs(angle) < most).groupBy("image_id").agg(F.median(angle).alias("a"))
     return sizes(binary).select("image_id").join(found, "image_id", "left").select("image_id", F.when(F.abs(F.coalesce("a", F.lit(0.0))) < 0.5, 0.0).otherwise(F.coalesce("a", F.lit(0.0))).alias("angle"))
@@ -357,9 +365,15 @@ def enhance_contrast(pixels: DataFrame, clip: float = 2.0, tiles: int = 8) -> Da
     return pixels.groupBy("image_id").applyInPandas(change, _kind(pixels))
 
 
-def preprocess(pixels: DataFrame) -> DataFrame:
-    """Binarised, freed of specks, straightened, border cleared."""
+def preprocess(pixels: DataFrame, intermediate: bool = False) -> DataFrame | dict[str, DataFrame]:
+    """Binarised, freed of specks, straightened, border cleared; with ``intermediate`` the tables of
+    all steps by name, and the ``skeleton`` of the last."""
     from .components import remove_small_components
 
-    clean = remove_small_components(binarize(pixels))
-    return clear_border(rotate(clean, hough_skew(clean)))
+    binary = binarize(pixels)
+    clean = remove_small_components(binary)
+    straight = rotate(clean, hough_skew(clean))
+    final = clear_border(straight)
+    if not intermediate:
+        return final
+    return {"binary": binary, "denoised": clean, "deskewed": straight, "final": final, "skeleton": skeletonize(final)}

@@ -312,6 +312,23 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return grouped.select("formula_id", F.aggregate("nodes", empty, step, lambda acc: F.array_join(F.transform(acc, lambda k: k["line"]), "\n")).alias("outline"))
 
 
+def tree_json(nodes: DataFrame) -> DataFrame:
+    """``formula_id, tree``: nested JSON objects of ``type``, ``value`` where there is one, and ``children`` in order."""
+    n = F.struct(-F.col("node_id").alias("at"), "node_id", "parent_id", "ord", "node_type", "value")
+    grouped = nodes.groupBy("formula_id").agg(F.array_sort(F.collect_list(n)).alias("nodes"))
+    empty = F.array().cast("array<struct<ord:int,parent:int,text:string>>")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+
+    def step(acc, node):
+        kids = F.array_sort(F.filter(acc, lambda k: k["parent"] == node["node_id"]))
+        value = F.when(node["value"].isNotNull(), F.concat(F.lit(',"value":'), quoted(node["value"]))).otherwise("")
+        text = F.concat(F.lit('{"type":'), quoted(node["node_type"]), value, F.lit(',"children":['), F.array_join(F.transform(kids, lambda k: k["text"]), ","), F.lit("]}"))
+        own = F.struct(node["ord"].alias("ord"), F.coalesce(node["parent_id"], F.lit(-1)).alias("parent"), text.alias("text"))
+        return F.concat(F.filter(acc, lambda k: k["parent"] != node["node_id"]), F.array(own))
+
+    return grouped.select("formula_id", F.aggregate("nodes", empty, step, lambda acc: F.get(acc, F.lit(0))["text"]).alias("tree"))
+
+
 def analyze_structure(symbols: DataFrame) -> DataFrame:
     """``formula_id, latex`` from symbols: relations, groups, order, tree, text."""
     return _rendered(_trees(symbols, literal=False))

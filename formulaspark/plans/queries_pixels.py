@@ -158,7 +158,9 @@ def projection_skew(spark, d):
 @query(
     "hough_skew",
     f"""WITH {_INK}, e AS (SELECT *, least(coalesce(lag(v) OVER r, 0), coalesce(lead(v) OVER r, 0), coalesce(lag(v) OVER c, 0), coalesce(lead(v) OVER c, 0)) AS low FROM ink WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
-    l AS (SELECT image_id, th, CAST(floor(x * cos(radians(th)) + y * sin(radians(th)) + 0.5) AS INT) AS rho, count(*) AS n FROM e, range(180) t(th) WHERE v > 0 AND low = 0 GROUP BY ALL HAVING count(*) >= 16),
+    g AS (SELECT image_id, CAST(th AS INT) AS th, CAST(floor(x * cos(radians(th)) + y * sin(radians(th)) + 0.5) AS INT) AS rho, count(*) AS n FROM e, range(180) t(th) WHERE v > 0 AND low = 0 GROUP BY ALL),
+    l AS (SELECT image_id, th, n FROM g QUALIFY n >= 16 AND n > coalesce(max(n) OVER (PARTITION BY image_id, th ORDER BY rho RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AND n >= coalesce(max(n) OVER (PARTITION BY image_id, th ORDER BY rho RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), 0)
+      AND n > coalesce(max(n) OVER (PARTITION BY image_id, rho ORDER BY th RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AND n >= coalesce(max(n) OVER (PARTITION BY image_id, rho ORDER BY th RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), 0)),
     m AS (SELECT image_id, median(th - 90) AS a FROM l WHERE abs(th - 90) < 15 GROUP BY image_id) SELECT DISTINCT p.image_id, CASE WHEN abs(coalesce(a, 0)) < 0.5 THEN 0.0::DOUBLE ELSE CAST(coalesce(a, 0) AS DOUBLE) END AS angle FROM ink p LEFT JOIN m USING (image_id)""",
     "pixels",
 )

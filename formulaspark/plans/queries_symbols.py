@@ -204,6 +204,11 @@ def symbols_to_latex(spark, d):
     return R.analyze_structure(T.symbols(spark, d))
 
 
+@query("tree_json")
+def tree_json(spark, d):
+    return R.tree_json(R.build_syntax_tree(T.symbols(spark, d)))
+
+
 @query("tree_outline")
 def tree_outline(spark, d):
     return R.tree_text(R.build_syntax_tree(T.symbols(spark, d)))

@@ -111,6 +111,23 @@ def test_strokes_and_contrast(spark):
     assert wide.shape == flat.shape and wide[32, 60] - wide[32, 3] > 10
 
 
+def test_pictures_with_other_levels_are_opened_first(spark):
+    clean, gray = np.zeros((20, 20), int), np.zeros((20, 20), int)
+    clean[3:15, 9] = 255  # a thin line stays where levels are plain
+    gray[3:15, 9], gray[2:10, 13:18] = 200, 200
+    t = C.remove_small_components(table(spark, {1: clean, 2: gray}), mixed=True)
+    assert (picture(t, 1) == clean).all()
+    left = picture(t, 2)
+    assert left[3:15, 9].sum() == 0 and (left[3:9, 14:17] == 200).all()
+
+
+def test_steps_of_preprocessing(spark):
+    steps = P.preprocess(table(spark, {1: 255 - three_boxes()}), intermediate=True)
+    assert list(steps) == ["binary", "denoised", "deskewed", "final", "skeleton"]
+    thin, final = picture(steps["skeleton"]), picture(steps["final"])
+    assert 0 < (thin > 0).sum() < (final > 0).sum() and (final[thin > 0] > 0).all()
+
+
 def test_many_specks(spark):
     rng = np.random.default_rng(3)
     a = np.zeros((200, 200), int)

@@ -97,3 +97,14 @@ def test_registered_forest_has_the_operator_s_size(monkeypatch):
     monkeypatch.setattr(Q, "F", __import__("unittest.mock").mock.MagicMock())
     Q.random_forest(None, None)
     assert given == {}
+
+
+def test_trees_as_json(spark):
+    import json
+
+    rows = [(1, 0, None, None, 0, "expression", None), (1, 1, 0, None, 0, "fraction", None), (1, 2, 1, "numerator", 0, "expression", None), (1, 3, 2, None, 0, "symbol", 'a"\\b'), (1, 4, 1, "denominator", 1, "expression", None), (1, 5, 4, None, 1, "symbol", "y"), (1, 6, 4, None, 0, "symbol", "x")]
+    nodes = spark.createDataFrame(rows, "formula_id long, node_id int, parent_id int, role string, ord int, node_type string, value string")
+    leaf = lambda v: {"type": "symbol", "value": v, "children": []}
+    part = lambda *kids: {"type": "expression", "children": list(kids)}
+    want = part({"type": "fraction", "children": [part(leaf('a"\\b')), part(leaf("x"), leaf("y"))]})
+    assert json.loads(R.tree_json(nodes).first()["tree"]) == want
