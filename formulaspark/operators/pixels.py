@@ -198,16 +198,22 @@ def resize_linear(pixels: DataFrame, height: int, width: int) -> DataFrame:
     s = sizes(pixels)
     scale = F.least(F.lit(height) / F.col("h"), F.lit(width) / F.col("w"))
     s = s.withColumns({"nh": F.greatest((F.col("h") * scale).cast("int"), F.lit(1)), "nw": F.greatest((F.col("w") * scale).cast("int"), F.lit(1))})
-    grid = s.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
+    return mixed_from(s.withColumn("tile", F.lit(0)), pixels).select("image_id", "y", "x", "v")
+
+
+def mixed_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``image_id, tile, y, x, v`` of pictures of ``nh`` by ``nw``, from ``pixels`` of ``h`` by ``w``:
+    each pixel mixes its four nearest sources."""
+    grid = targets.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
     sy, sx = (F.col("ty") + 0.5) * F.col("h") / F.col("nh") - 0.5, (F.col("tx") + 0.5) * F.col("w") / F.col("nw") - 0.5
     inside = lambda at, n: F.greatest(F.lit(0), F.least(at.cast("int"), F.col(n) - 1))
     fy, fx = sy - F.floor(sy), sx - F.floor(sx)
     corners = [
         F.struct(inside(F.floor(sy) + dy, "h").alias("y"), inside(F.floor(sx) + dx, "w").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("share")) for dy in (0, 1) for dx in (0, 1)
     ]
-    near = grid.select("image_id", "ty", "tx", F.inline(F.array(*corners)))
-    mixed = near.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "ty", "tx").agg(F.floor(F.round(F.sum(F.col("share") * F.col("v")), 6) + 0.5).cast("int").alias("v"))
-    return mixed.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    near = grid.select("image_id", "tile", "ty", "tx", F.inline(F.array(*corners)))
+    mixed = near.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "tile", "ty", "tx").agg(F.floor(F.round(F.sum(F.col("share") * F.col("v")), 6) + 0.5).cast("int").alias("v"))
+    return mixed.select("image_id", "tile", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
 
 def resize(pixels: DataFrame, height: int, width: int) -> DataFrame:

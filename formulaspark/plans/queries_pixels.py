@@ -11,6 +11,7 @@ from formulaspark.operators.shapes import shapes
 from formulaspark.plans import fixtures as T
 from formulaspark.plans.pipelines import recognize, train_recognizer
 from formulaspark.sources import images as S
+from formulaspark.sources.compose import compose_formulas
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -365,6 +366,21 @@ def resized_linear(spark, d):
     return P.resize(T.pixels(spark, d), 20, 20)
 
 
+@query("composed_pictures")
+def composed_pictures(spark, d):
+    """For every glyph a fraction, a script or a sign with limits, from pictures of its own and the next two labels."""
+    marked = T.glyphs(spark, d).select("vec_id", "label").distinct()
+    name = lambda k: F.concat(F.lit("c"), ((F.col("label") + k) % 10).cast("string"))
+    pictures = P.to_images(glyphs(spark, d)).join(marked.select(F.col("vec_id").alias("image_id"), name(0).alias("label")), "image_id")
+    kind = F.element_at(F.array(*map(F.lit, ("fraction", "superscript", "subscript", "integral", "sum"))), (F.col("vec_id") % 5 + 1).cast("int"))
+    main = F.when(F.col("kind") == "fraction", "upper").otherwise("main")
+    second = F.when(F.col("kind").isin("fraction", "subscript"), "lower").otherwise("upper")
+    third = F.when(F.col("kind").isin("integral", "sum"), "lower").otherwise(second)
+    parts = F.array(*[F.struct(p.alias("part"), F.lit(k).alias("pos"), name(k).alias("label")) for k, p in enumerate((main, second, third))])
+    specs = marked.withColumn("kind", kind).select(F.col("vec_id").alias("name"), "kind", F.inline(parts))
+    return compose_formulas(pictures, specs)
+
+
 @query("shape_features")
 def shape_features(spark, d):
     """Euler number, rectangle angle, skeleton points, loops and contour values."""

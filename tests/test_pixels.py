@@ -111,6 +111,41 @@ def test_strokes_and_contrast(spark):
     assert wide.shape == flat.shape and wide[32, 60] - wide[32, 3] > 10
 
 
+def test_composed_formulas(spark):
+    from formulaspark.sources.compose import compose_formulas
+
+    rng = np.random.default_rng(6)
+    pictures = {f"{label}{i}": (label, rng.integers(0, 256, (int(rng.integers(6, 12)), int(rng.integers(6, 12))))) for label in ("a", "b", "int") for i in range(3)}
+    rows = [(k, label, a.shape[1], a.shape[0], bytearray(a.astype(np.uint8).tobytes())) for k, (label, a) in pictures.items()]
+    images = spark.createDataFrame(rows, "image_id string, label string, width int, height int, data binary")
+    specs = [("f", "fraction", "upper", 0, "a"), ("f", "fraction", "upper", 1, "b"), ("f", "fraction", "lower", 0, "b"), ("s", "superscript", "main", 0, "a"), ("s", "superscript", "upper", 0, "b"), ("i", "integral", "main", 0, "int"), ("i", "integral", "lower", 0, "a"), ("i", "integral", "upper", 0, "none")]
+    specs = spark.createDataFrame(specs, "name string, kind string, part string, pos int, label string")
+    from formulaspark.sources.compose import chosen_pictures
+
+    used = {(r.name, r.part, r.pos): pictures[r.image_id][1] for r in chosen_pictures(images, specs).collect()}
+    assert len(used) == 7 and all(pictures[r.image_id][0] == r.label for r in chosen_pictures(images, specs).collect())
+    t = compose_formulas(images, specs)
+    up, down = [used["f", "upper", 0], used["f", "upper", 1]], used["f", "lower", 0]
+    high, wide = max(a.shape[0] for a in up), sum(a.shape[1] for a in up) + 2
+    line = max(wide, down.shape[1]) + 10
+    want = np.full((high + down.shape[0] + 32, line + 20), 255)
+    x = 10 + (line - wide) // 2
+    for a in up:
+        y = 10 + (high - a.shape[0]) // 2
+        want[y : y + a.shape[0], x : x + a.shape[1]] = a
+        x += a.shape[1] + 2
+    want[15 + high : 17 + high, 10 : 11 + line] = 0
+    x = 10 + (line - down.shape[1]) // 2
+    want[22 + high : 22 + high + down.shape[0], x : x + down.shape[1]] = down
+    assert (picture(t, "f") == want).all()
+    base, script = used["s", "main", 0], used["s", "upper", 0]
+    sh, sw = int(script.shape[0] * 0.7), int(script.shape[1] * 0.7)
+    assert picture(t, "s").shape == (base.shape[0] + sh // 2 + 10, base.shape[1] + sw + 15)
+    assert (picture(t, "s")[-5 - base.shape[0] : -5, 5 : 5 + base.shape[1]] == base).all()
+    sign = used["i", "main", 0]
+    assert picture(t, "i").shape == (70, int(sign.shape[1] * 50 / sign.shape[0]) + 40)
+
+
 def test_pictures_with_other_levels_are_opened_first(spark):
     clean, gray = np.zeros((20, 20), int), np.zeros((20, 20), int)
     clean[3:15, 9] = 255  # a thin line stays where levels are plain
