@@ -202,15 +202,25 @@ def _described(docs: DataFrame, cfg: JaccardConfig, counters: np.ndarray, bounda
     return stored(texts_of(docs).mapInArrow(lean(describe), "doc_id long, n int, sid long, light int, keys array<long>, sketch binary"), "jaccard-sets")
 
 
-def _lists(named: DataFrame) -> DataFrame:
-    """``key, sid, n, pos, members, pop`` of lists with two sets at least; ``pos`` is a shingle's place
-    in its set's prefix (below 0 for subsets), ``pop`` the sum of the lengths of a set's lists."""
+def _fits(n: F.Column, m: F.Column, rest: F.Column, cfg: JaccardConfig) -> F.Column:
+    """Whether sets of ``n`` and ``m`` shingles that have ``rest`` at most in common may be similar."""
+    return (F.least(n, m) * cfg.den >= F.greatest(n, m) * cfg.num) & (rest * (cfg.num + cfg.den) >= (n + m) * cfg.num)
+
+
+def _lists(named: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """``key, sid, n, pos, members, pop`` of lists that may hold a similar pair; ``pos`` is a shingle's place
+    in its set's prefix (below 0 for subsets), ``members`` counts a list's rows before copies go, ``pop`` is
+    the sum of the lengths of a set's lists."""
     keys = named.select("sid", "n", "light", F.posexplode("keys").alias("at", "key")).select("key", "sid", "n", (F.col("at") - F.col("light")).alias("pos"))
-    met = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
+    rest = F.when(F.col("pos") < 0, F.col("n")).otherwise(F.col("n") - F.col("pos"))
+    met = keys.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(rest).alias("rest")
+    )
+    # most lists are of two sets that share a shingle by chance: these are settled here
+    met = met.where((F.col("low") != F.col("high")) & ((F.col("members") > 2) | _fits(F.col("n0"), F.col("n1"), F.col("rest"), cfg))).select("key", "members")
     lists = stored(keys.join(met, "key").distinct(), "jaccard-met")
-    members = lists.groupBy("key").agg(F.count("*").alias("members"))
-    pop = lists.join(members, "key").groupBy("sid").agg(F.sum("members").alias("pop"))
-    return stored(lists.join(members, "key").join(pop, "sid"), "jaccard-lists")
+    pop = lists.groupBy("sid").agg(F.sum("members").alias("pop"))
+    return stored(lists.join(pop, "sid"), "jaccard-lists")
 
 
 def _sets(docs: DataFrame, need: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -270,11 +280,9 @@ def _candidates(open_lists: DataFrame, pivots: int, cfg: JaccardConfig) -> DataF
         share = F.pmod(F.xxhash64("sid", F.lit(pivots)), F.lit(1 << 20)) * F.col("members")
         # of two members in different components one at least is outside the list's main one
         chosen, outside = open_lists.where(share < F.lit(pivots << 20)).select(*head), open_lists.where("label <> main")
-    both = F.col("n") + F.col("np")
-    fits = (F.least("n", "np") * cfg.den >= F.greatest("n", "np") * cfg.num) & (F.col("label") != F.col("lp"))
     # of two prefixes' first common shingle: no more than what follows in both can be common too
-    rest = F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp"))
-    fits &= (F.col("pos") < 0) | (rest * (cfg.num + cfg.den) >= both * cfg.num)
+    rest = F.when(F.col("pos") < 0, F.least("n", "np")).otherwise(F.least(F.col("n") - F.col("pos"), F.col("np") - F.col("pp")))
+    fits = (F.col("label") != F.col("lp")) & _fits(F.col("n"), F.col("np"), rest, cfg)
     return outside.join(chosen, "key").where(fits).select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
 
 
@@ -283,15 +291,19 @@ def _links(docs: DataFrame, lists: DataFrame, classes: DataFrame, cfg: JaccardCo
     spark = docs.sparkSession
     links, labels, sets, pivots, rows = None, None, None, 1, lists.count()
     while rows:
-        named = lists.withColumn("label", F.col("sid"))
-        if labels is not None:
-            named = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        # a list is done when its members are connected, or when the last round compared all of them
-        tested = 2 if pivots == 32 else pivots // 32
-        each = named.where(F.col("members") > tested).groupBy("key", "label").agg(F.count("*").alias("own"))
-        heads = each.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("own", "label")).alias("top")).where("labels > 1")
-        open_lists = stored(named.join(heads.select("key", F.col("top.label").alias("main")), "key"), "jaccard-open")
-        sums = open_lists.agg(F.max("members").alias("longest"), F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))).alias("pairs")).first()
+        if pivots == 1:
+            open_lists = lists.withColumn("label", F.col("sid"))  # all are open, and all members meet the pivot
+            sums = lists.agg(F.max("members").alias("longest")).first()
+        else:
+            named = lists.withColumn("label", F.col("sid"))
+            if labels is not None:
+                named = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+            # a list is done when its members are connected, or when the last round compared all of them
+            tested = 2 if pivots == 32 else pivots // 32
+            each = named.where(F.col("members") > tested).groupBy("key", "label").agg(F.count("*").alias("own"))
+            heads = each.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("own", "label")).alias("top")).where("labels > 1")
+            open_lists = stored(named.join(heads.select("key", F.col("top.label").alias("main")), "key"), "jaccard-open")
+            sums = open_lists.agg(F.max("members").alias("longest"), F.sum(F.when(F.col("label") != F.col("main"), F.col("members"))).alias("pairs")).first()
         if sums["longest"] is None:
             break
         if pivots > 1 and sums["pairs"] <= 8 * rows:
@@ -326,7 +338,7 @@ def similar_groups(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> Dat
     boundary = light_boundary(cfg, sizes, counters)
     described = _described(docs, cfg, counters, boundary)
     named = described.where("n > 0 and doc_id is not null")
-    lists = _lists(named)
+    lists = _lists(named, cfg)
     classes = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("docs"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
     labels = _links(docs, lists, classes, cfg)
     least = classes.where("docs > 1").select("sid", F.col("doc").alias("least"))
