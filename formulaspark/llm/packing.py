@@ -18,6 +18,7 @@ doc_ids are pieces like others; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 import zlib
 from itertools import islice
@@ -219,22 +220,32 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 50_000) ->
     visited = 0
 
     def children():
-        """(times, members, waste) around the largest length; fewer times after the most; None for a dominated filling."""
-        large = max(counts)
-        counts[large] -= 1
-        own = dict(counts)
-        counts[large] += 1
-        for gone, pick, worse in candidates(own, capacity - large):
-            if waste + gone > (most - 1) * capacity - total:
+        """(times, members, waste) around the largest length; fewer times after the most; None for a dominated
+        filling.  Fillings come in lists that are made again where more are needed, so that a level of the
+        search holds a few of them only."""
+        done, size = 0, 8
+        while True:
+            large = max(counts)
+            counts[large] -= 1
+            part = list(islice(candidates(dict(counts), capacity - large), done, done + size))
+            counts[large] += 1
+            for gone, pick, worse in part:
+                if waste + gone > (most - 1) * capacity - total:
+                    return
+                if worse:
+                    yield None
+                    continue
+                members = (large, *pick)
+                times = min(counts[s] // members.count(s) for s in set(members))
+                while times:
+                    yield times, members, gone
+                    times //= 2
+            if len(part) < size:
                 return
-            if worse:
-                yield None
-                continue
-            members = (large, *pick)
-            times = min(counts[s] // members.count(s) for s in set(members))
-            while times:
-                yield times, members, gone
-                times //= 2
+            done, size = done + size, 4 * size
+
+    def state() -> bytes:
+        return hashlib.blake2b(np.array(sorted(counts.items()), np.int64).tobytes(), digest_size=16).digest()
 
     def put(times: int, members: tuple[int, ...]) -> None:
         for s in set(members):
@@ -271,7 +282,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 50_000) ->
         if not counts:
             incumbent, most = [(t, m) for t, m, _ in plan], bins
             stack.append(iter(()))
-        elif incumbent and (bins + least_bins(counts, capacity) >= most or seen.get(key := tuple(sorted(counts.items())), most) <= bins):
+        elif incumbent and (bins + least_bins(counts, capacity) >= most or seen.get(key := state(), most) <= bins):
             stack.append(iter(()))
         else:
             if incumbent:
