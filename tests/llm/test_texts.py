@@ -210,3 +210,50 @@ def test_quality(spark, make_docs):
 def test_shape_is_of_the_whole_word():
     assert Q._shape("a1" * 200 + "+Z") == "s:" + "a0" * 200 + "+A"
     assert Q._shape("x" * 300 + "==Q") == "s:a==A" and Q._shape("::a") == "s::a"
+
+
+def test_pooled_vectors_against_plain_loops(spark, make_docs):
+    import numpy as np
+
+    cfg = Q.QualityConfig(buckets=512, block=64, dims=8)
+    rng = random.Random(3)
+    words = ["river", "House", "NOW!!", "a1b2", "été", "x" * 2000, "--", "of", "the"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 7, 40])))) for i in range(60)] + [(99, None)]
+    place, sign = Q.index_vectors(cfg)
+    bucket = lambda w: Q.hash64(w.encode()) % cfg.buckets
+    index = np.zeros((cfg.buckets, cfg.dims))
+    for b in range(cfg.buckets):
+        for k in range(cfg.nonzero):
+            index[b, place[b, k]] += sign[b, k]
+    table = np.zeros((cfg.buckets, cfg.dims))
+    for _, text in docs:
+        own = (text or "").split()
+        for ids in ([bucket(w) for w in own], [bucket(Q._shape(w)) for w in own]):
+            for i, a in enumerate(ids):
+                for j in range(max(0, i - cfg.window), min(len(ids), i + cfg.window + 1)):
+                    if i != j:
+                        table[a] += index[ids[j]]
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    got = Q.context_vectors(make_docs(docs), cfg)
+    assert np.allclose(got, table, atol=1e-5)
+    rows = {r.doc_id: np.frombuffer(bytes(r.pooled), np.float32) for r in Q.pooled(make_docs(docs), got, cfg).collect()}
+    for i, text in docs:
+        own = (text or "").split()
+        v, s = (np.array([got[bucket(f(w))] for w in own]).reshape(-1, cfg.dims) for f in (str, Q._shape))
+        mean = v.mean(0) if len(own) else np.zeros(cfg.dims)
+        spread = v.std(0) if len(own) else mean
+        step = np.abs(np.diff(v, axis=0)).sum(0) / max(len(own), 1)
+        shape = s.mean(0) if len(own) else np.zeros(cfg.dims)
+        want = np.concatenate([mean, spread, step, shape, [np.linalg.norm(mean), np.linalg.norm(shape)]])
+        assert np.allclose(rows[i], want, atol=2e-3)
+
+
+def test_network_against_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    net = Q.Network(rng.normal(size=5), rng.uniform(1, 2, 5), rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=3), 0.3, 1.7)
+    x = rng.normal(size=(20, 5))
+    for row, score in zip(x, net.scores(x)):
+        hidden = [np.tanh(sum((row[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(5)) + net.b1[j]) for j in range(3)]
+        assert abs(score - 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature))) < 1e-12
