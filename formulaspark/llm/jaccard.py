@@ -13,7 +13,7 @@ reading lists, by the corpus' own sizes and list lengths.
 
 Lists are never expanded to all pairs.  A pair leaves a list only if its sizes and the
 places of the shingle in both sets allow the similarity, and if links found so far do not
-connect it; then a sketch of 64 counts excludes most pairs that are unlike.  In the first round each member meets one pivot of its list: the set whose lists
+connect it; then a sketch of 256 counts excludes most pairs that are unlike.  In the first round each member meets one pivot of its list: the set whose lists
 are the longest in all, as the common original of many copies is, so that one comparison a
 member links most of them.  Later rounds take 32 times as many pivots, at last all members,
 and only compare members outside the part of a list that is connected already.  Each pair is
@@ -81,8 +81,11 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+_BINS = 256
+
+
 def sketch(h: np.ndarray) -> bytes:
-    return np.bincount((h >> np.uint64(7) & np.uint64(63)).astype(np.int64), minlength=64).astype(np.uint8).tobytes()
+    return np.bincount((h >> np.uint64(7)).astype(np.int64) & (_BINS - 1), minlength=_BINS).astype(np.uint8).tobytes()
 
 
 def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,7 +250,7 @@ def _close(cfg: JaccardConfig):
 
     def keep(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BINS) for c in ("sa", "sb"))
             sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             # similar sets differ in at most (den - num) / (den + num) of their summed sizes
             ok = sketch_gap(a, b) * (cfg.den + cfg.num) <= (cfg.den - cfg.num) * sizes
@@ -312,15 +315,16 @@ def _links(docs: DataFrame, lists: DataFrame, classes: DataFrame, cfg: JaccardCo
         pairs = _candidates(open_lists, pivots, cfg).join(left, "a").join(right, "b")
         near = stored(pairs.mapInArrow(_close(cfg), "a long, b long"), "jaccard-near")
         if not near.isEmpty():
-            need = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-            if sets is not None:
-                need = need.join(sets.select("sid"), "sid", "left_anti")
+            asked = stored(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "jaccard-asked")
+            few = F.broadcast(asked) if asked.count() <= cfg.broadcast_rows else asked  # a long a row
+            need = asked if sets is None else asked.join(sets.select("sid"), "sid", "left_anti")
             need = stored(classes.join(need, "sid", "left_semi").select("sid", "doc"), "jaccard-need")
             if not need.isEmpty():
                 with arrow_rows(spark, 500):
                     more = stored(_sets(docs, need, cfg), "jaccard-bodies")
                 sets = more if sets is None else sets.union(more)
-            bodies = near.join(sets.select(F.col("sid").alias("a"), F.col("body").alias("xa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("body").alias("xb")), "b")
+            own = sets.join(few, "sid", "left_semi")
+            bodies = near.join(own.select(F.col("sid").alias("a"), F.col("body").alias("xa")), "a").join(own.select(F.col("sid").alias("b"), F.col("body").alias("xb")), "b")
             with arrow_rows(spark, 64):
                 found = stored(bodies.mapInArrow(_similar(cfg), "a long, b long"), "jaccard-links")
             if not found.isEmpty():
