@@ -16,6 +16,7 @@ import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,15 +52,25 @@ def arrow_rows(spark: SparkSession, rows: int):
             spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which cuts its lineage."""
+def stored(df: DataFrame, label: str, **options) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage.
+
+    ``options`` are those of the Parquet writer.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     with arrow_rows(spark, 1000):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Any store that Arrow knows by its URI; a bare path is a local one."""
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(uri)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,19 +20,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _A
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the number of words of each text.
-
-    A-Z count as a-z; words end at ASCII white space.  Words are read eight bytes at a time.
-    """
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = b" " + b" ".join(raws).lower() + b" " * 9
-    codes = np.frombuffer(data, np.uint8)
-    blank = _BLANK[codes]
+def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the words of ``data``, which begins and ends with a blank."""
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, size = edges[::2], edges[1::2] - edges[::2]
-    sizes = np.array([len(r) + 1 for r in raws], np.int64)
-    ends = np.searchsorted(starts, 1 + np.cumsum(sizes))
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+def span_hashes(data: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``data``, which ends with nine blanks."""
     eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     h = mixed(size.astype(np.uint64) * _A ^ (eights[starts] & _LOW[np.minimum(size, 8)]))
     at = 8
@@ -44,6 +40,32 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         active = active[size[active] > at]
     for i in np.flatnonzero(size > _LONG).tolist():
         h[i] = hash64(data[starts[i] : starts[i] + size[i]])
+    return h
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, joined from runs of powers of two."""
+    out, have, power, size = words[:0], 0, words, 1
+    while size <= width <= len(words):
+        if width & size:
+            n = len(words) - have - size + 1
+            out = mixed(out[:n] * _B + power[have : have + n]) if have else power
+            have += size
+        power, size = mixed(power[:-size] * _B + power[size:]), 2 * size
+    return out
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and the number of words of each text.
+
+    A-Z count as a-z; words end at ASCII white space.  Words are read eight bytes at a time.
+    """
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b" " + b" ".join(raws).lower() + b" " * 9
+    starts, size = spans(data)
+    sizes = np.array([len(r) + 1 for r in raws], np.int64)
+    ends = np.searchsorted(starts, 1 + np.cumsum(sizes))
+    h = span_hashes(data, starts, size)
     return h, np.diff(ends, prepend=0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids
+from . import centroids, windows
 from .centroids import op11_centroids
 from .decontaminate import op1_decontaminate
 from .jaccard import op10_jaccard
@@ -14,6 +14,7 @@ from .records import op7_token_records
 from .secrets import op2_secrets
 from .suffixes import op9_repeats
 from .warc import op6_warc
+from .windows import op12_windows
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_jaccard": op10_jaccard,
     "op11_centroids": op11_centroids,
+    "op12_windows": op12_windows,
 }
 
 #: The first ten cannot be stated in DuckDB SQL; tests hold them against brute force.
-SQL: dict[str, str] = {"op11_centroids": centroids.SQL}
+SQL: dict[str, str] = {"op11_centroids": centroids.SQL, "op12_windows": windows.SQL}

@@ -31,13 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import encoder, text_runs
-from .common import batched, read_table, rows_of, shared_dir, stored, texts_of
+from .common import batched, file_system, read_table, rows_of, shared_dir, stored, texts_of
 
 
 def public_tokenizer(name: str) -> str:
@@ -46,13 +45,6 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Any store that Arrow knows by its URI; a bare path is a local one."""
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
