@@ -188,12 +188,12 @@ def sketched(cfg: WindowConfig, sketch: Sketch):
 
     def run(batches):
         for block in opened(batches, cfg.width):
-            for row in range(sketch.depth):
+            for row in range(sketch.depth if len(block.at) else 0):
                 code = np.sort(sketch.cells_of(block.hashes, row))
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                 many, code = np.diff(np.append(first, len(code))) > 1, code[first]
                 shard, cell = code // sketch.cells, code % sketch.cells
-                edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(code) else first
+                edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
                 gap = np.diff(cell, prepend=0)
                 gap[edges] = cell[edges]
                 data, ends = packed(gap * 2 + many)

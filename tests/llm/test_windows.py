@@ -55,7 +55,7 @@ def test_removal(spark, make_docs, cfg):
 
 def test_empty_tables(make_docs):
     assert remove_windows(make_docs([])).count() == 0
-    assert [tuple(r)[:3] for r in remove_windows(make_docs([(1, None), (2, "a b")])).collect()] == [(1, 0, 0), (2, 2, 0)]
+    assert sorted(tuple(r)[:3] for r in remove_windows(make_docs([(1, None), (2, "a b")])).collect()) == [(1, 0, 0), (2, 2, 0)]
 
 
 def test_variable_bytes():
