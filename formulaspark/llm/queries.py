@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import centroids, windows
+from . import centroids, divergence, windows
 from .centroids import op11_centroids
 from .decontaminate import op1_decontaminate
+from .divergence import op13_divergence
 from .jaccard import op10_jaccard
 from .licenses import op5_licenses
 from .neighbours import op8_neighbours
@@ -29,7 +30,8 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
     "op11_centroids": op11_centroids,
     "op12_windows": op12_windows,
+    "op13_divergence": op13_divergence,
 }
 
 #: The first ten cannot be stated in DuckDB SQL; tests hold them against brute force.
-SQL: dict[str, str] = {"op11_centroids": centroids.SQL, "op12_windows": windows.SQL}
+SQL: dict[str, str] = {"op11_centroids": centroids.SQL, "op12_windows": windows.SQL, "op13_divergence": divergence.SQL}
