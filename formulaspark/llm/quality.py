@@ -20,6 +20,7 @@ every score is the share of label 1 among them, 0.5 if there are none.  Only
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,13 +138,8 @@ def context_vectors(docs: DataFrame, cfg: QualityConfig) -> np.ndarray:
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
-def _ids_of(docs: DataFrame) -> list[str]:
-    return [n for n in ("row_id", "doc_id") if n in docs.columns]
-
-
-def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig) -> DataFrame:
-    """``doc_id`` (and ``row_id``, if there is one) and ``pooled``, little-endian float32 values of the document."""
-    names = _ids_of(docs)
+def pooled(docs: DataFrame, table: np.ndarray, cfg: QualityConfig, names: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``names`` and ``pooled``, little-endian float32 values of the document."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def pool(batches):
@@ -244,11 +240,14 @@ def remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``, and its ``row_id`` first if it has one."""
-    names = _ids_of(docs)
+def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig(), threshold: float = 0.3, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``ids`` (whole numbers, doc_id among them), then ``held_out, score, predicted``, for every row of ``docs``.
+
+    Where labels of a document differ, the larger one counts.
+    """
+    names = list(ids)
     vectors = context_vectors(docs, cfg)
-    features = stored(pooled(docs, vectors, cfg), "quality-pooled")
+    features = stored(pooled(docs, vectors, cfg, names), "quality-pooled")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & (remainder() != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most max_train rows, the first in the order of a hash

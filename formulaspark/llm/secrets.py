@@ -221,20 +221,23 @@ def covered(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def redact(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str = "[secret]") -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced; texts without any stay as they are."""
+    """``docs`` with secrets in ``text`` replaced; texts without any stay as they are, as do all other columns."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names of any kind, dots included
+    at = names.index("text")
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(transition_counts(docs, cfg), cfg))
 
     def clean(batches):
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(at).to_pylist():
                 if text:
                     _, spans = all_spans(text, ratios.value, cfg)
                     text = covered(text, spans, mark) if spans else text
                 out.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+            yield batch.set_column(at, f"c{at}", pa.array(out, pa.string()))
 
-    return docs.mapInArrow(lean(clean), docs.schema)
+    return plain.mapInArrow(lean(clean), plain.schema).toDF(*names)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

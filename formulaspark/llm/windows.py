@@ -95,10 +95,12 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(data: bytes) -> np.ndarray:
     codes = np.frombuffer(data, np.uint8)
+    if not len(codes):
+        return np.empty(0, np.int64)
     ends = np.flatnonzero(codes < 128) + 1
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     step = np.arange(len(codes)) - np.repeat(starts, ends - starts)
-    return np.add.reduceat((codes & 127).astype(np.int64) << 7 * step, starts) if len(starts) else starts
+    return np.add.reduceat((codes & 127).astype(np.int64) << 7 * step, starts)
 
 
 class Block:
