@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in stages.
 
-Rows are told apart by a row_id that the first stage adds to the columns of documents, so that
-documents without a doc_id, or with one that others have too, are judged each by itself.
+Rows are told apart by a number of our own, ``ROW``, that the first stage adds to the columns of
+documents whatever these are, so that documents without a doc_id, or with one that others have
+too, are judged each by itself.  No other column of documents, of any name, is taken for it.
 Up to ``BROADCAST_IDS`` ids are broadcast and more are shuffled; the result is the same.
 """
 
@@ -20,61 +21,67 @@ from formulaspark.llm.secrets import redact
 
 #: Up to so many ids (eight bytes each) go to every task; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: The column by which rows are told apart between the stages.
+ROW = "__corpus_pipeline_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row_id after its own columns: the doc_id where each row has its own, else the
+    """``docs`` with ``ROW`` after its own columns: the doc_id where each row has its own, else the
     stored place in the order of doc_id (nulls last) and the other columns."""
-    if "row_id" in docs.columns:
-        return docs
+    docs = docs.drop(ROW)
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
-    plain = [c for c, kind in docs.dtypes if c != "doc_id" and "map" not in kind]
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *plain)
-    return stored(ordered.withColumn("row_id", F.monotonically_increasing_id()), "pipeline-rows")
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    plain = [c for c, kind in docs.dtypes if c != "doc_id" and "map" not in kind and "variant" not in kind]
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *(F.col(f"`{c}`") for c in plain))
+    return stored(ordered.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` of the first stage as they are; a stage that is called by itself numbers its rows."""
+    return docs if ROW in docs.columns else numbered(docs)
 
 
 def by_row(docs: DataFrame) -> DataFrame:
     """Rows as documents of their own, for operators that know a document by its doc_id."""
-    return docs.select(F.col("row_id").alias("doc_id"), "text")
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` but for those whose row_id is in ``ids``."""
-    ids = stored(ids.select("row_id").distinct(), label)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row_id", "left_anti").select(*docs.columns)
+    """``docs`` but for those whose ``ROW`` is in ``ids``."""
+    ids = stored(ids.select(ROW).distinct(), label)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the others stay as they are."""
     docs = numbered(docs)
-    scored = score_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, read_table(spark, sf_dir, "labels"), ids=(ROW, "doc_id"))
     return without(docs, scored.where("predicted = 0"), "pipeline-rejected")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more)
-    stays, that with the smallest row_id (so the smallest doc_id); of rows with equal doc_id
-    and text, even a text without words, that with the smallest row_id."""
-    docs = numbered(docs)
+    stays, that with the smallest number (so the smallest doc_id); of rows with equal doc_id
+    and text, even a text without words, that with the smallest number."""
+    docs = told_apart(docs)
     groups = similar_groups(by_row(docs), JaccardConfig(width=5, num=80, den=100))
-    kept = without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("row_id")), "pipeline-copies")
+    kept = without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW)), "pipeline-copies")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    return kept.join(docs.groupBy("doc_id", "text").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi").select(*docs.columns)
+    return kept.join(docs.groupBy("doc_id", "text").agg(F.min(ROW).alias(ROW)).select(ROW), ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay as they are."""
-    docs = numbered(docs)
+    docs = told_apart(docs)
     leaks = find_leaks(by_row(docs), read_table(spark, sf_dir, "benchmark"))
-    return without(docs, leaks.select(F.col("doc_id").alias("row_id")), "pipeline-leaks")
+    return without(docs, leaks.select(F.col("doc_id").alias(ROW)), "pipeline-leaks")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts become a mark, and n_chars, if there is one, follows."""
-    clean = redact(numbered(docs))
+    clean = redact(told_apart(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
