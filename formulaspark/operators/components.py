@@ -1,7 +1,9 @@
 """Connected components, merging, splitting and cropping of ink.
 
 ``binary`` tables are ``image_id, y, x, v`` with ink above 0.  Work is on runs of ink, far
-fewer than pixels.  Only union-find runs in Python, on one image's edges at a time.
+fewer than pixels.  Only union-find runs in Python, on at most ``MOST_EDGES`` edges of an image at a
+time; pictures with more are united by rounds of joins.  Boxes meet ink row by row, and
+each other in cells of a grid, so that no step pairs all that a picture holds.
 """
 
 from __future__ import annotations
@@ -22,44 +24,117 @@ def runs(binary: DataFrame) -> DataFrame:
     return ink.groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def union_roots(edges: DataFrame) -> DataFrame:
-    """``image_id, n, root``: for the nodes of edges ``a, b`` of an image the least node that they connect to."""
+def level_runs(binary: DataFrame) -> DataFrame:
+    """``image_id, y, x0, x1, v`` of horizontal runs of ink of one level."""
+    line = Window.partitionBy("image_id", "y", "v").orderBy("x")
+    ink = binary.where("v > 0").withColumn("island", F.col("x") - F.row_number().over(line))
+    return ink.groupBy("image_id", "y", "v", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+
+
+#: Pictures with more edges are united by rounds of joins instead of one task each.
+MOST_EDGES = 200_000
+#: Rows of a picture that are numbered together.
+BAND = 64
+
+
+def _forest(of: str):
+    """Batches of ``of, a, b`` as ``of, n, root``: the least node that each node connects to within a
+    task; edges of a picture follow each other."""
+
+    def run(batches):
+        held, parent = None, {}
+
+        def find(n: int) -> int:
+            while parent.setdefault(n, n) != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        def done():
+            nodes = list(parent)
+            for at in range(0, len(nodes), 50_000):
+                part = nodes[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([held] * len(part), kind), pa.array(part, pa.int64()), pa.array([find(n) for n in part], pa.int64())], [of, "n", "root"])
 
-    def find_all(batches):
         for batch in batches:
-            at, nodes, roots = [], [], []
-            for i, pairs in enumerate(batch.column("pairs").to_pylist()):
-                parent: dict[int, int] = {}
-
-                def find(n: int, parent=parent) -> int:
-                    while parent.setdefault(n, n) != n:
-                        parent[n] = parent[parent[n]]
-                        n = parent[n]
-                    return n
-
-                for p in pairs:
-                    a, b = find(p["a"]), find(p["b"])
-                    parent[max(a, b)] = min(a, b)
-                at += [i] * len(parent)
-                nodes += parent
-                roots += [find(n) for n in list(parent)]
-            ids = batch.column("image_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["image_id", "n", "root"])
+            kind = batch.schema.field(of).type
+            for image, a, b in zip(*(batch.column(c).to_pylist() for c in (of, "a", "b")), strict=True):
+                if image != held:
+                    yield from done()
+                    held = image
+                    parent.clear()
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        if parent:
+            yield from done()
 
+    return run
+
+
+def _mixed(n: Column) -> Column:
+    """Numbers in another order, each to one of its own: shifts that can be undone."""
+    for shift in (13, -7, 17):
+        n = n.bitwiseXOR(F.shiftleft(n, shift) if shift > 0 else F.shiftrightunsigned(n, -shift))
+    return n
+
+
+def contracted(edges: DataFrame, task_edges: int = MOST_EDGES) -> DataFrame:
+    """``image_id, n, root`` as of ``union_roots`` for pictures of any size.
+
+    Tasks of ``task_edges`` edges keep forests.  Then, round by round, every node goes to the least of
+    itself and its neighbours and nodes merge; numbers are mixed first, so that in expectation a
+    fixed share of the nodes goes in each round.
+    """
+    key = ["image_id"]
+    parts = max(1, -(-edges.count() // task_edges))
+    dealt = edges.repartitionByRange(parts, "image_id", "a").sortWithinPartitions("image_id")
+    kind = f"image_id {edges.schema['image_id'].dataType.simpleString()}, n long, root long"
+    trees = kept(dealt.mapInArrow(_forest("image_id"), kind), "forest")
+    nodes = trees.select("image_id", "n").distinct()
+    e = kept(trees.where("n <> root").select("image_id", _mixed(F.col("n")).alias("a"), _mixed(F.col("root")).alias("b")).distinct(), "forest-edges")
+    labels = kept(nodes.withColumn("label", _mixed(F.col("n"))), "forest-labels")
+    while not e.isEmpty():
+        both = e.union(e.select("image_id", "b", "a"))
+        least = kept(both.groupBy("image_id", F.col("a").alias("label")).agg(F.least(F.first("a"), F.min("b")).alias("m")), "forest-least")
+        labels = kept(labels.join(least, [*key, "label"], "left").select("image_id", "n", F.coalesce("m", "label").alias("label")), "forest-labels")
+        ends = [least.select("image_id", F.col("label").alias(c), F.col("m").alias("m" + c)) for c in "ab"]
+        merged = e.join(ends[0], [*key, "a"]).join(ends[1], [*key, "b"]).where("ma <> mb")
+        e = kept(merged.select("image_id", F.col("ma").alias("a"), F.col("mb").alias("b")).distinct(), "forest-edges")
+    roots = labels.groupBy("image_id", "label").agg(F.min("n").alias("root"))
+    return labels.join(roots, [*key, "label"]).select("image_id", "n", "root")
+
+
+def union_roots(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """``image_id, n, root``: for the nodes of edges ``a, b`` of an image the least node that they connect to."""
+    edges = kept(edges.select("image_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    large = edges.groupBy("image_id").count().where(F.col("count") > most).select("image_id")
     kind = f"image_id {edges.schema['image_id'].dataType.simpleString()}, n long, root long"
-    return edges.groupBy("image_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).mapInArrow(find_all, kind)
+    by_image = lambda e: kept(e.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(_forest("image_id"), kind), "united")
+    if large.isEmpty():
+        return by_image(edges)
+    large = kept(large, "large-pictures")
+    return by_image(edges.join(large, "image_id", "left_anti")).unionByName(contracted(edges.join(large, "image_id", "left_semi"), most))
+
+
+def numbered_roots(found: DataFrame) -> DataFrame:
+    """``image_id, root, comp_id``: the different roots, numbered from 0 in their order, by bands of rows."""
+    roots = kept(found.groupBy("image_id", "root").agg(F.expr(f"shiftright(root, 32) div {BAND}").alias("band")), "roots")
+    per = Window.partitionBy("image_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    before = roots.groupBy("image_id", "band").count().select("image_id", "band", F.coalesce(F.sum("count").over(per), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("image_id", "band").orderBy("root")) - 1
+    return roots.withColumn("own", own).join(before, ["image_id", "band"]).select("image_id", "root", (F.col("before") + F.col("own")).cast("int").alias("comp_id"))
 
 
 def connected_components(binary: DataFrame, conn: int = 8) -> DataFrame:
     """``image_id, comp_id, y, x0, x1``: runs with their component, numbered by first pixel in raster order."""
-    order = Window.partitionBy("image_id").orderBy("y", "x0")
-    r = kept(runs(binary).withColumn("n", F.row_number().over(order).cast("long")), "numbered-runs")
+    # a run's number orders runs as their first pixels
+    r = kept(runs(binary).withColumn("n", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")), "numbered-runs")
     reach = 1 if conn == 8 else 0
     up = r.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("n").alias("a"))
     edges = r.join(up, ["image_id", "y"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)).select("image_id", "a", F.col("n").alias("b"))
     found = r.join(union_roots(edges), ["image_id", "n"], "left")  # runs without edges stand for themselves
-    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy(F.coalesce("root", "n"))) - 1
-    return found.select("image_id", number.alias("comp_id"), "y", "x0", "x1")
+    found = kept(found.select("image_id", F.coalesce("root", "n").alias("root"), "y", "x0", "x1"), "rooted-runs")
+    return found.join(numbered_roots(found), ["image_id", "root"]).select("image_id", "comp_id", "y", "x0", "x1")
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -91,39 +166,79 @@ def remove_small_components(binary: DataFrame, min_area: int = 10, mixed: bool =
     return binary.join(gone, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("gone"), 0).otherwise(F.col("v")).alias("v"))
 
 
-def above_and_below(comps: DataFrame) -> DataFrame:
-    """``image_id, comp_id, above, below``: whether others that overlap across lie on either side."""
-    a = comps.select("image_id", "comp_id", *[F.col(c).alias("a" + c) for c in "xywh"])
-    b = comps.select("image_id", F.col("comp_id").alias("other"), *[F.col(c).alias("b" + c) for c in "xywh"])
-    p = a.join(b, "image_id").where("comp_id <> other")
+def near_pairs(left: DataFrame, right: DataFrame, cell: Column | int, reach: bool = True) -> DataFrame:
+    """Pairs of boxes ``left`` (``image_id, a, ax, ay, aw, ah, ar``) and ``right`` (``b`` likewise) of an image
+    that share a column of pixels and, with ``reach``, rows when each grows by its ``r`` up and down.
+
+    Boxes meet in the cells that they touch; the first cell of a pair's common part owns it, so each
+    pair comes once.  ``cell`` is one value per image.
+    """
+    cell = F.lit(cell) if isinstance(cell, int) else cell
+
+    def touched(boxes: DataFrame, p: str) -> DataFrame:
+        x, y, w, h, r = (F.col(p + c) for c in "xywhr")
+        at = lambda v: F.floor(v / cell).cast("long")
+        boxes = boxes.withColumns({f"{p}gx": at(x), f"{p}gy": at(y - r) if reach else F.lit(0).cast("long")})
+        boxes = boxes.withColumn("gx", F.explode(F.sequence(f"{p}gx", at(x + F.greatest(w, F.lit(1)) - 1))))
+        return boxes.withColumn("gy", F.explode(F.sequence(f"{p}gy", at(y + h + r) if reach else F.lit(0).cast("long"))))
+
+    pairs = touched(left, "a").join(touched(right.drop("cell"), "b") if "cell" not in left.columns else touched(right, "b").drop("cell"), ["image_id", "gx", "gy"])
+    return pairs.where((F.col("gx") == F.greatest("agx", "bgx")) & (F.col("gy") == F.greatest("agy", "bgy"))).drop("gx", "gy", "agx", "agy", "bgx", "bgy")
+
+
+def _sides(comps: DataFrame, p: str, *more: str) -> DataFrame:
+    return comps.select("image_id", *more, F.col("comp_id").alias(p), *[F.col(k).alias(p + k) for k in "xywh"], *[F.col("r").alias(p + "r")])
+
+
+def above_and_below(comps: DataFrame, of: DataFrame | None = None, cell: int = 64) -> DataFrame:
+    """``image_id, comp_id, above, below``: whether others that overlap across lie on either side, for
+    the components ``of`` (all of ``comps``, if not given)."""
+    of = comps if of is None else of
+    flat = lambda c: c.withColumn("r", F.lit(0))
+    p = near_pairs(_sides(flat(of), "a"), _sides(flat(comps), "b"), cell, reach=False).where("a <> b")
     ba, bb = Box.of("a"), Box.of("b")
     p = p.where(ba.horizontal_overlap(bb) >= 0.2)
-    found = p.groupBy("image_id", "comp_id").agg(F.bool_or(bb.center_y < ba.y).alias("above"), F.bool_or(bb.center_y > ba.y2).alias("below"))
+    found = p.groupBy("image_id", F.col("a").alias("comp_id")).agg(F.bool_or(bb.center_y < ba.y).alias("above"), F.bool_or(bb.center_y > ba.y2).alias("below"))
     no = F.lit(False)
-    return comps.select("image_id", "comp_id").join(found, ["image_id", "comp_id"], "left").select("image_id", "comp_id", F.coalesce("above", no).alias("above"), F.coalesce("below", no).alias("below"))
+    return of.select("image_id", "comp_id").join(found, ["image_id", "comp_id"], "left").select("image_id", "comp_id", F.coalesce("above", no).alias("above"), F.coalesce("below", no).alias("below"))
 
 
 def flag_fraction_lines(comps: DataFrame, height: int | str) -> DataFrame:
     """``comps`` with ``is_fraction_line``; ``height`` is the images', or the column that has it."""
     height = F.col(height) if isinstance(height, str) else F.lit(height)
     box, most = Box.of(), F.least(F.lit(8.0), height * 0.08)
-    c = comps.join(above_and_below(comps), ["image_id", "comp_id"])
+    flat = (box.aspect_ratio > 4.0) & (box.h <= most * 1.5)  # only these need to know their neighbours
+    c = comps.join(above_and_below(comps, comps.where(flat)), ["image_id", "comp_id"], "left").fillna(False, ["above", "below"])
     mean = F.avg("h").over(Window.partitionBy("image_id"))
     sure = (box.aspect_ratio > 5.0) & (box.h <= most) & (box.h / height < 0.1)
     likely = (box.aspect_ratio > 4.0) & (box.h <= most * 1.5) & (box.h < mean * 0.3) & F.col("above") & F.col("below")
     return c.withColumn("is_fraction_line", sure | likely).drop("above", "below")
 
 
+def box_runs(boxes: DataFrame, ink: DataFrame) -> DataFrame:
+    """``boxes`` with the runs of ``ink`` (``image_id, y, x0, x1``) that reach into them, as ``py, x0, x1``: row by row."""
+    rows = boxes.withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)))
+    return rows.join(ink.withColumnRenamed("y", "py"), ["image_id", "py"]).where("x0 < x + w and x1 >= x")
+
+
+def overlap_length(low: Column, past: Column) -> Column:
+    """How many pixels of the run ``x0`` to ``x1`` lie from ``low`` on and before ``past``."""
+    return F.greatest(F.lit(0), F.least(F.col("x1") + 1, past) - F.greatest(F.col("x0"), low))
+
+
 def flag_roots(comps: DataFrame, binary: DataFrame) -> DataFrame:
     """``comps`` with ``is_sqrt``: a hook on the left, a line on top, little ink below right."""
     wide = (F.col("w") >= F.col("h") * 1.5) & (F.col("w") >= 20) & (F.col("h") >= 10)
     hook, top, right = F.greatest(F.lit(3), F.floor(F.col("w") * 0.3).cast("int")), F.greatest(F.lit(1), F.expr("h div 4")), F.floor(F.col("w") * 0.3).cast("int")
     boxes = comps.where(wide).select("image_id", "comp_id", "x", "y", "w", "h").withColumns({"hook": hook, "top": top, "right": right})
-    ink = binary.where("v > 0").select("image_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    inside = boxes.join(ink, "image_id").where("px >= x and px < x + w and py >= y and py < y + h")
-    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    keys = ["image_id", "comp_id", "w", "h", "hook", "top", "right"]
-    n = inside.groupBy(*keys).agg(F.count_if(dx < F.col("hook")).alias("a"), F.count_if((dy < F.col("top")) & (dx >= F.col("hook"))).alias("b"), F.count_if((dy >= F.col("top")) & (dx >= F.col("right"))).alias("c"))
+    inside = box_runs(boxes, runs(binary))
+    x, end, on_top = F.col("x"), F.col("x") + F.col("w"), F.col("py") - F.col("y") < F.col("top")
+    lengths = {
+        "a": overlap_length(x, F.least(x + F.col("hook"), end)),
+        "b": F.when(on_top, overlap_length(x + F.col("hook"), end)).otherwise(0),
+        "c": F.when(~on_top, overlap_length(x + F.col("right"), end)).otherwise(0),
+    }
+    n = inside.groupBy("image_id", "comp_id", "w", "h", "hook", "top", "right").agg(*[F.sum(v).alias(k) for k, v in lengths.items()])
     w, h = F.col("w"), F.col("h")
     root = (
         (F.col("a") / (F.least("hook", "w") * h + 1) > 0.15)
@@ -167,17 +282,24 @@ def broken_strokes(a: Box, b: Box) -> Column:
 
 
 def merge_edges(comps: DataFrame, height: int | str) -> DataFrame:
-    """``image_id, a, b``: pairs of components that are parts of one symbol."""
+    """``image_id, a, b``: pairs of components that are parts of one symbol.
+
+    All rules but that of percent signs ask for a common column and a gap that the boxes' own sizes
+    bound, so these pairs meet in cells of a grid.  Parts of percent signs may lie anywhere and
+    meet among an image's very small components only.
+    """
     mean = F.avg("h").over(Window.partitionBy("image_id"))
     # boxes that look like fraction lines merge with nothing
     c = comps.withColumn("mean", mean).where(~((Box.of().aspect_ratio > 4.0) & (F.col("h") <= 8)))
     tall = F.col(height) if isinstance(height, str) else F.lit(height)
-    left = c.select("image_id", "mean", (tall <= 64).alias("small"), F.col("comp_id").alias("a"), *[F.col(k).alias("a" + k) for k in "xywh"])
-    right = c.select("image_id", F.col("comp_id").alias("b"), *[F.col(k).alias("b" + k) for k in "xywh"])
+    bar = F.when(Box.of().aspect_ratio >= 2, F.col("h") * 1.5).otherwise(0)
+    c = c.withColumns({"r": F.greatest(F.col("mean") * 0.4, F.col("h") * 0.15, bar), "cell": F.greatest(F.lit(16.0), F.col("mean") * 2), "small": tall <= 64})
     a, b, m = Box.of("a"), Box.of("b"), F.col("mean")
-    rule = dot_above(b, a, m) | dot_above(a, b, m) | two_bars(a, b) | colon_dots(a, b, m) | percent_parts(a, b, m)
-    rule = rule | (F.col("small") & broken_strokes(a, b))
-    return left.join(right, "image_id").where((F.col("a") < F.col("b")) & rule).select("image_id", "a", "b")
+    rule = dot_above(b, a, m) | dot_above(a, b, m) | two_bars(a, b) | colon_dots(a, b, m) | (F.col("small") & broken_strokes(a, b))
+    near = near_pairs(_sides(c, "a", "mean", "small", "cell"), _sides(c, "b", "cell"), F.col("cell")).where((F.col("a") < F.col("b")) & rule)
+    tiny = c.where(Box.of().area <= m * m * 0.15)
+    apart = _sides(tiny, "a", "mean").join(_sides(tiny, "b"), "image_id").where((F.col("a") < F.col("b")) & percent_parts(a, b, m))
+    return near.select("image_id", "a", "b").union(apart.select("image_id", "a", "b")).distinct()
 
 
 def merge_components(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -198,10 +320,12 @@ def split_points(comps: DataFrame, binary: DataFrame) -> DataFrame:
     med = F.median("w").over(Window.partitionBy("image_id"))
     line = F.col("is_fraction_line") if "is_fraction_line" in comps.columns else F.lit(False)
     wide = comps.withColumn("med", med).where((F.col("w") > F.col("med") * 2.5) & ~line).select("image_id", "comp_id", "x", "y", "w", "h", "med")
-    ink = binary.where("v > 0").select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "v")
-    hit = wide.join(ink, "image_id").where("px >= x and px < x + w and py >= y and py < y + h")
-    sums = hit.groupBy("image_id", "comp_id", (F.col("px") - F.col("x")).alias("i")).agg(F.sum("v").alias("s"))
-    every = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).join(sums, ["image_id", "comp_id", "i"], "left").fillna({"s": 0})
+    # a run adds its level to the columns from its start on and takes it back after its end
+    hit = box_runs(wide, level_runs(binary))
+    edges = F.array(F.struct(F.greatest(F.col("x0") - F.col("x"), F.lit(0)).alias("i"), F.col("v").alias("s")), F.struct(F.least(F.col("x1") - F.col("x") + 1, F.col("w")).alias("i"), (-F.col("v")).alias("s")))
+    steps = hit.select("image_id", "comp_id", F.explode(edges).alias("e")).groupBy("image_id", "comp_id", "e.i").agg(F.sum("e.s").alias("s"))
+    every = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).join(steps, ["image_id", "comp_id", "i"], "left").fillna({"s": 0})
+    every = every.withColumn("s", F.sum("s").over(Window.partitionBy("image_id", "comp_id").orderBy("i")))
     kernel = F.greatest(F.lit(3), F.floor(F.col("med") * 0.1).cast("int"))
     half = F.expr("(kernel - 1) div 2")
     # an odd kernel; columns outside count as empty
@@ -256,8 +380,10 @@ def split_components(comps: DataFrame, binary: DataFrame, labelled: DataFrame |
 
 def crop_symbols(boxes: DataFrame, binary: DataFrame) -> DataFrame:
     """``image_id, comp_id, y, x, v``: the ink of each box, places from its corner."""
-    ink = binary.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "v")
-    hit = boxes.join(ink, "image_id").where("px >= x and px < x + w and py >= y and py < y + h")
+    ink = binary.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), "v", F.expr(f"px div {BAND}").alias("cell"))
+    rows = boxes.where("w > 0 and h > 0").withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)))
+    rows = rows.withColumn("cell", F.explode(F.expr(f"sequence(x div {BAND}, (x + w - 1) div {BAND})")))
+    hit = rows.join(ink, ["image_id", "py", "cell"]).where("px >= x and px < x + w")
     return hit.select("image_id", "comp_id", (F.col("py") - F.col("y")).alias("y"), (F.col("px") - F.col("x")).alias("x"), "v")
 
 

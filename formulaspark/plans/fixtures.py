@@ -52,6 +52,22 @@ TEMPLATES = [
     r"\frac{@}{0} + \mathscr{L} \times \sqrt{#}",
 ]
 
+#: Formulas that are computed; @ and # are numbers from 1 to 7 and 1 to 5.
+WORKED = [
+    r"(x+@)(x-#)^{2}",
+    r"\frac{d}{dx} (@ x^{3} + # x)",
+    r"\int (@ x^{2} - #) dx",
+    r"\int_{0}^{#} @ x dx",
+    r"\lim_{x \to #} (x+@)^2",
+    r"(x-@)(x+#) = 0",
+    r"\frac{1}{2}x^{2} \cdot @",
+    r"{x}^{2} - @ = #",
+    r"\left(x-@\right)\left(x-#\right)",
+    r"x^2 + @ = 0",
+    r"@ y - # = z",
+    r"(x + @ = #",
+]
+
 #: Sides of the pictures, and how often a number of a vector is repeated each way.
 SIDE, TIMES = 32, 4
 
@@ -82,6 +98,14 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("formula_id"), rows.alias("t")).select("formula_id", "t.power", "t.coef")
 
 
+def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``formula_id, latex``: formulas that are computed, one per part."""
+    part = table(spark, sf_dir, "part")
+    text = F.element_at(F.array(*[F.lit(t) for t in WORKED]), (F.col("p_partkey") % len(WORKED) + 1).cast("int"))
+    a, b = (F.col("p_size") % 7 + 1).cast("string"), (F.expr("p_partkey div 12") % 5 + 1).cast("string")
+    return part.select(F.col("p_partkey").alias("formula_id"), F.replace(F.replace(text, F.lit("@"), a), F.lit("#"), b).alias("latex"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, y, x, v``: each vector's signs as an 8 by 8 picture, four pixels a number each
     way, as ink on paper."""
@@ -138,6 +162,7 @@ CTES = {
         " FROM part, (VALUES (0), (1), (2)) t(power)",
         (),
     ),
+    "worked": (f"SELECT p_partkey AS formula_id, p_partkey % {len(WORKED)} AS kind, p_size % 7 + 1 AS a, p_partkey // 12 % 5 + 1 AS b FROM part", ()),
     "pixels": (
         f"SELECT image_id, y, x, CAST(CASE WHEN ink THEN 20 + (7*x + 13*y) % 30 ELSE 225 + (3*x + 5*y) % 20 END AS INT) AS v FROM (SELECT vec_id AS image_id, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x,"
         f" embedding[8 * (yy // {TIMES}) + xx // {TIMES} + 1] > 0 AS ink FROM embeddings, range({SIDE}) a(yy), range({SIDE}) b(xx))",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulaspark.functions.latex import semantics
-from formulaspark.operators import components, features, pixels, polynomials, recognition, structure
+from formulaspark.operators import calculus, components, features, pixels, polynomials, recognition, structure
 from formulaspark.sources.scratch import kept
 
 
@@ -31,6 +31,34 @@ def solved_records(formulas: DataFrame, mode: str = "contract") -> DataFrame:
     return r.withColumns({"solution": solution, "warnings": F.concat("warnings", unsolved), "interpretation": told}).drop("degree")
 
 
+def computed_records(formulas: DataFrame, mode: str = "contract") -> DataFrame:
+    """Semantic records with a ``solution`` (fields by name) and what was computed as ``simplified``.
+
+    Equations are solved, expressions expanded and factored, derivatives, integrals and limits of
+    polynomials computed; set and logic formulas list their operations and letters.  Formulas with
+    errors, and what is no polynomial in one letter, have no solution; equations, derivatives,
+    integrals and limits without one get a warning.  One projection: no exchange.
+    """
+    records = calculus.answered(calculus.computed(process_semantic(formulas, mode)))
+    r, kind = F.col("told"), F.col("formula_type")
+    asked = F.when(kind == "equation", "solve").when(kind.isin("derivative", "integral", "limit"), kind).when(~kind.isin("set_expression", "logic_expression", "number_set", "unknown"), "simplify")
+    fits = (F.size("errors") == 0) & (asked == F.col("computed.method"))
+    listed = lambda c: F.array_join(c, ", ")
+    special = F.when(
+        (kind == "set_expression") & (F.size("operations") > 0),
+        F.create_map(F.lit("type"), F.lit("set operations"), F.lit("operations"), listed("operations"), F.lit("elements"), listed("variables")),
+    ).when(
+        (kind == "logic_expression") & (F.size("operations") > 0),
+        F.create_map(F.lit("type"), F.lit("logic expression"), F.lit("quantifiers_or_connectives"), listed("operations"), F.lit("variables"), listed("variables")),
+    )
+    solved, answer = F.when(fits, r["solution"]), F.when(fits, r["answer"])
+    wanted = (F.size("errors") == 0) & kind.isin("equation", "derivative", "integral", "limit")
+    warnings = F.concat("warnings", F.when(wanted & answer.isNull(), F.array(F.lit("no solution was found"))).otherwise(F.array().cast("array<string>")))
+    told = F.concat("interpretation", F.when(answer.isNotNull() & (asked != "simplify"), F.concat(F.lit(" Result: "), answer, F.lit("."))).otherwise(""))
+    out = {"simplified": F.coalesce("simplified", F.when(fits & answer.isNotNull(), r["simplified"])), "solution": F.coalesce(solved, special), "warnings": warnings, "interpretation": told}
+    return records.withColumns(out).drop("computed", "told")
+
+
 def symbol_pictures(images: DataFrame, side: int = 32) -> DataFrame:
     """Pixel tables of single symbols, brought to ``side`` by ``side`` with a white background."""
     return features.normalize(pixels.pad_to(pixels.resize(images, side, side), side, side))

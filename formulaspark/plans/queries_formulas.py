@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formulaspark.functions import latex as L
+from formulaspark.operators import calculus
 from formulaspark.operators import polynomials as Y
 from formulaspark.plans import fixtures as T
-from formulaspark.plans.pipelines import process_semantic, solved_records as solved
+from formulaspark.plans.pipelines import computed_records, process_semantic, solved_records as solved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -218,3 +219,55 @@ def roots(spark, d):
 )
 def terms_to_latex(spark, d):
     return Y.to_latex(T.terms(spark, d))
+
+
+#: What each of the worked formulas comes to, by hand: method, power and coefficient.
+_WORKED = """r AS (SELECT formula_id, kind, a, b, CASE WHEN kind IN (5, 7, 9) THEN 'solve' WHEN kind = 1 THEN 'derivative' WHEN kind IN (2, 3) THEN 'integral' WHEN kind = 4 THEN 'limit' ELSE 'simplify' END AS method,
+  CASE kind WHEN 0 THEN [a * b * b, b * b - 2 * a * b, a - 2 * b, 1] WHEN 1 THEN [b, 0, 3 * a] WHEN 2 THEN [0, -b, 0, a / 3.0] WHEN 3 THEN [a * b * b / 2.0] WHEN 4 THEN [(a + b) * (a + b)]
+  WHEN 5 THEN [-a * b, b - a, 1] WHEN 6 THEN [0, 0, a / 2.0] WHEN 7 THEN [-a - b, 0, 1] WHEN 8 THEN [a * b, -a - b, 1] WHEN 9 THEN [a, 0, 1] END::DOUBLE[] AS coefs FROM worked WHERE kind < 10)"""
+
+
+@query("computed_results", f"WITH {_WORKED} SELECT formula_id, method, CAST(power AS INT) AS power, round(coefs[power + 1], 6) AS coef FROM r, range(4) t(power) WHERE power < len(coefs) AND coefs[power + 1] <> 0", "worked")
+def computed_results(spark, d):
+    r = calculus.computed(T.worked(spark, d)).where("formula_id % 12 < 10")
+    return r.select("formula_id", "computed.method", F.posexplode("computed.result").alias("power", "coef")).where("coef <> 0").withColumn("coef", F.round("coef", 6))
+
+
+@query(
+    "expanded_terms",
+    f"""WITH {_WORKED}, s AS (SELECT formula_id, CAST(side AS INT) AS side, CASE WHEN side = 0 AND kind = 7 THEN [-a, 0, 1] WHEN side = 0 THEN coefs WHEN kind = 7 THEN [b] ELSE [0] END::DOUBLE[] AS coefs FROM r, range(2) t(side) WHERE method = 'simplify' AND side = 0 OR method = 'solve')
+    SELECT formula_id, side, CAST(power AS INT) AS power, coefs[power + 1] AS coef FROM s, range(4) t(power) WHERE power < len(coefs) AND coefs[power + 1] <> 0""",
+    "worked",
+)
+def expanded_terms(spark, d):
+    return calculus.expand_terms(T.worked(spark, d))
+
+
+def _number_sql(v: str) -> str:
+    """A number without its sign: whole, a fraction, or twelve decimals."""
+    by = f"list_filter(range(1, 61), lambda k: abs(abs({v}) * k - round(abs({v}) * k)) < 1e-9)[1]"
+    whole = f"CAST(CAST(round(abs({v}) * {by}) AS BIGINT) AS VARCHAR)"
+    decimal = f"regexp_replace(CAST(CAST(abs({v}) AS DECIMAL(38,12)) AS VARCHAR), '\\.?0+$', '')"
+    return f"CASE WHEN {by} = 1 THEN {whole} WHEN {by} IS NOT NULL THEN '\\frac{{' || {whole} || '}}{{' || {by} || '}}' ELSE {decimal} END"
+
+
+_TERMS_SQL = f"""e AS (SELECT formula_id, power, coefs[power + 1] AS c FROM r, range(4) t(power) WHERE power < len(coefs) AND coefs[power + 1] <> 0),
+    n AS (SELECT *, {_number_sql("c")} AS s FROM e),
+    j AS (SELECT formula_id, string_agg(CASE WHEN c < 0 THEN ' - ' ELSE ' + ' END || CASE WHEN power = 0 THEN s WHEN abs(c) = 1 THEN 'x' ELSE s || 'x' END || CASE WHEN power > 1 THEN '^{{' || power || '}}' ELSE '' END, '' ORDER BY power DESC) AS l FROM n GROUP BY formula_id),
+    u AS (SELECT r.*, CASE WHEN starts_with(l, ' - ') THEN '-' ELSE '' END || substr(l, 4) AS t, sqrt(a + b) AS root, sqrt(a) AS size FROM r JOIN j USING (formula_id))"""
+
+
+@query(
+    "computed_solutions",
+    f"""WITH {_WORKED}, {_TERMS_SQL}, v AS (SELECT *, {_number_sql("root")} AS rs, CASE WHEN a = 1 THEN '' ELSE {_number_sql("size")} END AS ss FROM u)
+    SELECT formula_id, method, CASE kind WHEN 2 THEN t || ' + C' WHEN 5 THEN '-' || b || ', ' || a WHEN 7 THEN '-' || rs || ', ' || rs WHEN 9 THEN '-' || ss || 'i, ' || ss || 'i' ELSE t END AS answer,
+    CASE WHEN kind = 0 OR method <> 'simplify' AND method <> 'solve' THEN t WHEN method = 'solve' THEN t || ' = 0' ELSE t END AS terms,
+    CASE WHEN kind = 8 AND a = b THEN '(x - ' || a || ')^{{2}}' WHEN kind = 8 THEN '(x - ' || least(a, b) || ')(x - ' || greatest(a, b) || ')' WHEN method = 'simplify' THEN t END AS factored FROM v""",
+    "worked",
+)
+def computed_solutions(spark, d):
+    r = computed_records(T.worked(spark, d)).where("solution is not null")
+    s = F.col("solution")
+    answer = F.coalesce(s["result"], s["results"], s["expanded"])
+    terms = F.when(s["method"] == "simplify", s["expanded"]).otherwise(F.col("simplified"))
+    return r.select("formula_id", s["method"].alias("method"), answer.alias("answer"), terms.alias("terms"), s["factored"].alias("factored"))

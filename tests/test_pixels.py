@@ -100,15 +100,75 @@ def test_wide_components_are_split_at_valleys(spark):
     assert [x for x, _ in pieces[:3]] == [5, 35, 65] and len(pieces) == 5 and pieces[3][0] == 120 and sum(w for _, w in pieces[3:]) == 60
 
 
-def test_strokes_and_contrast(spark):
-    a = np.zeros((30, 40), int)
-    a[6:24, 5:35] = 255  # a stroke of eighteen
-    thin = picture(P.normalize_stroke_width(table(spark, {1: a})))
-    assert set(np.unique(thin)) == {0, 255} and 0 < thin.sum() < a.sum() and (thin[a == 0] == 0).all()
+def distances_by_hand(ink):
+    paper = np.argwhere(~ink)
+    return np.array([[min((np.hypot(y - a, x - b) for a, b in paper), default=sum(ink.shape)) if ink[y, x] else 0.0 for x in range(ink.shape[1])] for y in range(ink.shape[0])])
+
+
+@pytest.mark.parametrize("seed, share", [(0, 0.5), (1, 0.9), (2, 0.97), (3, 1.0), (4, 0.0)])
+def test_border_distance(seed, share):
+    ink = np.random.default_rng(seed).random((17 + seed, 23 - 3 * seed)) < share
+    assert np.allclose(P.border_distance(ink), distances_by_hand(ink), atol=1e-9)
+    assert P.border_distance(np.array([[True]])).tolist() == [[2.0]] and P.border_distance(np.array([[True, True, False]])).tolist() == [[2.0, 1.0, 0.0]]
+
+
+def strokes_by_hand(ink, target):
+    width = 2 * np.median(distances_by_hand(ink)[ink]) if ink.any() else target
+    h, w = ink.shape
+    for _ in range(int(abs(width - target) / 2)):
+        around = [[[ink[b, a] for b in range(max(0, y - 1), min(h, y + 2)) for a in range(max(0, x - 1), min(w, x + 2))] for x in range(w)] for y in range(h)]
+        ink = np.array([[all(c) if width > target else any(c) for c in row] for row in around])
+    return ink * 255
+
+
+def test_stroke_widths(spark):
+    thick, thin, edge = (np.zeros((30, 40), int) for _ in range(3))
+    thick[6:24, 5:35] = 255
+    thin[10, 3:30] = 255
+    edge[:14, 8:40] = 255  # ink up to the border of the picture
+    full, none = np.full((5, 6), 255), np.zeros((5, 6), int)
+    for target in (3, 9):
+        got = P.normalize_stroke_width(table(spark, {1: thick, 2: thin, 3: edge, 4: full, 5: none}), target)
+        for i, a in enumerate((thick, thin, edge, full, none), 1):
+            assert (picture(got, i) == strokes_by_hand(a > 0, target)).all()
+
+
+def equalised_by_hand(a, clip, tiles):
+    h, w = a.shape
+    tile = lambda i, n: min(i * tiles // n, tiles - 1)
+    maps = {}
+    for ty in range(tiles):
+        for tx in range(tiles):
+            own = [int(a[y, x]) for y in range(h) for x in range(w) if (tile(y, h), tile(x, w)) == (ty, tx)]
+            most = max(clip * len(own) / 256, 1)
+            counts = [own.count(v) for v in range(256)]
+            over = sum(max(0, c - most) for c in counts)
+            level, maps[ty, tx] = 0.0, []
+            for c in counts:
+                level += min(c, most) + over / 256
+                maps[ty, tx].append(level * 255 / max(len(own), 1))
+    out = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            py, px = (y + 0.5) * tiles / h - 0.5, (x + 0.5) * tiles / w - 0.5
+            y0, x0 = int(np.floor(py)), int(np.floor(px))
+            value = 0.0
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    share = (py - y0 if dy else 1 - (py - y0)) * (px - x0 if dx else 1 - (px - x0))
+                    value += share * maps[min(max(y0 + dy, 0), tiles - 1), min(max(x0 + dx, 0), tiles - 1)][a[y, x]]
+            out[y, x] = min(max(np.floor(value + 0.5), 0), 255)
+    return out
+
+
+def test_contrast(spark):
     flat = np.full((64, 64), 100)
     flat[:, 32:] = 110
-    wide = picture(P.enhance_contrast(table(spark, {1: flat})))
-    assert wide.shape == flat.shape and wide[32, 60] - wide[32, 3] > 10
+    mixed = np.random.default_rng(8).integers(60, 140, (33, 41))
+    got = P.enhance_contrast(table(spark, {1: flat, 2: mixed}))
+    for i, a in enumerate((flat, mixed), 1):
+        near = np.abs(picture(got, i) - equalised_by_hand(a, 2.0, 8))
+        assert near.max() <= 1 and (near == 0).mean() > 0.99  # sums in another order may round differently
 
 
 def test_composed_formulas(spark):
