@@ -93,29 +93,57 @@ def otsu_binarize(pixels: DataFrame) -> DataFrame:
     return _inverted_where_light(p.select("image_id", "y", "x", F.when(F.col("v") > F.col("t"), 255).otherwise(0).alias("v")))
 
 
-def _box_sums(pixels: DataFrame, window: int) -> DataFrame:
-    """``s`` and ``q``, sums of values and squares over a square; borders mirrored."""
-    r = (window if window % 2 else window + 1) // 2
-    size = sizes(pixels).select("image_id", F.col("h").alias("_h"), F.col("w").alias("_w"))
-    p = pixels.join(size, "image_id").withColumns({"s": F.col("v").cast("long"), "q": (F.col("v") * F.col("v")).cast("long")})
-    for over, along, most in (("y", "x", "_w"), ("x", "y", "_h")):
-        at, n = F.col(along), F.col(most)
-        places = F.filter(
-            F.array(at, F.when((at >= 1) & (at <= r), -at), F.when((at <= n - 2) & (at >= n - 1 - r), 2 * (n - 1) - at)),
-            lambda c: c.isNotNull(),
-        )
-        wide = p.withColumn("_at", F.explode(places))
-        w = Window.partitionBy("image_id", over).orderBy("_at").rangeBetween(-r, r)
-        p = wide.withColumns({"s": F.sum("s").over(w), "q": F.sum("q").over(w)}).where(F.col("_at") == at).drop("_at")
-    return p
-
-
-def _local(pixels: DataFrame, window: int, threshold) -> DataFrame:
+#: Pixels of a side of the tiles that pictures are cut into.
+TILE = 256
+
+
+def _reflected(tile: np.ndarray, low: int, begin: int, end: int, r: int, axis: int) -> np.ndarray:
+    """``tile``, which starts at ``low``, with ``r`` lines before ``begin`` and after ``end`` along an
+    axis: those that came with it, and mirrored ones where the picture ends."""
+    size = tile.shape[axis]
+    before, after = r - (begin - low), r - (low + size - end)
+    widths = [(0, 0), (0, 0)]
+    widths[axis] = (before, after)
+    return np.pad(tile, widths, mode="reflect" if size > 1 else "edge")
+
+
+def _box_sums(values: np.ndarray, side: int) -> np.ndarray:
+    """Sums over squares of ``side``, by a table of sums from the corner on."""
+    table = np.zeros((values.shape[0] + 1, values.shape[1] + 1), np.int64)
+    table[1:, 1:] = values.cumsum(0).cumsum(1)
+    return table[side:, side:] - table[:-side, side:] - table[side:, :-side] + table[:-side, :-side]
+
+
+def _local(pixels: DataFrame, window: int, threshold, tile: int = TILE) -> DataFrame:
+    """Ink above a threshold of mean and deviation in the square around each pixel; borders mirrored.
+
+    Pictures are cut into tiles; a pixel goes to its tile and to those that need it for their halo
+    of half a window.  One exchange, whatever the size of the pictures.
+    """
     side = window if window % 2 else window + 1
-    p = _box_sums(pixels, window)
-    mean = F.col("s") / (side * side)
-    std = F.sqrt(F.greatest(F.col("q") / (side * side) - mean * mean, F.lit(0.0)))
-    return p.select("image_id", "y", "x", F.when(F.col("v") > threshold(mean, std), 255).otherwise(0).alias("v"))
+    r = side // 2
+    tile = max(tile, side)
+    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-r), F.lit(0), F.lit(r)), lambda d: F.greatest(F.floor((F.col(c) + d) / tile), F.lit(0)).cast("int")))
+    dealt = pixels.select("image_id", "y", "x", "v", F.explode(near("y")).alias("ty")).select("*", F.explode(near("x")).alias("tx"))
+
+    def change(key, frame: pd.DataFrame) -> pd.DataFrame:
+        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
+        y0, x0, by, bx = int(y.min()), int(x.min()), key[1] * tile, key[2] * tile
+        held = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.int64)
+        held[y - y0, x - x0] = frame["v"].to_numpy()
+        own = (y >= by) & (y < by + tile) & (x >= bx) & (x < bx + tile)
+        if not own.any():
+            return frame.loc[own, ["image_id", "y", "x", "v"]]
+        ey, ex = min(by + tile, y0 + held.shape[0]), min(bx + tile, x0 + held.shape[1])
+        wide = _reflected(_reflected(held, y0, by, ey, r, 0), x0, bx, ex, r, 1)
+        mean = _box_sums(wide, side) / (side * side)
+        std = np.sqrt(np.maximum(_box_sums(wide * wide, side) / (side * side) - mean * mean, 0.0))
+        ink = held[by - y0 : ey - y0, bx - x0 : ex - x0] > threshold(mean, std)
+        out = frame.loc[own, ["image_id", "y", "x", "v"]]
+        out["v"] = np.where(ink[y[own] - by, x[own] - bx], 255, 0)
+        return out
+
+    return dealt.groupBy("image_id", "ty", "tx").applyInPandas(change, _kind(pixels))
 
 
 def sauvola_binarize(pixels: DataFrame, window: int = 25, k: float = 0.2, r: float = 128.0) -> DataFrame:

@@ -44,9 +44,16 @@ def stratified_split(rows: DataFrame, share: float = 0.2, key: str = "id") -> Da
     """``rows`` with ``is_test``: of each label the first ``round(share * n)`` by a hash of the id."""
     number = F.col(key) if isinstance(rows.schema[key].dataType, IntegralType) else F.xxhash64(key)
     h = F.pmod(F.pmod(number, F.lit(1 << 31)) * 2654435761, F.lit(4294967296))
-    per = Window.partitionBy("label")
-    n = F.count("*").over(per)
-    return rows.withColumn("is_test", F.row_number().over(per.orderBy(h, key)) <= F.floor(n * share + 0.5))
+    # of each label the bucket of hashes in which the share ends; only rows there need an order among themselves
+    rows = rows.withColumns({"_hash": h, "_bucket": F.shiftright(h, 20)})
+    up = Window.partitionBy("label").orderBy("_bucket")
+    counts = rows.groupBy("label", "_bucket").agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"upto": F.sum("n").over(up), "want": F.floor(F.sum("n").over(Window.partitionBy("label")) * share + 0.5)})
+    ends = counts.where("upto - n < want and want <= upto").select(F.col("label").alias("_label"), F.col("_bucket").alias("_end"), (F.col("want") - F.col("upto") + F.col("n")).alias("_left"))
+    place = F.row_number().over(Window.partitionBy("label", "_bucket").orderBy("_hash", key))
+    first = (F.col("_bucket") < F.col("_end")) | ((F.col("_bucket") == F.col("_end")) & (F.col("_place") <= F.col("_left")))
+    placed = rows.withColumn("_place", place).join(ends, F.col("label").eqNullSafe(F.col("_label")), "left")
+    return placed.withColumn("is_test", F.coalesce(first, F.lit(False))).drop("_hash", "_bucket", "_place", "_label", "_end", "_left")
 
 
 def classification_report(pairs: DataFrame) -> DataFrame:
@@ -80,7 +87,12 @@ def top_candidates(probabilities: DataFrame, k: int = 3, key: str = "vec_id") ->
 
 
 def nearest_labels(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """k-NN by Euclidean distance: ``id, pred, prob``; majority of the ``k`` nearest, ties to the smaller label.
+    """``id, pred, prob`` of ``nearest_candidates``."""
+    return nearest_candidates(queries, train, k, block).select("id", "pred", "prob")
+
+
+def nearest_candidates(queries: DataFrame, train: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """k-NN by Euclidean distance: ``id, pred, prob, candidates``; majority of the ``k`` nearest, ties to the smaller label.
 
     Training rows are dealt once to parts of about ``block`` rows; a task holds one part as a matrix
     and streams the queries, of which each part gets a copy, past it.
@@ -118,8 +130,10 @@ def nearest_labels(queries: DataFrame, train: DataFrame, k: int = 5, block: int
     found = both.mapInPandas(near, f"query {type_of(queries, 'id')}, id {type_of(train, 'id')}, label {type_of(train, 'label')}, d double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = best.groupBy("query", "label").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("query").orderBy(F.col("n").desc(), "label")
-    return votes.withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("query").alias("id"), F.col("label").alias("pred"), (F.col("n") / k).alias("prob"))
+    ranked = votes.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "label"))).alias("ranked"))  # k labels at most
+    likely = F.transform(F.slice("ranked", 1, 3), lambda c: F.struct(c["label"].alias("label"), (-c["less"] / k).alias("prob")))
+    ranked = ranked.select(F.col("query").alias("id"), likely.alias("candidates"))
+    return ranked.select("id", F.get("candidates", 0)["label"].alias("pred"), F.get("candidates", 0)["prob"].alias("prob"), "candidates")
 
 
 def match_templates(symbols: DataFrame, templates: DataFrame) -> DataFrame:
@@ -213,13 +227,14 @@ def fit_classifier(train: DataFrame, kind: str = "svm", trees: int = 100, depth:
     return Pipeline(stages=[index, fit]).fit(train.withColumn("vector", array_to_vector(F.col("features").cast("array<double>"))))
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``pred`` and ``prob`` of the likeliest label."""
+def predict(model: PipelineModel, rows: DataFrame, k: int = 3) -> DataFrame:
+    """``rows`` with ``pred`` and ``prob`` of the likeliest label, and the ``k`` likeliest as ``candidates``."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     out = model.stages[1].transform(rows.withColumn("vector", array_to_vector(F.col("features").cast("array<double>"))))
-    p = vector_to_array("probability")
-    best = F.array_max(p)
-    return out.withColumns({"prob": best, "pred": F.get(names, F.array_position(p, best).cast("int") - 1)}).drop("vector", "rawPrediction", "probability", "prediction")
+    each = F.transform(vector_to_array("probability"), lambda p, i: F.struct(p.alias("prob"), (-i).alias("at"), F.get(names, i).alias("label")))
+    likely = F.transform(F.slice(F.reverse(F.array_sort(each)), 1, k), lambda c: F.struct(c["label"].alias("label"), c["prob"].alias("prob")))
+    out = out.withColumn("candidates", likely).drop("vector", "rawPrediction", "probability", "prediction")
+    return out.withColumns({"pred": F.get("candidates", 0)["label"], "prob": F.get("candidates", 0)["prob"]})
 
 
 def mean_variance(vectors: DataFrame) -> float:
@@ -238,13 +253,13 @@ class Recognizer:
     learned: DataFrame | None = None
 
     def predict(self, vectors: DataFrame) -> DataFrame:
-        """``id, pred, prob`` of ``vectors`` (``id, features``)."""
+        """``id, pred, prob, candidates`` of ``vectors`` (``id, features``); candidates are up to three labels with their shares."""
         rows = standardize(vectors.select("id", "features"), self.scale)
         if self.kind == "knn":
-            return nearest_labels(rows, self.learned).select("id", "pred", "prob")
+            return nearest_candidates(rows, self.learned)
         if self.kind == "svm":
             rows = fourier_features(rows, self.gamma)
-        return predict(self.model, rows.withColumn("label", F.lit(""))).select("id", "pred", "prob")
+        return predict(self.model, rows.withColumn("label", F.lit(""))).select("id", "pred", "prob", "candidates")
 
     def save(self, path: str) -> None:
         spark = self.scale.sparkSession

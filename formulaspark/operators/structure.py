@@ -332,3 +332,14 @@ def tree_json(nodes: DataFrame) -> DataFrame:
 def analyze_structure(symbols: DataFrame) -> DataFrame:
     """``formula_id, latex`` from symbols: relations, groups, order, tree, text."""
     return _rendered(_trees(symbols, literal=False))
+
+
+def syntax_trees(symbols: DataFrame) -> DataFrame:
+    """``formula_id, nodes``: each formula's tree as an array of nodes."""
+    return _trees(symbols, literal=False)
+
+
+def read_trees(trees: DataFrame) -> DataFrame:
+    """``formula_id, latex, tree`` of ``syntax_trees``: the text, and the tree as nested JSON objects."""
+    nodes = trees.select("formula_id", F.inline("nodes"))
+    return _rendered(trees).join(tree_json(nodes), "formula_id", "left")

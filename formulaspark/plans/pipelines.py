@@ -76,7 +76,11 @@ def train_recognizer(images: DataFrame, kind: str = "svm", side: int = 32) -> tu
 
 
 def recognize(images: DataFrame, model: recognition.Recognizer | None = None, side: int = 32) -> DataFrame:
-    """``image_id, success, latex, num_symbols, formula_type, errors, warnings`` of every image.
+    """What every image says: ``image_id, success, latex, num_symbols, symbols, syntax_tree``, the semantic
+    record (``formula_type, variables, operations, simplified, solution, interpretation``), ``errors, warnings``.
+
+    ``symbols`` are structs in reading order with box, label, confidence and up to three candidates;
+    doubtful labels that are easily confused are settled by their neighbours.
 
     ``images`` has ``image_id`` of any type, ``height, width`` and ``data``, a byte a pixel; each has
     its own size.  An image whose data do not fit its size, or that has none, is a row with an
@@ -97,16 +101,25 @@ def recognize(images: DataFrame, model: recognition.Recognizer | None = None, si
         pictures = symbol_pictures(crops.select(F.to_json(key).alias("image_id"), "y", "x", (255 - F.col("v")).alias("v")), side)
         vectors = features.feature_vectors(pictures, side).withColumnRenamed("image_id", "id")
         names = found.select(F.to_json(key).alias("id"), F.col("image_id").alias("formula_id"), "sym_idx")
-        guessed = model.predict(vectors).join(names, "id").select("formula_id", "sym_idx", "pred", "prob")
-    labels = kept(recognition.recognize_symbols(symbols, guessed), "labels")
-    read = structure.analyze_structure(symbols.join(labels, ["formula_id", "sym_idx"]))
-    counted = labels.groupBy("formula_id").agg(F.count("*").cast("int").alias("num_symbols"))
+        guessed = kept(model.predict(vectors).join(names, "id").select("formula_id", "sym_idx", "pred", "prob", "candidates"), "guessed")
+    labels = recognition.recognize_symbols(symbols, guessed)
+    order = structure.reading_order(symbols.join(labels, ["formula_id", "sym_idx"]))
+    if guessed is not None:
+        second = guessed.select("formula_id", "sym_idx", F.get("candidates", 1)["label"].alias("second"))
+        settled = recognition.resolve_ambiguity(symbols.join(labels, ["formula_id", "sym_idx"]), order, second)
+        labels = settled.join(labels.drop("label"), ["formula_id", "sym_idx"]).join(guessed.select("formula_id", "sym_idx", "candidates"), ["formula_id", "sym_idx"], "left")
+    else:
+        labels = labels.withColumn("candidates", F.lit(None).cast("array<struct<label:string,prob:double>>"))
+    labelled = kept(symbols.join(labels, ["formula_id", "sym_idx"]).join(order.select("formula_id", "sym_idx", "rank"), ["formula_id", "sym_idx"]), "labelled")
+    read = structure.read_trees(kept(structure.syntax_trees(labelled.drop("candidates", "rank")), "trees"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "sym_idx", "x", "y", "w", "h", "label", "confidence", "candidates")))
+    counted = labelled.groupBy("formula_id").agg(F.count("*").cast("int").alias("num_symbols"), listed.alias("symbols"))
     out = known.select(F.col("image_id").alias("formula_id"), "fits").join(read, "formula_id", "left").join(counted, "formula_id", "left")
-    out = process_semantic(out)
+    out = computed_records(out)
     n = F.coalesce("num_symbols", F.lit(0))
     broken = F.array(F.lit("the image cannot be read"))
     errors = F.when(~F.col("fits"), broken).when(n == 0, F.array().cast("array<string>")).otherwise(F.col("errors"))
     warnings = F.when(F.col("fits") & (n == 0), F.array(F.lit("no symbols"))).when(n == 0, F.array().cast("array<string>"))
     warnings = warnings.when(F.lit(model is None), F.concat("warnings", F.array(F.lit("no model")))).otherwise(F.col("warnings"))
-    kind = F.when(n > 0, F.col("formula_type"))
-    return out.select(F.col("formula_id").alias("image_id"), (n > 0).alias("success"), "latex", n.alias("num_symbols"), kind.alias("formula_type"), errors.alias("errors"), warnings.alias("warnings"))
+    found = [F.when(n > 0, F.col(c)).alias(c) for c in ("formula_type", "variables", "operations", "simplified", "solution", "interpretation")]
+    return out.select(F.col("formula_id").alias("image_id"), (n > 0).alias("success"), "latex", n.alias("num_symbols"), "symbols", F.col("tree").alias("syntax_tree"), *found, errors.alias("errors"), warnings.alias("warnings"))

@@ -238,7 +238,18 @@ def single_symbols(spark, d):
     return C.single_symbols(marks(spark, d))
 
 
-@query("split_points")
+_SPLITS = """md AS (SELECT *, median(w) OVER (PARTITION BY image_id) AS med FROM st), k0 AS (SELECT *, greatest(3, CAST(floor(med * 0.1::DOUBLE) AS INT)) AS k FROM md WHERE w > med * 2.5),
+    wd AS (SELECT *, k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS kernel, (k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END - 1) // 2 AS half FROM k0),
+    ev AS (SELECT image_id, comp_id, x, y, h, kernel, half, unnest(range(w)) AS i FROM wd),
+    cs AS MATERIALIZED (SELECT e.image_id, e.comp_id, e.i, kernel, half, coalesce(sum(p.v), 0) AS s FROM ev e LEFT JOIN ink p ON p.image_id = e.image_id AND p.x = e.x + e.i AND p.y >= e.y AND p.y < e.y + e.h GROUP BY ALL),
+    sm AS (SELECT a.image_id, a.comp_id, a.i, sum(b.s)::DOUBLE / any_value(a.kernel) AS s FROM cs a JOIN cs b ON a.image_id = b.image_id AND a.comp_id = b.comp_id AND b.i BETWEEN a.i - a.half AND a.i + a.half GROUP BY ALL),
+    lo AS (SELECT *, s < max(s) OVER c * 0.2::DOUBLE AS below, max(i) OVER c AS past FROM sm WINDOW c AS (PARTITION BY image_id, comp_id)),
+    il AS (SELECT *, i - row_number() OVER (PARTITION BY image_id, comp_id, below ORDER BY i) AS g FROM lo WHERE i >= 1 AND i < past),
+    va AS MATERIALIZED (SELECT i.image_id, i.comp_id, any_value(med) AS med, (min(i) + max(i) + 1) // 2 AS middle FROM il i JOIN wd USING (image_id, comp_id) WHERE below GROUP BY i.image_id, i.comp_id, g HAVING max(i) + 1 < any_value(past)),
+    pk AS (SELECT image_id, comp_id, min(middle) AS m FROM va GROUP BY ALL UNION ALL SELECT p.image_id, p.comp_id, min(v.middle) FROM pk p JOIN va v ON v.image_id = p.image_id AND v.comp_id = p.comp_id AND v.middle - p.m > v.med * 0.5 GROUP BY p.image_id, p.comp_id)"""
+
+
+@query("split_points", f"WITH RECURSIVE {_CC}, {_STATS}, {_SPLITS} SELECT w.image_id, w.comp_id, x, y, w, h, med, coalesce(string_agg(CAST(m AS VARCHAR), ',' ORDER BY m), '') AS cuts FROM wd w LEFT JOIN pk USING (image_id, comp_id) GROUP BY ALL", "pixels")
 def split_points(spark, d):
     i = ink(spark, d)
     return C.split_points(C.component_stats(C.connected_components(i)), i).withColumn("cuts", F.concat_ws(",", F.transform("cuts", lambda c: c.cast("string"))))

@@ -297,6 +297,15 @@ _MERGE = f"""{_COMPS}, m AS (SELECT a.image_id, a.comp_id AS a, b.comp_id AS b,
  OR (aa <= mean * mean * 0.15::DOUBLE AND ba <= mean * mean * 0.15::DOUBLE AND gx >= mean * 0.2::DOUBLE AND gy >= mean * 0.2::DOUBLE))"""
 
 
+#: In pictures of at most 64 rows, parts of broken strokes merge as well.
+_MERGE_SMALL = f"""{_MERGE}, e2 AS (SELECT image_id, a, b FROM e UNION SELECT image_id, a, b FROM m WHERE ho > 0.5 AND least(aa, ba) / greatest(aa, ba, 1) > 0.3 AND greatest(0, greatest(ay, "by") - least(ay + ah, "by" + bh)) / greatest(least(ah, bh), 1) < 0.3)"""
+
+
+@query("merge_edges_small", f"WITH {_MERGE_SMALL} SELECT image_id, a, b FROM e2", "symbols")
+def merge_edges_small(spark, d):
+    return C.merge_edges(_comps(spark, d), 64)
+
+
 @query("merge_edges", f"WITH {_MERGE} SELECT image_id, a, b FROM e", "symbols")
 def merge_edges(spark, d):
     return C.merge_edges(_comps(spark, d), CANVAS)

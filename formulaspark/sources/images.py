@@ -17,13 +17,25 @@ def _gray(images: DataFrame) -> DataFrame:
     return images.withColumn("gray", F.when(n == 1, F.col("image.data")).otherwise(F.unhex(F.array_join(gray, ""))))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``image_id, height, width, n_channels, data``, gray; files that cannot be decoded are left out."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+#: Columns of Spark's image source.
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def _named(raw: DataFrame) -> DataFrame:
     raw = _gray(raw.where(F.col("image.origin").rlike(_EXTENSION)))
     return raw.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", F.lit(1).alias("n_channels"), F.col("gray").alias("data"))
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """``image_id, height, width, n_channels, data``, gray; files that cannot be decoded are left out."""
+    return _named(spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path))
+
+
+def stream_images(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_images``, a stream of the files that come to a folder."""
+    return _named(spark.readStream.format("image").schema(IMAGE).option("dropInvalid", True).load(path))
+
+
 def read_training_images(spark: SparkSession, root: str) -> DataFrame:
     """As ``read_images``, with ``label``: the name of the folder."""
     images = read_images(spark, root)
@@ -35,6 +47,11 @@ def load_summary(images: DataFrame) -> DataFrame:
     return images.agg(F.count("*").alias("n_images"), F.count_distinct("label").alias("n_classes"))
 
 
+def label_counts(images: DataFrame) -> DataFrame:
+    """``label, n``: images of each label, most first."""
+    return images.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+
+
 def read_latex(spark: SparkSession, path: str) -> DataFrame:
     """``formula_id, latex`` from lines of text; equal lines are formulas of their own."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("formula_id"), F.col("value").alias("latex"))

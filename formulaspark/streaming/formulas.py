@@ -15,5 +15,11 @@ def stream_semantics(spark: SparkSession, path: str, schema: str = "formula_id l
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Runs ``work`` on every micro-batch and appends its result to ``out``."""
-    return stream.writeStream.foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint)
+    """Runs ``work`` on every micro-batch and writes its result below ``out``, each batch as a partition
+    ``batch`` of its own, once: a batch that runs again after a failure replaces what it left."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -312,6 +313,11 @@ def test_training_and_recognition_from_files(spark, tmp_path, kind):
         got = {r.image_id.split("/")[-1]: r for r in W.recognize(images.select("image_id", "height", "width", "data").union(bad), model).collect()}
         assert (got["one.png"].success, got["one.png"].num_symbols, got["one.png"].latex) == (True, 1, "o")
         assert (got["line.png"].success, got["line.png"].num_symbols, got["line.png"].latex) == (True, 3, "l + o")
+        line = got["line.png"]
+        assert [s.label for s in line.symbols] == ["l", "plus", "o"] and [s.rank for s in line.symbols] == sorted(s.rank for s in line.symbols)
+        assert all(0 < len(s.candidates) <= 3 and s.candidates[0].prob >= s.candidates[-1].prob for s in line.symbols)
+        assert json.loads(line.syntax_tree)["children"] and line.formula_type == "expression" and line.operations == ["addition"] and line.interpretation
+        assert got["bad"].symbols is None and got["bad"].formula_type is None and got["empty.png"].solution is None
         assert (got["empty.png"].success, got["empty.png"].warnings, got["empty.png"].errors) == (False, ["no symbols"], [])
         assert got["bad"].errors == got["none"].errors == ["the image cannot be read"] and not got["bad"].success
     with pytest.raises(ValueError):
@@ -328,6 +334,42 @@ def test_training_images(spark, tmp_path):
     images = S.read_training_images(spark, str(tmp_path))
     assert sorted(r.label for r in images.collect()) == ["mathbb{N}", "x"]
     assert tuple(S.load_summary(images).first()) == (2, 2)
+    assert [tuple(r) for r in S.label_counts(images).collect()] == [("mathbb{N}", 1), ("x", 1)]
+
+
+def test_image_stream_gives_what_the_folder_gives(spark, tmp_path):
+    from formulaspark.streaming.formulas import each_batch
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.png").write_bytes(_png(np.full((4, 5 + i), 40 * i)))
+    (tmp_path / "in" / "broken.png").write_bytes(b"no picture")
+    started = each_batch(S.stream_images(spark, str(tmp_path / "in")), lambda b: b, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
+    started.awaitTermination()
+    key = lambda t: sorted((r.image_id, r.width, bytes(r.data)) for r in t.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(S.read_images(spark, str(tmp_path / "in")))
+
+
+def local_by_hand(a, side, threshold):
+    r = side // 2
+    mirror = lambda i, n: 0 if n == 1 else (i % (2 * n - 2) if i % (2 * n - 2) < n else 2 * n - 2 - i % (2 * n - 2))
+    out = np.zeros(a.shape, int)
+    for y, x in np.ndindex(a.shape):
+        own = np.array([[int(a[mirror(y + j, a.shape[0]), mirror(x + i, a.shape[1])]) for i in range(-r, r + 1)] for j in range(-r, r + 1)])
+        m = own.sum() / (side * side)
+        sd = np.sqrt(max((own * own).sum() / (side * side) - m * m, 0.0))
+        out[y, x] = 255 if a[y, x] > threshold(m, sd) else 0
+    return out
+
+
+@pytest.mark.parametrize("shape, side, tile", [((40, 70), 9, 16), ((33, 17), 5, 16), ((1, 40), 7, 8), ((3, 3), 9, 16), ((32, 64), 9, 32)])
+def test_local_thresholds_by_tiles(spark, shape, side, tile):
+    a = np.random.default_rng(sum(shape)).integers(0, 256, shape)
+    rule = lambda m, s: m * (1 + 0.2 * (s / 128.0 - 1))
+    got = P._local(table(spark, {1: a, 2: a.T}), side, rule, tile)
+    assert (picture(got, 1) == local_by_hand(a, side, rule)).all() and (picture(got, 2) == local_by_hand(a.T, side, rule)).all()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
     assert (picture(P.to_pixels(images.where("label = 'x'")), images.where("label = 'x'").first()["image_id"]) == a).all()
 
 

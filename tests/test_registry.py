@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from formulaspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["box_overlaps", "spatial_relations", "fraction_groups", "reading_order", "script_anchors", "formula_types", "semantic_records", "parsed_terms", "roots", "terms_to_latex", "classification_report", "top_candidates", "grid_features", "projection_features"]
+FAST = ["box_overlaps", "spatial_relations", "fraction_groups", "reading_order", "script_anchors", "formula_types", "semantic_records", "parsed_terms", "roots", "terms_to_latex", "classification_report", "top_candidates", "grid_features", "projection_features", "merge_edges_small", "expanded_terms", "computed_solutions", "stratified_split"]
 
 
 def rows(frame):
