@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formulaspark.sources.scratch import kept
@@ -246,6 +246,27 @@ def mixed_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
     return mixed.select("image_id", "tile", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
 
+def _spread(line: str, n: str, to: str) -> Column:
+    """For each place of a shorter line, the places that it covers and its share of each, as structs ``at, share``."""
+    low, past = F.col(line) * F.col(n) / F.col(to), (F.col(line) + 1) * F.col(n) / F.col(to)
+    places = F.sequence(F.floor(low + 1e-9).cast("int"), F.least(F.ceil(past - 1e-9).cast("int"), F.col(n)) - 1)
+    return F.transform(places, lambda at: F.struct(at.alias("at"), ((F.least(past, at + 1) - F.greatest(low, at)) * F.col(to) / F.col(n)).alias("share")))
+
+
+def averaged_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
+    """As ``mixed_from`` for pictures that shrink: each pixel is the mean of the area that it covers.
+
+    Shares of rows are summed first, then those of columns.
+    """
+    rows = targets.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("s", F.explode(_spread("ty", "h", "nh")))
+    rows = rows.select("image_id", "tile", "w", "nw", "ty", F.col("s.at").alias("y"), F.col("s.share").alias("share"))
+    lines = rows.join(pixels, ["image_id", "y"]).groupBy("image_id", "tile", "w", "nw", "ty", "x").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
+    columns = targets.withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1))).withColumn("s", F.explode(_spread("tx", "w", "nw")))
+    columns = columns.select("image_id", "tile", "tx", F.col("s.at").alias("x"), F.col("s.share").alias("share"))
+    means = lines.drop("w", "nw").join(columns, ["image_id", "tile", "x"]).groupBy("image_id", "tile", "ty", "tx").agg(F.sum(F.col("share") * F.col("v")).alias("v"))
+    return means.select("image_id", "tile", F.col("ty").alias("y"), F.col("tx").alias("x"), F.floor(F.round("v", 6) + 0.5).cast("int").alias("v"))
+
+
 def resize(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Nearest pixels for images of at most two levels, one of them 0 or 255; linear for others."""
     levels = pixels.groupBy("image_id").agg(F.count_distinct("v").alias("n"), F.bool_or(F.col("v").isin(0, 255)).alias("ends"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formulaspark.operators.pixels import mixed_from, to_pixels
+from formulaspark.operators.pixels import averaged_from, mixed_from, to_pixels
 from formulaspark.sources.scratch import kept
 
-#: Height of the main sign and of its limits.
+#: Height of the main sign and of its limits; gaps and offsets of ``placed`` (2, 3, 5, 7, 10, 15, 35, 40).
 LIMITED = {"integral": (50, 18), "sum": (40, 16)}
 SCRIPT_SCALE = 0.7
 
@@ -67,7 +67,10 @@ def compose_formulas(pictures: DataFrame, specs: DataFrame, seed: int = 0) -> Da
     tiles = kept(placed(tiles.withColumns({"w": size("w0"), "h": size("h0")})), "tiles")
     sources = to_pixels(pictures.join(tiles.select("image_id").distinct(), "image_id", "left_semi"))
     own = tiles.join(pictures.select("image_id", F.col("width").alias("w0"), F.col("height").alias("h0")), "image_id")
-    ink = mixed_from(own.select("image_id", F.struct("name", "part", "pos", "x", "y").alias("tile"), F.col("h0").alias("h"), F.col("w0").alias("w"), F.col("h").alias("nh"), F.col("w").alias("nw")), sources)
+    script = F.col("kind").isin("superscript", "subscript") & (F.col("part") != "main")
+    targets = own.select("image_id", F.struct("name", "part", "pos", "x", "y").alias("tile"), F.col("h0").alias("h"), F.col("w0").alias("w"), F.col("h").alias("nh"), F.col("w").alias("nw"), script.alias("script"))
+    # scripts shrink by the area that a pixel covers, signs and their limits by their nearest sources
+    ink = averaged_from(targets.where("script"), sources).unionByName(mixed_from(targets.where("not script"), sources))
     ink = ink.select(F.col("tile.name").alias("image_id"), (F.col("y") + F.col("tile.y")).alias("y"), (F.col("x") + F.col("tile.x")).alias("x"), "v")
     canvas = tiles.groupBy("name").agg(F.first("cw").alias("cw"), F.first("ch").alias("ch"), F.first("kind").alias("kind"), F.first("upper_h").alias("upper_h"))
     blank = canvas.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ch") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("cw") - 1)))

@@ -172,6 +172,20 @@ def test_contrast(spark):
         assert near.max() <= 1 and (near == 0).mean() > 0.99  # sums in another order may round differently
 
 
+def averaged_by_hand(a, nh, nw):
+    h, w = a.shape
+    cover = lambda t, n, to: [max(0.0, min((t + 1) * n / to, i + 1) - max(t * n / to, i)) * to / n for i in range(n)]
+    return np.array([[int(np.floor(np.round(np.array(cover(y, h, nh)) @ a @ np.array(cover(x, w, nw)), 6) + 0.5)) for x in range(nw)] for y in range(nh)])
+
+
+@pytest.mark.parametrize("shape, to", [((9, 11), (6, 7)), ((8, 8), (4, 2)), ((5, 7), (5, 7)), ((10, 3), (1, 1))])
+def test_area_means(spark, shape, to):
+    a = np.random.default_rng(sum(shape)).integers(0, 256, shape)
+    targets = spark.createDataFrame([(1, 0, *shape, *to)], "image_id long, tile int, h int, w int, nh int, nw int")
+    got = picture(P.averaged_from(targets, table(spark, {1: a})).drop("tile"))
+    assert (got == averaged_by_hand(a, *to)).all() and abs(got.mean() - a.mean()) <= 0.5
+
+
 def test_composed_formulas(spark):
     from formulaspark.sources.compose import compose_formulas
 
@@ -203,6 +217,7 @@ def test_composed_formulas(spark):
     sh, sw = int(script.shape[0] * 0.7), int(script.shape[1] * 0.7)
     assert picture(t, "s").shape == (base.shape[0] + sh // 2 + 10, base.shape[1] + sw + 15)
     assert (picture(t, "s")[-5 - base.shape[0] : -5, 5 : 5 + base.shape[1]] == base).all()
+    assert (picture(t, "s")[5 : 5 + sh, base.shape[1] + 7 : base.shape[1] + 7 + sw] == averaged_by_hand(script, sh, sw)).all()
     sign = used["i", "main", 0]
     assert picture(t, "i").shape == (70, int(sign.shape[1] * 50 / sign.shape[0]) + 40)
 
