@@ -28,6 +28,20 @@ _LETTERS = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(
 _WORD = re.compile(rf"(\n?)([{_LETTERS}]{{1,48}})([!-&(-/:-@\[-`{{-~]{{0,8}})")
 
 
+class _Known(dict):
+    """chunk -> ids; what is not there comes from ``older`` or is learned, and stays unless it is long."""
+
+    def __init__(self, learn, older: dict, longest: int):
+        super().__init__()
+        self.learn, self.older, self.longest = learn, older, longest
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.pop(chunk, None) or self.learn(chunk)
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -37,8 +51,7 @@ class ChunkEncoder:
 
         self.plain = Tokenizer.from_file(path)
         self.limit, self.longest = limit, longest
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self._learn, {}, longest)
         self.signs: dict[str, bytes] = {}
         self.model = self.plain.model
         self.four = [np.array([i], "<u4").tobytes() for i in range(self.plain.get_vocab_size(with_added_tokens=True))]
@@ -82,26 +95,17 @@ class ChunkEncoder:
         if self.lead is None:  # a tokenizer of another kind: nothing is known of where it may be cut
             return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch(texts, add_special_tokens=False)]
         split = [self.chunks(t) for t in texts]
-        seen = set()
-        for parts in split:
-            seen.update(parts[1:])
         if len(self.known) > self.limit:  # what is not met again before the next time goes
-            self.known, self.older = {}, self.known
-        for c in seen.difference(self.known):
-            self.known[c] = self.older.pop(c, None) or self._learn(c)
+            self.known = _Known(self._learn, dict(self.known), self.longest)
         get = self.known.__getitem__
         heads = [e.ids for e in self.plain.encode_batch([p[0] for p in split], add_special_tokens=False)]
-        out = [np.array(h, "<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, split, strict=True)]
-        for c in seen:
-            if len(c) > self.longest:
-                del self.known[c]
-        return out
+        return [np.array(h, "<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, limit: int = 300_000) -> ChunkEncoder:
     """One encoder for all tasks of a worker, so that its cache lives on."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, limit)
 
 
 def text_runs(column, chars: int = 500_000):

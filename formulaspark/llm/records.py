@@ -93,7 +93,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, b
     buckets = max(1, -(-(texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // bucket_chars))
 
     def write(batches):
-        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer, 600_000), np.array([end_id], "<u4").tobytes()
         short = len(coder.four) <= 65_536
         bucket, store, data, n_docs, n_ids, place = TaskContext.get().partitionId(), None, None, 0, 0, 0
         for batch in batches:
