@@ -8,14 +8,18 @@ aligned; a window of at least ``coverage`` is a match.
 
 A match is a run of words of a text, at most ``1 + stretch`` times as long as the template,
 in which at least ``coverage`` of the template's words are aligned, and among them the words
-that tell the license from others (``NAMES``).  Only places where at least that share of the
+that tell the license from others (``NAMES``); beside these there is none of the words by which
+other licenses of the family differ (``FOREIGN``).  Only places where at least that share of the
 template's length are words of the template, counted as often as the template has them at
 most, are aligned; an alignment cannot match more words than that, so no match is lost.
 Along a stretch of such places the one with the most words is aligned, and places after its
 end are looked at again, so that repeated notices are found one by one.
 
-Defined results: null and empty texts have no matches; several templates may match one
-place; repeated rows give a row each per match; an empty table gives no rows.  Only
+Of matches that overlap, that with the most aligned words stays, so that a text is reported as the
+license that it fits best.
+
+Defined results: null and empty texts have no matches; of templates with equally many aligned
+words the one that is covered best, then the first by name, stays; repeated rows give a row each per match; an empty table gives no rows.  Only
 ``doc_id`` and ``text`` are read.
 """
 
@@ -36,7 +40,7 @@ from .common import WordCache, batched, read_table, texts_of
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -46,6 +50,21 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Notices of licenses that are easily taken for those above.
+TEMPLATES |= {
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "NCSA-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers.',
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+
 #: Whole license texts, but for their copyright lines.
 TEMPLATES |= {
     "BSD-3-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -60,8 +79,23 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
+_CLAUSES = TEMPLATES["BSD-3-Clause-text"].split("\n")
+TEMPLATES["BSD-2-Clause-text"] = "\n".join(line for line in _CLAUSES if not line.startswith("3."))
+
 #: Words of a template without which it is another license's.
 NAMES = {
+    "AGPL-3.0": "gnu affero general public 3",
+    "AGPL-3.0-header": "gnu affero general public 3",
+    "BSD-3-Clause-text": "endorse promote",
+    "BSL-1.0": "boost software 1",
+    "CC-BY-SA-4.0": "creative commons attribution sharealike 4",
+    "CC0-1.0": "dedicated public domain waiving",
+    "EPL-2.0": "eclipse public 2",
+    "GPL-2.0-header": "gnu general public 2",
+    "LGPL-3.0": "gnu lesser general public 3",
+    "LGPL-3.0-header": "gnu lesser general public 3",
+    "NCSA-grant": "deal with redistributions disclaimers",
+    "Unlicense": "unencumbered public domain",
     "Apache-2.0": "apache 2",
     "Apache-2.0-header": "apache 2",
     "CC-BY-4.0": "creative commons attribution 4",
@@ -72,6 +106,10 @@ NAMES = {
     "MPL-2.0": "mozilla public 2",
 }
 
+#: Words that make another license of a template's, where they stand beside its ``NAMES``.
+_GNU, _CC = "lesser affero library", "sharealike noncommercial noderivatives noderivs nc nd sa"
+FOREIGN = {name: _GNU for name in NAMES if "GPL" in name} | {name: _CC for name in NAMES if name.startswith("CC-BY")}
+
 _WORD = re.compile(r"\w+")
 
 
@@ -128,6 +166,7 @@ class Scanner:
         self.least = [max(1, int(np.ceil(coverage * len(w) - 1e-9))) for w in self.words]
         self.times = [Counter(w) for w in self.words]
         self.own = [set(NAMES.get(n, "").split()) for n in self.names]
+        self.foreign = [set(FOREIGN.get(n, "").split()) - set(w) for n, w in zip(self.names, self.words, strict=True)]
         vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
         self.none = len(vocabulary)
         self.of = np.zeros((len(self.names), self.none + 1), bool)
@@ -144,6 +183,25 @@ class Scanner:
     def reach(self, t: int) -> int:
         return len(self.words[t]) + int(self.stretch * len(self.words[t]))
 
+    def another(self, t: int, words: list[str], at: int, best: list[tuple[int, int]]) -> bool:
+        """Whether a foreign word stands beside a name that is aligned, or in a run of such words there."""
+        aligned = {at + j: self.words[t][i] in self.own[t] for i, j in best}
+        for j, name in aligned.items():
+            for step in (-1, 1) if name else ():
+                k = j + step
+                if 0 <= k < len(words) and k not in aligned and words[k] in self.foreign[t]:
+                    return True
+        return False
+
+    def fitting(self, words: list[str], ids: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """``matches`` without those that overlap one with more aligned words, in the order of their places."""
+        rank = lambda m: (-round(m[3] * len(self.words[m[0]])), -m[3], m[0], m[1])
+        kept: list[tuple[int, int, int, float]] = []
+        for m in sorted(self.matches(words, ids), key=rank):
+            if all(m[2] <= k[1] or k[2] <= m[1] for k in kept):
+                kept.append(m)
+        return sorted(kept, key=lambda m: m[1])
+
     def matches(self, words: list[str], ids: np.ndarray):
         """(template, first word, past-last word, coverage) of the matches in a text."""
         for t, own in enumerate(self.words):
@@ -164,7 +222,7 @@ class Scanner:
                         places = [j for _, j in other] or [0]
                         if (len(other), min(places) - max(places)) > rank:
                             best, shift, rank = other, k, (len(other), min(places) - max(places))
-                if len(best) >= self.least[t] and self.own[t] <= {own[i] for i, _ in best}:
+                if len(best) >= self.least[t] and self.own[t] <= {own[i] for i, _ in best} and not self.another(t, words, start + shift, best):
                     places = [j for _, j in best]
                     yield t, start + shift + min(places), start + shift + max(places) + 1, len(best) / len(own)
                     at = start + shift + max(places) + 1
@@ -190,7 +248,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, covera
                 for t in range(len(scanner.names)):
                     hopeful.update(np.unique(owner[scanner.windows(ids, t) >= scanner.least[t]]).tolist())
                 for d in sorted(hopeful):
-                    found = list(scanner.matches(words[d], ids[ends[d] - lengths[d] : ends[d]]))
+                    found = scanner.fitting(words[d], ids[ends[d] - lengths[d] : ends[d]])
                     if found:
                         places = [m.span() for m in _WORD.finditer(texts[d].lower())]
                         if len(texts[d].lower()) != len(texts[d]):  # lower case changed the length: count words as they are

@@ -127,6 +127,36 @@ def test_licenses(spark, make_docs):
     assert sum(r.doc_id == 50 for r in rows) == 2 and not any(r.doc_id > 50 for r in rows)
 
 
+def test_the_license_that_fits_best(spark, make_docs):
+    """Texts of licenses that are easily taken for others: the right answer, or none."""
+    t = L.TEMPLATES
+    bsd = t["BSD-3-Clause-text"].split("\n")
+    cases = [
+        (t["LGPL-3.0"], {"LGPL-3.0"}),
+        (t["LGPL-3.0-header"], {"LGPL-3.0-header"}),
+        (t["AGPL-3.0"], {"AGPL-3.0"}),
+        (t["AGPL-3.0-header"], {"AGPL-3.0-header"}),
+        ("This work is licensed under the GNU Library General Public License, version 2.", set()),
+        (t["GPL-2.0-header"], {"GPL-2.0-header"}),
+        (t["GPL-3.0-header"].replace("program", "library"), {"GPL-3.0-header"}),
+        (t["BSD-3-Clause-text"], {"BSD-3-Clause-text"}),
+        ("\n".join(x for x in bsd if not x.startswith("3.")), {"BSD-2-Clause-text"}),
+        (t["BSD"], {"BSD"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", set()),
+        ("Licensed under CC BY-NC-ND 4.0.", set()),
+        ("Licensed under CC BY-NC-SA 4.0.", set()),
+        (t["NCSA-grant"], {"NCSA-grant"}),
+        (t["MIT-text"], {"MIT-text"}),
+        (t["Apache-2.0-header"], {"Apache-2.0-header"}),
+        (t["MIT"] + " or " + t["Apache-2.0"], {"MIT", "Apache-2.0"}),
+    ]
+    got: dict = {i: set() for i in range(len(cases))}
+    for r in L.find_licenses(make_docs([(i, "Some words. " + text + " More words.") for i, (text, _) in enumerate(cases)])).collect():
+        got[r.doc_id].add(r.license)
+    assert [got[i] for i in got] == [want for _, want in cases]
+
+
 def test_licenses_that_differ_in_the_name_or_are_stretched(spark, make_docs):
     mit = L.words_of(L.TEMPLATES["MIT-text"])
     stretched = " ".join(w + (" foreign" if i % 3 == 0 else "") for i, w in enumerate(mit))  # a third of foreign words
