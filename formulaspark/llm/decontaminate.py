@@ -18,7 +18,8 @@ text; a larger benchmark takes several passes over the documents.  Document
 frequencies count all shards, so results do not depend on their number.
 
 Items under ``short`` words are too short to be told from ordinary language within other
-text: they are no entries, and leak where a document consists of their words alone.
+text: they are no entries, and leak where a document consists of their words alone.  Where their
+words stand within other text, ``find_short_runs`` gives every place, so that the caller decides.
 
 Defined results: null and empty texts have no passages, items without words no
 entries; equal items each give a row; repeated documents give a row each; empty
@@ -277,5 +278,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()
     return found
 
 
+_RUNS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+
+
+def find_short_runs(docs: DataFrame, items: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
+    """``doc_id, item_id, first_word, n_words``: every run of a document's words that equals all words
+    of an item under ``short`` words.  Such items are broadcast in shards as those of ``find_leaks`` are."""
+    spark = docs.sparkSession
+    kept = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def brief(batches):
+        for item, text in rows_of(batches, "item_id", "text"):
+            if 0 < len(words := words_of(text)) < cfg.short:
+                yield item, words
+
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string()))])
+    kept = stored(kept.mapInArrow(lambda b: batched(brief(b), schema), "item_id long, words array<string>"), "leak-short")
+    size = kept.agg(F.sum(F.length(F.array_join("words", " "))).alias("n")).first()["n"] or 0
+    shards, found = max(1, -(-size // cfg.shard_chars)), None
+    for shard in range(shards):
+        held: dict[str, dict[tuple[str, ...], list]] = {}
+        for r in kept.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard).collect():  # at most about shard_chars characters
+            held.setdefault(r["words"][0], {}).setdefault(tuple(r["words"]), []).append(r["item_id"])
+        shared = spark.sparkContext.broadcast(held)
+
+        def scan(batches, shared=shared):
+            starts = shared.value
+            for doc_id, text in rows_of(batches, "doc_id", "text"):
+                words = words_of(text)
+                for at, word in enumerate(words):
+                    for run, ids in starts.get(word, {}).items():
+                        if len(run) == 1 or tuple(words[at : at + len(run)]) == run:
+                            for item in ids:
+                                yield doc_id, item, at, len(run)
+
+        runs = texts_of(docs).mapInArrow(lambda b, scan=scan: batched(scan(b), _RUNS), "doc_id long, item_id long, first_word long, n_words long")
+        found = runs if found is None else found.union(runs)
+    return found
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

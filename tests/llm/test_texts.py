@@ -39,6 +39,53 @@ def test_leaks_of_short_items(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (0, 4), (11, 1), (11, 1), (11, 4), (11, 4), (12, 2), (13, 3)]
 
 
+@pytest.mark.parametrize("chars", [10, 2_000_000])
+def test_runs_of_short_items(spark, make_docs, chars):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices(["a", "B", "c"], k=i % 9))) for i in range(40)] + [(90, "a"), (91, "!!"), (92, None), (None, "c a")]
+    docs = [(i, rng.choice([" ", ", "]).join(rng.choices(["A", "b", "c", "é"], k=rng.randint(0, 30)))) for i in range(30)] + [(5, "a b"), (None, "c, a"), (50, None), (51, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for d, text in docs:
+        words = D.words_of(text or "")
+        for i, item in items:
+            own = D.words_of(item or "")
+            want += [(d, i, at, len(own)) for at in range(len(words)) if 0 < len(own) < 8 and words[at : at + len(own)] == own]
+    got = [tuple(r) for r in D.find_short_runs(make_docs(docs), bench, D.LeakConfig(shard_chars=chars)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
+    assert D.find_short_runs(make_docs([]), bench).count() == 0 and D.find_short_runs(make_docs(docs), bench.limit(0)).count() == 0
+
+
+def test_secrets_without_a_keyword(spark, tmp_path):
+    """Drawn strings among prose and composed identifiers, through the registered query: precision and recall of the added spans."""
+    rng = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["river", "window", "market", "silent", "garden", "system", "update", "buffer", "parse", "index", "value", "cache", "token", "stream"]
+    rows, drawn = [], {}
+    for i in range(300):
+        text = rng.choices(words, k=40)
+        text[10] = "_".join(rng.choices(words, k=3)) + str(rng.randint(1, 99))
+        text[20] = "".join(w.title() for w in rng.choices(words, k=3)) + "2"
+        if i % 2:
+            text[30] = "".join(rng.choices(signs, k=rng.randint(24, 48)))
+        text[5] = "password: " + "".join(rng.choices(signs, k=20))
+        whole = " ".join(text)
+        if i % 2:
+            start = whole.index(text[30])
+            drawn[i] = (start, start + len(text[30]))
+        rows.append((i, whole, "en", "s", len(whole)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = added = 0
+    for r in S.op2_secrets(spark, str(tmp_path)).collect():
+        assert r.n_assign == 1
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        own = [s for s in spans if not rows[r.doc_id][1][: s[0]].endswith("password: ") and "password" not in rows[r.doc_id][1][s[0] : s[1]]]
+        added += len(own)
+        hits += drawn.get(r.doc_id) in own
+    assert hits >= 0.95 * len(drawn) and hits >= 0.95 * added
+    print(f"recall {hits / len(drawn):.3f}, precision {hits / max(added, 1):.3f}")
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(60)]
