@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir = tempfile.mkdtemp(prefix="formulaspark-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
