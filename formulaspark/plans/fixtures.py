@@ -3,7 +3,7 @@ tables; the same SQL text (as common table expressions) serves the DuckDB twins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SYMBOLS = """
@@ -137,10 +137,11 @@ CANDIDATES = "0OolIx5S2Z"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, idx, prob, label``: probabilities of ten candidates per vector."""
-    e = table(spark, sf_dir, "embeddings")
-    ten = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
-    e = e.select("vec_id", F.posexplode(ten).alias("idx", "a"), F.aggregate(ten, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    """``vec_id, idx, prob, label``: probabilities of ten candidates per vector, each from the components at every tenth place."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    # whole numbers, so that sums do not depend on their order
+    e = e.groupBy("vec_id", (F.col("pos") % 10).alias("idx")).agg(F.sum(F.floor(F.abs(F.col("x").cast("double")) * 1000000)).alias("a"))
+    e = e.withColumn("total", F.sum("a").over(Window.partitionBy("vec_id")))
     return e.select("vec_id", "idx", (F.col("a") / F.col("total")).alias("prob"), F.substring(F.lit(CANDIDATES), F.col("idx") + 1, F.lit(1)).alias("label"))
 
 
@@ -175,8 +176,8 @@ CTES = {
     ),
     "report": ("SELECT vec_id, label AS y, CAST(CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS INT) AS pred FROM embeddings", ()),
     "candidates": (
-        "SELECT vec_id, CAST(i AS INT) AS idx, abs(CAST(embedding[i + 1] AS DOUBLE)) / list_sum(list_transform(embedding[1:10], lambda q: abs(CAST(q AS DOUBLE)))) AS prob,"
-        f" substr('{CANDIDATES}', CAST(i + 1 AS INT), 1) AS label FROM embeddings, range(10) r(i)",
+        "SELECT vec_id, idx, CAST(a AS DOUBLE) / sum(a) OVER (PARTITION BY vec_id) AS prob,"
+        f" substr('{CANDIDATES}', idx + 1, 1) AS label FROM (SELECT vec_id, CAST(p % 10 AS INT) AS idx, sum(CAST(floor(abs(CAST(embedding[p + 1] AS DOUBLE)) * 1000000) AS BIGINT)) AS a FROM embeddings, range(64) r(p) GROUP BY ALL)",
         (),
     ),
 }

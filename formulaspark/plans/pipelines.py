@@ -67,7 +67,7 @@ def symbol_pictures(images: DataFrame, side: int = 32) -> DataFrame:
 def train_recognizer(images: DataFrame, kind: str = "svm", side: int = 32) -> tuple[recognition.Recognizer, DataFrame, DataFrame]:
     """From labelled images (``image_id, label, width, data``): a recognizer, the report of its held-out
     rows with averages, and their accuracy."""
-    vectors = features.feature_vectors(symbol_pictures(pixels.to_pixels(images), side), side)
+    vectors = features.feature_vectors(kept(symbol_pictures(pixels.to_pixels(images), side), "pictures"), side)
     labelled = kept(vectors.join(images.select("image_id", "label"), "image_id").withColumnRenamed("image_id", "id"), "training-vectors")
     made, pairs = recognition.train(labelled, kind)
     pairs = kept(pairs, "held-out")
@@ -99,7 +99,7 @@ def recognize(images: DataFrame, model: recognition.Recognizer | None = None, si
         key = F.struct("image_id", "sym_idx")
         crops = components.crop_symbols(found.withColumnRenamed("sym_idx", "comp_id"), binary).withColumnRenamed("comp_id", "sym_idx")
         pictures = symbol_pictures(crops.select(F.to_json(key).alias("image_id"), "y", "x", (255 - F.col("v")).alias("v")), side)
-        vectors = features.feature_vectors(pictures, side).withColumnRenamed("image_id", "id")
+        vectors = features.feature_vectors(kept(pictures, "pictures"), side).withColumnRenamed("image_id", "id")
         names = found.select(F.to_json(key).alias("id"), F.col("image_id").alias("formula_id"), "sym_idx")
         guessed = kept(model.predict(vectors).join(names, "id").select("formula_id", "sym_idx", "pred", "prob", "candidates"), "guessed")
     labels = recognition.recognize_symbols(symbols, guessed)

@@ -221,6 +221,17 @@ def terms_to_latex(spark, d):
     return Y.to_latex(T.terms(spark, d))
 
 
+@query(
+    "special_solutions",
+    _RECORD + " SELECT formula_id, CASE kind WHEN 'set_expression' THEN 'set operations' ELSE 'logic expression' END AS type, replace(ops, '|', ', ') AS operations, replace(vars, '|', ', ') AS letters FROM r WHERE kind IN ('set_expression', 'logic_expression') AND ops <> ''",
+    "latex",
+)
+def special_solutions(spark, d):
+    r = computed_records(T.latex(spark, d)).where("solution['type'] is not null")
+    s = F.col("solution")
+    return r.select("formula_id", s["type"].alias("type"), F.coalesce(s["operations"], s["quantifiers_or_connectives"]).alias("operations"), F.coalesce(s["elements"], s["variables"]).alias("letters"))
+
+
 #: What each of the worked formulas comes to, by hand: method, power and coefficient.
 _WORKED = """r AS (SELECT formula_id, kind, a, b, CASE WHEN kind IN (5, 7, 9) THEN 'solve' WHEN kind = 1 THEN 'derivative' WHEN kind IN (2, 3) THEN 'integral' WHEN kind = 4 THEN 'limit' ELSE 'simplify' END AS method,
   CASE kind WHEN 0 THEN [a * b * b, b * b - 2 * a * b, a - 2 * b, 1] WHEN 1 THEN [b, 0, 3 * a] WHEN 2 THEN [0, -b, 0, a / 3.0] WHEN 3 THEN [a * b * b / 2.0] WHEN 4 THEN [(a + b) * (a + b)]

@@ -392,6 +392,18 @@ def composed_pictures(spark, d):
     return compose_formulas(pictures, specs)
 
 
+@query(
+    "projection_samples",
+    f"""WITH {_INK}, a AS (SELECT image_id, 'row' AS axis, y AS k, count(*) FILTER (v > 0) AS n FROM ink GROUP BY ALL UNION ALL SELECT image_id, 'column', x, count(*) FILTER (v > 0) FROM ink GROUP BY image_id, x),
+    s AS (SELECT image_id, axis, k, n / greatest(max(n) OVER (PARTITION BY image_id, axis), 1) AS s FROM a), i AS (SELECT CAST(j AS INT) AS place, j * 31 / 7 AS pos FROM range(8) r(j))
+    SELECT l.image_id, l.axis, place, round(l.s + (h.s - l.s) * (pos - floor(pos)), 6) AS value FROM i JOIN s l ON l.k = floor(pos) JOIN s h ON h.image_id = l.image_id AND h.axis = l.axis AND h.k = ceil(pos)""",
+    "pixels",
+)
+def projection_samples(spark, d):
+    p = V.projection_samples(ink(spark, d)).select("image_id", "axis", F.posexplode("samples").alias("place", "value"))
+    return p.withColumn("value", F.round("value", 6))
+
+
 @query("shape_features")
 def shape_features(spark, d):
     """Euler number, rectangle angle, skeleton points, loops and contour values."""

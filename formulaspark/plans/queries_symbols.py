@@ -10,6 +10,7 @@ from formulaspark.operators import components as C
 from formulaspark.operators import recognition as M
 from formulaspark.operators import structure as R
 from formulaspark.plans import fixtures as T
+from formulaspark.sources.scratch import kept
 
 #: Height of the pages that symbols stand on.
 CANVAS = 112
@@ -452,8 +453,13 @@ def random_forest(spark, d):
 
 @query("kernel_machine")
 def kernel_machine(spark, d):
-    """Held-out labels by random Fourier features and multinomial logistic regression."""
-    v = M.stratified_split(_vectors(spark, d)).withColumn("label", F.col("label").cast("string"))
-    v = M.fourier_features(v.select("id", "label", "features", "is_test"), gamma=1.0)
-    model = M.fit_classifier(v.where("not is_test"), "svm")
-    return M.predict(model, v.where("is_test")).select("id", F.col("label").alias("y"), "pred", F.round("prob", 6).alias("prob"))
+    """Held-out labels by random Fourier features and multinomial logistic regression, with the operator's own
+    scaler, kernel width and penalty."""
+    v = _vectors(spark, d).withColumn("label", F.col("label").cast("string"))
+    scale = kept(M.scaler(v), "scale")
+    rows = kept(M.stratified_split(M.standardize(v, scale)), "scaled")
+    seen = rows.where("not is_test")
+    gamma, n = 1.0 / (scale.count() * M.mean_variance(seen)), seen.count()
+    mapped = M.fourier_features(rows.select("id", "label", "features", "is_test"), gamma)
+    model = M.fit_classifier(mapped.where("not is_test"), "svm", penalty=1.0 / (10.0 * n))
+    return M.predict(model, mapped.where("is_test")).select("id", F.col("label").alias("y"), "pred", F.round("prob", 6).alias("prob"))
