@@ -175,11 +175,15 @@ def number_latex(number: Column) -> Column:
     """A number without its sign: whole, as a fraction with a denominator of at most 60, or as a decimal."""
     size = F.abs(number)
     near = lambda d: F.abs(size * d - F.round(size * d)) < 1e-9 * F.greatest(F.lit(1.0), size * d)
-    by = F.get(F.filter(F.sequence(F.lit(1), F.lit(60)), near), F.lit(0))
-    whole = F.round(size * by).cast("long").cast("string")
-    fraction = F.when(by == 1, whole).otherwise(F.concat(F.lit("\\frac{"), whole, F.lit("}{"), by.cast("string"), F.lit("}")))
-    decimal = F.regexp_replace(size.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    return F.when((size < 1e15) & by.isNotNull(), fraction).otherwise(F.coalesce(decimal, size.cast("string")))
+    decimal = F.coalesce(F.regexp_replace(size.cast("decimal(38,12)").cast("string"), r"\.?0+$", ""), size.cast("string"))
+
+    def fraction(by: Column) -> Column:
+        whole = F.round(size * by).cast("long").cast("string")
+        return F.when(by == 1, whole).when(by.isNotNull(), F.concat(F.lit("\\frac{"), whole, F.lit("}{"), by.cast("string"), F.lit("}"))).otherwise(decimal)
+
+    # the denominator is looked for once, and only where the number is not whole
+    searched = F.get(F.transform(F.array(F.get(F.filter(F.sequence(F.lit(1), F.lit(60)), near), F.lit(0))), fraction), F.lit(0))
+    return F.when(size >= 1e15, decimal).when(size == F.floor(size), size.cast("long").cast("string")).otherwise(searched)
 
 
 def signed_number(number: Column) -> Column:
@@ -195,6 +199,9 @@ def polynomial_latex(coefs: Column, letter: Column) -> Column:
         body = F.when(p > 1, F.concat(body, F.lit("^{"), p.cast("string"), F.lit("}"))).otherwise(body)
         return F.when(c != 0, F.concat(F.when(c < 0, " - ").otherwise(" + "), body)).otherwise("")
 
-    joined = F.array_join(F.reverse(F.transform(coefs, term)), "")
-    first = F.when(joined.startswith(" - "), F.concat(F.lit("-"), F.substring(joined, F.lit(4), F.length(joined)))).otherwise(F.substring(joined, F.lit(4), F.length(joined)))
-    return F.when(joined == "", F.when(coefs.isNotNull(), "0")).otherwise(first)
+    def from_first(joined: Column) -> Column:
+        rest = F.substring(joined, F.lit(4), F.length(joined))
+        return F.when(joined == "", "0").when(joined.startswith(" - "), F.concat(F.lit("-"), rest)).otherwise(rest)
+
+    # a list of one, so that the terms are written once
+    return F.when(coefs.isNotNull(), F.get(F.transform(F.array(F.array_join(F.reverse(F.transform(coefs, term)), "")), from_first), F.lit(0)))
