@@ -351,6 +351,8 @@ def test_training_images(spark, tmp_path):
     assert tuple(S.load_summary(images).first()) == (2, 2)
     assert [tuple(r) for r in S.label_counts(images).collect()] == [("mathbb{N}", 1), ("x", 1)]
     assert (picture(P.to_pixels(images.where("label = 'x'")), images.where("label = 'x'").first()["image_id"]) == a).all()
+
+
 def test_vectors_hold_samples_of_profiles(spark):
     from formulaspark.operators import features as V
     v = np.random.default_rng(4).integers(0, 2, (12, 12)) * 200
