@@ -329,6 +329,12 @@ def tree_json(nodes: DataFrame) -> DataFrame:
     return grouped.select("formula_id", F.aggregate("nodes", empty, step, lambda acc: F.get(acc, F.lit(0))["text"]).alias("tree"))
 
 
+def flag_large_operators(symbols: DataFrame) -> DataFrame:
+    """``symbols`` with ``is_sum`` and ``is_integral`` by what their labels mean."""
+    latex = F.coalesce(symbol_latex(F.col("label")), F.lit(""))
+    return symbols.withColumns({"is_sum": latex == "\\sum", "is_integral": latex == "\\int"})
+
+
 def analyze_structure(symbols: DataFrame) -> DataFrame:
     """``formula_id, latex`` from symbols: relations, groups, order, tree, text."""
     return _rendered(_trees(symbols, literal=False))

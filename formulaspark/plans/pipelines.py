@@ -75,12 +75,13 @@ def train_recognizer(images: DataFrame, kind: str = "svm", side: int = 32) -> tu
     return made, report.unionByName(recognition.report_averages(report)), recognition.accuracy(pairs)
 
 
-def recognize(images: DataFrame, model: recognition.Recognizer | None = None, side: int = 32) -> DataFrame:
+def recognize(images: DataFrame, model: recognition.Recognizer | None = None, side: int = 32, large_operators: bool = False) -> DataFrame:
     """What every image says: ``image_id, success, latex, num_symbols, symbols, syntax_tree``, the semantic
     record (``formula_type, variables, operations, simplified, solution, interpretation``), ``errors, warnings``.
 
     ``symbols`` are structs in reading order with box, label, confidence and up to three candidates;
-    doubtful labels that are easily confused are settled by their neighbours.
+    doubtful labels that are easily confused are settled by their neighbours.  With
+    ``large_operators`` symbols that are read as sums or integrals take limits.
 
     ``images`` has ``image_id`` of any type, ``height, width`` and ``data``, a byte a pixel; each has
     its own size.  An image whose data do not fit its size, or that has none, is a row with an
@@ -111,6 +112,8 @@ def recognize(images: DataFrame, model: recognition.Recognizer | None = None, si
     else:
         labels = labels.withColumn("candidates", F.lit(None).cast("array<struct<label:string,prob:double>>"))
     labelled = kept(symbols.join(labels, ["formula_id", "sym_idx"]).join(order.select("formula_id", "sym_idx", "rank"), ["formula_id", "sym_idx"]), "labelled")
+    if large_operators:
+        labelled = structure.flag_large_operators(labelled)
     read = structure.read_trees(kept(structure.syntax_trees(labelled.drop("candidates", "rank")), "trees"))
     listed = F.array_sort(F.collect_list(F.struct("rank", "sym_idx", "x", "y", "w", "h", "label", "confidence", "candidates")))
     counted = labelled.groupBy("formula_id").agg(F.count("*").cast("int").alias("num_symbols"), listed.alias("symbols"))

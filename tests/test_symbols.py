@@ -108,3 +108,9 @@ def test_trees_as_json(spark):
     part = lambda *kids: {"type": "expression", "children": list(kids)}
     want = part({"type": "fraction", "children": [part(leaf('a"\\b')), part(leaf("x"), leaf("y"))]})
     assert json.loads(R.tree_json(nodes).first()["tree"]) == want
+
+
+def test_large_operators_by_label(spark):
+    rows = [(1, 0, "sum"), (1, 1, "int"), (1, 2, "x"), (1, 3, None), (1, 4, "unknown")]
+    got = R.flag_large_operators(spark.createDataFrame(rows, "formula_id long, sym_idx int, label string").withColumn("is_sum", F.lit(False))).orderBy("sym_idx").collect()
+    assert [(r.is_sum, r.is_integral) for r in got] == [(True, False), (False, True), (False, False), (False, False), (False, False)]
