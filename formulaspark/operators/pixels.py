@@ -1,16 +1,18 @@
 """Image preprocessing on pixel tables ``image_id, y, x, v``.
 
-Windows are partitioned by ``(image_id, y)`` or ``(image_id, x)``: one exchange on
-``image_id`` serves all.  Ink is 255 and paper 0 after binarising.
+Steps on whole pictures exchange packed chunks by ``image_id``, never single pixels, and take one
+picture at a time.  Ink is 255 and paper 0 after binarising.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formulaspark.operators.packed import CHUNK, PIXELS, by_tiles, chunk, each, id_kind, packed, pictures, unpacked
 from formulaspark.sources.scratch import kept
 
 ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
@@ -18,18 +20,27 @@ ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
 
 def to_pixels(images: DataFrame) -> DataFrame:
     """``image_id, y, x, v`` of gray ``images`` (``width``, ``data`` one byte a pixel)."""
-    # an array of rows, each of which then becomes pixels: no pixel carries more than its row's bytes
-    lines = F.transform(F.sequence(F.lit(0), F.length("data") - 1, F.col("width")), lambda at: F.hex(F.substring("data", at + 1, F.col("width"))))
-    cut = images.where((F.length("data") > 0) & (F.col("width") > 0)).select("image_id", F.posexplode(lines).alias("y", "line"))
-    pixels = cut.select("image_id", "y", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("line") - 1, F.lit(2)), lambda at: F.conv(F.substring("line", at, F.lit(2)), 16, 10).cast("int"))).alias("x", "v"))
-    return pixels.select("image_id", "y", "x", "v")
+
+    def read(batches):
+        for batch in batches:
+            for at, (w, data) in enumerate(zip(batch.column("width").to_pylist(), batch.column("data").to_pylist(), strict=True)):
+                for begin in range(0, len(data), 50_000):
+                    part = np.frombuffer(data, np.uint8)[begin : begin + 50_000]
+                    place = np.arange(begin, begin + len(part))
+                    own = batch.column("image_id").take(pa.array(np.full(len(part), at)))
+                    yield pa.RecordBatch.from_arrays([own, *[pa.array(a.astype(np.int32)) for a in (place // w, place % w, part)]], ["image_id", "y", "x", "v"])
+
+    cut = images.where((F.length("data") > 0) & (F.col("width") > 0)).select("image_id", "width", "data")
+    return cut.mapInArrow(read, f"{id_kind(images)}, {PIXELS}")
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
     """``image_id, height, width, data`` with a byte per pixel, by rows."""
-    sorted_v = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
-    data = F.unhex(F.array_join(F.transform(sorted_v, lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""))
-    return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), data.alias("data"))
+
+    def join(key, y, x, v):
+        return [int(y.max()) + 1], [int(x.max()) + 1], [v[np.lexsort((x, y))].astype(np.uint8).tobytes()]
+
+    return pictures(pixels, join, "height int, width int, data binary")
 
 
 def to_gray(colors: DataFrame) -> DataFrame:
@@ -42,55 +53,62 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
-def _blurred(pixels: DataFrame, value: str, over: str, along: str, small: str) -> DataFrame:
-    """Weighted sum along one axis: 1-2-1, or 1-4-6-4-1 where ``small`` is false; mirrored borders."""
-    w = Window.partitionBy("image_id", over).orderBy(along)
-    v, at = F.col(value), F.col(along)
-    near = [F.lag(v, k).over(w) for k in (1, 2)], [F.lead(v, k).over(w) for k in (1, 2)]
-    left1, right1 = F.coalesce(near[0][0], near[1][0]), F.coalesce(near[1][0], near[0][0])
-    left2 = F.coalesce(near[0][1], F.when(at == 0, near[1][1]).otherwise(v))
-    right2 = F.coalesce(near[1][1], F.when(near[1][0].isNull(), near[0][1]).otherwise(v))
-    total = F.when(F.col(small), 4 * (left1 + 2 * v + right1)).otherwise(left2 + 4 * left1 + 6 * v + 4 * right1 + right2)
-    return pixels.withColumn(value, total)
+def _held(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A picture from its pixels."""
+    a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int32)
+    a[y, x] = v
+    return a
+
+
+def blurred(a: np.ndarray) -> np.ndarray:
+    """Weighted sums along both axes: 1-2-1 where the smaller side is 64 or less, else 1-4-6-4-1; mirrored borders."""
+    taps = (4, 8, 4) if min(a.shape) <= 64 else (1, 4, 6, 4, 1)
+    r = len(taps) // 2
+    for axis in (0, 1):
+        n, widths = a.shape[axis], [(0, 0), (0, 0)]
+        widths[axis] = (r, r)
+        wide = np.pad(a, widths, mode="reflect" if n > 1 else "edge")
+        a = sum(t * (wide[k : k + n] if axis == 0 else wide[:, k : k + n]) for k, t in enumerate(taps))
+    return (a + 128) >> 8
 
 
 def gaussian(pixels: DataFrame) -> DataFrame:
     """Rounded 3 by 3 blur for images whose smaller side is 64 or less, else 5 by 5."""
-    small = sizes(pixels).select("image_id", (F.least("h", "w") <= 64).alias("small"))
-    p = pixels.join(small, "image_id").withColumn("b", F.col("v"))
-    p = _blurred(_blurred(p, "b", "y", "x", "small"), "b", "x", "y", "small")
-    return p.select("image_id", "y", "x", F.floor(F.col("b") / 256 + 0.5).cast("int").alias("v"))
+    return pictures(pixels, lambda key, y, x, v: (y, x, blurred(_held(y, x, v))[y, x]))
+
+
+def otsu_threshold(v: np.ndarray) -> int:
+    """The first threshold of greatest between-class variance."""
+    levels, counts = np.unique(v, return_counts=True)
+    levels = levels.astype(np.int64)
+    w0, s0 = counts.cumsum(), (levels * counts).cumsum()
+    n, s = w0[-1], s0[-1]
+    gap, both = (s0 * n - s * w0).astype(float), w0.astype(float) * (n - w0)
+    return int(levels[np.argmax(np.divide(gap * gap, both, out=np.zeros(len(both)), where=both > 0))])
 
 
 def otsu_thresholds(pixels: DataFrame) -> DataFrame:
     """``image_id, t``: the first threshold of greatest between-class variance of the blurred image."""
-    counts = gaussian(pixels).groupBy("image_id", "v").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("image_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("image_id")
-    vn = F.col("v") * F.col("n")
-    c = counts.select("image_id", "v", F.sum("n").over(up).alias("w0"), F.sum(vn).over(up).alias("s0"), F.sum("n").over(whole).alias("n"), F.sum(vn).over(whole).alias("s"))
-    gap = (F.col("s0") * F.col("n") - F.col("s") * F.col("w0")).cast("double")
-    between = F.try_divide(gap * gap, F.col("w0").cast("double") * (F.col("n") - F.col("w0")))
-    return c.groupBy("image_id").agg(F.min_by("v", F.struct(-F.coalesce(between, F.lit(0.0)), F.col("v"))).alias("t"))
-
-
-def _inverted_where_light(binary: DataFrame) -> DataFrame:
-    """Ink becomes 255: images whose border is mostly 255 are turned round (corners count twice)."""
-    whole = Window.partitionBy("image_id")
-    b = binary.withColumns({"h": F.max("y").over(whole), "w": F.max("x").over(whole)})
-    weight = (F.col("y") == 0).cast("int") + (F.col("y") == F.col("h")).cast("int") + (F.col("x") == 0).cast("int") + (F.col("x") == F.col("w")).cast("int")
-    b = b.withColumn("k", weight)
-    light = F.sum(F.col("v") * F.col("k")).over(whole) / F.sum("k").over(whole) > 127
-    return b.select("image_id", "y", "x", F.when(light, 255 - F.col("v")).otherwise(F.col("v")).cast("int").alias("v"))
+    return pictures(pixels, lambda key, y, x, v: (np.array([otsu_threshold(blurred(_held(y, x, v))[y, x])]),), "t int")
+
+
+def dark_on_light(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Ink becomes 255: a picture whose border is mostly 255 is turned round (corners count twice)."""
+    k = (y == 0).astype(np.int64) + (y == y.max()) + (x == 0) + (x == x.max())
+    return 255 - v if (v * k).sum() / k.sum() > 127 else v
+
+
+def _otsu_binary(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    v = blurred(_held(y, x, v))[y, x]
+    return y, x, dark_on_light(y, x, np.where(v > otsu_threshold(v), 255, 0))
 
 
 def polarity(binary: DataFrame) -> DataFrame:
-    return _inverted_where_light(binary)
+    return pictures(binary, lambda key, y, x, v: (y, x, dark_on_light(y, x, v)))
 
 
 def otsu_binarize(pixels: DataFrame) -> DataFrame:
-    p = gaussian(pixels).join(otsu_thresholds(pixels), "image_id")
-    return _inverted_where_light(p.select("image_id", "y", "x", F.when(F.col("v") > F.col("t"), 255).otherwise(0).alias("v")))
+    return pictures(pixels, lambda key, y, x, v: _otsu_binary(y, x, v))
 
 
 #: Pixels of a side of the tiles that pictures are cut into.
@@ -114,40 +132,38 @@ def _box_sums(values: np.ndarray, side: int) -> np.ndarray:
     return table[side:, side:] - table[:-side, side:] - table[side:, :-side] + table[:-side, :-side]
 
 
-def _local(pixels: DataFrame, window: int, threshold, tile: int = TILE) -> DataFrame:
+def _local(pixels: DataFrame, window: int, threshold, tile: int = TILE, whole: bool = False) -> DataFrame:
     """Ink above a threshold of mean and deviation in the square around each pixel; borders mirrored.
 
     Pictures are cut into tiles; a pixel goes to its tile and to those that need it for their halo
-    of half a window.  One exchange, whatever the size of the pictures.
+    of half a window.  One exchange of chunks, whatever the size of the pictures; ``whole`` gives
+    chunks again.
     """
     side = window if window % 2 else window + 1
     r = side // 2
     tile = max(tile, side)
-    near = lambda c: F.array_distinct(F.transform(F.array(F.lit(-r), F.lit(0), F.lit(r)), lambda d: F.greatest(F.floor((F.col(c) + d) / tile), F.lit(0)).cast("int")))
-    dealt = pixels.select("image_id", "y", "x", "v", F.explode(near("y")).alias("ty")).select("*", F.explode(near("x")).alias("tx"))
 
-    def change(key, frame: pd.DataFrame) -> pd.DataFrame:
-        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
+    def change(key, y, x, v):
         y0, x0, by, bx = int(y.min()), int(x.min()), key[1] * tile, key[2] * tile
         held = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.int64)
-        held[y - y0, x - x0] = frame["v"].to_numpy()
+        held[y - y0, x - x0] = v
         own = (y >= by) & (y < by + tile) & (x >= bx) & (x < bx + tile)
         if not own.any():
-            return frame.loc[own, ["image_id", "y", "x", "v"]]
+            return None
         ey, ex = min(by + tile, y0 + held.shape[0]), min(bx + tile, x0 + held.shape[1])
         wide = _reflected(_reflected(held, y0, by, ey, r, 0), x0, bx, ex, r, 1)
         mean = _box_sums(wide, side) / (side * side)
         std = np.sqrt(np.maximum(_box_sums(wide * wide, side) / (side * side) - mean * mean, 0.0))
         ink = held[by - y0 : ey - y0, bx - x0 : ex - x0] > threshold(mean, std)
-        out = frame.loc[own, ["image_id", "y", "x", "v"]]
-        out["v"] = np.where(ink[y[own] - by, x[own] - bx], 255, 0)
-        return out
+        y, x = y[own], x[own]
+        v = np.where(ink[y - by, x - bx], 255, 0)
+        return chunk(y, x, v) if whole else (y, x, v)
 
-    return dealt.groupBy("image_id", "ty", "tx").applyInPandas(change, _kind(pixels))
+    return each(by_tiles(packed(pixels), tile, r), change, CHUNK if whole else PIXELS, ("image_id", "ty", "tx"))
 
 
 def sauvola_binarize(pixels: DataFrame, window: int = 25, k: float = 0.2, r: float = 128.0) -> DataFrame:
-    return _inverted_where_light(_local(pixels, window, lambda m, s: m * (1 + k * (s / r - 1))))
+    return polarity(_local(pixels, window, lambda m, s: m * (1 + k * (s / r - 1)), whole=True))
 
 
 def niblack_binarize(pixels: DataFrame, window: int = 25, k: float = -0.2) -> DataFrame:
@@ -157,15 +173,19 @@ def niblack_binarize(pixels: DataFrame, window: int = 25, k: float = -0.2) -> Da
 
 def binarize(pixels: DataFrame) -> DataFrame:
     """Otsu for images whose smaller side is 64 or less, else Sauvola."""
-    small = sizes(pixels).where(F.least("h", "w") <= 64).select("image_id")
-    return otsu_binarize(pixels.join(small, "image_id", "left_semi")).unionByName(sauvola_binarize(pixels.join(small, "image_id", "left_anti")))
+    chunks = kept(packed(pixels), "chunks")
+    large = chunks.groupBy("image_id").agg(F.max("h").alias("h"), F.max("w").alias("w")).where(F.least("h", "w") > 64).select("image_id")
+    small = pictures(chunks, lambda key, y, x, v: _otsu_binary(y, x, v) if min(y.max(), x.max()) < 64 else None)
+    return small.unionByName(sauvola_binarize(chunks.join(large, "image_id", "left_semi")))
 
 
 def clear_border(pixels: DataFrame, ratio: float = 0.02) -> DataFrame:
-    p = pixels.join(sizes(pixels), "image_id")
-    dy, dx = F.floor(F.col("h") * ratio), F.floor(F.col("w") * ratio)
-    edge = (F.col("y") < dy) | (F.col("y") >= F.col("h") - dy) | (F.col("x") < dx) | (F.col("x") >= F.col("w") - dx)
-    return p.select("image_id", "y", "x", F.when(edge, 0).otherwise(F.col("v")).alias("v"))
+    def clear(key, y, x, v):
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        dy, dx = int(h * ratio), int(w * ratio)
+        return y, x, np.where((y < dy) | (y >= h - dy) | (x < dx) | (x >= w - dx), 0, v)
+
+    return pictures(pixels, clear)
 
 
 def histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
@@ -193,57 +213,83 @@ def hough_skew(binary: DataFrame, threshold: int = 100, most: float = 15.0) -> D
 
     Edge pixels are ink with a neighbour above, below, left or right that is not ink.  A line has
     more votes than those beside it at the next smaller distance and angle, and as many at least as
-    those at the next larger ones.
+    those at the next larger ones.  Votes are counted picture by picture and never sent.
     """
-    across, down = Window.partitionBy(*ROW).orderBy("x"), Window.partitionBy(*COLUMN).orderBy("y")
-    sides = [F.coalesce(f("v").over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (across, down)]
-    edges = binary.withColumn("low", F.least(*sides)).where("v > 0 and low = 0")
     # only angles that count, and their neighbours, vote
-    near = range(max(0, int(90 - most) - 1), min(179, int(90 + most) + 1) + 1)
-    votes = edges.withColumn("theta", F.explode(F.sequence(F.lit(near[0]), F.lit(near[-1]))))
-    rad = F.radians(F.col("theta").cast("double"))
-    rho = F.floor(F.col("x") * F.cos(rad) + F.col("y") * F.sin(rad) + 0.5).cast("int")
-    counts = votes.groupBy("image_id", "theta", rho.alias("rho")).agg(F.count("*").alias("n"))
-    of = lambda key, along, step: F.coalesce(F.max("n").over(Window.partitionBy("image_id", key).orderBy(along).rangeBetween(step, step)), F.lit(0))
-    n = F.col("n")
-    peak = (n > of("theta", "rho", -1)) & (n >= of("theta", "rho", 1)) & (n > of("rho", "theta", -1)) & (n >= of("rho", "theta", 1))
-    lines = counts.withColumn("peak", peak).where(F.col("peak") & (F.col("n") >= threshold))
-    angle = F.col("theta") - 90.0
-    found = lines.where(F.abs(angle) < most).groupBy("image_id").agg(F.median(angle).alias("a"))
-    return sizes(binary).select("image_id").join(found, "image_id", "left").select("image_id", F.when(F.abs(F.coalesce("a", F.lit(0.0))) < 0.5, 0.0).otherwise(F.coalesce("a", F.lit(0.0))).alias("angle"))
+    near = np.arange(max(0, int(90 - most) - 1), min(179, int(90 + most) + 1) + 1)
+    cos, sin = np.cos(np.radians(near)), np.sin(np.radians(near))
+
+    def angle_of(key, y, x, v):
+        p = np.pad(_held(y, x, v), 1)
+        low = np.minimum(np.minimum(p[:-2, 1:-1], p[2:, 1:-1]), np.minimum(p[1:-1, :-2], p[1:-1, 2:]))
+        ey, ex = np.nonzero((p[1:-1, 1:-1] > 0) & (low == 0))
+        far = int(np.hypot(y.max(), x.max())) + 3
+        n = np.zeros((len(near) + 2, 2 * far + 3), np.int64)
+        for k in range(len(near)):
+            rho = np.floor(ex * cos[k] + ey * sin[k] + 0.5).astype(np.int64) + far + 1
+            n[k + 1] = np.bincount(rho, minlength=n.shape[1])
+        own = n[1:-1, 1:-1]
+        peak = (own >= threshold) & (own > n[1:-1, :-2]) & (own >= n[1:-1, 2:]) & (own > n[:-2, 1:-1]) & (own >= n[2:, 1:-1])
+        found = np.repeat(near - 90.0, peak.sum(1))
+        found = found[np.abs(found) < most]
+        angle = float(np.median(found)) if len(found) else 0.0
+        return (np.array([0.0 if abs(angle) < 0.5 else angle]),)
+
+    return pictures(binary, angle_of, "angle double")
+
+
+def _fitted(y: np.ndarray, x: np.ndarray, height: int, width: int) -> tuple[int, int, int, int]:
+    """Height and width of a picture, and those that keep its aspect within ``height`` by ``width``."""
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    scale = min(height / h, width / w)
+    return h, w, max(int(h * scale), 1), max(int(w * scale), 1)
+
+
+def nearest(y: np.ndarray, x: np.ndarray, v: np.ndarray, height: int, width: int) -> tuple[np.ndarray, ...]:
+    h, w, nh, nw = _fitted(y, x, height, width)
+    sy, sx = np.floor(np.arange(nh) * h / nh).astype(int), np.floor(np.arange(nw) * w / nw).astype(int)
+    there = np.zeros((h, w), bool)
+    there[y, x] = True
+    ty, tx = np.nonzero(there[np.ix_(sy, sx)])
+    return ty, tx, _held(y, x, v)[sy[ty], sx[tx]]
+
+
+def linear(y: np.ndarray, x: np.ndarray, v: np.ndarray, height: int, width: int) -> tuple[np.ndarray, ...]:
+    h, w, nh, nw = _fitted(y, x, height, width)
+    there = np.zeros((h, w), bool)
+    there[y, x] = True
+    ty, tx = np.indices((nh, nw)).reshape(2, -1)
+    return tuple(a[mixed(there, nh, nw).ravel() > 0] for a in (ty, tx, np.floor(np.round(mixed(_held(y, x, v), nh, nw), 6) + 0.5).astype(int).ravel()))
+
+
+def mixed(a: np.ndarray, nh: int, nw: int) -> np.ndarray:
+    """``a`` at ``nh`` by ``nw`` places, each a mix of its four nearest pixels."""
+    h, w = a.shape
+    sy, sx = (np.arange(nh) + 0.5) * h / nh - 0.5, (np.arange(nw) + 0.5) * w / nw - 0.5
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    fy, fx = (sy - y0)[:, None], (sx - x0)[None]
+    at = lambda dy, dx: a[np.ix_(np.clip(y0 + dy, 0, h - 1), np.clip(x0 + dx, 0, w - 1))]
+    return (1 - fy) * (1 - fx) * at(0, 0) + (1 - fy) * fx * at(0, 1) + fy * (1 - fx) * at(1, 0) + fy * fx * at(1, 1)
 
 
 def resize_nearest(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Aspect-preserving resize to fit ``height`` by ``width``; each target pixel takes its source's value."""
-    s = sizes(pixels)
-    scale = F.least(F.lit(height) / F.col("h"), F.lit(width) / F.col("w"))
-    s = s.withColumns({"nh": F.greatest((F.col("h") * scale).cast("int"), F.lit(1)), "nw": F.greatest((F.col("w") * scale).cast("int"), F.lit(1))})
-    grid = s.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
-    grid = grid.select("image_id", "ty", "tx", F.floor(F.col("ty") * F.col("h") / F.col("nh")).cast("int").alias("y"), F.floor(F.col("tx") * F.col("w") / F.col("nw")).cast("int").alias("x"))
-    return grid.join(pixels, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    return pictures(pixels, lambda key, y, x, v: nearest(y, x, v, height, width))
 
 
 def resize_linear(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Aspect-preserving resize to fit ``height`` by ``width``; each target pixel mixes its four nearest sources."""
-    s = sizes(pixels)
-    scale = F.least(F.lit(height) / F.col("h"), F.lit(width) / F.col("w"))
-    s = s.withColumns({"nh": F.greatest((F.col("h") * scale).cast("int"), F.lit(1)), "nw": F.greatest((F.col("w") * scale).cast("int"), F.lit(1))})
-    return mixed_from(s.withColumn("tile", F.lit(0)), pixels).select("image_id", "y", "x", "v")
-
-
-def mixed_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
-    """``image_id, tile, y, x, v`` of pictures of ``nh`` by ``nw``, from ``pixels`` of ``h`` by ``w``:
-    each pixel mixes its four nearest sources."""
-    grid = targets.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
-    sy, sx = (F.col("ty") + 0.5) * F.col("h") / F.col("nh") - 0.5, (F.col("tx") + 0.5) * F.col("w") / F.col("nw") - 0.5
-    inside = lambda at, n: F.greatest(F.lit(0), F.least(at.cast("int"), F.col(n) - 1))
-    fy, fx = sy - F.floor(sy), sx - F.floor(sx)
-    corners = [
-        F.struct(inside(F.floor(sy) + dy, "h").alias("y"), inside(F.floor(sx) + dx, "w").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("share")) for dy in (0, 1) for dx in (0, 1)
-    ]
-    near = grid.select("image_id", "tile", "ty", "tx", F.inline(F.array(*corners)))
-    mixed = near.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "tile", "ty", "tx").agg(F.floor(F.round(F.sum(F.col("share") * F.col("v")), 6) + 0.5).cast("int").alias("v"))
-    return mixed.select("image_id", "tile", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    return pictures(pixels, lambda key, y, x, v: linear(y, x, v, height, width))
+
+
+def averaged(a: np.ndarray, nh: int, nw: int) -> np.ndarray:
+    """``a`` at ``nh`` by ``nw`` places, each the mean of the area that it covers."""
+
+    def shares(n: int, to: int) -> np.ndarray:
+        at, line = np.arange(n)[None], np.arange(to)[:, None]
+        return np.maximum(np.minimum((line + 1) * n / to, at + 1) - np.maximum(line * n / to, at), 0) * to / n
+
+    return shares(a.shape[0], nh) @ a @ shares(a.shape[1], nw).T
 
 
 def _spread(line: str, n: str, to: str) -> Column:
@@ -254,7 +300,8 @@ def _spread(line: str, n: str, to: str) -> Column:
 
 
 def averaged_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
-    """As ``mixed_from`` for pictures that shrink: each pixel is the mean of the area that it covers.
+    """``image_id, tile, y, x, v`` of pictures of ``nh`` by ``nw``, from ``pixels`` of ``h`` by ``w``: each
+    pixel is the mean of the area that it covers.
 
     Shares of rows are summed first, then those of columns.
     """
@@ -267,19 +314,30 @@ def averaged_from(targets: DataFrame, pixels: DataFrame) -> DataFrame:
     return means.select("image_id", "tile", F.col("ty").alias("y"), F.col("tx").alias("x"), F.floor(F.round("v", 6) + 0.5).cast("int").alias("v"))
 
 
+def resized(y: np.ndarray, x: np.ndarray, v: np.ndarray, height: int, width: int) -> tuple[np.ndarray, ...]:
+    """Nearest pixels for a picture of at most two levels, one of them 0 or 255; linear for others."""
+    levels = np.unique(v)
+    plain = len(levels) <= 2 and np.isin(levels, (0, 255)).any()
+    return (nearest if plain else linear)(y, x, v, height, width)
+
+
 def resize(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Nearest pixels for images of at most two levels, one of them 0 or 255; linear for others."""
-    levels = pixels.groupBy("image_id").agg(F.count_distinct("v").alias("n"), F.bool_or(F.col("v").isin(0, 255)).alias("ends"))
-    plain = levels.where("n <= 2 and ends").select("image_id")
-    return resize_nearest(pixels.join(plain, "image_id", "left_semi"), height, width).unionByName(resize_linear(pixels.join(plain, "image_id", "left_anti"), height, width))
+    return pictures(pixels, lambda key, y, x, v: resized(y, x, v, height, width))
+
+
+def padded(y: np.ndarray, x: np.ndarray, v: np.ndarray, height: int, width: int, value: int = 255) -> tuple[np.ndarray, ...]:
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    y, x = y + int((height - h) / 2), x + int((width - w) / 2)
+    a = np.full((height, width), value)
+    on = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+    a[y[on], x[on]] = v[on]
+    return (*np.indices(a.shape).reshape(2, -1), a.ravel())
 
 
 def pad_to(pixels: DataFrame, height: int, width: int, value: int = 255) -> DataFrame:
     """Centred on a canvas of ``height`` by ``width``."""
-    s = sizes(pixels)
-    grid = s.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    own = pixels.join(s, "image_id").select("image_id", (F.col("y") + F.expr(f"({height} - h) div 2")).cast("int").alias("y"), (F.col("x") + F.expr(f"({width} - w) div 2")).cast("int").alias("x"), "v")
-    return grid.select("image_id", "y", "x").join(own, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(value)).alias("v"))
+    return pictures(pixels, lambda key, y, x, v: padded(y, x, v, height, width, value))
 
 
 def _morph(binary: DataFrame, pick, cross: bool) -> DataFrame:
@@ -364,14 +422,13 @@ def skeletonize(binary: DataFrame) -> DataFrame:
 def rotate(pixels: DataFrame, angles: DataFrame) -> DataFrame:
     """Images turned by their ``angle``; those without one, or with 0, stay as they are."""
 
-    def turn(key, image: pd.DataFrame, angle: pd.DataFrame) -> pd.DataFrame:
-        by = float(angle.angle.iloc[0]) if len(angle) and angle.angle.notna().iloc[0] else 0.0
-        if not len(image):
-            return pd.DataFrame({"image_id": pd.Series(dtype=angle.image_id.dtype), "y": [], "x": [], "v": []}).astype({"y": "int32", "x": "int32", "v": "int32"})
-        return _frame(key[0], rotated(_array(image), by) if by else _array(image))
+    def turn(key, y, x, v, angle):
+        a = _held(y, x, v).astype(np.uint8)
+        a = rotated(a, angle) if angle else a
+        return (*np.indices(a.shape).reshape(2, -1), a.ravel())
 
-    angles = angles.toDF(*angles.columns)  # columns of their own: angles come from pixels
-    return pixels.groupBy("image_id").cogroup(angles.groupBy("image_id")).applyInPandas(turn, _kind(pixels))
+    angles = angles.toDF(*angles.columns).select("image_id", F.nanvl(F.col("angle").cast("double"), F.lit(0.0)).alias("angle"))  # columns of their own: angles come from pixels
+    return each(packed(pixels).join(angles, "image_id", "left"), turn, PIXELS, more=("angle",))
 
 
 def border_distance(ink: np.ndarray) -> np.ndarray:
@@ -455,10 +512,10 @@ def preprocess(pixels: DataFrame, intermediate: bool = False) -> DataFrame | dic
     all steps by name, and the ``skeleton`` of the last."""
     from .components import remove_small_components
 
-    binary = binarize(pixels)
-    clean = kept(remove_small_components(binary), "denoised")  # read by the angle and by the rotation
+    binary = kept(packed(binarize(pixels)), "binary")
+    clean = kept(packed(remove_small_components(binary)), "denoised")  # read by the angle and by the rotation
     straight = rotate(clean, hough_skew(clean))
     final = clear_border(straight)
     if not intermediate:
         return final
-    return {"binary": binary, "denoised": clean, "deskewed": straight, "final": final, "skeleton": skeletonize(final)}
+    return {"binary": unpacked(binary), "denoised": unpacked(clean), "deskewed": straight, "final": final, "skeleton": skeletonize(final)}
