@@ -5,16 +5,28 @@ As in the data that models are trained on, a pixel counts if ``v > 0``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formulaspark.operators.packed import packed, pictures
 from formulaspark.operators.shapes import shapes
+from formulaspark.sources.scratch import kept
+
+
+def on_white(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    return y, x, 255 - v if v.mean() < 127 else v
 
 
 def normalize(pixels: DataFrame) -> DataFrame:
     """White background: pictures with a mean below 127 are inverted."""
-    mean = F.avg("v").over(Window.partitionBy("image_id"))
-    return pixels.select("image_id", "y", "x", F.when(mean < 127, 255 - F.col("v")).otherwise(F.col("v")).alias("v"))
+    return pictures(pixels, lambda key, y, x, v: on_white(y, x, v))
+
+
+def _dense(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int64)
+    a[y, x] = v
+    return a
 
 
 def geometric(pixels: DataFrame, side: int) -> DataFrame:
@@ -30,10 +42,12 @@ def geometric(pixels: DataFrame, side: int) -> DataFrame:
 
 def changes(pixels: DataFrame, side: int) -> DataFrame:
     """``row_changes, column_changes``: mean number of changes along rows and columns, over 10."""
-    on = (F.col("v") > 0).cast("int")
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    c = pixels.withColumns({"r": F.abs(on - F.lag(on).over(row)), "c": F.abs(on - F.lag(on).over(column))})
-    return c.groupBy("image_id").agg((F.sum("r") / side / 10).alias("row_changes"), (F.sum("c") / side / 10).alias("column_changes"))
+
+    def count(key, y, x, v):
+        on = (_dense(y, x, v) > 0).astype(int)
+        return [[np.abs(np.diff(on, axis=axis)).sum() / side / 10 if on.shape[axis] > 1 else None] for axis in (1, 0)]
+
+    return pictures(pixels, count, "row_changes double, column_changes double")
 
 
 def hu_moments(pixels: DataFrame) -> DataFrame:
@@ -68,16 +82,23 @@ def hu_moments(pixels: DataFrame) -> DataFrame:
 
 def hog(pixels: DataFrame, cell: int) -> DataFrame:
     """``image_id, cell, bin, value``: the first block (2 x 2 cells) of oriented gradients, L2-normalised."""
-    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    diff = lambda w: F.coalesce(F.lead("v").over(w) - F.lag("v").over(w), F.lit(0)).cast("double")
-    g = pixels.withColumns({"gx": diff(row), "gy": diff(column)}).where((F.col("y") < 2 * cell) & (F.col("x") < 2 * cell))
-    angle = F.degrees(F.atan2("gy", "gx"))
-    angle = F.when(angle < 0, angle + 180).otherwise(angle)
-    bins = F.least(F.floor(F.round(angle, 6) / 20).cast("int") % 9, F.lit(8))
-    place = F.expr(f"2 * (y div {cell}) + x div {cell}").cast("int")
-    g = g.groupBy("image_id", place.alias("cell"), bins.alias("bin")).agg(F.sum(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("s"))
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("image_id")) + 1e-12)
-    return g.select("image_id", "cell", "bin", (F.col("s") / norm).alias("value"))
+
+    def gradients(key, y, x, v):
+        a = _dense(y, x, v)
+        gx, gy = np.zeros(a.shape), np.zeros(a.shape)
+        gx[:, 1:-1], gy[1:-1] = a[:, 2:] - a[:, :-2], a[2:] - a[:-2]
+        on = (y < 2 * cell) & (x < 2 * cell)
+        y, x = y[on], x[on]
+        gx, gy = gx[y, x], gy[y, x]
+        angle = np.degrees(np.arctan2(gy, gx))
+        angle = np.where(angle < 0, angle + 180, angle)
+        bins = np.minimum(np.floor(np.round(angle, 6) / 20).astype(int) % 9, 8)
+        place = (2 * (y // cell) + x // cell) * 9 + bins
+        s = np.bincount(place, np.sqrt(gx * gx + gy * gy), 36)
+        there = np.unique(place)
+        return there // 9, there % 9, s[there] / np.sqrt((s * s).sum() + 1e-12)
+
+    return pictures(pixels, gradients, "cell int, bin int, value double")
 
 
 def grid_density(pixels: DataFrame, side: int) -> DataFrame:
@@ -89,10 +110,17 @@ def grid_density(pixels: DataFrame, side: int) -> DataFrame:
 
 def _profiles(pixels: DataFrame) -> DataFrame:
     """``image_id, axis, k, s``: counts of rows and columns over their maximum."""
-    both = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("y").alias("k")), F.struct(F.lit("column").alias("axis"), F.col("x").alias("k"))))
-    p = pixels.select("image_id", "v", both.alias("p")).groupBy("image_id", "p.axis", "p.k").agg(F.count_if(F.col("v") > 0).alias("n"))
-    share = F.col("n") / F.greatest(F.max("n").over(Window.partitionBy("image_id", "axis")), F.lit(1))
-    return p.withColumn("s", share)
+
+    def profile(key, y, x, v):
+        found = []
+        for axis, at in (("row", y), ("column", x)):
+            k = np.unique(at)
+            n = np.bincount(at[v > 0], minlength=int(k[-1]) + 1)[k]
+            found.append(([axis] * len(k), k, n, n / max(n.max(), 1)))
+        axis, *numbers = zip(*found, strict=True)
+        return [*axis[0], *axis[1]], *map(np.concatenate, numbers)
+
+    return pictures(pixels, profile, "axis string, k int, n long, s double")
 
 
 def projection_samples(pixels: DataFrame, samples: int = 8) -> DataFrame:
@@ -115,18 +143,19 @@ def projections(pixels: DataFrame) -> DataFrame:
 def feature_vectors(pixels: DataFrame, side: int) -> DataFrame:
     """``image_id, features``, 95 values: geometric (6), structural (5), Hu moments (7), gradients (36),
     grid (16), projections (20) and contour (5)."""
+    chunks = kept(packed(pixels), "chunks")  # read by all that looks at places beside each other
     pivot = lambda d, key, value, n: d.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: s[value]).alias(n))
     cells: Column = F.array([F.coalesce(F.get("h", F.lit(i)), F.lit(0.0)) for i in range(36)])
-    h = hog(pixels, side // 4).withColumn("k", F.col("cell") * 9 + F.col("bin"))
+    h = hog(chunks, side // 4).withColumn("k", F.col("cell") * 9 + F.col("bin"))
     h = h.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
     h = h.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("h"))
     hu = hu_moments(pixels).select("image_id", F.array(*[f"hu{i}" for i in range(1, 8)]).alias("u"))
     d = pivot(grid_density(pixels, side), "cell", "density", "d")
-    p = projections(pixels).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("axis", "mean", "std"))), lambda s: F.array(s["mean"], s["std"]))).alias("p"))
+    p = projections(chunks).groupBy("image_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("axis", "mean", "std"))), lambda s: F.array(s["mean"], s["std"]))).alias("p"))
     rows, columns = (F.max(F.when(F.col("axis") == a, F.col("samples"))) for a in ("row", "column"))
-    s = projection_samples(pixels).groupBy("image_id").agg(F.concat(rows, columns).alias("s"))
+    s = projection_samples(chunks).groupBy("image_id").agg(F.concat(rows, columns).alias("s"))
     out = geometric(pixels, side)
-    for part in (shapes(pixels), changes(pixels, side), hu, h, d, s, p):
+    for part in (shapes(chunks), changes(chunks, side), hu, h, d, s, p):
         out = out.join(part, "image_id", "left")
     plain = F.array("fill", "center_x", "center_y", "euler", "aspect", "angle", "end_points", "crossings", "loops", "row_changes", "column_changes")
     zeros, contour = F.array_repeat(F.lit(0.0), 7), F.array("area", "perimeter", "circularity", "convexity", "rectangularity")

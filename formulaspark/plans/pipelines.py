@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulaspark.functions.latex import semantics
-from formulaspark.operators import calculus, components, features, pixels, polynomials, recognition, structure
+from formulaspark.operators import calculus, components, features, packed, pixels, polynomials, recognition, structure
 from formulaspark.sources.scratch import kept
 
 
@@ -61,7 +61,7 @@ def computed_records(formulas: DataFrame, mode: str = "contract") -> DataFrame:
 
 def symbol_pictures(images: DataFrame, side: int = 32) -> DataFrame:
     """Pixel tables of single symbols, brought to ``side`` by ``side`` with a white background."""
-    return features.normalize(pixels.pad_to(pixels.resize(images, side, side), side, side))
+    return packed.pictures(images, lambda key, y, x, v: features.on_white(*pixels.padded(*pixels.resized(y, x, v, side, side), side, side)))
 
 
 def train_recognizer(images: DataFrame, kind: str = "svm", side: int = 32) -> tuple[recognition.Recognizer, DataFrame, DataFrame]:
