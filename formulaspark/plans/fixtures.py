@@ -76,9 +76,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines that a task numbers at most, on average.
+LINES = 500_000
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of formulas: one shuffle, on the formula."""
-    return spark.sql(_SYMBOLS, lineitem=table(spark, sf_dir, "lineitem"))
+    """Symbols of formulas: one shuffle, on the formula, to more tasks where there are more lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    parts = -(-lines.count() // LINES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(parts, "l_orderkey")
+    return spark.sql(_SYMBOLS, lineitem=lines)
 
 
 def latex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,12 +207,12 @@ def symbols_to_latex(spark, d):
 
 @query("tree_json")
 def tree_json(spark, d):
-    return R.tree_json(R.build_syntax_tree(T.symbols(spark, d)))
+    return R.tree_json(R.syntax_trees(T.symbols(spark, d)))
 
 
 @query("tree_outline")
 def tree_outline(spark, d):
-    return R.tree_text(R.build_syntax_tree(T.symbols(spark, d)))
+    return R.tree_text(R.syntax_trees(T.symbols(spark, d)))
 
 
 @query(

@@ -114,3 +114,41 @@ def test_large_operators_by_label(spark):
     rows = [(1, 0, "sum"), (1, 1, "int"), (1, 2, "x"), (1, 3, None), (1, 4, "unknown")]
     got = R.flag_large_operators(spark.createDataFrame(rows, "formula_id long, sym_idx int, label string").withColumn("is_sum", F.lit(False))).orderBy("sym_idx").collect()
     assert [(r.is_sum, r.is_integral) for r in got] == [(True, False), (False, True), (False, False), (False, False), (False, False)]
+
+
+def test_pairs_stay_with_their_formula(spark, monkeypatch):
+    """Pairs are compared within the task of their formula: no join or exchange has a row a pair."""
+    rows = [(f, i, 10 + 34 * i, 50 if i % 3 else 20, 20, 12 + i % 5, "x", i == 2, i == 4, i == 5, i == 6) for f in range(3) for i in range(9)]
+    s = spark.createDataFrame(rows, "formula_id long, sym_idx int, x int, y int, w int, h int, label string, is_fraction_line boolean, is_sqrt boolean, is_sum boolean, is_integral boolean")
+    for made in (R.spatial_relations(s), R.structure_groups(s), R.script_anchors(s), R.syntax_trees(s), R.tree_json(R.syntax_trees(s)), R.tree_text(R.syntax_trees(s))):
+        text = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in text and "Generate" not in text
+    # the same whether a task compares all pairs at once or one symbol's at a time
+    whole = sorted(map(tuple, R.structure_groups(s).collect()), key=str), sorted(map(tuple, R.spatial_relations(s).collect()))
+    assert len(whole[0]) and len(whole[1])
+    batch = R._by_formula(s).toArrow().to_batches()[0]
+    f = R.Formulas.read(batch)
+    once = [c.tolist() for c in next(f.links())]
+    monkeypatch.setattr(R, "PAIRS", 5)
+    parts = [[c.tolist() for c in part] for part in f.links()]
+    assert len(parts) > 9 and [sum(c, []) for c in zip(*parts, strict=True)] == once
+
+
+def test_ranks_are_those_of_reading_order(spark):
+    rows = [(f, i, (i * 37 + f) % 50, (i * 23) % 40, 9, 7 + i % 4) for f in range(4) for i in range(f, 8)]
+    s = spark.createDataFrame(rows, "formula_id long, sym_idx int, x int, y int, w int, h int")
+    flagged = s.selectExpr("*", *[f"false as {c}" for c in R.FLAGS])
+    want = {(r.formula_id, r.sym_idx): r["rank"] for r in R.reading_order(s).collect()}
+    for batch in R._by_formula(flagged).toArrow().to_batches():
+        f = R.Formulas.read(batch)
+        keys = [(batch.column("formula_id")[int(k)].as_py(), int(i)) for k, i in zip(f.of, f.idx, strict=True)]
+        assert {k: int(r) for k, r in zip(keys, f.ranks(), strict=True)} == {k: want[k] for k in keys}
+
+
+def test_more_lines_go_to_more_tasks(spark, monkeypatch, tmp_path):
+    from formulaspark.plans import fixtures as T
+
+    lines = spark.range(1000).selectExpr("id div 4 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 4 as int) as l_linenumber")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(T, "LINES", 100)
+    assert T.symbols(spark, str(tmp_path)).rdd.getNumPartitions() == 10
