@@ -121,9 +121,14 @@ def nearest_candidates(queries: DataFrame, train: DataFrame, k: int = 5, block:
                     asked = own.iloc[at : at + 512]
                     a = np.stack(asked.features.to_list()).astype(float)
                     d = np.round((a * a).sum(1)[:, None] - 2 * a @ matrix.T + (matrix * matrix).sum(1)[None], 9)
-                    best = np.lexsort((np.broadcast_to(order, d.shape), d), axis=1)[:, :k]
-                    flat = best.ravel()
-                    yield pd.DataFrame({"query": np.repeat(asked.id.to_numpy(), best.shape[1]), "id": rows.id.to_numpy()[flat], "label": rows.label.to_numpy()[flat], "d": np.take_along_axis(d, best, 1).ravel()})
+                    # only what is as near as the k-th is sorted; ties are all kept until then
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+                    ask, near_to = np.nonzero(d <= edge)
+                    by = np.lexsort((order[near_to], d[ask, near_to], ask))
+                    ask, near_to = ask[by], near_to[by]
+                    first = np.arange(len(ask)) - np.searchsorted(ask, ask) < k
+                    ask, near_to = ask[first], near_to[first]
+                    yield pd.DataFrame({"query": asked.id.to_numpy()[ask], "id": rows.id.to_numpy()[near_to], "label": rows.label.to_numpy()[near_to], "d": d[ask, near_to]})
 
     type_of = lambda table, name: table.schema[name].dataType.simpleString()
     both = t.union(q).repartitionById(n, "part").sortWithinPartitions("part", "asks")

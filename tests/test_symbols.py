@@ -152,3 +152,18 @@ def test_more_lines_go_to_more_tasks(spark, monkeypatch, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     monkeypatch.setattr(T, "LINES", 100)
     assert T.symbols(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def test_nearest_of_many_ties(spark):
+    """Ties at the last place go to the smaller ids, within a part and between parts; whole rows are not sorted."""
+    rows = [(i, f"c{i % 3}", [float(i % 2), 0.0]) for i in range(40)]
+    t = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    got = {r.id: (r.pred, r.prob) for r in M.nearest_labels(t, t, k=5, block=16).collect()}
+    want = {}
+    for i, _, a in rows:
+        near = sorted((abs(a[0] - b[0]), j, label) for j, label, b in rows)[:5]
+        labels = [label for *_, label in near]
+        want[i] = min((-labels.count(c), c) for c in labels)[1], max(map(labels.count, labels)) / 5
+    assert got == want
+    few = M.nearest_labels(t, t.where("id < 3"), k=5, block=16).collect()
+    assert len(few) == 40
