@@ -2,11 +2,13 @@
 
 Pixels that follow each other are packed where they are read, so that an exchange, a sort or a
 join by picture moves a few bytes a pixel and one row a chunk.  Chunks have ``image_id, h, w``
-(bottom and right of what they hold) and ``y, x, v``: numbers in the narrowest type that fits.
+(bottom and right of what they hold) and ``y, x, v``: numbers in the narrowest type that fits,
+compressed, so that a task that is dealt so many bytes holds about as many.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -24,11 +26,11 @@ CHUNK = "h int, w int, y binary, x binary, v binary"
 def as_bytes(a: np.ndarray) -> bytes:
     low, high = (a.min(), a.max()) if len(a) else (0, 0)
     kind = next(k for k in ("u1", "u2", "i4") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
-    return kind.encode() + a.astype(kind).tobytes()
+    return kind.encode() + zlib.compress(a.astype(kind).tobytes(), 1)
 
 
 def numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, data[:2].decode(), offset=2)
+    return np.frombuffer(zlib.decompress(data[2:]), data[:2].decode())
 
 
 def chunk(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple:
@@ -36,6 +38,17 @@ def chunk(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple:
     return [int(y.max()) + 1], [int(x.max()) + 1], [as_bytes(y)], [as_bytes(x)], [as_bytes(v)]
 
 
+def chunks_of(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple:
+    """The columns of chunks of ``ROWS`` pixels at most."""
+    parts = [chunk(y[a : a + ROWS], x[a : a + ROWS], v[a : a + ROWS]) for a in range(0, len(y), ROWS)]
+    return tuple([p[0] for p in column] for column in zip(*parts, strict=True))
+
+
+def weight(made: tuple) -> int:
+    """How many rows columns count as: lists of bytes by their length."""
+    last = made[-1]
+    return len(last) + sum(len(d) for d in last if isinstance(d, bytes)) // 8
+
 def id_kind(table: DataFrame, key: str = "image_id") -> str:
     return f"{key} {table.schema[key].dataType.simpleString()}"
 
@@ -106,7 +119,7 @@ def each(chunks: DataFrame, change: Callable, kind: str, by: tuple[str, ...] = (
                 if parts and (made := done()) is not None and len(made[0]):
                     rows.append(made)
                     keys.append(held[0])
-                    n += len(made[0])
+                    n += weight(made)
                     if n >= ROWS:
                         yield sent(names, types, rows, keys)
                         rows, keys, n = [], [], 0
@@ -122,8 +135,10 @@ def each(chunks: DataFrame, change: Callable, kind: str, by: tuple[str, ...] = (
 
 
 def pictures(pixels: DataFrame, change: Callable, kind: str = PIXELS) -> DataFrame:
-    """``each`` picture of a table of pixels or chunks."""
-    return each(packed(pixels), change, kind)
+    """``each`` picture of a table of pixels or chunks; ``kind`` ``CHUNK`` makes chunks of what ``change`` gives."""
+    if kind != CHUNK:
+        return each(packed(pixels), change, kind)
+    return each(packed(pixels), lambda *picture: chunks_of(*made) if (made := change(*picture)) is not None else None, kind)
 
 
 def unpacked(chunks: DataFrame) -> DataFrame:

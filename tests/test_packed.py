@@ -92,3 +92,19 @@ def test_composed_pictures_send_pictures(spark):
     got = picture(made, 7)
     assert got.shape == (2 + 2 + 32, 13 + 20) and (got[17:19, 10:24] == 0).all() and (got == 5).sum() == 6 and (got == 9).sum() == 2
     assert made.where(F.col("v").isNull()).isEmpty()
+
+
+def test_chunks_are_as_small_as_what_is_exchanged(spark):
+    """Tasks are dealt compressed bytes: chunks must not grow when they are read."""
+    t = table(spark, {i: np.full((64, 64), 9) for i in range(3)}, 1)
+    size = sum(len(r.y) + len(r.x) + len(r.v) for r in K.packed(t).collect())
+    assert size < 3 * 64 * 64 / 4
+    for a in (np.arange(0), np.array([-1, 7]), np.array([70_000] * 3), np.random.default_rng(1).integers(0, 256, 5000)):
+        assert (K.numbers(K.as_bytes(a)) == a).all()
+
+
+def test_chunks_are_sent_by_bytes():
+    """Chunks count by their size: what a task gathers stays small however large they are."""
+    assert K.weight(([1], [1], [b"" * 8], [b""], [bytes(800_000)])) > K.ROWS
+    y = np.arange(2 * K.ROWS + 1)
+    assert [len(K.numbers(d)) for d in K.chunks_of(y, y, y)[-1]] == [K.ROWS, K.ROWS, 1]
