@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formulaspark.operators.packed import CHUNK, PIXELS, by_tiles, chunk, each, id_kind, packed, pictures, unpacked
+from formulaspark.operators.packed import CHUNK, PIXELS, by_tiles, chunk, chunks_of, each, id_kind, is_packed, packed, pictures, unpacked
 from formulaspark.sources.scratch import kept
 
 ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
@@ -20,18 +20,22 @@ ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
 
 def to_pixels(images: DataFrame) -> DataFrame:
     """``image_id, y, x, v`` of gray ``images`` (``width``, ``data`` one byte a pixel)."""
+    return unpacked(to_chunks(images))
+
+
+def to_chunks(images: DataFrame) -> DataFrame:
+    """Chunks of ``images`` as of ``to_pixels``."""
 
     def read(batches):
         for batch in batches:
             for at, (w, data) in enumerate(zip(batch.column("width").to_pylist(), batch.column("data").to_pylist(), strict=True)):
-                for begin in range(0, len(data), 50_000):
-                    part = np.frombuffer(data, np.uint8)[begin : begin + 50_000]
-                    place = np.arange(begin, begin + len(part))
-                    own = batch.column("image_id").take(pa.array(np.full(len(part), at)))
-                    yield pa.RecordBatch.from_arrays([own, *[pa.array(a.astype(np.int32)) for a in (place // w, place % w, part)]], ["image_id", "y", "x", "v"])
+                place = np.arange(len(data))
+                rows = chunks_of(place // w, place % w, np.frombuffer(data, np.uint8))
+                own = batch.column("image_id").take(pa.array(np.full(len(rows[0]), at)))
+                yield pa.RecordBatch.from_arrays([own, *[pa.array(c, t) for c, t in zip(rows, (pa.int32(),) * 2 + (pa.binary(),) * 3, strict=True)]], ["image_id", "h", "w", "y", "x", "v"])
 
     cut = images.where((F.length("data") > 0) & (F.col("width") > 0)).select("image_id", "width", "data")
-    return cut.mapInArrow(read, f"{id_kind(images)}, {PIXELS}")
+    return cut.mapInArrow(read, f"{id_kind(images)}, {CHUNK}")
 
 
 def to_images(pixels: DataFrame) -> DataFrame:
@@ -50,6 +54,9 @@ def to_gray(colors: DataFrame) -> DataFrame:
 
 
 def sizes(pixels: DataFrame) -> DataFrame:
+    """``image_id, h, w`` of pixels or chunks."""
+    if is_packed(pixels):
+        return pixels.groupBy("image_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
@@ -103,8 +110,8 @@ def _otsu_binary(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarra
     return y, x, dark_on_light(y, x, np.where(v > otsu_threshold(v), 255, 0))
 
 
-def polarity(binary: DataFrame) -> DataFrame:
-    return pictures(binary, lambda key, y, x, v: (y, x, dark_on_light(y, x, v)))
+def polarity(binary: DataFrame, kind: str = PIXELS) -> DataFrame:
+    return pictures(binary, lambda key, y, x, v: (y, x, dark_on_light(y, x, v)), kind)
 
 
 def otsu_binarize(pixels: DataFrame) -> DataFrame:
@@ -162,8 +169,8 @@ def _local(pixels: DataFrame, window: int, threshold, tile: int = TILE, whole: b
     return each(by_tiles(packed(pixels), tile, r), change, CHUNK if whole else PIXELS, ("image_id", "ty", "tx"))
 
 
-def sauvola_binarize(pixels: DataFrame, window: int = 25, k: float = 0.2, r: float = 128.0) -> DataFrame:
-    return polarity(_local(pixels, window, lambda m, s: m * (1 + k * (s / r - 1)), whole=True))
+def sauvola_binarize(pixels: DataFrame, window: int = 25, k: float = 0.2, r: float = 128.0, kind: str = PIXELS) -> DataFrame:
+    return polarity(_local(pixels, window, lambda m, s: m * (1 + k * (s / r - 1)), whole=True), kind)
 
 
 def niblack_binarize(pixels: DataFrame, window: int = 25, k: float = -0.2) -> DataFrame:
@@ -171,21 +178,22 @@ def niblack_binarize(pixels: DataFrame, window: int = 25, k: float = -0.2) -> Da
     return _local(pixels, window, lambda m, s: m + k * s).withColumn("v", 255 - F.col("v"))
 
 
-def binarize(pixels: DataFrame) -> DataFrame:
-    """Otsu for images whose smaller side is 64 or less, else Sauvola."""
+def binarize(pixels: DataFrame, kind: str = PIXELS) -> DataFrame:
+    """Otsu for images whose smaller side is 64 or less, else Sauvola; as pixels or chunks."""
     chunks = kept(packed(pixels), "chunks")
-    large = chunks.groupBy("image_id").agg(F.max("h").alias("h"), F.max("w").alias("w")).where(F.least("h", "w") > 64).select("image_id")
-    small = pictures(chunks, lambda key, y, x, v: _otsu_binary(y, x, v) if min(y.max(), x.max()) < 64 else None)
-    return small.unionByName(sauvola_binarize(chunks.join(large, "image_id", "left_semi")))
+    large = sizes(chunks).where(F.least("h", "w") > 64).select("image_id")
+    small = pictures(chunks, lambda key, y, x, v: _otsu_binary(y, x, v) if min(y.max(), x.max()) < 64 else None, kind)
+    return small.unionByName(sauvola_binarize(chunks.join(large, "image_id", "left_semi"), kind=kind))
 
 
-def clear_border(pixels: DataFrame, ratio: float = 0.02) -> DataFrame:
-    def clear(key, y, x, v):
-        h, w = int(y.max()) + 1, int(x.max()) + 1
-        dy, dx = int(h * ratio), int(w * ratio)
-        return y, x, np.where((y < dy) | (y >= h - dy) | (x < dx) | (x >= w - dx), 0, v)
+def cleared(y: np.ndarray, x: np.ndarray, v: np.ndarray, ratio: float = 0.02) -> tuple[np.ndarray, ...]:
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    dy, dx = int(h * ratio), int(w * ratio)
+    return y, x, np.where((y < dy) | (y >= h - dy) | (x < dx) | (x >= w - dx), 0, v)
+
 
-    return pictures(pixels, clear)
+def clear_border(pixels: DataFrame, ratio: float = 0.02) -> DataFrame:
+    return pictures(pixels, lambda key, y, x, v: cleared(y, x, v, ratio))
 
 
 def histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
@@ -208,6 +216,26 @@ def projection_skew(binary: DataFrame, step: float = 0.5) -> DataFrame:
     return best.select("image_id", F.when(F.abs(angle) < 0.5, 0.0).otherwise(angle).alias("angle"))
 
 
+def skew_of(y: np.ndarray, x: np.ndarray, v: np.ndarray, threshold: int = 100, most: float = 15.0) -> float:
+    # only angles that count, and their neighbours, vote
+    near = np.arange(max(0, int(90 - most) - 1), min(179, int(90 + most) + 1) + 1)
+    cos, sin = np.cos(np.radians(near)), np.sin(np.radians(near))
+    p = np.pad(_held(y, x, v), 1)
+    low = np.minimum(np.minimum(p[:-2, 1:-1], p[2:, 1:-1]), np.minimum(p[1:-1, :-2], p[1:-1, 2:]))
+    ey, ex = np.nonzero((p[1:-1, 1:-1] > 0) & (low == 0))
+    far = int(np.hypot(y.max(), x.max())) + 3
+    n = np.zeros((len(near) + 2, 2 * far + 3), np.int64)
+    for k in range(len(near)):
+        rho = np.floor(ex * cos[k] + ey * sin[k] + 0.5).astype(np.int64) + far + 1
+        n[k + 1] = np.bincount(rho, minlength=n.shape[1])
+    own = n[1:-1, 1:-1]
+    peak = (own >= threshold) & (own > n[1:-1, :-2]) & (own >= n[1:-1, 2:]) & (own > n[:-2, 1:-1]) & (own >= n[2:, 1:-1])
+    found = np.repeat(near - 90.0, peak.sum(1))
+    found = found[np.abs(found) < most]
+    angle = float(np.median(found)) if len(found) else 0.0
+    return 0.0 if abs(angle) < 0.5 else angle
+
+
 def hough_skew(binary: DataFrame, threshold: int = 100, most: float = 15.0) -> DataFrame:
     """``image_id, angle``: median angle of near-horizontal lines with ``threshold`` votes or more.
 
@@ -215,27 +243,7 @@ def hough_skew(binary: DataFrame, threshold: int = 100, most: float = 15.0) -> D
     more votes than those beside it at the next smaller distance and angle, and as many at least as
     those at the next larger ones.  Votes are counted picture by picture and never sent.
     """
-    # only angles that count, and their neighbours, vote
-    near = np.arange(max(0, int(90 - most) - 1), min(179, int(90 + most) + 1) + 1)
-    cos, sin = np.cos(np.radians(near)), np.sin(np.radians(near))
-
-    def angle_of(key, y, x, v):
-        p = np.pad(_held(y, x, v), 1)
-        low = np.minimum(np.minimum(p[:-2, 1:-1], p[2:, 1:-1]), np.minimum(p[1:-1, :-2], p[1:-1, 2:]))
-        ey, ex = np.nonzero((p[1:-1, 1:-1] > 0) & (low == 0))
-        far = int(np.hypot(y.max(), x.max())) + 3
-        n = np.zeros((len(near) + 2, 2 * far + 3), np.int64)
-        for k in range(len(near)):
-            rho = np.floor(ex * cos[k] + ey * sin[k] + 0.5).astype(np.int64) + far + 1
-            n[k + 1] = np.bincount(rho, minlength=n.shape[1])
-        own = n[1:-1, 1:-1]
-        peak = (own >= threshold) & (own > n[1:-1, :-2]) & (own >= n[1:-1, 2:]) & (own > n[:-2, 1:-1]) & (own >= n[2:, 1:-1])
-        found = np.repeat(near - 90.0, peak.sum(1))
-        found = found[np.abs(found) < most]
-        angle = float(np.median(found)) if len(found) else 0.0
-        return (np.array([0.0 if abs(angle) < 0.5 else angle]),)
-
-    return pictures(binary, angle_of, "angle double")
+    return pictures(binary, lambda key, y, x, v: (np.array([skew_of(y, x, v, threshold, most)]),), "angle double")
 
 
 def _fitted(y: np.ndarray, x: np.ndarray, height: int, width: int) -> tuple[int, int, int, int]:
@@ -419,16 +427,16 @@ def skeletonize(binary: DataFrame) -> DataFrame:
     return binary.groupBy("image_id").applyInPandas(lambda key, image: _frame(key[0], thinned(_array(image) > 0) * 255), _kind(binary))
 
 
-def rotate(pixels: DataFrame, angles: DataFrame) -> DataFrame:
-    """Images turned by their ``angle``; those without one, or with 0, stay as they are."""
+def turned(y: np.ndarray, x: np.ndarray, v: np.ndarray, angle: float | None) -> tuple[np.ndarray, ...]:
+    a = _held(y, x, v).astype(np.uint8)
+    a = rotated(a, angle) if angle else a
+    return (*np.indices(a.shape).reshape(2, -1), a.ravel())
 
-    def turn(key, y, x, v, angle):
-        a = _held(y, x, v).astype(np.uint8)
-        a = rotated(a, angle) if angle else a
-        return (*np.indices(a.shape).reshape(2, -1), a.ravel())
 
+def rotate(pixels: DataFrame, angles: DataFrame) -> DataFrame:
+    """Images turned by their ``angle``; those without one, or with 0, stay as they are."""
     angles = angles.toDF(*angles.columns).select("image_id", F.nanvl(F.col("angle").cast("double"), F.lit(0.0)).alias("angle"))  # columns of their own: angles come from pixels
-    return each(packed(pixels).join(angles, "image_id", "left"), turn, PIXELS, more=("angle",))
+    return each(packed(pixels).join(angles, "image_id", "left"), lambda key, *picture: turned(*picture), PIXELS, more=("angle",))
 
 
 def border_distance(ink: np.ndarray) -> np.ndarray:
@@ -507,15 +515,20 @@ def enhance_contrast(pixels: DataFrame, clip: float = 2.0, tiles: int = 8) -> Da
     return pixels.groupBy("image_id").applyInPandas(change, _kind(pixels))
 
 
-def preprocess(pixels: DataFrame, intermediate: bool = False) -> DataFrame | dict[str, DataFrame]:
-    """Binarised, freed of specks, straightened, border cleared; with ``intermediate`` the tables of
-    all steps by name, and the ``skeleton`` of the last."""
-    from .components import remove_small_components
+def preprocess(pixels: DataFrame, intermediate: bool = False, kind: str = PIXELS) -> DataFrame | dict[str, DataFrame]:
+    """Binarised, freed of specks, straightened, border cleared, as pixels or chunks; with ``intermediate``
+    the tables of all steps by name, and the ``skeleton`` of the last."""
+    from .components import remove_small_components, without_specks
+
+    if not intermediate:
+
+        def finished(key, y, x, v):
+            v = without_specks(y, x, v)
+            return cleared(*turned(y, x, v, skew_of(y, x, v)))
 
-    binary = kept(packed(binarize(pixels)), "binary")
+        return pictures(binarize(pixels, CHUNK), finished, kind)
+    binary = kept(binarize(pixels, CHUNK), "binary")
     clean = kept(packed(remove_small_components(binary)), "denoised")  # read by the angle and by the rotation
     straight = rotate(clean, hough_skew(clean))
     final = clear_border(straight)
-    if not intermediate:
-        return final
     return {"binary": unpacked(binary), "denoised": unpacked(clean), "deskewed": straight, "final": final, "skeleton": skeletonize(final)}

@@ -89,10 +89,11 @@ def recognize(images: DataFrame, model: recognition.Recognizer | None = None, si
     """
     fits = F.coalesce((F.col("height") > 0) & (F.col("width") > 0) & (F.length("data") == F.col("height") * F.col("width")), F.lit(False))
     known = kept(images.select("image_id", "height", "width", "data", fits.alias("fits")), "images")
-    binary = kept(pixels.preprocess(pixels.to_pixels(known.where("fits"))), "binary")
-    inked = binary.where("v > 0").select("image_id").distinct()
+    # pixels stay packed: no row a pixel is written, joined or counted
+    binary = kept(pixels.preprocess(pixels.to_chunks(known.where("fits")), kind=packed.CHUNK), "binary")
+    inked = packed.each(binary, lambda key, y, x, v: ([1],) if (v > 0).any() else None, "ink int", dealt=False).select("image_id").distinct()
     alone = components.single_symbols(binary).join(inked, "image_id", "left_semi").select("image_id", F.lit(0).alias("sym_idx"), "x", "y", "w", "h", F.lit(False).alias("is_fraction_line"), F.lit(False).alias("is_sqrt"))
-    several = components.segment(binary.join(alone.select("image_id"), "image_id", "left_anti"))
+    several = components.segment(kept(binary.join(alone.select("image_id"), "image_id", "left_anti"), "several"))
     found = kept(several.unionByName(alone), "symbols")
     symbols = found.withColumnRenamed("image_id", "formula_id").withColumns({"is_sum": F.lit(False), "is_integral": F.lit(False)})
     guessed = None

@@ -108,3 +108,14 @@ def test_chunks_are_sent_by_bytes():
     assert K.weight(([1], [1], [b"" * 8], [b""], [bytes(800_000)])) > K.ROWS
     y = np.arange(2 * K.ROWS + 1)
     assert [len(K.numbers(d)) for d in K.chunks_of(y, y, y)[-1]] == [K.ROWS, K.ROWS, 1]
+
+
+def test_preprocessing_in_one_step_gives_what_its_steps_give(spark, drawn):
+    lines = np.full((130, 400), 230)
+    for k in range(350):
+        lines[30 + k // 8 : 33 + k // 8, 20 + k] = 10
+    t = table(spark, {4: lines, **drawn})
+    final, chunks = P.preprocess(t), P.preprocess(t, kind=K.CHUNK)
+    want = P.preprocess(t, intermediate=True)["final"]
+    assert K.is_packed(chunks) and picture(final, 4).shape != lines.shape
+    assert want.exceptAll(final).isEmpty() and final.exceptAll(want).isEmpty() and want.exceptAll(K.unpacked(chunks)).isEmpty()
