@@ -127,8 +127,10 @@ def tokens(latex: Column) -> Column:
     text = latex
     for pattern, by in SPELLINGS:
         text = F.regexp_replace(text, pattern, by)
-    found = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
-    return F.when((F.array_join(found, "") == text) & (F.size(found) > 0), found)
+    # lists of one, so that the spelling and the tokens are written once
+    split = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(f"({TOKEN})"), F.lit(1)).alias("found")))
+    whole = F.filter(split, lambda s: (F.size(s["found"]) > 0) & (F.array_join(s["found"], "") == s["text"]))
+    return F.get(whole, F.lit(0))["found"]
 
 
 def letters(tokens: Column) -> Column:

@@ -23,9 +23,14 @@ def _found(latex: Column, pattern: str, *groups: int) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(latex, pattern, g), F.lit("")) for g in groups])
 
 
-def heads(latex: Column) -> dict[str, Column]:
-    """What a formula asks for: ``method``, its ``letter``, ``degree_of`` a derivative, bounds or point, and its ``body``."""
-    derivative, integral, limit = (latex.rlike(p) for p in (_DERIVATIVE, _INTEGRAL, _LIMIT))
+def kinds(latex: Column) -> Column:
+    """Whether a formula is a derivative, an integral, a limit."""
+    return F.array(*[latex.rlike(p) for p in (_DERIVATIVE, _INTEGRAL, _LIMIT)])
+
+
+def heads(latex: Column, kinds: Column) -> dict[str, Column]:
+    """What a formula of ``kinds`` asks for: ``method``, its ``letter``, ``degree_of`` a derivative, bounds or point, and its ``body``."""
+    derivative, integral, limit = (F.get(kinds, i) for i in range(3))
     order = F.coalesce(_found(latex, _DERIVATIVE, 1, 2), F.lit("1"))
     same = order == F.coalesce(_found(latex, _DERIVATIVE, 5, 6), F.lit("1"))
     inside, after = F.regexp_extract(latex, _DERIVATIVE, 3), F.trim(F.regexp_extract(latex, _DERIVATIVE, 7))
@@ -58,10 +63,13 @@ def computed(formulas: DataFrame) -> DataFrame:
     complex ones are ``middle`` plus and minus ``distance`` times i.  Whatever is no polynomial in one
     letter, that of the head if it names one, is null.
     """
-    h = heads(F.col("latex"))
-    texts = F.array(h["body"], h["first"], h["second"])
-    asked = F.struct(*[h[n].alias(n) for n in ("method", "letter", "order")], h["first"].isNotNull().alias("bounded"), F.transform(texts, A.tokens).alias("tokens"))
-    made = _once(_once(formulas, "__asked", asked), "__found", A.polynomials_of("__asked.tokens"))
+    # heads are matched once, what they ask for is taken out once, and only texts that are there are read
+    made = _once(formulas, "__kinds", kinds(F.col("latex")))
+    made = _once(made, "__head", F.struct(*[v.alias(n) for n, v in heads(F.col("latex"), F.col("__kinds")).items()]))
+    h = F.col("__head")
+    tokens = F.transform(F.array(h["body"], h["first"], h["second"]), lambda text: F.when(text.isNotNull(), A.tokens(text)))
+    asked = F.struct(*[h[n].alias(n) for n in ("method", "letter", "order")], h["first"].isNotNull().alias("bounded"), tokens.alias("tokens"))
+    made = _once(_once(made, "__asked", asked), "__found", A.polynomials_of("__asked.tokens"))
     used = A.letters(F.flatten(F.filter("__asked.tokens", lambda t: t.isNotNull())))
     letter = F.coalesce("__asked.letter", F.get(used, 0))
     fits = (F.size(used) <= 1) & F.coalesce(F.get(used, 0) == letter, F.lit(True))
@@ -92,7 +100,7 @@ def computed(formulas: DataFrame) -> DataFrame:
     pair = (method == "solve") & (top == 2) & (d < 0)
     out = {"method": method, "letter": F.col("__read.letter"), "body": body, "first": first, "second": second, "result": q, "degree": top}
     out |= {"roots": F.when(method.isin("solve", "simplify"), F.transform(real, lambda r: r + 0.0)), "middle": F.when(pair, middle), "distance": F.when(pair, distance)}
-    return _once(made, "computed", F.struct(*[v.alias(n) for n, v in out.items()])).drop("__asked", "__found", "__read", "__result")
+    return _once(made, "computed", F.struct(*[v.alias(n) for n, v in out.items()])).drop("__kinds", "__head", "__asked", "__found", "__read", "__result")
 
 
 def answered(made: DataFrame) -> DataFrame:

@@ -114,6 +114,16 @@ def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("formula_id"), F.replace(F.replace(text, F.lit("@"), a), F.lit("#"), b).alias("latex"))
 
 
+#: Formulas that a task computes at most, on average.
+FORMULAS = 20_000
+
+
+def spread(formulas: DataFrame) -> DataFrame:
+    """``formulas`` dealt to as many tasks as their number asks for: a file that one task reads may hold hours of work."""
+    parts = -(-formulas.count() // FORMULAS)
+    return formulas.repartition(parts, "formula_id", "latex") if parts > 1 else formulas
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, y, x, v``: each vector's signs as an 8 by 8 picture, four pixels a number each
     way, as ink on paper."""

@@ -227,7 +227,7 @@ def terms_to_latex(spark, d):
     "latex",
 )
 def special_solutions(spark, d):
-    r = computed_records(T.latex(spark, d)).where("solution['type'] is not null")
+    r = computed_records(T.spread(T.latex(spark, d))).where("solution['type'] is not null")
     s = F.col("solution")
     return r.select("formula_id", s["type"].alias("type"), F.coalesce(s["operations"], s["quantifiers_or_connectives"]).alias("operations"), F.coalesce(s["elements"], s["variables"]).alias("letters"))
 
@@ -240,7 +240,7 @@ _WORKED = """r AS (SELECT formula_id, kind, a, b, CASE WHEN kind IN (5, 7, 9) TH
 
 @query("computed_results", f"WITH {_WORKED} SELECT formula_id, method, CAST(power AS INT) AS power, round(coefs[power + 1], 6) AS coef FROM r, range(4) t(power) WHERE power < len(coefs) AND coefs[power + 1] <> 0", "worked")
 def computed_results(spark, d):
-    r = calculus.computed(T.worked(spark, d)).where("formula_id % 12 < 10")
+    r = calculus.computed(T.spread(T.worked(spark, d))).where("formula_id % 12 < 10")
     return r.select("formula_id", "computed.method", F.posexplode("computed.result").alias("power", "coef")).where("coef <> 0").withColumn("coef", F.round("coef", 6))
 
 
@@ -251,7 +251,7 @@ def computed_results(spark, d):
     "worked",
 )
 def expanded_terms(spark, d):
-    return calculus.expand_terms(T.worked(spark, d))
+    return calculus.expand_terms(T.spread(T.worked(spark, d)))
 
 
 def _number_sql(v: str) -> str:
@@ -277,7 +277,7 @@ _TERMS_SQL = f"""e AS (SELECT formula_id, power, coefs[power + 1] AS c FROM r, r
     "worked",
 )
 def computed_solutions(spark, d):
-    r = computed_records(T.worked(spark, d)).where("solution is not null")
+    r = computed_records(T.spread(T.worked(spark, d))).where("solution is not null")
     s = F.col("solution")
     answer = F.coalesce(s["result"], s["results"], s["expanded"])
     terms = F.when(s["method"] == "simplify", s["expanded"]).otherwise(F.col("simplified"))

@@ -82,3 +82,18 @@ def test_latex_of_many_terms(spark):
     rows = [(1, p, 1.0 if p % 2 else -2.5) for p in range(400)]
     got = Y.to_latex(spark.createDataFrame(rows, "formula_id long, power int, coef double")).first()["latex"]
     assert len(got) > 3000 and got.startswith("x^{399} - 2.5x^{398}") and got.endswith(" - 2.5")
+
+
+def test_formulas_that_one_task_reads_are_computed_by_many(spark, tmp_path, monkeypatch):
+    from formulaspark.plans import fixtures as T
+    from formulaspark.plans import queries_formulas as Q
+
+    part = spark.range(1200).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    want = Q.computed_solutions(spark, str(tmp_path)).collect()
+    assert T.spread(T.worked(spark, str(tmp_path))).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(T, "FORMULAS", 100)
+    assert T.spread(T.worked(spark, str(tmp_path))).rdd.getNumPartitions() == 12
+    for name in ("computed_solutions", "computed_results", "expanded_terms"):
+        assert "RepartitionByExpression" in Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(Q.computed_solutions(spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 1000
